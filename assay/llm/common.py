@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +56,7 @@ def utf8(column: pa.Array) -> list[bytes]:
 def slices(batches: Iterator[pa.RecordBatch], text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about ``limit`` bytes of the text column, one row at least."""
     for batch in batches:
-        sizes = (s or 0 for s in pa.compute.binary_length(batch.column(text)).to_pylist())
+        sizes = (s or 0 for s in pc.binary_length(batch.column(text)).to_pylist())
         start, held = 0, 0
         for i, size in enumerate(sizes):
             if i > start and held + size > limit:

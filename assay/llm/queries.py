@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe
+from assay.llm import bpe, secrets
 from assay.llm.common import table
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
@@ -16,5 +16,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {"op4_bpe": op4_bpe}
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op4_bpe": op4_bpe,
+    "op7_secrets": op7_secrets,
+}
 ORACLE: dict[str, str] = {}
