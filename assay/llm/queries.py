@@ -5,13 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, secrets
+from assay.llm import bpe, decontaminate, secrets, warc
 from assay.llm.common import table
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = warc.capture_index(table(spark, sf_dir, "pages"))
+    return entries.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -21,6 +30,8 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_warc_index": op2_warc_index,
+    "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op7_secrets": op7_secrets,
 }
