@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, decontaminate, secrets, warc
+from assay.llm import bpe, decontaminate, quality, secrets, warc
 from assay.llm.common import table
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
@@ -29,10 +29,15 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_warc_index": op2_warc_index,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
     "op7_secrets": op7_secrets,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
