@@ -5,10 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, decontaminate, quality, secrets, warc
+from assay.llm import bpe, decontaminate, quality, search, secrets, token_counts, warc
 from assay.llm.common import table
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -25,10 +26,18 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +46,9 @@ QUERIES = {
     "op2_warc_index": op2_warc_index,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
+    "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
+    "op8_topk": op8_topk,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
