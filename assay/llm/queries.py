@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, decontaminate, quality, search, secrets, token_counts, warc
+from assay.llm import bpe, decontaminate, ngram_join, quality, search, secrets, token_counts, warc
 from assay.llm.common import table
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
@@ -38,6 +38,10 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
     "op8_topk": op8_topk,
+    "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
