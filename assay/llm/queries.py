@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import bpe, decontaminate, ngram_join, quality, search, secrets, token_counts, warc
+from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, search, secrets, token_counts, warc
 from assay.llm.common import table
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
@@ -13,6 +13,10 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = warc.capture_index(table(spark, sf_dir, "pages"))
     return entries.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
@@ -47,6 +51,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_lm_score": op1_lm_score,
     "op2_warc_index": op2_warc_index,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
