@@ -342,8 +342,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def join_components(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """Per document: doc_id, n_shingles and component_id."""
+def classes(docs: DataFrame, n: int = NGRAM) -> DataFrame:
+    """Per document: doc_id, size and node of its set, and the class of linked nodes (null without n-grams)."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent_ngrams(docs, n))
     sets = materialize(describe(docs, order, n), "ngram-sets")
@@ -357,6 +357,38 @@ def join_components(docs: DataFrame, n: int = NGRAM) -> DataFrame:
         links = links.unionByName(linked(second, docs, sets, n))
         component = components(links)
     drop_tables(spark, postings)
-    placed = sets.select("doc_id", "n", "node").join(component, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    return sets.select("doc_id", "n", "node").join(component, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
+
+
+def join_components(docs: DataFrame, n: int = NGRAM) -> DataFrame:
+    """Per document: doc_id, n_shingles and component_id."""
+    placed = classes(docs, n)
     least = placed.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = NGRAM) -> DataFrame:
+    """The documents with one left of each group of linked ones: that with the smallest doc_id, and of
+    rows that share it the smallest text. Documents without n-grams all stay, as do all columns."""
+    placed = materialize(classes(docs, n), "ngram-classes").filter("class is not null")
+    chosen = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.node").alias("__of"))
+    twice = placed.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"))
+
+    @F.pandas_udf("long")
+    def node_of(texts):
+        out = []
+        for text in texts:
+            (s,) = sets_of([(text or "").encode()], n)
+            out.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+        return type(texts)(out, dtype="Int64")
+
+    names = docs.columns
+    noted = docs.withColumn("__node", node_of("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of"))
+    kept = noted.filter("__node is not null").join(chosen.hint("shuffle_hash"), same, "left_semi")
+    once = kept.join(twice, same, "left_anti")
+    row = F.struct(*(F.col(f"`{c}`") for c in names))
+    repeated = kept.join(twice, same, "left_semi").groupBy("doc_id", "__node").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    bare = noted.filter("__node is null")
+    plain = [F.col(f"`{c}`") for c in names]
+    return once.select(*plain).union(repeated).union(bare.select(*plain))
