@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, search, secrets, token_counts, warc
+from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, repeats, search, secrets, token_counts, warc
 from assay.llm.common import table
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
@@ -30,6 +31,11 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op2_warc_index": op2_warc_index,
     "op3_decontamination": op3_decontamination,
     "op4_bpe": op4_bpe,
+    "op5_repeats": op5_repeats,
     "op6_token_counts": op6_token_counts,
     "op7_secrets": op7_secrets,
     "op8_topk": op8_topk,
