@@ -6,9 +6,9 @@ must share a part of it; the rest is cut by range. Overlaps are counted per frag
 per pair: the prefix fragment alone bounds a pair from above and drops nearly all that do not
 link, and the other fragments are counted only for pairs that it leaves.
 
-Documents with equal sets are one node. No group is expanded into its pairs: a first round joins
-each posting list to one centre, verified links contract it, and a second round takes only pairs
-whose ends are still in different components, so no link between components is lost.
+Documents with equal sets are one node. No group is expanded into its pairs: two rounds join
+each node to one centre of its posting lists, verified links contract them, and a last round takes
+all pairs whose ends are still in different components, so no link between components is lost.
 
 A document's set has the distinct n-grams of its lower-cased (A-Z) words between ASCII white
 space; fewer than n words are one n-gram; null and "" have none and link with nothing. Repeated
@@ -202,13 +202,29 @@ PAIR = "a long, b long, na int, nb int"
 
 
 def star_pairs(postings: DataFrame) -> DataFrame:
+    """Each node with the centres of its lists, and in how many lists they meet within the bounds."""
+
     def run(batches):
         for b in batches:
             _, node, n, pos, c_node, c_n, c_pos = (c.to_numpy() for c in b.columns)
             some = (node != c_node) & possible(n.astype(np.int64), c_n.astype(np.int64), pos, c_pos)
             yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (c_node, node, c_n, n)], ["a", "b", "na", "nb"])
 
-    return postings.mapInArrow(run, PAIR).distinct()
+    return postings.mapInArrow(run, PAIR).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
+
+
+def nearest_centres(stars: DataFrame) -> DataFrame:
+    """One pair for each node: with the centre that it meets most often. A group of near copies so
+    costs one pair for each member, however many lists they share."""
+    best = F.max(F.struct("lists", F.bitwise_not("a").alias("least"), "na", "nb")).alias("best")
+    return stars.groupBy("b").agg(best).select(F.bitwise_not(F.col("best.least")).alias("a"), "b", "best.na", "best.nb")
+
+
+def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    of = lambda c: component.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
 def crossing_pairs(postings: DataFrame, component: DataFrame) -> DataFrame:
@@ -243,7 +259,9 @@ def crossing_pairs(postings: DataFrame, component: DataFrame) -> DataFrame:
                 yield emit(held)
 
     def emit(held):
-        a, b, na, nb = np.unique(np.concatenate(held, axis=1), axis=1)
+        a, b, na, nb = np.concatenate(held, axis=1)
+        turn = a > b
+        a, b, na, nb = np.unique(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))], ["a", "b", "na", "nb"])
 
     return placed.mapInArrow(run, PAIR).distinct()
@@ -277,6 +295,26 @@ def prefix_survivors(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
     return both.mapInArrow(run, PAIR)
 
 
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame):
+    """A test for a column of ids: false only for ids that are not in ``ids``. A bitmap of fixed size
+    is broadcast; the more ids there are, the more others pass, and the join after it settles those."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long")
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(bits):
+        x = bits.to_numpy()
+        return type(bits)((shared.value[x >> 6] >> (x & 63) & 1).astype(bool))
+
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long"))
+
+
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """The pairs that link: fragment overlaps, counted apart and summed per pair."""
     centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
@@ -288,7 +326,9 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int) -> DataFr
     )
     wanted = roles.select("of").distinct()
     holders = sets.filter("node is not null").select("doc_id", "node").join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("holder"))
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(holders.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text")
+    holders = materialize(holders, "ngram-holders")
+    likely = id_filter(holders.select(F.col("holder").alias("id")))
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(likely("doc_id")).join(holders.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text")
 
     def cut(batches):
         for part in slices(batches, 1):
@@ -348,14 +388,16 @@ def classes(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     order = spark.sparkContext.broadcast(frequent_ngrams(docs, n))
     sets = materialize(describe(docs, order, n), "ngram-sets")
     postings = materialize(posting_lists(sets), "ngram-postings")
-    first = materialize(prefix_survivors(star_pairs(postings), sets, order), "ngram-pairs")
-    links = materialize(linked(first, docs, sets, n), "ngram-links")
-    component = components(links)
-    rest = crossing_pairs(postings, component).join(first, ["a", "b"], "left_anti").join(first.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    second = materialize(prefix_survivors(rest.select("a", "b", "na", "nb"), sets, order), "ngram-pairs")
-    if not second.isEmpty():
-        links = links.unionByName(linked(second, docs, sets, n))
-        component = components(links)
+    stars = materialize(star_pairs(postings), "ngram-stars")
+    tried = links = component = None
+    for asked in (lambda: nearest_centres(stars), lambda: nearest_centres(apart(stars, component).join(tried, ["a", "b"], "left_anti")), lambda: crossing_pairs(postings, component).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb")):
+        pairs = materialize(asked(), "ngram-pairs")
+        left = materialize(prefix_survivors(pairs, sets, order), "ngram-survivors")
+        tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
+        if component is None or not left.isEmpty():
+            found = materialize(linked(left, docs, sets, n), "ngram-links")
+            links = found if links is None else links.unionByName(found)
+            component = components(links)
     drop_tables(spark, postings)
     return sets.select("doc_id", "n", "node").join(component, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
 
