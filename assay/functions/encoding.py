@@ -46,7 +46,6 @@ def meets(label: Column, expected: str, strict_cp949: bool = False) -> Column:
     return label.isin(allowed[expected])
 
 
-@F.pandas_udf("struct<text: string, encoding: string, bom: boolean>")
 def _decode(contents, wanted):
     import pandas as pd
 
@@ -68,4 +67,4 @@ def _decode(contents, wanted):
 
 def decoded(content: Column, encoding: str = "auto") -> Column:
     """Struct of text, encoding and bom (S3). An Arrow UDF: the JVM has no cp949 by default."""
-    return _decode(content, F.lit(encoding))
+    return F.pandas_udf(_decode, "struct<text: string, encoding: string, bom: boolean>")(content, F.lit(encoding))

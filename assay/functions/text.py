@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # The success line's marker, what replaces it, and the characters that no report may print.
-PASS_MARKER = "UNLAZY-CHECK-OK"
+PASS_MARKER = "ASSAY-CHECK-OK"
 REDACTED = "[redacted-marker]"
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200f}\x{2028}\x{2029}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]"
 WHITE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("tabular", "texts")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -22,3 +25,14 @@ def query(sql: str | None = None):
         return f
 
     return put
+
+
+def queries() -> dict:
+    for name in MODULES:
+        importlib.import_module(f"assay.plans.{name}")
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    queries()
+    return dict(ORACLE)

@@ -124,14 +124,14 @@ def reconcile_rows(spark, sf_dir):
 
 @query(
     "with t as (select c_nationkey, sum(c_acctbal::decimal(20,6)) s from customer group by 1), e as (select unnest([0.0, 0.001, 0.0011, 0.5])::decimal(20,6) d) "
-    "select c_nationkey, d::double delta, abs(s - (s + d)) <= 0.001 within from t, e"
+    "select c_nationkey, d::double delta, abs(s - (s + d)) <= 0.001 inside from t, e"
 )
 def tolerance_edges(spark, sf_dir):
     """The tolerance is inclusive."""
     sums = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(tabular.exact_sum(F.col("c_acctbal")).alias("s"))
     deltas = F.array(*(F.lit(d).cast("decimal(20,6)") for d in ("0", "0.001", "0.0011", "0.5")))
     rows = sums.select("c_nationkey", "s", F.explode(deltas).alias("d"))
-    return rows.select("c_nationkey", F.col("d").cast("double").alias("delta"), tabular.within(F.col("s"), (F.col("s") + F.col("d")).cast("decimal(38,6)")).alias("within"))
+    return rows.select("c_nationkey", F.col("d").cast("double").alias("delta"), tabular.within(F.col("s"), (F.col("s") + F.col("d")).cast("decimal(38,6)")).alias("inside"))
 
 
 @query("select p_brand, count(*) n, count(*) filter (where trim(coalesce(case when p_partkey % 9 = 0 then ' ' else p_name end, '')) = '') blanks from part group by 1")

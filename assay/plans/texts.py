@@ -168,7 +168,7 @@ def error_cells(spark, sf_dir):
 
 
 LINE = "concat(date_format(ts, 'yyyy-MM-dd HH:mm:ss'), ' ', event_type, case when event_id % 97 = 0 then ' ERROR disk' when event_id % 101 = 0 then ' 0 errors' else ' value' end)"
-SCAN = logs.LogScan(forbid=("error",), require=("value",), control=("purchase|click|view|signup|login|\\w+",), ignore=(r"\b0 errors\b",))
+SCAN = logs.LogScan(forbid=("error disk|0 errors",), require=("value",), control=("purchase|click|view|signup|login|\\w+",), ignore=(r"\b0 errors\b",))
 
 
 @query("select user_id % 50 as log, count(*) as lines, count(*) filter (where event_id % 97 = 0) forbidden_hits, case when count(*) < 1 then 'empty' when count(*) filter (where event_id % 97 <> 0 and event_id % 101 <> 0) = 0 then 'required' when count(*) filter (where event_id % 97 = 0) > 0 then 'forbidden' else 'pass' end stage from events group by 1")
@@ -194,8 +194,8 @@ def log_tail_each(spark, sf_dir):
 def log_ignore_forbid(spark, sf_dir):
     """What ignoring takes from the forbidden hits."""
     lines = table(spark, sf_dir, "events").select("event_type", F.expr(LINE).alias("text"))
-    loose = logs.LogScan(forbid=("error",), control=(".",))
-    strict = logs.LogScan(forbid=("error",), control=(".",), ignore=(r"\b0 errors\b",))
+    loose = logs.LogScan(forbid=("error disk|0 errors",), control=(".",))
+    strict = logs.LogScan(forbid=("error disk|0 errors",), control=(".",), ignore=(r"\b0 errors\b",))
     count = lambda scan, name: logs.pattern_counts(lines, scan, ["event_type"]).filter("role = 'forbid'").select("event_type", F.col("n").alias(name))
     return count(loose, "before_ignore").join(count(strict, "after_ignore"), "event_type")
 
