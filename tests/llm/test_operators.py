@@ -1,0 +1,403 @@
+"""Every operator against its plain version, with nulls, empties, long texts, ties, repeats, no rows and clashing columns."""
+
+import math
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, repeats, search, secrets, token_counts, warc
+from assay.llm.queries import PIECES, QUERIES, WORD_BPE
+from tests.conftest import DATA
+from tests.llm import brute
+
+SMALL = f"{DATA}/sf0.001"
+
+
+def keyed(df, *columns):
+    rows = df.select("doc_id", *columns).collect()
+    out = {r[0]: tuple(r[1:]) for r in rows}
+    assert len(out) == len(rows)
+    return out
+
+
+@pytest.fixture(scope="session")
+def small(spark):
+    return [(r[0], r[1]) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+
+
+def close(a, b):
+    assert a.keys() == b.keys()
+    for k in a:
+        assert math.isclose(a[k], b[k], rel_tol=1e-9, abs_tol=1e-6), k
+
+
+class TestLmScore:
+    COLUMNS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+    def compare(self, df, docs):
+        have, base, want = keyed(df, *self.COLUMNS), brute.base_scores(docs), brute.backoff_scores(docs, lm_score.STATE_SHARE, lm_score.LEAST_SEEN, lm_score.DISCOUNT)
+        assert {k: v[:4] for k, v in have.items()} == {k: v[:4] for k, v in base.items()}
+        close({k: v[4] for k, v in have.items()}, {k: v[4] for k, v in base.items()})
+        close({k: v[5] for k, v in have.items()}, want)
+        return have
+
+    def test_odd(self, odd_docs):
+        self.compare(lm_score.score(odd_docs[0]), odd_docs[1])
+
+    def test_tables(self, spark, small):
+        have = self.compare(QUERIES["op1_lm_score"](spark, SMALL), small)
+        held = [v for v in have.values() if v[0]]
+        assert sum(v[5] for v in held) > sum(v[4] for v in held)  # the model beats the base on texts it has not seen
+
+    def test_empty(self, no_docs):
+        assert lm_score.score(no_docs).collect() == []
+
+    def test_null_id_is_held_out(self, spark):
+        docs = spark.createDataFrame([(None, "a b"), (1, "a"), (1, "a")], "doc_id long, text string")
+        rows = lm_score.score(docs).collect()
+        assert len(rows) == 3 and [r.held_out for r in rows if r.doc_id is None] == [True]
+
+
+class TestWarc:
+    def test_tables(self, spark):
+        pages = [(r[0], r[1]) for r in spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html").collect()]
+        rows = QUERIES["op2_warc_index"](spark, SMALL).collect()
+        assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows} == brute.captures(pages)
+        assert len(rows) == len(pages)
+
+    def test_odd(self, spark):
+        pages = [(1, "http://b.example/x", "same"), (2, "http://a.example/y", "same"), (3, None, None), (4, "", ""), (5, "http://a.example/y?q=1#f", "x" * 3_000_000), (6, "HTTP://user@A.Example:80/y z\r\nü", "ü\r\n\r\nWARC/1.1"), (7, "http://b.example/x", "same")]
+        df = spark.createDataFrame([(*p, "clash", 1) for p in pages], "page_id long, url string, html string, run string, seconds int").repartition(3)
+        entries = warc.capture_index(df)
+        rows = entries.collect()
+        assert {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in rows} == brute.captures([(p, h) for p, _, h in pages])
+        order = [(r.url_key, r.captured, r.page_id) for r in rows]
+        assert order == sorted(order)  # partitions in order hold the histories in order
+        assert {r.url_key for r in rows if r.page_id in (2, 5)} == {"example,a)/y", "example,a)/y?q=1"}
+
+    def test_null_ids_and_repeats(self, spark):
+        df = spark.createDataFrame([(None, "u", "a"), (1, "u", "a"), (9, "u", "b"), (9, "u", "b"), (None, "u", "c")], "page_id long, url string, html string")
+        rows = sorted((r.page_id is not None, r.page_id or 0, r.record_type, r.refers_to) for r in warc.capture_index(df).collect())
+        assert rows == [(False, 0, "response", None), (False, 0, "revisit", 1), (True, 1, "response", None), (True, 9, "response", None), (True, 9, "response", None)]
+
+    def test_empty(self, spark):
+        assert warc.capture_index(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+    @pytest.mark.parametrize("sizes", [[], [0], [3], [5, 0, 2], [4, 4, 4, 4, 4], [1] * 17])
+    def test_loser_tree(self, sizes):
+        import random
+
+        rng = random.Random(len(sizes))
+        runs = [sorted((rng.randrange(6),) for _ in range(n)) for n in sizes]
+        merged = [(key, run) for run, key in warc.LoserTree([iter(r) for r in runs])]
+        assert merged == sorted((key, i) for i, r in enumerate(runs) for key in r)
+
+
+class TestDecontamination:
+    COLUMNS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+    def test_tables(self, spark, small):
+        items = [(r[0], r[1]) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+        have = keyed(QUERIES["op3_decontamination"](spark, SMALL), *self.COLUMNS)
+        assert have == brute.contaminated(small, items)
+        assert any(v[4] for v in have.values())
+
+    def test_odd(self, spark, odd_docs):
+        docs = dict(odd_docs[1])
+        long = docs[310].split(" ")
+        items = [(1, " ".join(long[500:540])), (2, "one TWO"), (3, None), (4, "..."), (5, " ".join(docs[5].split(" ")[:12])), (50, docs[6]), (7, "tree " * 30), (8, "Stone;stones")]
+        bench = spark.createDataFrame([(a, b, 1) for a, b in items], "item_id long, text string, doc_id int")
+        assert keyed(decontaminate.contamination(odd_docs[0], bench), *self.COLUMNS) == brute.contaminated(odd_docs[1], items)
+        kept = decontaminate.without_contaminated(odd_docs[0], bench)
+        assert kept.columns == odd_docs[0].columns
+        want = {d for d, v in brute.contaminated(odd_docs[1], items).items() if not v[4]}
+        assert {r.doc_id for r in kept.select("doc_id").collect()} == want
+
+    def test_empty(self, spark, odd_docs, no_docs):
+        bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+        assert decontaminate.contamination(no_docs, bench).collect() == []
+        rows = decontaminate.contamination(odd_docs[0], bench.limit(0)).collect()
+        assert len(rows) == len(odd_docs[1]) and not any(r.contaminated for r in rows)
+
+    def test_blocks(self, spark, odd_docs, monkeypatch):
+        docs = dict(odd_docs[1])
+        items = [(i, docs[i]) for i in range(0, 60, 3)]
+        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        assert keyed(decontaminate.contamination(odd_docs[0], bench), *self.COLUMNS) == brute.contaminated(odd_docs[1], items)
+
+
+class TestBpe:
+    COLUMNS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+    def test_tables(self, spark, small):
+        assert keyed(QUERIES["op4_bpe"](spark, SMALL), *self.COLUMNS) == brute.encoded(small, WORD_BPE)
+
+    def test_odd(self, odd_docs):
+        assert keyed(bpe.encode_digests(odd_docs[0], WORD_BPE), *self.COLUMNS) == brute.encoded(odd_docs[1], WORD_BPE)
+
+    def test_empty(self, no_docs):
+        assert bpe.encode_digests(no_docs, WORD_BPE).collect() == []
+
+    def test_long_words_stream(self):
+        from tokenizers import Tokenizer
+
+        library, own = Tokenizer.from_file(WORD_BPE), bpe.Encoder(WORD_BPE)
+        for text in ("a" * 5000, "ab" * 3000, "nananabanana" * 200, "é" * 999, "internationalization" * 300):
+            assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
+
+    def test_memory_is_constant(self):
+        t = bpe.Transducer(WORD_BPE)
+        assert t.lookahead < 200
+        fed, first = 0, None
+
+        def symbols():
+            nonlocal fed
+            for _ in range(100_000):
+                fed += 1
+                yield "a"
+
+        for first in t.stream(symbols()):
+            break
+        assert first is not None and fed < 10 * t.lookahead  # emitted long before the word's end
+
+    def test_round_trip(self, odd_docs):
+        from pyspark.sql import functions as F
+
+        tokens = bpe.encode_ids(odd_docs[0], WORD_BPE)
+        texts = keyed(bpe.decode_ids(tokens, WORD_BPE), "text")
+        want = brute.encoded(odd_docs[1], WORD_BPE)
+        assert {d: brute.sha(t) for d, (t,) in texts.items()} == {d: v[2] for d, v in want.items()}
+        spelled = bpe.decode_ids(tokens.filter(F.col("doc_id") == 305), WORD_BPE, plain=False).first()
+        assert spelled.text.split() == ["one", "two", "three", "four"]
+
+
+class TestRepeats:
+    def compare(self, docs_df, docs):
+        removed = repeats.remove_repeats(docs_df).collect()
+        have = {r.doc_id: (r.n_bytes, sum(s["end"] - s["start"] for s in r.spans), len(r.spans), brute.sha(bytes(r.kept))) for r in removed}
+        want = brute.without_repeats(docs)
+        assert have.keys() == want.keys() and len(removed) == len(docs)
+        assert [(k, have[k], want[k]) for k in have if have[k] != want[k]] == []
+
+    def test_tables(self, spark, small):
+        self.compare(spark.read.parquet(f"{SMALL}/documents.parquet"), small)
+        assert keyed(QUERIES["op5_repeats"](spark, SMALL), "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.without_repeats(small)
+
+    def test_odd(self, odd_docs):
+        self.compare(*odd_docs)
+
+    @pytest.mark.parametrize("hot", [0, 3])
+    def test_hot_groups(self, odd_docs, monkeypatch, hot):
+        monkeypatch.setattr(repeats, "HOT", hot)
+        self.compare(*odd_docs)
+
+    def test_pieces_and_small_indexes(self, odd_docs, monkeypatch):
+        monkeypatch.setattr(repeats, "PIECE", 1000)
+        monkeypatch.setattr(repeats, "INDEX_BYTES", 2000)
+        self.compare(*odd_docs)
+
+    def test_empty(self, no_docs):
+        assert repeats.remove_repeats(no_docs).collect() == []
+
+    def test_index_classes(self):
+        import random
+
+        rng = random.Random(3)
+        for _ in range(30):
+            segments = [bytes(rng.choice(b"ab") for _ in range(rng.randint(100, 260))) for _ in range(3)]
+            segments.append(segments[0][20:160] + segments[1][:120])
+            first = repeats.index_classes(segments)
+            seen, at = {}, 0
+            for s in segments:
+                for i in range(len(s) - repeats.WINDOW + 1):
+                    assert first[at + i] == seen.setdefault(s[i : i + repeats.WINDOW], at + i)
+                at += len(s) + 1
+
+
+class TestTokenCounts:
+    def want(self, docs):
+        scores = token_counts.piece_scores(PIECES)
+        byte, known = min(scores.values()) - 10.0, {}
+        out = {}
+        for d, text in docs:
+            ws = (text or "").split()
+            for w in ws:
+                if w not in known:
+                    known[w] = brute.unigram_tokens(token_counts.SPACE + w, scores, byte)
+            out[d] = len(ws), sum(known[w] for w in ws)
+        return out
+
+    def test_tables(self, spark, small):
+        assert keyed(QUERIES["op6_token_counts"](spark, SMALL), "n_words", "n_tokens") == self.want(small)
+
+    def test_odd(self, odd_docs):
+        rows = [r for r in odd_docs[1] if r[0] not in (312,)]
+        docs = odd_docs[0].filter("doc_id <> 312")
+        assert keyed(token_counts.count_tokens(docs, PIECES), "n_words", "n_tokens") == self.want(rows)
+
+    def test_empty(self, no_docs):
+        assert token_counts.count_tokens(no_docs, PIECES).collect() == []
+
+
+class TestSecrets:
+    def check(self, have, docs):
+        settings = secrets.Settings()
+        for d, text in docs:
+            text = text or ""
+            base = brute.base_secrets(text)
+            kinds = [k for k, _, _ in base]
+            own = have[d]
+            assert own[:3] == (kinds.count("assign"), kinds.count("access"), kinds.count("hex")), d
+            assert own[3] == brute.sha(",".join(f"{k}:{a}:{b}" for k, a, b in base)), d
+            spans = [s.split(":") for s in own[4].split(",") if s]
+            spans = [(k, int(a), int(b)) for k, a, b in spans]
+            assert [s for s in spans if s[0] != "entropy"] == base
+            hot = set()
+            for m in secrets.CANDIDATE.finditer(text):
+                if not settings.allow.search(m[0]):
+                    for rule in settings.rules:
+                        hot |= {m.start() + i for i in brute.entropy_windows(m[0], rule.alphabet, rule.window, rule.bits, settings.digits)}
+            found = {i for k, a, b in spans if k == "entropy" for i in range(a, b)}
+            assert found <= hot
+            covered = {i for _, a, b in base for i in range(a, b)}
+            assert all(any(x <= i < y and covered & set(range(x, y)) for x, y in runs(hot)) for i in hot - found), d
+
+    def test_odd(self, odd_docs):
+        have = keyed(secrets.scan(odd_docs[0]), "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+        self.check(have, odd_docs[1])
+        assert "entropy" in have[321][4] and have[323][4] == "" and have[322][0] == 0
+
+    def test_tables(self, spark, small):
+        self.check(keyed(QUERIES["op7_secrets"](spark, SMALL), "n_assign", "n_access", "n_hex", "base_sha256", "spans"), small)
+
+    def test_redact(self, odd_docs):
+        masked = secrets.redact(odd_docs[0])
+        assert masked.columns == odd_docs[0].columns
+        texts = keyed(masked, "text")
+        assert "hunter2" not in texts[320][0] and texts[300] == (None,) and texts[306] == ("one two three four",)
+
+    def test_empty(self, no_docs):
+        assert secrets.scan(no_docs).collect() == []
+
+
+def runs(hot):
+    out = []
+    for i in sorted(hot):
+        if out and out[-1][1] == i:
+            out[-1][1] = i + 1
+        else:
+            out.append([i, i + 1])
+    return out
+
+
+class TestSearch:
+    def compare(self, df, rows, every=50):
+        have = [tuple(r) for r in search.top_k(df, every=every).select("query_id", "rank", "vec_id", "score").collect()]
+        vectors = [(v, [math.floor(256 * x) for x in e]) for v, e in rows]
+        assert sorted(have) == sorted(brute.nearest(vectors, every, 5))
+
+    def test_tables(self, spark):
+        df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+        self.compare(df, [(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()])
+
+    @pytest.mark.parametrize("shard,leaf,block", [(40, 4, 3), (1000, 64, 4096)])
+    def test_ties_and_shards(self, spark, monkeypatch, shard, leaf, block):
+        import random
+
+        for name, value in (("SHARD_ROWS", shard), ("LEAF_ROWS", leaf), ("QUERY_BLOCK", block)):
+            monkeypatch.setattr(search, name, value)
+        rng = random.Random(1)
+        rows = [(i, [rng.choice([-1.5, 0.0, 0.25, 1.0]) for _ in range(3)]) for i in range(300)]
+        df = spark.createDataFrame([(v, e, 1, "x") for v, e in rows], "vec_id long, embedding array<float>, rank int, query_id string").repartition(4)
+        self.compare(df, rows, 20)
+
+    def test_odd(self, spark):
+        rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (50, [0.5, -1.0]), (7, [3.0, 3.0]), (None, [1.0, 1.0])]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        self.compare(df, [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (7, [3.0, 3.0])])
+        assert search.top_k(df.limit(0)).collect() == []
+        assert search.top_k(df.filter("vec_id = 0")).collect() == []
+
+
+class TestNgramJoin:
+    def test_tables(self, spark, small):
+        assert keyed(QUERIES["op9_ngram_join"](spark, SMALL), "n_shingles", "component_id") == brute.near_components(small)
+
+    def test_odd(self, odd_docs):
+        assert keyed(ngram_join.join_components(odd_docs[0]), "n_shingles", "component_id") == brute.near_components(odd_docs[1])
+
+    def test_chains_and_borders(self, spark):
+        import random
+
+        rng = random.Random(8)
+        docs, base = [], [f"w{rng.randrange(4000)}" for _ in range(120)]
+        for i in range(60):  # each links with its neighbours, the ends do not
+            base[rng.randrange(len(base))] = f"n{i}"
+            docs.append((1000 - i, " ".join(base)))
+        for i in range(40):  # sizes around the limit
+            n = rng.randint(20, 30)
+            ws = [f"v{j}" for j in range(n)] + [f"u{i}-{j}" for j in range(rng.randint(0, 4))]
+            docs.append((2000 + i, " ".join(ws)))
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+        assert keyed(ngram_join.join_components(df), "n_shingles", "component_id") == brute.near_components(docs)
+
+    def test_one_of_each(self, odd_docs):
+        kept = ngram_join.one_of_each(odd_docs[0])
+        assert kept.columns == odd_docs[0].columns
+        want = {d for d, (n, c) in brute.near_components(odd_docs[1]).items() if c == d or n == 0}
+        assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(want)
+
+    def test_repeated_ids(self, spark):
+        docs = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (1, "q r s t u"), (None, "a b c d e"), (2, "a b c d e"), (None, None)], "doc_id long, text string")
+        rows = ngram_join.join_components(docs).collect()
+        assert len(rows) == 6 and {r.component_id for r in rows if r.n_shingles and r.doc_id == 2} == {1}
+        kept = sorted((r.doc_id or 0, r.text or "") for r in ngram_join.one_of_each(docs).collect())
+        assert kept == [(0, ""), (1, "a b c d e"), (1, "q r s t u")]
+
+    def test_empty(self, no_docs):
+        assert ngram_join.join_components(no_docs).collect() == []
+        assert ngram_join.one_of_each(no_docs).collect() == []
+
+
+class TestQuality:
+    def test_held_out_accuracy(self, spark):
+        sf = f"{DATA}/sf0.01"
+        docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id")
+        rows = QUERIES["op10_quality"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").select("doc_id", "held_out", "score", "predicted", "quality").collect()
+        assert len(rows) == docs.count()
+        assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) and r.held_out == (brute.fold(r.doc_id, 3) == 1) for r in rows)
+        test = [(r.score, r.quality) for r in rows if r.held_out and r.quality is not None]
+        assert sum((s >= 0.5) == q for s, q in test) / len(test) > 0.85
+        good, bad = [s for s, q in test if q], [s for s, q in test if not q]
+        assert sum((g > b) + (g == b) / 2 for g in good for b in bad) / len(good) / len(bad) > 0.9
+
+    def test_odd(self, spark, odd_docs):
+        labels = spark.createDataFrame([(i, i % 2, 0, "clash") for i in range(60)] + [(100, None, 0, ""), (None, 1, 0, "")], "doc_id long, quality int, toxic int, text string")
+        rows = quality.score(odd_docs[0], labels).collect()
+        assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in odd_docs[1])
+        kept = quality.accepted(odd_docs[0], labels)
+        assert kept.columns == odd_docs[0].columns
+        assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in rows if r.score >= 0.5}
+
+    def test_labels_are_no_inputs(self, spark, odd_docs):
+        """Labels of held-out rows change nothing."""
+        labels = [(i, i % 2) for i in range(60)]
+        turned = [(i, 1 - q if brute.fold(i, 3) == 1 else q) for i, q in labels]
+        a, b = (keyed(quality.score(odd_docs[0], spark.createDataFrame(x, "doc_id long, quality int")), "score") for x in (labels, turned))
+        assert a == b
+
+    @pytest.mark.parametrize("given,score", [([], 0.5), ([(1, 1), (2, 1), (3, 1), (4, 1)], 1.0), ([(1, 0), (2, 0), (3, 0), (4, 0)], 0.0)])
+    def test_one_kind(self, spark, odd_docs, given, score):
+        rows = quality.score(odd_docs[0], spark.createDataFrame(given, "doc_id long, quality int")).collect()
+        assert all(math.isclose(r.score, score, abs_tol=1e-4) for r in rows)
+
+    def test_empty(self, spark, no_docs):
+        labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+        assert quality.score(no_docs, labels).collect() == []
+        assert quality.accepted(no_docs, labels).collect() == []
+
+
+def test_files_stay_outside():
+    assert WORD_BPE == public_tokenizers.path("word_bpe_49k.json")
