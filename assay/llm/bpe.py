@@ -13,6 +13,7 @@ encoded each for itself; extra columns are not read. An empty table gives an emp
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import json
 import unicodedata
@@ -190,12 +191,28 @@ class Transducer:
             return [whole]
         if len(symbols) > 3 * self.lookahead:
             return list(self.stream(symbols))
-        last, size = [-1], [0]  # a word that fits the window needs no emission before its end
-        for at in range(1, len(symbols) + 1):
-            t, n = self._ending(symbols, at, last, -1, self.inner if at < len(symbols) else self.final)
+        # A word that fits the window needs no emission before its end; the loop is _ending's, without its calls.
+        end, last, size = len(symbols), [-1], [0]
+        token, lengths, fits, fit = self.inner.get, self.lengths[id(self.inner)].get, self.fits, self._fit
+        for at in range(1, end):
+            for n in lengths(symbols[at - 3 : at] if at > 3 else symbols[:at]) or (*(lengths(symbols[at - 2 : at] if at > 2 else symbols[:at]) or ()), 1):
+                if n <= at:
+                    t = token(symbols[at - n : at])
+                    if t is not None:
+                        p = last[at - n]
+                        if p < 0:
+                            break
+                        ok = fits.get(p << 32 | t)
+                        if ok or ok is None and fit(p, t):
+                            break
+            else:
+                raise ValueError(f"no token fits {symbols[:at]!r}")
             last.append(t)
             size.append(n)
-        return self._chain(last, size, len(symbols))
+        t, n = self._ending(symbols, end, last, -1, self.final)
+        last.append(t)
+        size.append(n)
+        return self._chain(last, size, end)
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """Normalised pre-tokens of a text in order; a special token comes as its id."""
@@ -297,6 +314,12 @@ class Encoder:
         return n, ids.hexdigest(), decoded.hexdigest()
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_for(path: str) -> Encoder:
+    """A worker's encoder, kept from task to task; its cache has a fixed size."""
+    return Encoder(path)
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -304,7 +327,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, SHA-256 of the ids and of the decoded text. One narrow pass, no shuffle."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for part in slices(batches, 1):
             rows = [encoder.digest(t or "") for t in part.column(1).to_pylist()]
             n, ids, texts = zip(*rows, strict=True)
@@ -317,7 +340,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id and the token ids."""
 
     def run(batches):
-        encoder = Encoder(path)
+        encoder = encoder_for(path)
         for part in slices(batches, 1):
             ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
