@@ -36,8 +36,9 @@ from assay.llm.common import materialize, parts_for, slices, text_bytes, utf8
 WINDOW = 100
 GRAM = 32
 HOT = 50_000
-INDEX_BYTES = 8 << 20
+INDEX_BYTES = 1 << 20
 BLOCK_BYTES = 24 << 20
+PACKED = 7  # symbols of the first sort
 PIECE = 4 << 20  # bytes of one text that are looked at together
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
@@ -153,57 +154,75 @@ def index_classes(segments: list[bytes]) -> np.ndarray:
     """For each position of the segments, joined with one byte between them: the earliest position
     whose match is at least WINDOW long (itself if none comes earlier)."""
     lengths = np.array([len(s) for s in segments], np.int64)
-    text = np.zeros(int(lengths.sum()) + len(segments), np.int64)
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    first, _ = earliest_windows(data, lengths)
+    return first
+
+
+def earliest_windows(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`index_classes`, of segments that stand one after the other; also each position's segment.
+
+    Each segment ends in a symbol of its own, smaller than all bytes and ordered by segment, so no
+    match goes over a border and all suffixes differ.
+    """
+    n = int(lengths.sum()) + len(lengths)
     ends = np.cumsum(lengths + 1) - 1
-    inside = np.ones(len(text), bool)
-    inside[ends] = False
-    text[inside] = np.frombuffer(b"".join(segments), np.uint8).astype(np.int64) + 1
-    n = len(text)
-    # Suffix order by doubling, from the first seven symbols on.
-    rank, width = np.zeros(n, np.int64), 7
-    padded = np.concatenate([text, np.zeros(width, np.int64)])
-    for j in range(width):
-        rank = rank * 257 + padded[j : j + n]
+    segment = np.repeat(np.arange(len(lengths)), lengths + 1)
+    room = ends[segment] - np.arange(n)  # symbols before the border
+    text = np.zeros(n + PACKED, np.int64)
+    text[:n][room > 0] = data
+    text[:n][room > 0] += 1
+    # Suffix order by doubling from the first seven symbols on; only tied suffixes are sorted again.
+    packed = np.zeros(n, np.int64)
+    for j in range(PACKED):
+        packed = packed * 257 + np.where(room > j, text[j : j + n], 0)
+    order = np.argsort(packed)
+    rank = np.empty(n, np.int64)
+    live, slots, keys, width = order, np.arange(n), packed[order], PACKED
     while True:
-        order = np.argsort(rank, kind="stable")
-        ordered = rank[order]
-        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(fresh)
-        if fresh.all():
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        size = np.diff(np.append(new, len(keys)))
+        rank[live] = np.repeat(slots[new], size)
+        tied = np.repeat(size > 1, size)
+        live, slots = live[tied], slots[tied]
+        if not len(live):
             break
-        after = np.zeros(n, np.int64)
-        if width < n:
-            after[: n - width] = rank[width:]
-        rank = rank * (n + 1) + after
+        after = np.where(room[live] < width, segment[live], rank[np.minimum(live + width, n - 1)])
+        keys = rank[live] * (n + 1) + after
+        by = np.argsort(keys)
+        live, keys = live[by], keys[by]
+        order[slots] = live
         width *= 2
     # Run-compressed transform: what precedes each suffix; samples where a run starts.
-    before = np.where(order > 0, text[order - 1], -1)
-    starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]))
-    here = order[starts]
-    above = np.where(starts > 0, order[np.maximum(starts - 1, 0)], n)
+    before = text[order - 1]
+    opens = np.zeros(n, bool)
+    opens[np.concatenate([[0], ends[:-1] + 1])] = True
+    starts = np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]]) | opens[order])
+    here, above = order[starts], order[np.maximum(starts - 1, 0)]
+    least = np.where(starts > 0, np.minimum(room[here], room[above]), 0)
     match = np.zeros(len(starts), np.int64)
-    padded = np.concatenate([text, np.full(1, -2)])
-    live = np.flatnonzero(above < n)
-    a, b = here[live], above[live]
-    while len(live):
-        same = (padded[np.minimum(a, n)] == padded[np.minimum(b, n)]) & (a < n) & (b < n)
-        live, a, b = live[same], a[same] + 1, b[same] + 1
-        match[live] += 1
+    for step, symbols in ((PACKED, packed), (1, text)):
+        live = np.flatnonzero(match < least)
+        while len(live):
+            at = match[live]
+            live = live[symbols[here[live] + at] == symbols[above[live] + at]]
+            match[live] += step
+            live = live[match[live] < least[live]]
+    match = np.minimum(match, least)
     # Match lengths in text order: one less for each step from the last sample.
-    by = np.argsort(here)
-    here, match = here[by], match[by]
-    last = np.searchsorted(here, np.arange(n), "right") - 1
-    lengths_ = match[last] - (np.arange(n) - here[last])
+    sample = np.full(n, -1, np.int64)
+    sample[here] = match + here
+    last = np.zeros(n, np.int64)
+    last[here] = here
+    last = np.maximum.accumulate(last)
+    long = sample[last] - np.arange(n) >= WINDOW
     # Suffixes that share WINDOW bytes stand together; a window ends before its segment's border.
-    group = np.cumsum(lengths_[order] < WINDOW) - 1
-    first = np.full(int(group[-1]) + 1, n)
-    room = np.repeat(ends, lengths + 1) - np.arange(n) >= WINDOW
-    sound = room[order]
-    np.minimum.at(first, group[sound], order[sound])
+    heads = np.flatnonzero(~long[order])
+    sound = room[order] >= WINDOW
+    first = np.minimum.reduceat(np.where(sound, order, n), heads)
     out = np.arange(n)
-    out[order[sound]] = first[group[sound]]
-    return out
+    out[order[sound]] = np.repeat(first, np.diff(np.append(heads, n)))[sound]
+    return out, segment
 
 
 ANCHOR = "h long, around long, key long, place long"
@@ -287,31 +306,36 @@ def index_flags(segments: DataFrame) -> DataFrame:
     placed = segments.repartition(parts, "h").sortWithinPartitions("h")
 
     def run(batches):
-        held, size, last = [], 0, None
+        held, size = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > INDEX_BYTES and row[0] != last:
-                    yield from search(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-                last = row[0]
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.nbytes
+            if size > INDEX_BYTES:
+                rows = pa.Table.from_batches(held)
+                h = rows.column(0).to_numpy()
+                whole = len(h) - int(np.argmax(h[::-1] != h[-1])) if h[0] != h[-1] else 0
+                if whole:
+                    yield from search(rows.slice(0, whole))
+                    held = rows.slice(whole).to_batches()
+                    size = sum(b.nbytes for b in held)
         if held:
-            yield from search(held)
-
-    def search(rows):
-        rows.sort(key=lambda r: (r[2], r[3] >> 14))
-        first = index_classes([r[4] for r in rows])
-        later = first < np.arange(len(first))
-        at, out = 0, []
-        for _, around, key, place, segment in rows:
-            hit = later[at : at + len(segment) - WINDOW + 1]
-            if hit.any():
-                anchor, lo, _ = (int(x) for x in unpack(np.int64(place)))
-                out += [(key, anchor, around, lo + a, lo + b) for a, b in zip(*(x.tolist() for x in runs_of(hit)), strict=True)]
-            at += len(segment) + 1
-        if out:
-            yield flags(*zip(*out, strict=True))
+            yield from search(pa.Table.from_batches(held))
+
+    def search(rows: pa.Table):
+        _, around, key, place = (rows.column(i).to_numpy() for i in range(4))
+        order = np.lexsort((place >> 14, key))
+        around, key, place = around[order], key[order], place[order]
+        segments = rows.column(4).take(pa.array(order)).to_pylist()
+        lengths = np.array(list(map(len, segments)), np.int64)
+        first, segment = earliest_windows(np.frombuffer(b"".join(segments), np.uint8), lengths)
+        a, b = runs_of(first < np.arange(len(first)))  # a run ends before the last WINDOW symbols of its segment
+        if len(a):
+            of = segment[a]
+            start = (np.cumsum(lengths + 1) - lengths - 1)[of]
+            at, lo, _ = unpack(place[of])
+            yield flags(key[of], at, around[of], lo + a - start, lo + b - start)
 
     return placed.mapInArrow(run, FLAG)
 
