@@ -7,7 +7,8 @@ per pair: the prefix fragment alone bounds a pair from above and drops nearly al
 link, and the other fragments are counted only for pairs that it leaves.
 
 Documents with equal sets are one node. No group is expanded into its pairs: two rounds join
-each node to one centre of its posting lists, verified links contract them, and a last round takes
+each node to one centre of its posting lists, and verified links contract them. In crowded lists,
+further rounds let each component try the likeliest pair that leads out of it. A last round takes
 all pairs whose ends are still in different components, so no link between components is lost.
 
 A document's set has the distinct n-grams of its lower-cased (A-Z) words between ASCII white
@@ -36,6 +37,9 @@ STEP_NGRAMS, STEP_OFTEN = 4_000_000, 16
 #: More or fewer change what the join costs, not its result.
 FREQUENT = 1_000_000
 FRAGMENTS = 4
+#: Pairs left to try for each entry of a posting list from which on more rounds of likely pairs pay; they
+#: end when fewer than one in YIELD links. These change what the join costs, not its result.
+CROWDED, YIELD = 8, 10
 SPREAD = 256  # links of one centre that one task verifies
 
 
@@ -227,12 +231,37 @@ def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
 
 
-def crossing_pairs(postings: DataFrame, component: DataFrame) -> DataFrame:
-    """Pairs of one list whose nodes are in different components, within the bounds."""
-    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def mixed_lists(postings: DataFrame, component: DataFrame) -> DataFrame:
+    """Entries, with their component, of the lists that have nodes of several components."""
     placed = postings.select("gram", "node", "n", "pos").join(component, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("gram")
-    placed = placed.join(mixed, "gram", "left_semi").repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
+    return placed.join(mixed, "gram", "left_semi")
+
+
+def left_to_try(mixed: DataFrame) -> int:
+    """How many pairs of different components the lists have, each list for itself."""
+    sizes = mixed.groupBy("gram", "component").count().groupBy("gram").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
+    return int(sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
+
+
+def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame) -> DataFrame:
+    """For each component its pairs of most common lists with a node of another: every list offers its
+    first nodes in an order that each round draws anew."""
+    order = F.xxhash64("node", F.lit(seed))
+    offer = mixed.groupBy("gram").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "component")).alias("c"), F.max(F.struct(order.alias("o"), "node", "n", "pos", "component")).alias("d"))
+    met = mixed.join(offer.select("gram", F.explode(F.array("c", "d")).alias("c")), "gram").filter("component != c.component")
+    turn = F.col("node") > F.col("c.node")
+    both = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(turn, F.col("c.n")).otherwise(F.col("n")).alias("na"), F.when(turn, F.col("n")).otherwise(F.col("c.n")).alias("nb"), F.col("component").alias("x"), F.col("c.component").alias("y"))
+    pairs = both.filter(OF * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb", "x", "y").agg(F.count(F.lit(1)).alias("lists")).join(tried, ["a", "b"], "left_anti")
+    sides = pairs.select("a", "b", "na", "nb", "lists", F.explode(F.array("x", "y")).alias("side"))
+    best = sides.groupBy("side").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("lists", F.xxhash64("a", "b"))).alias("p"))
+    return best.select("p.*").distinct()
+
+
+def crossing_pairs(mixed: DataFrame) -> DataFrame:
+    """Pairs of one list whose nodes are in different components, within the bounds."""
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = mixed.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
 
     def run(batches):
         for gram, node, n, pos, comp in lists(batches):
@@ -320,29 +349,35 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int) -> DataFr
     centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     # a centre's links are dealt over several tasks, with the centre's fragments in each
     tasks = F.ceil(F.col("links") / SPREAD).cast("int")
-    spread = pairs.join(centres, "a").select("a", "b", F.pmod(F.hash("b"), tasks).alias("task"))
+    spread = pairs.join(centres, "a").select("a", "b", F.pmod(F.hash("b"), tasks).cast("int").alias("task"))
     roles = spread.select(F.col("b").alias("of"), "a", "task", F.lit(1).alias("role"), F.col("b").alias("member")).unionByName(
         centres.select(F.col("a").alias("of"), "a", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(0).alias("role"), F.col("a").alias("member"))
     )
     wanted = roles.select("of").distinct()
     holders = sets.filter("node is not null").select("doc_id", "node").join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("holder"))
-    holders = materialize(holders, "ngram-holders")
-    likely = id_filter(holders.select(F.col("holder").alias("id")))
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(likely("doc_id")).join(holders.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text")
+    # roles meet their documents' ids before any text moves
+    cast = materialize(roles.join(holders, F.col("node") == F.col("of")).select("holder", "node", "a", "task", "role", "member"), "ngram-roles")
+    likely = id_filter(cast.select(F.col("holder").alias("id")))
+    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(likely("doc_id")).join(cast.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text", "a", "task", "role", "member")
 
     def cut(batches):
         for part in slices(batches, 1):
-            rows = []
-            for node, s in zip(part.column(0).to_pylist(), sets_of(utf8(part.column(1)), n), strict=True):
-                if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == node:  # a repeated doc_id can have another text
+            nodes, out = part.column(0).to_pylist(), []
+            held: dict[bytes, tuple[int | None, list[bytes]]] = {}
+            for i, text in enumerate(utf8(part.column(1))):
+                if text not in held:
+                    (s,) = sets_of([text], n)
                     at = np.searchsorted(s, np.array([f * (2**64 // FRAGMENTS) for f in range(1, FRAGMENTS)], np.uint64))
-                    rows += [(node, f, p.tobytes()) for f, p in enumerate(np.split(s, at))]
-            if rows:
-                node, f, p = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(f, pa.int32()), pa.array(p, pa.binary())], ["node", "fragment", "grams"])
+                    held[text] = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None, [p.tobytes() for p in np.split(s, at)]
+                node, pieces = held[text]
+                if node == nodes[i]:  # a repeated doc_id can have another text
+                    out += [(i, f, p) for f, p in enumerate(pieces)]
+            if out:
+                row, f, p = zip(*out, strict=True)
+                roles = part.select(["a", "task", "role", "member"]).take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*roles.columns, pa.array(f, pa.int32()), pa.array(p, pa.binary())], ["a", "task", "role", "member", "fragment", "grams"])
 
-    fragments = texts.mapInArrow(cut, "node long, fragment int, grams binary")
-    placed = fragments.join(roles, F.col("node") == F.col("of")).select("a", "task", "fragment", "role", "member", "grams")
+    placed = texts.mapInArrow(cut, "a long, task int, role int, member long, fragment int, grams binary").select("a", "task", "fragment", "role", "member", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(parts, "a", "task", "fragment").sortWithinPartitions("a", "task", "fragment", "role", "member")
 
@@ -390,14 +425,29 @@ def classes(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     postings = materialize(posting_lists(sets), "ngram-postings")
     stars = materialize(star_pairs(postings), "ngram-stars")
     tried = links = component = None
-    for asked in (lambda: nearest_centres(stars), lambda: nearest_centres(apart(stars, component).join(tried, ["a", "b"], "left_anti")), lambda: crossing_pairs(postings, component).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb")):
-        pairs = materialize(asked(), "ngram-pairs")
+
+    def step(asked: DataFrame) -> bool:
+        """Verify pairs; whether enough of them link for more such rounds to pay."""
+        nonlocal tried, links, component
+        pairs = materialize(asked, "ngram-pairs")
         left = materialize(prefix_survivors(pairs, sets, order), "ngram-survivors")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        if component is None or not left.isEmpty():
-            found = materialize(linked(left, docs, sets, n), "ngram-links")
-            links = found if links is None else links.unionByName(found)
-            component = components(links)
+        found = None if left.isEmpty() and component is not None else materialize(linked(left, docs, sets, n), "ngram-links")
+        if found is None or links is not None and found.isEmpty():
+            return False
+        links = found if links is None else links.unionByName(found)
+        component = components(links)
+        return found.count() * YIELD >= left.count()
+
+    step(nearest_centres(stars))
+    step(nearest_centres(apart(stars, component).join(tried, ["a", "b"], "left_anti")))
+    mixed, seed, more = materialize(mixed_lists(postings, component), "ngram-mixed"), 0, True
+    # while the pairs left are many for the entries they come from, each component tries its likeliest one
+    while more and left_to_try(mixed) > CROWDED * mixed.count():
+        seed += 1
+        more = step(likely_pairs(mixed, seed, tried))
+        mixed = materialize(mixed_lists(mixed.drop("component"), component), "ngram-mixed")
+    step(crossing_pairs(mixed).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
     drop_tables(spark, postings)
     return sets.select("doc_id", "n", "node").join(component, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
 
