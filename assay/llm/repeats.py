@@ -35,11 +35,11 @@ from assay.llm.common import materialize, parts_for, slices, text_bytes, utf8
 
 WINDOW = 100
 GRAM = 32
-HOT = 50_000
+HOT = 20_000
 INDEX_BYTES = 1 << 20
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 PACKED = 7  # symbols of the first sort
-PIECE = 4 << 20  # bytes of one text that are looked at together
+PIECE = 1 << 20  # bytes of one text that are looked at together
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 
@@ -234,7 +234,7 @@ def place_key() -> F.Column:
 
 def find_anchors(docs: DataFrame) -> DataFrame:
     def run(batches):
-        for part in slices(batches, 1):
+        for part in slices(batches, 1, PIECE):
             key = part.column(0).to_numpy()
             for text, place, h, around in anchor_rows(utf8(part.column(1))):
                 if len(text):
