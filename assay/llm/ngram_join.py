@@ -38,8 +38,9 @@ STEP_NGRAMS, STEP_OFTEN = 4_000_000, 16
 FREQUENT = 1_000_000
 FRAGMENTS = 4
 #: Pairs left to try for each entry of a posting list from which on more rounds of likely pairs pay; they
-#: end when fewer than one in YIELD links. These change what the join costs, not its result.
-CROWDED, YIELD = 8, 10
+#: try TRIES of each component and end when fewer than one in YIELD links. These change what the join
+#: costs, not its result.
+CROWDED, TRIES, YIELD = 8, 8, 20
 SPREAD = 256  # links of one centre that one task verifies
 
 
@@ -245,16 +246,16 @@ def left_to_try(mixed: DataFrame) -> int:
 
 
 def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame) -> DataFrame:
-    """For each component its pairs of most common lists with a node of another: every list offers its
-    first nodes in an order that each round draws anew."""
+    """For each component some pairs of most common lists with a node of another: every list offers its
+    first node in an order that each round draws anew."""
     order = F.xxhash64("node", F.lit(seed))
-    offer = mixed.groupBy("gram").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "component")).alias("c"), F.max(F.struct(order.alias("o"), "node", "n", "pos", "component")).alias("d"))
-    met = mixed.join(offer.select("gram", F.explode(F.array("c", "d")).alias("c")), "gram").filter("component != c.component")
+    offer = mixed.groupBy("gram").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "component")).alias("c"))
+    met = mixed.join(offer, "gram").filter("component != c.component")
     turn = F.col("node") > F.col("c.node")
     both = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(turn, F.col("c.n")).otherwise(F.col("n")).alias("na"), F.when(turn, F.col("n")).otherwise(F.col("c.n")).alias("nb"), F.col("component").alias("x"), F.col("c.component").alias("y"))
     pairs = both.filter(OF * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb", "x", "y").agg(F.count(F.lit(1)).alias("lists")).join(tried, ["a", "b"], "left_anti")
     sides = pairs.select("a", "b", "na", "nb", "lists", F.explode(F.array("x", "y")).alias("side"))
-    best = sides.groupBy("side").agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("lists", F.xxhash64("a", "b"))).alias("p"))
+    best = sides.groupBy("side", F.pmod(F.xxhash64("a", "b"), F.lit(TRIES))).agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("lists", F.xxhash64("a", "b"))).alias("p"))
     return best.select("p.*").distinct()
 
 
