@@ -1,39 +1,42 @@
 """LM scoring with a weighted backoff automaton.
 
-The states are the root and the words that make up at least a set share of the training tokens
-(so there are at most 1 / share of them, whatever the corpus). A state's arcs are the bigrams from
-it that training saw twice or more, with absolute discounting; its failure arc leads to the root
-with the weight that makes the state's probabilities sum to one. The root has every training word.
-A text is scored in one pass from left to right that carries the state.
+The states are the root and every word of the training texts that has an arc. A state's arcs are the
+bigrams from it that training saw twice or more, with absolute discounting; its failure arc leads
+to the root with the weight that makes the state's probabilities sum to one. The root has every
+training word. A text is scored in one pass from left to right that carries the state.
 
-The root's words grow with the corpus, so no task holds them all: documents are dealt into blocks
-of bounded size, each block asks for its own words and bigrams, and joins bring their counts.
+States, arcs and the root's words grow with the corpus, so no task holds them all and none is
+broadcast: documents are dealt into blocks of bounded size, each block tells how often it saw its
+words and bigrams in training texts, and gets back the counts over all blocks and its states'
+failure weights. A hot word or bigram has a few rows per block, however often it occurs.
 
 Words are runs of non-white-space after lower-casing A-Z; each text ends in one end token, which is
-also the state that a text starts from. Null is an empty text: the end alone. Rows without doc_id
-count as held out. Repeated rows are learned from and scored each for itself; extra columns are not
-read. An empty table gives an empty result.
+also the state that a text starts from. Bigrams are told apart by a 64-bit hash of each word. Null
+is an empty text: the end alone. Rows without doc_id count as held out. Repeated rows are learned
+from and scored each for itself; extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.llm.common import materialize, parts_for, slices, text_bytes, utf8
 
 END = b"\n"  # no word has white space
 FOLDS, TEST_FOLD = 10, 0
-STATE_SHARE = 5e-5
+STATE_SHARE = 0  # of the training tokens that a state must make up: none, every word with an arc is a state
 LEAST_SEEN, DISCOUNT = 2, 0.75
 BLOCK_BYTES = 24 << 20
-HELD_WORDS = 1_000_000
+HELD_TOKENS, ROWS = 6_000_000, 100_000
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -45,111 +48,114 @@ def marked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold == TEST_FOLD).alias("held_out"), "text")
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """word, c over all training tokens: partial counts per task, summed per word."""
+ASKED = "block int, a long, b long, word binary, c long"
 
-    def run(batches):
-        total: Counter = Counter()
 
-        def flush():
-            words, n = list(total), list(total.values())
-            total.clear()
-            for at in range(0, len(words), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[at : at + 100_000], pa.binary()), pa.array(n[at : at + 100_000], pa.int64())], ["word", "c"])
+def ask(most: int):
+    """The words (b is null) and the bigrams (word is null) of each block, and how often its training texts have
+    them. A word's a is its hash. Blocks of more than ``most`` tokens tell in several rows."""
 
-        for part in slices(batches, 0):
-            for text in utf8(part.column(0)):
-                total.update(words_of(text))
-            total[END] += part.num_rows
-            if len(total) > HELD_WORDS:
-                yield from flush()
-        yield from flush()
-
-    return docs.filter(~F.col("held_out")).select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")).filter("c > 0")
-
-
-def state_pairs(texts: list[bytes], states: dict[bytes, int]) -> np.ndarray:
-    """from << 32 | to of each bigram whose two words are states, ends included."""
-    get, end = states.get, states.get(END, -1)
-    flat = [end]
-    for text in texts:
-        flat += [get(w, -1) for w in words_of(text)]
-        flat.append(end)
-    ids = np.array(flat, np.int64)
-    a, b = ids[:-1], ids[1:]
-    both = (a >= 0) & (b >= 0)
-    return a[both] << 32 | b[both]
-
-
-def count_bigrams(docs: DataFrame, states) -> DataFrame:
-    """pair, c of the bigrams between states over all training texts, seen LEAST_SEEN times or more."""
-
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            pairs, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n.astype(np.int64))], ["pair", "c"])
-
-        for part in slices(batches, 0):
-            held.append(state_pairs(utf8(part.column(0)), states.value))
-            size += len(held[-1])
-            if size > 8_000_000:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return docs.filter(~F.col("held_out")).select("text").mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).filter(F.col("c") >= LEAST_SEEN)
-
-
-def failure_weights(arcs: DataFrame, words: dict[int, int], unigram) -> dict[int, float]:
-    """log10 of each state's failure arc: what its arcs leave, over what the root gives to other words."""
-    spark = arcs.sparkSession
-    root = spark.createDataFrame([(i, unigram(c)) for i, c in words.items()], "to int, p double")
-    sums = (
-        arcs.select((F.shiftright("pair", 32)).cast("int").alias("from"), F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("to"), "c")
-        .join(F.broadcast(root), "to")  # at most 1 / STATE_SHARE rows
-        .groupBy("from")
-        .agg(F.sum(F.col("c") - DISCOUNT).alias("c"), F.sum("p").alias("p"))
-    )
-    return {r["from"]: math.log10(max(1e-12, 1 - r["c"] / words[r["from"]]) / max(1e-12, 1 - r["p"])) for r in sums.toLocalIterator()}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Counts] = {}
+        for part in slices(batches, 3):
+            for b, out, text in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), utf8(part.column(3)), strict=True):
+                held.setdefault(b, Counts()).add(words_of(text), not out)
+            if sum(c.size for c in held.values()) > most:
+                for b, c in held.items():
+                    yield from c.rows(b)
+                held = {}
+        for b, c in held.items():
+            yield from c.rows(b)
+
+    return run
+
+
+class Counts:
+    """Tokens of one block, as numbers of its words."""
+
+    def __init__(self):
+        self.ids: dict[bytes, int] = {END: 0}
+        self.held: tuple[array, array] = array("i"), array("i")  # held-out and training texts, an end before each text and after the last
+
+    @property
+    def size(self) -> int:
+        return sum(map(len, self.held))
+
+    def add(self, words: list[bytes], training: bool) -> None:
+        ids, flat = self.ids, self.held[training]
+        if not flat:
+            flat.append(0)
+        flat.extend([ids.setdefault(w, len(ids)) for w in words])
+        flat.append(0)
+
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        words = list(self.ids)
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64)
+        out, own = (np.frombuffer(x, np.int32).astype(np.int64) for x in self.held)
+        seen = np.bincount(own[1:], minlength=len(words))
+        for at in range(0, len(words), ROWS):
+            h = hashes[at : at + ROWS]
+            yield self.batch(block, h, pa.nulls(len(h), pa.int64()), pa.array(words[at : at + ROWS], pa.binary()), seen[at : at + ROWS])
+        pairs, c = np.unique(own[:-1] << 32 | own[1:], return_counts=True)
+        more = np.setdiff1d(out[:-1] << 32 | out[1:], pairs)
+        pairs, c = np.concatenate([pairs, more]), np.concatenate([c, np.zeros(len(more), np.int64)])
+        for at in range(0, len(pairs), ROWS):
+            p = pairs[at : at + ROWS]
+            yield self.batch(block, hashes[p >> 32], pa.array(hashes[p & 0xFFFFFFFF]), pa.nulls(len(p), pa.binary()), c[at : at + ROWS])
+
+    @staticmethod
+    def batch(block: int, a: np.ndarray, b: pa.Array, word: pa.Array, c: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), block, np.int32)), pa.array(a), b, word, pa.array(c.astype(np.int64))], ["block", "a", "b", "word", "c"])
+
+
+def answered(asked: DataFrame) -> DataFrame:
+    """The asked rows with the counts over all blocks: words of training, and bigrams seen LEAST_SEEN
+    times or more. One row of each has lead."""
+    same = Window.partitionBy("a", "b", "word").orderBy("block")
+    total = F.sum("c").over(same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    counted = asked.select("block", "a", "b", "word", total.alias("c"), (F.row_number().over(same) == 1).alias("lead"))
+    return counted.filter((F.col("c") > 0) & (F.col("word").isNotNull() | (F.col("c") >= LEAST_SEEN)))
+
+
+def failure_weights(answers: DataFrame, below: float) -> DataFrame:
+    """a, fail: log10 of each state's failure arc: what its arcs leave, over what the root gives to other words."""
+    root = answers.filter("lead and word is not null").select("a", F.col("c").alias("of"))
+    arcs = answers.filter("lead and word is null").select("a", "b", "c")
+    p = root.select(F.col("a").alias("b"), ((F.col("of") + 0.1) / F.lit(below)).alias("p"))
+    sums = arcs.join(p, "b").groupBy("a").agg(F.sum(F.col("c") - DISCOUNT).alias("c"), F.sum("p").alias("p")).join(root, "a")
+    left = lambda x: F.greatest(F.lit(1e-12), 1 - x)
+    return sums.select("a", F.log10(left(F.col("c") / F.col("of")) / left(F.col("p"))).alias("fail"))
 
 
 class Automaton:
-    """The part of the automaton that a block needs."""
+    """The part of the automaton that a block needs: its words with their counts and failure weights, and its arcs."""
 
-    def __init__(self, counts: dict[bytes, int], arcs: dict[int, int], states: dict[bytes, int], sizes: dict[int, int], fail: dict[int, float], tokens: int, distinct: int):
+    def __init__(self, words: list[bytes], hashes: np.ndarray, counts: np.ndarray, fail: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, tokens: int, distinct: int):
         below = tokens + 0.1 * (distinct + 1)
-        log = math.log10
-        self.unknown = log(0.1 / below)
-        self.root = {w: (log((c + 0.1) / below), states.get(w, -1)) for w, c in counts.items()}
-        self.arcs = {pair: log((c - DISCOUNT) / sizes[pair >> 32]) for pair, c in arcs.items()}
-        self.fail = fail
-        self.start = states.get(END, -1)
+        self.ids = {w: i for i, w in enumerate(words)}
+        self.start = self.ids.get(END, -1)
+        # the last place stands for words that are not the root's
+        self.root = np.append(np.log10((counts + 0.1) / below), math.log10(0.1 / below))
+        self.fail = np.append(fail, 0.0)
+        by = np.argsort(hashes)
+        number = lambda h: by[np.searchsorted(hashes, h, sorter=by)]
+        a = number(a)
+        self.arcs, first = np.unique(a << 32 | number(b), return_index=True)
+        self.weights = np.log10((c[first] - DISCOUNT) / counts[a[first]])
 
     def score(self, text: bytes) -> tuple[int, int, float, float]:
         """Tokens, known tokens, base score and score of a text, from left to right."""
-        root, arcs, fail = self.root, self.arcs, self.fail
-        nothing = self.unknown, -1
-        words = words_of(text)
-        words.append(END)
-        known, base, total, state = 0, 0.0, 0.0, self.start
-        for w in words:
-            entry = root.get(w)
-            if entry is None:
-                p, to = nothing
-            else:
-                known += 1
-                p, to = entry
-            base += p
-            if state >= 0:
-                arc = arcs.get(state << 32 | to) if to >= 0 else None
-                total += p + fail.get(state, 0.0) if arc is None else arc
-            else:
-                total += p
-            state = to
-        return len(words), known, base, total
+        get = self.ids.get
+        path = np.array([self.start, *(get(w, -1) for w in words_of(text)), self.start], np.int64)
+        state, to = path[:-1], path[1:]
+        base = self.root[to]
+        # an unknown end of a pair gives a number below all arcs
+        pair = np.where((state >= 0) & (to >= 0), state << 32 | to, -1)
+        p = base + self.fail[state]
+        if len(self.arcs):
+            at = np.minimum(np.searchsorted(self.arcs, pair), len(self.arcs) - 1)
+            p = np.where(self.arcs[at] == pair, self.weights[at], p)
+        return len(to), int((to >= 0).sum()), float(base.sum()), float(p.sum())
 
 
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -157,57 +163,25 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per document, learned from the training folds and scored by its block's part of the automaton."""
-    spark, context = docs.sparkSession, docs.sparkSession.sparkContext
     docs = marked(docs)
     _, size = text_bytes(docs)
     blocks = parts_for(size, BLOCK_BYTES, 8)
-    vocabulary = materialize(count_words(docs), "lm-words")
-    tokens, distinct = (int(x or 0) for x in vocabulary.agg(F.sum("c"), F.count("c")).first())
-    often = [(bytes(r["word"]), r["c"]) for r in vocabulary.filter((F.col("c") >= STATE_SHARE * tokens) & (F.col("c") >= LEAST_SEEN)).orderBy(F.desc("c"), "word").toLocalIterator()]
-    states = {w: i for i, (w, _) in enumerate(often)}
-    sizes = {i: c for i, (_, c) in enumerate(often)}
-    shared = context.broadcast(states)
-    arcs = materialize(count_bigrams(docs, shared), "lm-arcs")
-    below = tokens + 0.1 * (distinct + 1)
-    fail = failure_weights(arcs, sizes, lambda c: (c + 0.1) / below) if often else {}
-    model = context.broadcast((states, sizes, fail, tokens, distinct))
-
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).select("block", "doc_id", "held_out", "text").repartition(blocks, "block")
-
-    def ask(batches):
-        words: dict[int, set[bytes]] = {}
-        pairs: dict[int, list[np.ndarray]] = {}
-        for part in slices(batches, 3):
-            block = part.column(0).to_numpy()
-            texts = utf8(part.column(3))
-            for b in np.unique(block).tolist():
-                own = [t for t, x in zip(texts, block, strict=True) if x == b]
-                seen = words.setdefault(b, {END})
-                for t in own:
-                    seen.update(words_of(t))
-                pairs.setdefault(b, []).append(np.unique(state_pairs(own, shared.value)))
-        for b, seen in words.items():
-            wanted = list(seen)
-            for at in range(0, len(wanted), 100_000):
-                some = pa.array(wanted[at : at + 100_000], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), some, pa.nulls(len(some), pa.int64())], ["block", "word", "pair"])
-            some = pa.array(np.unique(np.concatenate(pairs[b])))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), b, np.int32)), pa.nulls(len(some), pa.binary()), some], ["block", "word", "pair"])
-
-    # read twice below: written once, not computed twice
-    asked = materialize(dealt.mapInArrow(ask, "block int, word binary, pair long"), "lm-asked")
-    answers = (
-        asked.filter("word is not null").select("block", "word").join(vocabulary, "word").select("block", "word", F.lit(None).cast("long").alias("pair"), "c")
-        .unionByName(asked.filter("pair is not null").select("block", "pair").join(arcs, "pair").select("block", F.lit(None).cast("binary").alias("word"), "pair", "c"))
-    )
+    answers = materialize(answered(dealt.mapInArrow(ask(HELD_TOKENS), ASKED)), "lm-answers")
+    tokens, distinct = (int(x or 0) for x in answers.filter("lead and word is not null").agg(F.sum("c"), F.count("c")).first())
+    fail = failure_weights(answers, tokens + 0.1 * (distinct + 1))
+    known = answers.filter("word is not null").select("block", "a", "b", "word", "c").join(fail, "a", "left")
+    told = known.select("block", "a", "b", "word", "c", "fail").unionByName(answers.filter("word is null").select("block", "a", "b", "word", "c", F.lit(None).cast("double").alias("fail")))
 
     def run(key, texts: pa.Table, own: pa.Table) -> pa.Table:
-        states, sizes, fail, tokens, distinct = model.value
-        words = own.filter(pc.is_valid(own.column("word")))
-        pairs = own.filter(pc.is_valid(own.column("pair")))
-        automaton = Automaton(dict(zip(words.column("word").to_pylist(), words.column("c").to_pylist(), strict=True)), dict(zip(pairs.column("pair").to_pylist(), pairs.column("c").to_pylist(), strict=True)), states, sizes, fail, tokens, distinct)
+        given = pc.is_valid(own.column("word"))
+        words, arcs = own.filter(given), own.filter(pc.invert(given))
+        # a block that told in several steps has a word more than once
+        first = list(dict(zip(reversed(words.column("word").to_pylist()), range(len(words) - 1, -1, -1), strict=True)).values())
+        words = words.take(pa.array(first, pa.int64()))
+        automaton = Automaton(words.column("word").to_pylist(), words.column("a").to_numpy(), words.column("c").to_numpy(), words.column("fail").fill_null(0.0).to_numpy(), *(arcs.column(x).to_numpy() for x in ("a", "b", "c")), tokens, distinct)
         rows = [automaton.score(t) for part in slices(iter(texts.combine_chunks().to_batches()), 3) for t in utf8(part.column(3))]
         n, known, base, total = zip(*rows, strict=True) if rows else ((), (), (), ())
         return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "train_tokens": pa.array([tokens] * len(n), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total, pa.float64())})
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, SCHEMA)
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(run, SCHEMA)

@@ -53,6 +53,17 @@ class TestLmScore:
     def test_empty(self, no_docs):
         assert lm_score.score(no_docs).collect() == []
 
+    def test_rare_words_are_states(self, spark):
+        """Words far below any share of the tokens keep the bigrams from and to them."""
+        docs = [(i, "the " * 3000 + f"r{i // 4} s{i // 4} the end") for i in range(40)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        close({k: v[0] for k, v in keyed(lm_score.score(df), "score").items()}, brute.backoff_scores(docs, 0, lm_score.LEAST_SEEN, lm_score.DISCOUNT))
+
+    def test_small_steps(self, odd_docs, monkeypatch):
+        monkeypatch.setattr(lm_score, "HELD_TOKENS", 50)
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", 3000)
+        self.compare(lm_score.score(odd_docs[0]), odd_docs[1])
+
     def test_null_id_is_held_out(self, spark):
         docs = spark.createDataFrame([(None, "a b"), (1, "a"), (1, "a")], "doc_id long, text string")
         rows = lm_score.score(docs).collect()
