@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from assay.llm.common import drop_tables, materialize, slices, utf8
 
 NGRAM = 4
-LEAST, OF = 85, 100  # link: OF * intersection >= LEAST * union
+LEAST, OF = 85, 100  # link: OF * intersection >= least * union, least being LEAST unless told otherwise
 #: An n-gram is looked at for the frequent end of the order if so many documents of one step have it.
 STEP_NGRAMS, STEP_OFTEN = 4_000_000, 16
 #: Entries of the broadcast table of frequent n-grams; the order of the others is by hash.
@@ -85,13 +85,13 @@ def sets_of(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         at += k
 
 
-def needed(total: int) -> int:
+def needed(total: int, least: int) -> int:
     """The smallest overlap of two linked sets with so many n-grams together."""
-    return -(-LEAST * total // (LEAST + OF))
+    return -(-least * total // (least + OF))
 
 
-def prefix_size(n: int) -> int:
-    return n - -(-LEAST * n // OF) + 1
+def prefix_size(n: int, least: int) -> int:
+    return n - -(-least * n // OF) + 1
 
 
 class Order:
@@ -138,7 +138,7 @@ def frequent_ngrams(docs: DataFrame, n: int) -> Order:
     return Order(found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy())
 
 
-def describe(docs: DataFrame, order, n: int) -> DataFrame:
+def describe(docs: DataFrame, order, n: int, least: int) -> DataFrame:
     """Per row: doc_id, size and node of its set, and its prefix (in order) unless the task has shown it already."""
 
     def run(batches):
@@ -152,7 +152,7 @@ def describe(docs: DataFrame, order, n: int) -> DataFrame:
                     seen.add((node, len(s)))
                 sizes.append(len(s))
                 nodes.append(node)
-                prefixes.append(order.value.sort(s)[: prefix_size(len(s))].view(np.int64) if fresh else None)
+                prefixes.append(order.value.sort(s)[: prefix_size(len(s), least)].view(np.int64) if fresh else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n int, node long, prefix array<long>")
@@ -176,10 +176,10 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         yield tuple(c.to_numpy() for c in pa.Table.from_batches(held).columns)
 
 
-def possible(na, nb, at_a, at_b):
+def possible(na, nb, at_a, at_b, least):
     """Bounds of length and position: if this is the pair's first common n-gram, enough can follow it."""
-    least = -(-LEAST * (na + nb) // (LEAST + OF))
-    return (OF * np.minimum(na, nb) >= LEAST * np.maximum(na, nb)) & (1 + np.minimum(na - at_a, nb - at_b) - 1 >= least)
+    need = -(-least * (na + nb) // (least + OF))
+    return (OF * np.minimum(na, nb) >= least * np.maximum(na, nb)) & (1 + np.minimum(na - at_a, nb - at_b) - 1 >= need)
 
 
 def posting_lists(sets: DataFrame) -> DataFrame:
@@ -206,13 +206,13 @@ def posting_lists(sets: DataFrame) -> DataFrame:
 PAIR = "a long, b long, na int, nb int"
 
 
-def star_pairs(postings: DataFrame) -> DataFrame:
+def star_pairs(postings: DataFrame, least: int) -> DataFrame:
     """Each node with the centres of its lists, and in how many lists they meet within the bounds."""
 
     def run(batches):
         for b in batches:
             _, node, n, pos, c_node, c_n, c_pos = (c.to_numpy() for c in b.columns)
-            some = (node != c_node) & possible(n.astype(np.int64), c_n.astype(np.int64), pos, c_pos)
+            some = (node != c_node) & possible(n.astype(np.int64), c_n.astype(np.int64), pos, c_pos, least)
             yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (c_node, node, c_n, n)], ["a", "b", "na", "nb"])
 
     return postings.mapInArrow(run, PAIR).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
@@ -245,7 +245,7 @@ def left_to_try(mixed: DataFrame) -> int:
     return int(sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
 
 
-def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame) -> DataFrame:
+def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame, least: int) -> DataFrame:
     """For each component some pairs of most common lists with a node of another: every list offers its
     first node in an order that each round draws anew."""
     order = F.xxhash64("node", F.lit(seed))
@@ -253,13 +253,13 @@ def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame) -> DataFrame:
     met = mixed.join(offer, "gram").filter("component != c.component")
     turn = F.col("node") > F.col("c.node")
     both = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(turn, F.col("c.n")).otherwise(F.col("n")).alias("na"), F.when(turn, F.col("n")).otherwise(F.col("c.n")).alias("nb"), F.col("component").alias("x"), F.col("c.component").alias("y"))
-    pairs = both.filter(OF * F.least("na", "nb") >= LEAST * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb", "x", "y").agg(F.count(F.lit(1)).alias("lists")).join(tried, ["a", "b"], "left_anti")
+    pairs = both.filter(OF * F.least("na", "nb") >= least * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb", "x", "y").agg(F.count(F.lit(1)).alias("lists")).join(tried, ["a", "b"], "left_anti")
     sides = pairs.select("a", "b", "na", "nb", "lists", F.explode(F.array("x", "y")).alias("side"))
     best = sides.groupBy("side", F.pmod(F.xxhash64("a", "b"), F.lit(TRIES))).agg(F.max_by(F.struct("a", "b", "na", "nb"), F.struct("lists", F.xxhash64("a", "b"))).alias("p"))
     return best.select("p.*").distinct()
 
 
-def crossing_pairs(mixed: DataFrame) -> DataFrame:
+def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
     """Pairs of one list whose nodes are in different components, within the bounds."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = mixed.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
@@ -269,15 +269,15 @@ def crossing_pairs(mixed: DataFrame) -> DataFrame:
             n = n.astype(np.int64)
             cuts = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram)) if len(gram) else [0]
             end = np.repeat(cuts[1:], np.diff(cuts)) if len(gram) else np.empty(0, np.int64)
-            # sizes ascend in a list, so a node's partners are the next ones up to OF / LEAST of its size
+            # sizes ascend in a list, so a node's partners are the next ones up to OF / least of its size
             held, size = [], 0
             for shift in range(1, int(np.diff(cuts).max()) if len(gram) else 0):
                 i = np.flatnonzero(np.arange(len(gram)) + shift < end)
-                i = i[OF * n[i] >= LEAST * n[i + shift]]
+                i = i[OF * n[i] >= least * n[i + shift]]
                 if not len(i):
                     break
                 j = i + shift
-                ok = (comp[i] != comp[j]) & possible(n[i], n[j], pos[i], pos[j])
+                ok = (comp[i] != comp[j]) & possible(n[i], n[j], pos[i], pos[j], least)
                 i, j = i[ok], j[ok]
                 if len(i):
                     held.append(np.stack([node[i], node[j], n[i], n[j]]))
@@ -297,7 +297,7 @@ def crossing_pairs(mixed: DataFrame) -> DataFrame:
     return placed.mapInArrow(run, PAIR).distinct()
 
 
-def prefix_survivors(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
+def prefix_survivors(pairs: DataFrame, sets: DataFrame, order, least: int) -> DataFrame:
     """First fragment: its overlap, with what can follow it, must reach what a link needs."""
     prefix = sets.filter("prefix is not null").select("node", "prefix").dropDuplicates(["node"])
     both = pairs.join(prefix.withColumnsRenamed({"node": "a", "prefix": "pa"}), "a").join(prefix.withColumnsRenamed({"node": "b", "prefix": "pb"}), "b").select("a", "b", "na", "nb", "pa", "pb")
@@ -319,7 +319,7 @@ def prefix_survivors(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
                     x, cx, y, cy, size = y, cy, x, cx, size[::-1]
                 inside = (cy < cx[-1]) | (cy == cx[-1]) & (y <= x[-1])  # of the longer-reaching prefix, what the other covers
                 common = len(np.intersect1d(x, y[inside], assume_unique=True))
-                keep.append(common + min(size[0] - len(x), size[1] - int(inside.sum())) >= needed(sum(size)))
+                keep.append(common + min(size[0] - len(x), size[1] - int(inside.sum())) >= needed(sum(size), least))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, PAIR)
@@ -345,7 +345,7 @@ def id_filter(ids: DataFrame):
     return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long"))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
+def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: int) -> DataFrame:
     """The pairs that link: fragment overlaps, counted apart and summed per pair."""
     centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     # a centre's links are dealt over several tasks, with the centre's fragments in each
@@ -398,7 +398,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], ["a", "b", "common"])
 
     overlaps = placed.mapInArrow(count, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return pairs.join(overlaps, ["a", "b"]).filter(f"{OF} * common >= {LEAST} * (na + nb - common)").select("a", "b")
+    return pairs.join(overlaps, ["a", "b"]).filter(f"{OF} * common >= {least} * (na + nb - common)").select("a", "b")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -418,22 +418,22 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, n: int = NGRAM) -> DataFrame:
+def classes(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
     """Per document: doc_id, size and node of its set, and the class of linked nodes (null without n-grams)."""
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(frequent_ngrams(docs, n))
-    sets = materialize(describe(docs, order, n), "ngram-sets")
+    sets = materialize(describe(docs, order, n, least), "ngram-sets")
     postings = materialize(posting_lists(sets), "ngram-postings")
-    stars = materialize(star_pairs(postings), "ngram-stars")
+    stars = materialize(star_pairs(postings, least), "ngram-stars")
     tried = links = component = None
 
     def step(asked: DataFrame) -> bool:
         """Verify pairs; whether enough of them link for more such rounds to pay."""
         nonlocal tried, links, component
         pairs = materialize(asked, "ngram-pairs")
-        left = materialize(prefix_survivors(pairs, sets, order), "ngram-survivors")
+        left = materialize(prefix_survivors(pairs, sets, order, least), "ngram-survivors")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = None if left.isEmpty() and component is not None else materialize(linked(left, docs, sets, n), "ngram-links")
+        found = None if left.isEmpty() and component is not None else materialize(linked(left, docs, sets, n, least), "ngram-links")
         if found is None or links is not None and found.isEmpty():
             return False
         links = found if links is None else links.unionByName(found)
@@ -446,9 +446,9 @@ def classes(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     # while the pairs left are many for the entries they come from, each component tries its likeliest one
     while more and left_to_try(mixed) > CROWDED * mixed.count():
         seed += 1
-        more = step(likely_pairs(mixed, seed, tried))
+        more = step(likely_pairs(mixed, seed, tried, least))
         mixed = materialize(mixed_lists(mixed.drop("component"), component), "ngram-mixed")
-    step(crossing_pairs(mixed).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+    step(crossing_pairs(mixed, least).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
     drop_tables(spark, postings)
     return sets.select("doc_id", "n", "node").join(component, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
 
@@ -460,10 +460,10 @@ def join_components(docs: DataFrame, n: int = NGRAM) -> DataFrame:
     return placed.join(least, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, n: int = NGRAM) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
     """The documents with one left of each group of linked ones: that with the smallest doc_id, and of
     rows that share it the smallest text. Documents without n-grams all stay, as do all columns."""
-    placed = materialize(classes(docs, n), "ngram-classes").filter("class is not null")
+    placed = materialize(classes(docs, n, least), "ngram-classes").filter("class is not null")
     chosen = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.node").alias("__of"))
     twice = placed.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"))
 

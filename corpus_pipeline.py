@@ -1,7 +1,7 @@
 """From raw documents to token ids: each stage applies one operator to all that the stage before kept.
 
 quality      documents that the rule ensemble rejects go
-near_copies  one document of each group of near copies stays
+near_copies  one document of each group of near copies stays: those with a Jaccard index of 0.8 or more of their five-word shingles
 benchmark    documents that hold a window of a benchmark item go
 secrets      secrets in the texts are masked
 tokens       doc_id, number of tokens and token ids of each text
@@ -17,12 +17,16 @@ from assay.llm.common import materialize, table
 from assay.llm.queries import WORD_BPE
 
 
+#: Near copies: words of a shingle, and the least Jaccard index in hundredths. op9_ngram_join has figures of its own.
+SHINGLE, NEAR = 5, 80
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs)
+    return ngram_join.one_of_each(docs, SHINGLE, NEAR)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

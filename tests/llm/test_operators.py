@@ -6,6 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, repeats, search, secrets, token_counts, warc
 from assay.llm.queries import PIECES, QUERIES, WORD_BPE
 from tests.conftest import DATA
@@ -410,5 +411,19 @@ class TestQuality:
         assert quality.accepted(no_docs, labels).collect() == []
 
 
+class TestPipeline:
+    def test_near_copies(self, spark):
+        """Near copies that four words and 0.85 would not join, of texts of any length."""
+        docs = []
+        for i, n in enumerate((3, 4, 5, 20, 48, 49, 50, 51, 52, 60, 200)):
+            ws = [f"w{i}-{j}" for j in range(n)]
+            docs += [(10 * i + 1, " ".join(ws)), (10 * i, " ".join([*ws[: n // 2], "otherwise", *ws[n // 2 + 1 :]]))]
+        docs += [(1000, None), (1001, "")]
+        near, loose = brute.near_components(docs, 5, 80), brute.near_components(docs, 4, 85)
+        assert any(near[d][1] != d and loose[d][1] == d for d in near)
+        kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(docs, "doc_id long, text string"), SMALL)
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (n, c) in near.items() if c == d or not n)
+
+
 def test_files_stay_outside():
     assert WORD_BPE == public_tokenizers.path("word_bpe_49k.json")
