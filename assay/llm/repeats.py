@@ -24,6 +24,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -330,7 +331,13 @@ def index_flags(segments: DataFrame) -> DataFrame:
         segments = rows.column(4).take(pa.array(order)).to_pylist()
         lengths = np.array(list(map(len, segments)), np.int64)
         first, segment = earliest_windows(np.frombuffer(b"".join(segments), np.uint8), lengths)
-        a, b = runs_of(first < np.arange(len(first)))  # a run ends before the last WINDOW symbols of its segment
+        again = first < np.arange(len(first))
+        # texts that share a doc_id do not repeat each other at equal offsets
+        hit = np.flatnonzero(again)
+        hit = hit[key[segment[hit]] == key[segment[first[hit]]]]
+        begin = unpack(place)[1] - (np.cumsum(lengths + 1) - lengths - 1)
+        again[hit[begin[segment[hit]] + hit == begin[segment[first[hit]]] + first[hit]]] = False
+        a, b = runs_of(again)  # a run ends before the last WINDOW symbols of its segment
         if len(a):
             of = segment[a]
             start = (np.cumsum(lengths + 1) - lengths - 1)[of]
@@ -380,13 +387,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         places: dict[int, list[tuple]] = {}
         for h, around, k, place, is_hot in zip(*(own.column(c).to_pylist() for c in ("h", "around", "key", "place", "hot")), strict=True):
             places.setdefault(k, []).append((h, around, k, place, is_hot))
-        out, seen = [], set()
-        for k, text in zip(texts.column("key").to_pylist(), utf8(texts.column("text")), strict=True):
+        out, seen, keys = [], set(), texts.column("key").to_pylist()
+        several = {k for k, n in Counter(keys).items() if n > 1}
+        for k, text in zip(keys, utf8(texts.column("text")), strict=True):
             for row in places.get(k, ()):
                 at, lo, hi = (int(x) for x in unpack(np.int64(row[3])))
-                if row[1:4] not in seen and (k not in seen or around_of(text, at) == row[1]):
-                    if hi + WINDOW <= len(text):
-                        out.append((*row, text[lo : hi + WINDOW]))
+                # of rows that share a doc_id, one text with these surroundings gives the segment, once
+                if hi + WINDOW <= len(text) and (k not in several or row[1:4] not in seen and around_of(text, at) == row[1]):
+                    if k in several:
+                        seen.add(row[1:4])
+                    out.append((*row, text[lo : hi + WINDOW]))
         h, around, k, place, is_hot, segment = zip(*out, strict=True) if out else ((),) * 6
         return pa.table({"h": pa.array(h, pa.int64()), "around": pa.array(around, pa.int64()), "key": pa.array(k, pa.int64()), "place": pa.array(place, pa.int64()), "segment": pa.array(segment, pa.binary()), "hot": pa.array(is_hot, pa.bool_())})
 

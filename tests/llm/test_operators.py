@@ -205,6 +205,29 @@ class TestRepeats:
         monkeypatch.setattr(repeats, "HOT", hot)
         self.compare(*odd_docs)
 
+    @pytest.mark.parametrize("hot", [0, 20_000])
+    def test_repeated_rows(self, spark, monkeypatch, hot):
+        """Repeated rows, and other texts under one doc_id: of equal windows those at the smallest (doc_id, offset) stay."""
+        import random
+
+        rng = random.Random(11)
+        some = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+        monkeypatch.setattr(repeats, "HOT", hot)
+        short, mid, long = some(110), some(150), some(700)
+        docs = [(1, some(200) + short + some(200) + mid + some(90) + long)] * 2 + [(2, some(150) + mid + some(100) + short), (3, long + some(130) + short)]
+        docs += [(2, some(150) + mid + some(80)), (2, some(20) + short + some(300) + long), (4, some(40) + mid + some(40) + mid)] + [(4, some(90))] * 2
+        first = {}
+        for d, text in docs:
+            for i in range(len(text) - repeats.WINDOW + 1):
+                w = text[i : i + repeats.WINDOW]
+                first[w] = min(first.get(w, (d, i)), (d, i))
+        want = []
+        for d, text in docs:
+            gone = {i + j for i in range(len(text) - repeats.WINDOW + 1) if first[text[i : i + repeats.WINDOW]] != (d, i) for j in range(repeats.WINDOW)}
+            want.append((d, "".join(c for i, c in enumerate(text) if i not in gone)))
+        rows = repeats.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+        assert sorted((r.doc_id, bytes(r.kept).decode()) for r in rows) == sorted(want)
+
     def test_pieces_and_small_indexes(self, odd_docs, monkeypatch):
         monkeypatch.setattr(repeats, "PIECE", 1000)
         monkeypatch.setattr(repeats, "INDEX_BYTES", 2000)
