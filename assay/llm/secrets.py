@@ -2,8 +2,8 @@
 
 Candidate strings are runs of token characters. A window slides over each one; the counts of its
 characters change by one in and one out, so each step costs a constant. Windows above their
-class's threshold join into one span, unless the allow list knows the candidate or a fixed
-pattern already covers it. Fixed-pattern spans are never suppressed.
+class's threshold join into one span, unless the allow list knows the candidate; what a fixed
+pattern already covers is cut out of it. Fixed-pattern spans are never suppressed.
 
 Texts: null and "" have no spans; offsets are code points, ends exclusive; repeated rows are
 scanned each for itself; extra columns are not read. An empty table gives an empty result.
@@ -116,7 +116,16 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]], settings: Setting
             joined[-1][1] = max(joined[-1][1], b)
         else:
             joined.append([a, b])
-    return [(a, b, 3) for a, b in joined if not any(a < y and x < b for x, y, _ in base)]
+    left: list[tuple[int, int, int]] = []
+    for a, b in joined:
+        for x, y, _ in base:  # by start
+            if x < b and a < y:
+                if a < x:
+                    left.append((a, x, 3))
+                a = min(b, y)
+        if a < b:
+            left.append((a, b, 3))
+    return left
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:
