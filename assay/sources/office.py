@@ -1,4 +1,4 @@
-"""Word and Excel files: archive entries, paragraphs, cells, entities."""
+"""Word and Excel files: entities (F4). Archive entries, paragraphs, cells and sheet maps (S7-S14) are not written."""
 
 from __future__ import annotations
 
