@@ -23,10 +23,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from assay.llm.common import slices
+from assay.llm.common import chunked, slices
 
-#: Words kept per task with their encoding; the memory starts anew when full.
-CACHE_WORDS = 400_000
+#: Words kept per worker with their encoding, twice, and token pairs kept with whether they fit.
+CACHE_WORDS = 80_000
+CACHE_PAIRS = 250_000
+#: Pieces of one text that are hashed together.
+DIGEST_PIECES = 50_000
 
 
 def byte_alphabet() -> list[str]:
@@ -50,8 +53,9 @@ class Transducer:
         self.tokens |= {i: t for t, i in self.special.items()}
         self.decoder = (spec.get("decoder") or {}).get("type")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-        born: dict[int, int] = {}
-        halves: dict[int, tuple[int, int]] = {}
+        self.born: dict[int, int] = {}
+        self.halves: dict[int, tuple[int, int]] = {}
+        born, halves = self.born, self.halves
         self.rank: dict[tuple[int, int], int] = {}
         for r, (a, b) in enumerate(merges):
             pair = self.vocab[a], self.vocab[b]
@@ -59,16 +63,6 @@ class Transducer:
             self.rank[pair] = r
             if made not in born:
                 born[made], halves[made] = r, pair
-        far = len(merges)
-        # Symbols at a token's right and left edge while it was built, each with the merge that ended it.
-        self.right: dict[int, list[tuple[int, int]]] = {}
-        self.left: dict[int, list[tuple[int, int]]] = {}
-        for t in sorted(self.vocab.values(), key=lambda t: born.get(t, -1)):
-            self.right[t], self.left[t] = [(t, far)], [(t, far)]
-            if t in halves:
-                a, b = halves[t]
-                self.left[t] += [(x, min(end, born[t])) for x, end in self.left[a]]
-                self.right[t] += [(x, min(end, born[t])) for x, end in self.right[b]]
         reachable = {t for t in self.vocab.values() if t not in halves or self._holds(*halves[t], born[t])}
         for t in sorted(halves, key=born.get):
             if t in reachable and not reachable.issuperset(halves[t]):
@@ -93,11 +87,21 @@ class Transducer:
         space = r"\t-\r \x85\xa0  -     　"
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{space}\p{{L}}\p{{N}}]+")
 
+    def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
+        """Symbols at a token's left (0) or right (1) edge while it was built, each with the merge that ended it."""
+        end = len(self.rank)
+        out = [(token, end)]
+        while token in self.halves:
+            end = min(end, self.born[token])
+            token = self.halves[token][side]
+            out.append((token, end))
+        return out
+
     def _holds(self, a: int, b: int, before: int) -> bool:
         """Whether no merge across the border of a and b comes before rank ``before``."""
-        rank = self.rank
-        for x, ends in self.right[a]:
-            for y, stops in self.left[b]:
+        rank, left = self.rank, self._edge(b, 0)
+        for x, ends in self._edge(a, 1):
+            for y, stops in left:
                 r = rank.get((x, y))
                 if r is not None and r < before and r < ends and r <= stops:
                     return False
@@ -117,7 +121,7 @@ class Transducer:
         return {tail: tuple(sorted(n, reverse=True)) for tail, n in by.items()}
 
     def _fit(self, a: int, b: int) -> bool:
-        if len(self.fits) > 1_000_000:
+        if len(self.fits) > CACHE_PAIRS:
             self.fits.clear()
         ok = self.fits[a << 32 | b] = self._holds(a, b, len(self.rank))
         return ok
@@ -239,6 +243,7 @@ class Decoder:
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int]) -> str:
+        ids = list(ids)
         names = [self.of.tokens[i] for i in ids]
         if self.plain:
             out = " ".join(names)
@@ -261,54 +266,60 @@ class Decoder:
         return "" if self.plain else self.utf8.decode(b"", True)
 
 
+class Words(dict):
+    """What is known of the pieces met lately. When full, the words of the time before the last filling are forgotten."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.former = make, {}
+
+    def __missing__(self, piece: str | int):
+        value = self.former.get(piece) or self.make(piece)
+        if len(self) >= CACHE_WORDS:
+            self.former = dict(self)
+            self.clear()
+        if isinstance(piece, int) or len(piece) <= 64:
+            self[piece] = value
+        return value
+
+
 class Encoder:
-    """Whole texts; distinct words are encoded once while the cache holds them."""
+    """Whole texts; distinct words are encoded once while they are kept."""
 
     def __init__(self, path: str):
         self.transducer = Transducer(path)
-        self.cache: dict[str | int, tuple[tuple[int, ...], str, str]] = {}
+        self.ids, self.spelled = Words(self._ids), Words(self._spell)
+        self.whole = {i: (1, str(i), name) for i, name in self.transducer.tokens.items()}
 
-    def _entry(self, piece: str | int) -> tuple[tuple[int, ...], str, str]:
-        if len(self.cache) >= CACHE_WORDS:
-            self.cache.clear()
-        ids = (piece,) if isinstance(piece, int) else tuple(self.transducer.word(piece))
-        entry = ids, " ".join(map(str, ids)), " ".join(self.transducer.tokens[i] for i in ids)
-        if isinstance(piece, int) or len(piece) <= 64:
-            self.cache[piece] = entry
-        return entry
+    def _ids(self, piece: str | int) -> tuple[int, ...]:
+        return (piece,) if isinstance(piece, int) else tuple(self.transducer.word(piece))
+
+    def _spell(self, piece: str | int) -> tuple[int, str, str]:
+        """Number of ids, the ids and their names."""
+        ids = self._ids(piece)
+        return self.whole[ids[0]] if len(ids) == 1 else (len(ids), " ".join(map(str, ids)), " ".join(map(self.transducer.tokens.__getitem__, ids)))
 
     def encode(self, text: str) -> list[int]:
-        return [i for p in self.transducer.pieces(text) for i in (self.cache.get(p) or self._entry(p))[0]]
+        of = self.ids
+        return [i for p in self.transducer.pieces(text) for i in of[p]]
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of tokens, and SHA-256 of the ids and of the decoded text, both fed piece by piece."""
         ids, decoded, n = hashlib.sha256(), hashlib.sha256(), 0
-        get, entry, of = self.cache.get, self._entry, self.transducer
-        held_ids, held_text = [], []
+        of, spelled = self.transducer, self.spelled
         decoder = None if of.decoder is None else Decoder(of)
         lead = ""
-
-        def flush() -> None:
-            nonlocal lead
-            ids.update((lead + " ".join(held_ids)).encode())
-            if decoder is None:
-                decoded.update((lead + " ".join(held_text)).encode())
-            lead = " "
-            held_ids.clear()
-            held_text.clear()
-
-        for p in of.pieces(text):
-            e = get(p) or entry(p)
-            n += len(e[0])
-            held_ids.append(e[1])
+        # Without a decoder in the file, the decoded text is the names with spaces between.
+        for some in chunked(of.pieces(text), DIGEST_PIECES):
+            entries = [spelled[p] for p in some]
+            n += sum(e[0] for e in entries)
+            ids.update((lead + " ".join([e[1] for e in entries])).encode())
             if decoder is None:
-                held_text.append(e[2])
+                decoded.update((lead + " ".join([e[2] for e in entries])).encode())
             else:
-                decoded.update(decoder.feed(e[0]).encode())
-            if len(held_ids) >= 50_000:
-                flush()
-        if held_ids:
-            flush()
+                for e in entries:
+                    decoded.update(decoder.feed(map(int, e[1].split())).encode())
+            lead = " "
         if decoder is not None:
             decoded.update(decoder.close().encode())
         return n, ids.hexdigest(), decoded.hexdigest()
