@@ -38,8 +38,8 @@ def base_scores(docs):
     return out
 
 
-def backoff_scores(docs, share, least, discount):
-    """doc_id to the log10 probability under the bigram model with one failure arc per state."""
+def backoff_scores(docs, prior, growth):
+    """doc_id to the log10 probability under the bigram model of all training bigrams, smoothed towards the words' base probabilities."""
     count, pairs = Counter(), Counter()
     for d, t in docs:
         if fold(d, 10):
@@ -48,22 +48,12 @@ def backoff_scores(docs, share, least, discount):
             pairs.update(zip(ws, ws[1:], strict=False))
     total = sum(count.values())
     p = lambda w: (count[w] + 0.1) / (total + 0.1 * (len(count) + 1))
-    states = {w for w, c in count.items() if c >= share * total and c >= least}
-    arcs = {(a, b): c for (a, b), c in pairs.items() if a in states and b in states and c >= least}
-    kept, given = defaultdict(float), defaultdict(float)
-    for (a, b), c in arcs.items():
-        kept[a] += (c - discount) / count[a]
-        given[a] += p(b)
     out = {}
     for d, t in docs:
         ws, score = ["\n", *white_words(t), "\n"], 0.0
         for a, b in zip(ws, ws[1:], strict=False):
-            if (a, b) in arcs:
-                score += math.log10((arcs[a, b] - discount) / count[a])
-            elif a in kept:
-                score += math.log10(p(b) * (1 - kept[a]) / (1 - given[a]))
-            else:
-                score += math.log10(p(b))
+            m = prior * count[a] ** growth
+            score += math.log10((pairs[a, b] + m * p(b)) / (count[a] + m) if count[a] else p(b))
         out[d] = score
     return out
 

@@ -37,7 +37,7 @@ class TestLmScore:
     COLUMNS = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
     def compare(self, df, docs):
-        have, base, want = keyed(df, *self.COLUMNS), brute.base_scores(docs), brute.backoff_scores(docs, lm_score.STATE_SHARE, lm_score.LEAST_SEEN, lm_score.DISCOUNT)
+        have, base, want = keyed(df, *self.COLUMNS), brute.base_scores(docs), brute.backoff_scores(docs, lm_score.PRIOR, lm_score.GROWTH)
         assert {k: v[:4] for k, v in have.items()} == {k: v[:4] for k, v in base.items()}
         close({k: v[4] for k, v in have.items()}, {k: v[4] for k, v in base.items()})
         close({k: v[5] for k, v in have.items()}, want)
@@ -58,13 +58,26 @@ class TestLmScore:
         """Words far below any share of the tokens keep the bigrams from and to them."""
         docs = [(i, "the " * 3000 + f"r{i // 4} s{i // 4} the end") for i in range(40)]
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-        close({k: v[0] for k, v in keyed(lm_score.score(df), "score").items()}, brute.backoff_scores(docs, 0, lm_score.LEAST_SEEN, lm_score.DISCOUNT))
+        close({k: v[0] for k, v in keyed(lm_score.score(df), "score").items()}, brute.backoff_scores(docs, lm_score.PRIOR, lm_score.GROWTH))
 
     def test_small_steps(self, odd_docs, monkeypatch):
-        monkeypatch.setattr(lm_score, "HELD_TOKENS", 50)
-        monkeypatch.setattr(lm_score, "BLOCK_BYTES", 3000)
+        for name in ("BLOCK_BYTES", "PAIR_BYTES", "WORD_BYTES"):
+            monkeypatch.setattr(lm_score, name, 3000)
         self.compare(lm_score.score(odd_docs[0]), odd_docs[1])
 
+    def test_planted_pairs(self, spark):
+        """What two documents share is told apart from what one has, in score and not in base_score."""
+        import random
+
+        rng = random.Random(2)
+        vocabulary = [f"w{i}" for i in range(300)]
+        some = lambda: " ".join(rng.choice(vocabulary) for _ in range(60))
+        twice = [i for i in range(1, 400) if brute.fold(i, 10) and brute.fold(i + 1000, 10)][:20]
+        docs = [(i, some()) for i in range(2000, 2400)] + [(i + k, t) for i in twice for t in [some()] for k in (0, 1000)]
+        score = {k: v[0] for k, v in keyed(lm_score.score(spark.createDataFrame(docs, "doc_id long, text string")), "score").items()}
+        once = [score[i] for i in range(2000, 2400) if brute.fold(i, 10)]
+        assert min(score[i] for i in twice) > max(once)
+
     def test_null_id_is_held_out(self, spark):
         docs = spark.createDataFrame([(None, "a b"), (1, "a"), (1, "a")], "doc_id long, text string")
         rows = lm_score.score(docs).collect()
