@@ -183,7 +183,8 @@ def possible(na, nb, at_a, at_b, least):
 
 
 def posting_lists(sets: DataFrame) -> DataFrame:
-    """Entries of the prefix lists with two nodes or more, each with its list's centre: the smallest node."""
+    """Entries of the prefix lists with two nodes or more, each with its list's centre: the node with the fewest
+    rarer n-grams. Of near copies that is the one with the fewest changes of its own, so the closest to all."""
     entries = sets.filter("prefix is not null").select(F.posexplode("prefix").alias("pos", "gram"), "node", "n")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -199,7 +200,7 @@ def posting_lists(sets: DataFrame) -> DataFrame:
             centre = np.repeat(start, size)
             yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (gram, node, n, pos, node[centre], n[centre], pos[centre])], ["gram", "node", "n", "pos", "c_node", "c_n", "c_pos"])
 
-    placed = entries.select("gram", "node", "n", "pos").repartition(parts, "gram").sortWithinPartitions("gram", "node")
+    placed = entries.select("gram", "node", "n", "pos").repartition(parts, "gram").sortWithinPartitions("gram", "pos", "node")
     return placed.mapInArrow(run, "gram long, node long, n int, pos int, c_node long, c_n int, c_pos int")
 
 
