@@ -13,6 +13,7 @@ encoded each for itself; extra columns are not read. An empty table gives an emp
 from __future__ import annotations
 
 import codecs
+import contextlib
 import functools
 import hashlib
 import json
@@ -286,8 +287,8 @@ class Words(dict):
 class Encoder:
     """Whole texts; distinct words are encoded once while they are kept."""
 
-    def __init__(self, path: str):
-        self.transducer = Transducer(path)
+    def __init__(self, transducer: Transducer):
+        self.transducer = transducer
         self.ids, self.spelled = Words(self._ids), Words(self._spell)
         self.whole = {i: (1, str(i), name) for i, name in self.transducer.tokens.items()}
 
@@ -326,9 +327,20 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder_for(path: str) -> Encoder:
-    """A worker's encoder, kept from task to task; its cache has a fixed size."""
-    return Encoder(path)
+def transducer_for(path: str) -> Transducer:
+    """A worker's transducer, kept from task to task."""
+    return Transducer(path)
+
+
+@contextlib.contextmanager
+def encoder_for(path: str) -> Iterator[Encoder]:
+    """An encoder for one task; what it has learned of words and pairs goes with it, as workers outlive operators."""
+    encoder = Encoder(transducer_for(path))
+    try:
+        yield encoder
+    finally:
+        encoder.transducer.fits.clear()
+        pa.default_memory_pool().release_unused()
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -338,11 +350,11 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id, n_tokens, SHA-256 of the ids and of the decoded text. One narrow pass, no shuffle."""
 
     def run(batches):
-        encoder = encoder_for(path)
-        for part in slices(batches, 1):
-            rows = [encoder.digest(t or "") for t in part.column(1).to_pylist()]
-            n, ids, texts = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with encoder_for(path) as encoder:
+            for part in slices(batches, 1):
+                rows = [encoder.digest(t or "") for t in part.column(1).to_pylist()]
+                n, ids, texts = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -351,10 +363,10 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
     """Per row: doc_id and the token ids."""
 
     def run(batches):
-        encoder = encoder_for(path)
-        for part in slices(batches, 1):
-            ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+        with encoder_for(path) as encoder:
+            for part in slices(batches, 1):
+                ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -363,7 +375,7 @@ def decode_ids(tokens: DataFrame, path: str, plain: bool | None = None) -> DataF
     """Per row of (doc_id, ids): doc_id and the text, decoded incrementally."""
 
     def run(batches):
-        of = Transducer(path)
+        of = transducer_for(path)
         for batch in batches:
             texts = []
             for ids in batch.column(1).to_pylist():

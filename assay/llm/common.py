@@ -5,9 +5,12 @@ from __future__ import annotations
 import itertools
 import math
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -22,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A new folder below the cluster's ``spark.checkpoint.dir``; a local default only where that is unset."""
+    """A new folder below the cluster's ``spark.checkpoint.dir``. Where that is unset a single machine takes a
+    temporary folder; a cluster has none that all of it shares, so there it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{os.path.abspath('spark-warehouse')}/checkpoints"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        root = f"file://{tempfile.gettempdir()}/assay-checkpoints"
     return f"{root.rstrip('/')}/assay/{label}-{uuid.uuid4().hex}"
 
 
@@ -81,3 +87,23 @@ def chunked(items: Iterator, n: int) -> Iterator[list]:
     items = iter(items)
     while chunk := list(itertools.islice(items, n)):
         yield chunk
+
+
+FILTER_BITS = 1 << 25
+
+
+def id_filter(ids: DataFrame):
+    """A test for a column of ids: false only for ids that are not in ``ids``. A bitmap of fixed size
+    is broadcast; the more ids there are, the more others pass, and the join after it settles those."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long")
+    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.arrow_udf("boolean")
+    def test(bits: pa.Array) -> pa.Array:
+        x = bits.to_numpy()
+        return pa.array((shared.value[x >> 6] >> (x & 63) & 1).astype(bool))
+
+    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long"))

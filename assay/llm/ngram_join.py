@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import drop_tables, materialize, slices, utf8
+from assay.llm.common import drop_tables, id_filter, materialize, slices, utf8
 
 NGRAM = 4
 LEAST, OF = 85, 100  # link: OF * intersection >= least * union, least being LEAST unless told otherwise
@@ -45,7 +45,7 @@ SPREAD = 256  # links of one centre that one task verifies
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept for the words met first."""
+    """64-bit hashes of words, kept for the words that a task meets first."""
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
@@ -54,12 +54,9 @@ class WordHashes(dict):
         return h
 
 
-HASHES = WordHashes()
-
-
-def sets_of(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+def sets_of(texts: list[bytes], n: int, hashes: WordHashes) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
-    get = HASHES.__getitem__
+    get = hashes.__getitem__
     words = [t.lower().split() for t in texts]
     flat = np.fromiter((h for ws in words for h in map(get, ws)), np.uint64)
     step, odd = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -117,7 +114,7 @@ def frequent_ngrams(docs: DataFrame, n: int) -> Order:
     """N-grams of many documents, counted over all of them in steps of bounded memory."""
 
     def run(batches):
-        held, size = [], 0
+        held, size, hashes = [], 0, WordHashes()
 
         def flush():
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
@@ -125,7 +122,7 @@ def frequent_ngrams(docs: DataFrame, n: int) -> Order:
             return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["gram", "n"])
 
         for part in slices(batches, 0):
-            for s in sets_of(utf8(part.column(0)), n):
+            for s in sets_of(utf8(part.column(0)), n, hashes):
                 held.append(s)
                 size += len(s)
             if size >= STEP_NGRAMS:
@@ -143,9 +140,10 @@ def describe(docs: DataFrame, order, n: int, least: int) -> DataFrame:
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
+        hashes = WordHashes()
         for part in slices(batches, 1):
             sizes, nodes, prefixes = [], [], []
-            for s in sets_of(utf8(part.column(1)), n):
+            for s in sets_of(utf8(part.column(1)), n, hashes):
                 node = None if not len(s) else xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
                 fresh = len(s) > 0 and (node, len(s)) not in seen
                 if fresh:
@@ -326,26 +324,6 @@ def prefix_survivors(pairs: DataFrame, sets: DataFrame, order, least: int) -> Da
     return both.mapInArrow(run, PAIR)
 
 
-FILTER_BITS = 1 << 25
-
-
-def id_filter(ids: DataFrame):
-    """A test for a column of ids: false only for ids that are not in ``ids``. A bitmap of fixed size
-    is broadcast; the more ids there are, the more others pass, and the join after it settles those."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).cast("long")
-    words = ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_BITS >> 6, np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def test(bits):
-        x = bits.to_numpy()
-        return type(bits)((shared.value[x >> 6] >> (x & 63) & 1).astype(bool))
-
-    return lambda column: test(F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("long"))
-
-
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: int) -> DataFrame:
     """The pairs that link: fragment overlaps, counted apart and summed per pair."""
     centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
@@ -363,12 +341,13 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: in
     texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(likely("doc_id")).join(cast.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text", "a", "task", "role", "member")
 
     def cut(batches):
+        hashes = WordHashes()
         for part in slices(batches, 1):
             nodes, out = part.column(0).to_pylist(), []
             held: dict[bytes, tuple[int | None, list[bytes]]] = {}
             for i, text in enumerate(utf8(part.column(1))):
                 if text not in held:
-                    (s,) = sets_of([text], n)
+                    (s,) = sets_of([text], n, hashes)
                     at = np.searchsorted(s, np.array([f * (2**64 // FRAGMENTS) for f in range(1, FRAGMENTS)], np.uint64))
                     held[text] = xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None, [p.tobytes() for p in np.split(s, at)]
                 node, pieces = held[text]
@@ -468,13 +447,13 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFram
     chosen = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.node").alias("__of"))
     twice = placed.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"))
 
-    @F.pandas_udf("long")
-    def node_of(texts):
-        out = []
-        for text in texts:
-            (s,) = sets_of([(text or "").encode()], n)
+    @F.arrow_udf("long")
+    def node_of(texts: pa.Array) -> pa.Array:
+        out, hashes = [], WordHashes()
+        for text in utf8(texts):
+            (s,) = sets_of([text], n, hashes)
             out.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
-        return type(texts)(out, dtype="Int64")
+        return pa.array(out, pa.int64())
 
     names = docs.columns
     noted = docs.withColumn("__node", node_of("text"))

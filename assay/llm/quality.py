@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import materialize, slices, utf8
+from assay.llm.common import id_filter, materialize, slices, utf8
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper_share", "digit_share", "mark_share", "symbol_share", "wide_share", "space_share",
@@ -167,15 +167,15 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with all their columns."""
-    marks = labels.filter("quality is not null").select(F.col("doc_id").alias("labelled")).distinct()
-    labelled = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("labelled"), "left_semi")
+    # the statistics of labelled documents alone, without a shuffle of their texts
+    marks = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("id"))
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(id_filter(marks)("doc_id"))
     model = fit(training(statistics(labelled), labels))
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in FEATURES))
-    def measured(texts):
-        import pandas as pd
-
-        return pd.DataFrame([measure((t or "").encode()) for t in texts], columns=FEATURES, dtype=float)
+    @F.arrow_udf(", ".join(f"{f} double" for f in FEATURES))
+    def measured(texts: pa.Array) -> pa.Array:
+        columns = np.array([measure(t) for part in slices(iter([pa.record_batch([texts], ["text"])]), 0) for t in utf8(part.column(0))], np.float64).reshape(-1, len(FEATURES)).T
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], FEATURES)
 
     names = docs.columns
     kept = docs.withColumn("__statistics", measured("text")).filter(model.column(lambda f: F.col("__statistics")[f]) >= 0.5)
