@@ -37,10 +37,11 @@ STEP_NGRAMS, STEP_OFTEN = 4_000_000, 16
 #: More or fewer change what the join costs, not its result.
 FREQUENT = 1_000_000
 FRAGMENTS = 4
-#: Pairs left to try for each entry of a posting list from which on more rounds of likely pairs pay; they
-#: try TRIES of each component and end when fewer than one in YIELD links. These change what the join
-#: costs, not its result.
+#: Pairs left to try, within the bounds, for each entry of a posting list from which on more rounds of likely
+#: pairs pay; they try TRIES of each component and end when fewer than one in YIELD links. These change what
+#: the join costs, not its result.
 CROWDED, TRIES, YIELD = 8, 8, 20
+STEP_PAIRS = 500_000  # pairs of posting lists that are looked at together
 SPREAD = 256  # links of one centre that one task verifies
 
 
@@ -238,12 +239,6 @@ def mixed_lists(postings: DataFrame, component: DataFrame) -> DataFrame:
     return placed.join(mixed, "gram", "left_semi")
 
 
-def left_to_try(mixed: DataFrame) -> int:
-    """How many pairs of different components the lists have, each list for itself."""
-    sizes = mixed.groupBy("gram", "component").count().groupBy("gram").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-    return int(sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2)).first()[0] or 0)
-
-
 def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame, least: int) -> DataFrame:
     """For each component some pairs of most common lists with a node of another: every list offers its
     first node in an order that each round draws anew."""
@@ -258,29 +253,59 @@ def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame, least: int) -> D
     return best.select("p.*").distinct()
 
 
+def crossing(gram: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of one list that are in different components and within the bounds, in steps of bounded
+    size; a pair can come twice. Entries are sorted by gram and size. Only those outside their list's largest
+    component look for partners, among the sizes that can link."""
+    new = np.concatenate([[True], gram[1:] != gram[:-1]])
+    of, start = np.cumsum(new) - 1, np.flatnonzero(new)
+    by = np.lexsort((comp, of))
+    run = np.flatnonzero(np.concatenate([[True], (of[by][1:] != of[by][:-1]) | (comp[by][1:] != comp[by][:-1])]))
+    length = np.diff(np.append(run, len(by)))
+    # the last of a list's runs by length is its largest component
+    largest = np.lexsort((length, of[by][run]))
+    last = np.concatenate([of[by][run][largest][1:] != of[by][run][largest][:-1], [True]])
+    major = comp[by][run][largest][last]
+    key = of << 32 | n
+    lone = np.flatnonzero(comp != major[of])
+    lo = np.searchsorted(key, of[lone] << 32 | -(-least * n[lone] // OF), "left")
+    hi = np.searchsorted(key, of[lone] << 32 | OF * n[lone] // least, "right")
+    ends = np.cumsum(hi - lo)
+    for step in np.split(np.arange(len(lone)), np.searchsorted(ends, np.arange(STEP_PAIRS, ends[-1] if len(ends) else 0, STEP_PAIRS))):
+        wide = hi[step] - lo[step]
+        i = np.repeat(lone[step], wide)
+        j = np.repeat(lo[step] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
+        ok = (comp[i] != comp[j]) & possible(n[i], n[j], pos[i], pos[j], least)
+        yield i[ok], j[ok]
+
+
+def by_size(mixed: DataFrame) -> DataFrame:
+    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mixed.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
+
+
+def left_to_try(mixed: DataFrame, least: int) -> int:
+    """How many pairs crossing_pairs would make, each list for itself; none is kept."""
+
+    def run(batches):
+        total = sum(len(i) for gram, node, n, pos, comp in lists(batches) if len(gram) for i, _ in crossing(gram, node, n.astype(np.int64), pos, comp, least))
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
+
+    return int(by_size(mixed).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+
+
 def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
     """Pairs of one list whose nodes are in different components, within the bounds."""
-    parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = mixed.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
 
     def run(batches):
         for gram, node, n, pos, comp in lists(batches):
+            if not len(gram):
+                continue
             n = n.astype(np.int64)
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])), len(gram)) if len(gram) else [0]
-            end = np.repeat(cuts[1:], np.diff(cuts)) if len(gram) else np.empty(0, np.int64)
-            # sizes ascend in a list, so a node's partners are the next ones up to OF / least of its size
             held, size = [], 0
-            for shift in range(1, int(np.diff(cuts).max()) if len(gram) else 0):
-                i = np.flatnonzero(np.arange(len(gram)) + shift < end)
-                i = i[OF * n[i] >= least * n[i + shift]]
-                if not len(i):
-                    break
-                j = i + shift
-                ok = (comp[i] != comp[j]) & possible(n[i], n[j], pos[i], pos[j], least)
-                i, j = i[ok], j[ok]
-                if len(i):
-                    held.append(np.stack([node[i], node[j], n[i], n[j]]))
-                    size += len(i)
+            for i, j in crossing(gram, node, n, pos, comp, least):
+                held.append(np.stack([node[i], node[j], n[i], n[j]]))
+                size += len(i)
                 if size > 200_000:
                     yield emit(held)
                     held, size = [], 0
@@ -293,7 +318,7 @@ def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
         a, b, na, nb = np.unique(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))], ["a", "b", "na", "nb"])
 
-    return placed.mapInArrow(run, PAIR).distinct()
+    return by_size(mixed).mapInArrow(run, PAIR).distinct()
 
 
 def prefix_survivors(pairs: DataFrame, sets: DataFrame, order, least: int) -> DataFrame:
@@ -424,7 +449,7 @@ def classes(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
     step(nearest_centres(apart(stars, component).join(tried, ["a", "b"], "left_anti")))
     mixed, seed, more = materialize(mixed_lists(postings, component), "ngram-mixed"), 0, True
     # while the pairs left are many for the entries they come from, each component tries its likeliest one
-    while more and left_to_try(mixed) > CROWDED * mixed.count():
+    while more and left_to_try(mixed, least) > CROWDED * mixed.count():
         seed += 1
         more = step(likely_pairs(mixed, seed, tried, least))
         mixed = materialize(mixed_lists(mixed.drop("component"), component), "ngram-mixed")
