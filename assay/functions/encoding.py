@@ -18,28 +18,41 @@ def mojibake(text: Column) -> Column:
 
 
 def encoding_class(content: Column) -> Column:
-    """utf-16le, utf-16be, utf-16?, utf-8-bom, ascii, utf-8 or cp949-or-binary, in that order of tests."""
+    """utf-16le, utf-16be, utf-16?, utf-8-bom, ascii, utf-8 or cp949-or-binary, in that order of tests.
+
+    The sample of zero bytes is read as one character a byte, so counting and placing them are single
+    passes over its 512 characters.
+    """
     head = F.hex(F.substring(content, 1, 2))
-    sample = F.hex(F.substring(content, 1, SAMPLE))
-    n = F.length(sample) / 2
-    zero_at = F.filter(F.sequence(F.lit(1), F.lit(SAMPLE)), lambda i: F.substr(sample, i * 2 - 1, F.lit(2)) == "00")
-    many = (n >= SAMPLE_LEAST) & (F.size(zero_at) / n >= ZERO_SHARE)
-    even_places = F.forall(zero_at, lambda i: i % 2 == 0)  # 1-based: the high bytes of little-endian text
-    odd_places = F.forall(zero_at, lambda i: i % 2 == 1)
+    sample = F.decode(F.substring(content, 1, SAMPLE), "ISO-8859-1")
+    zeros = F.length(sample) - F.length(F.replace(sample, F.lit("\0"), F.lit("")))
+    many = (F.length(sample) >= SAMPLE_LEAST) & (zeros / F.length(sample) >= ZERO_SHARE)
+    at_even, at_odd = sample.rlike(r"(?s)^(?:..)*?\x00"), sample.rlike(r"(?s)^.(?:..)*?\x00")
     text = content.cast("string")
     return (
         F.when(head == "FFFE", "utf-16le")
         .when(head == "FEFF", "utf-16be")
-        .when(many & even_places, "utf-16le")
-        .when(many & odd_places, "utf-16be")
-        .when(many, "utf-16?")
-        .when(has_bom(content), F.when(F.is_valid_utf8(text), "utf-8-bom").otherwise("cp949-or-binary"))
-        .when(~F.hex(content).rlike("^(..)*[89A-F]"), "ascii")
-        .when(F.is_valid_utf8(text), "utf-8")
-        .otherwise("cp949-or-binary")
+        .when(many, F.when(~at_even, "utf-16le").when(~at_odd, "utf-16be").otherwise("utf-16?"))
+        .when(~F.is_valid_utf8(text), "cp949-or-binary")
+        .when(has_bom(content), "utf-8-bom")
+        .when(F.octet_length(content) == F.length(text), "ascii")
+        .otherwise("utf-8")
     )
 
 
+def mojibake_decoding(expected: str | None, label: Column) -> Column:
+    """What a file is decoded as to look for mojibake: what is expected of it, else what it seems to be; null
+    for UTF-16, which is not looked at (N7)."""
+    own = F.when(label == "cp949-or-binary", "cp949").otherwise("utf8")
+    wanted = {None: own, "utf8": F.lit("utf8"), "utf8-bom": F.lit("utf8"), "ascii": F.lit("utf8"), "cp949": F.lit("cp949")}[expected]
+    return F.when(~label.startswith("utf-16"), wanted)
+
+
+def bom_rule(bom: Column, label: Column, required: bool) -> Column:
+    """Whether a file keeps a rule of byte order marks: that of UTF-8 must, or no mark at all may, be there."""
+    return bom if required else ~bom
+
+
 def meets(label: Column, expected: str, strict_cp949: bool = False) -> Column:
     """Whether a class satisfies an expectation: utf8, utf8-bom, cp949 or ascii."""
     allowed = {"utf8": ["utf-8", "utf-8-bom", "ascii"], "utf8-bom": ["utf-8-bom"], "cp949": ["cp949-or-binary"] + ([] if strict_cp949 else ["ascii"]), "ascii": ["ascii"]}

@@ -34,3 +34,22 @@ def numerically_equal(a: Column, b: Column) -> Column:
 
 def age_hours(when: Column, now: Column) -> Column:
     return (F.unix_millis(now) - F.unix_millis(when)) / F.lit(3_600_000.0)
+
+
+def shown_number(value: Column, places: int = 6) -> Column:
+    """At most six decimals, no trailing zeros and no negative zero."""
+    text = F.round(value.cast(MONEY), places).cast("string")
+    bare = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
+    return F.when(bare == "-0", F.lit("0")).otherwise(bare)
+
+
+def tolerance(given: str) -> float:
+    """A tolerance as accounting text: a number that is not negative."""
+    import re
+
+    from assay.config import UsageError
+
+    bare = re.sub(r"[\s,]", "", given)
+    if not re.fullmatch(r"\+?[%₩$]*\d*\.?\d+", bare):
+        raise UsageError(f"tolerance must be a number of at least 0, not {given!r}")
+    return float(re.sub(r"[+%₩$]", "", bare))

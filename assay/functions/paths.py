@@ -26,14 +26,15 @@ def path_problem(path: Column, one_file: bool = False) -> Column:
 
 
 def literal_prefix(glob: Column) -> Column:
-    """The leading segments without wildcards."""
-    parts = F.split(normalized(glob), "/")
+    """The leading segments without wildcards; empty for a path that may not be claimed."""
+    parts = F.when(path_problem(glob).isNull(), F.split(normalized(glob), "/")).otherwise(F.array().cast("array<string>"))
     wild = F.filter(F.transform(parts, lambda p, i: F.when(p.rlike(WILD), i)), lambda i: i.isNotNull())
     return F.array_join(F.slice(parts, F.lit(1), F.when(F.size(wild) > 0, F.array_min(wild)).otherwise(F.size(parts))), "/")
 
 
 def globs_overlap(a: Column, b: Column) -> Column:
-    """Disjoint only if two literal segments differ before any wildcard; a path overlaps what lies below it."""
+    """Disjoint only if two literal segments differ before any wildcard; a path overlaps what lies below it,
+    and a path that may not be claimed overlaps everything."""
     pairs = F.arrays_zip(F.split(normalized(a), "/").alias("x"), F.split(normalized(b), "/").alias("y"))
     # 0: still equal, 1: overlap, 2: disjoint; the first decision stays
     step = lambda state, p: (
@@ -42,7 +43,8 @@ def globs_overlap(a: Column, b: Column) -> Column:
         .when(p["x"] != p["y"], F.lit(2))
         .otherwise(F.lit(0))
     )
-    return F.aggregate(pairs, F.lit(0), step) != 2
+    refused = path_problem(a).isNotNull() | path_problem(b).isNotNull()
+    return refused | (F.aggregate(pairs, F.lit(0), step) != 2)
 
 
 def is_inside(path: Column, root: Column) -> Column:

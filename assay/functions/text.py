@@ -1,4 +1,4 @@
-"""Text functions: blank tests, cleaning, excerpts, evidence fields, CSV cells."""
+"""Text functions: blank tests, cleaning, excerpts, evidence fields, CSV cells."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 PASS_MARKER = "ASSAY-CHECK-OK"
 REDACTED = "[redacted-marker]"
 CONTROL = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{200b}-\x{200f}\x{2028}\x{2029}\x{202a}-\x{202e}\x{2066}-\x{2069}\x{feff}]"
+NOT_WHITE = r"[^\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 WHITE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 NAME = r"^[A-Za-z0-9][A-Za-z0-9._-]{0,63}$"
 
@@ -45,14 +46,22 @@ def excerpt(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit - 3)), F.lit("..."))).otherwise(text)
 
 
-def excerpt_around(text: Column, at: Column, limit: int = 60) -> Column:
-    """A bounded view that keeps the hit at 0-based ``at`` in sight."""
-    lead = at > 12
-    start = F.when(lead, at - 12).otherwise(F.lit(0))
-    room = F.when(lead, F.lit(limit - 3)).otherwise(F.lit(limit))
-    more = F.length(text) > start + room
-    core = F.substr(text, start + 1, F.when(more, room - 3).otherwise(room))
-    return F.concat(F.when(lead, F.lit("...")).otherwise(F.lit("")), core, F.when(more, F.lit("...")).otherwise(F.lit("")))
+def log_excerpt(text: Column, limit: int = 120) -> Column:
+    """A log line without outer white space, bounded."""
+    return excerpt(trimmed(text), limit)
+
+
+def cell_excerpt(text: Column, limit: int = 60) -> Column:
+    """A cell's collapsed text; of a longer one the whole limit, and dots after it (F8)."""
+    flat = collapsed(text)
+    return F.when(F.length(flat) > limit, F.concat(F.left(flat, F.lit(limit)), F.lit("..."))).otherwise(flat)
+
+
+def excerpt_around(text: Column, at: Column, before: int = 12, limit: int = 60) -> Column:
+    """A view of at most ``limit`` characters from ``before`` characters ahead of 0-based ``at`` on; dots
+    stand for what is left out on either side (F6)."""
+    tail = F.concat(F.lit("..."), F.substr(text, at - before + 1))
+    return excerpt(F.when(at > before, tail).otherwise(text), limit)
 
 
 def strip_bom(text: Column) -> Column:
@@ -83,8 +92,8 @@ def qualified(file: Column, gate: Column) -> Column:
 
 
 def cell_row(ref: Column) -> Column:
-    """Row number at the end of a cell reference (F16); null if there is none."""
-    return F.try_to_number(F.nullif(F.regexp_extract(ref, r"(\d{1,7})$", 1), F.lit("")), F.lit("9999999")).cast("int")
+    """Row number at the end of a cell reference (F16), all its digits; null if there is none."""
+    return F.regexp_extract(ref, r"([0-9]+)\z", 1).try_cast("bigint")
 
 
 def expectation(expect: Column) -> Column:
@@ -112,3 +121,38 @@ def is_handle(text: Column) -> Column:
 
 def is_reason(text: Column) -> Column:
     return (F.length(text) <= 500) & ~is_blank(text) & ~text.rlike(CONTROL)
+
+
+def is_time(text: Column) -> Column:
+    """A readable ISO time."""
+    return F.coalesce(text, F.lit("")).rlike(r"^\d{4}-\d\d-\d\d") & F.try_to_timestamp(text).isNotNull()
+
+
+def last_lines(text: Column, limit: int = 240) -> Column:
+    """The last two lines with content, joined; a fixed phrase where there is none."""
+    lines = full_lines(text)
+    some = F.when(F.size(lines) > 2, F.slice(lines, -2, 2)).otherwise(lines)
+    return F.left(F.coalesce(F.nullif(F.array_join(some, " | "), F.lit("")), F.lit("(no output)")), F.lit(limit))
+
+
+def full_lines(text: Column) -> Column:
+    """The trimmed lines that are not blank."""
+    return F.filter(F.transform(F.split(text, r"\r?\n"), trimmed), lambda x: x != "")
+
+
+def failure_summary(text: Column, head: int = 6, last: int = 2, limit: int = 480) -> Column:
+    """All lines of a short output; of a longer one the first six, dots and the last two."""
+    lines = full_lines(text)
+    parts = F.when(F.size(lines) <= head + last, lines).otherwise(F.concat(F.slice(lines, 1, head), F.array(F.lit("...")), F.slice(lines, -last, last)))
+    return F.left(F.coalesce(F.nullif(F.array_join(parts, " | "), F.lit("")), F.lit("(no output)")), F.lit(limit))
+
+
+def head_list(items: Column, n: int = 12) -> Column:
+    """The first n items and how many more there are."""
+    more = F.size(items) - n
+    return F.concat(F.array_join(F.slice(items, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+
+
+def distinct_in_order(items: Column) -> Column:
+    """Each item where it comes first (U4)."""
+    return F.filter(items, lambda x, i: F.array_position(items, x) == i + 1)

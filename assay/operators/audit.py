@@ -1,12 +1,15 @@
 """Audit: findings over ledgers, approvals and waves, CSV rows, manifests, digests, contract review
-(U1, J4, J5, J8, J14, K10, A18-A21)."""
+(U1, J4, J5, J8, J14, K8-K12, A18-A21, A24)."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.text import csv_cell
+from assay.findings import together
+from assay.functions.text import csv_cell, evidence_fields
 
 
 def standing_approval(gates: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -56,11 +59,83 @@ def bundle(report: DataFrame) -> DataFrame:
     return report.select(body.alias("body"), F.sha2(body, 256).alias("digest"))
 
 
-def contract_review(required: DataFrame, rows: DataFrame, owners: DataFrame, observations: DataFrame, revision: int) -> DataFrame:
-    """Gaps of required(id): no row, unknown owner, unobserved, undisposed, or of another revision."""
-    r = rows.select("id", "owner", "observation", "disposition", F.col("revision").alias("seen_revision"))
-    o = owners.select(F.col("owner"), F.lit(True).alias("owned"))
-    b = observations.select("id", "observation", F.lit(True).alias("observed"))
-    both = required.join(r, "id", "left").join(o, "owner", "left").join(b, ["id", "observation"], "left")
-    gap = F.when(F.col("seen_revision").isNull(), "missing-row").when(F.col("owned").isNull(), "unknown-owner").when(F.col("observed").isNull(), "unobserved").when(F.trim(F.coalesce("disposition", F.lit(""))) == "", "no-disposition").when(F.col("seen_revision") != revision, "stale-revision")
-    return both.select("id", gap.alias("gap")).filter("gap is not null")
+def contract_review(required: DataFrame, rows: DataFrame, owners: DataFrame, observations: DataFrame, removals: DataFrame, revision: int) -> DataFrame:
+    """All gaps (id, gap) of required(id) against rows(id, place, owner, observation, disposition, revision).
+
+    owners(owner) are those in office, observations(observation, covers) what each was made of, removals(id)
+    what the user took out. Of several rows with one id the last by place counts and each but one is a gap.
+    """
+    row = F.struct("owner", "observation", "disposition", F.col("revision").alias("seen"))
+    of_id = rows.groupBy("id").agg(F.max_by(row, "place").alias("row"), F.count(F.lit(1)).alias("n"))
+    twice = of_id.filter("n > 1").select("id", F.explode(F.array_repeat(F.lit("duplicate row"), (F.col("n") - 1).cast("int"))).alias("gap"))
+    held = required.select("id").distinct().join(of_id, "id", "left").join(removals.select("id", F.lit(True).alias("removed")).distinct(), "id", "left")
+    flat = held.select("id", "removed", F.col("n").isNull().alias("lost"), "row.*")
+    known = flat.join(owners.select("owner", F.lit(True).alias("in_office")).distinct(), "owner", "left")
+    seen = known.join(observations.select("observation", F.lit(True).alias("observed")).distinct(), "observation", "left")
+    covered = seen.join(observations.select("observation", F.col("covers").alias("id"), F.lit(True).alias("covered")).distinct(), ["observation", "id"], "left")
+    no = lambda c: F.col(c).isNull()
+    live = F.coalesce(F.col("disposition") != "REMOVED_BY_USER", F.lit(True))
+    gaps = F.when(F.col("lost"), F.array(F.lit("missing row"))).otherwise(
+        F.filter(
+            F.array(
+                F.when(~F.col("seen").eqNullSafe(F.lit(revision)), "stale revision"),
+                F.when(~live & no("removed"), "removal lacks authority"),
+                F.when(live & ~F.col("disposition").eqNullSafe(F.lit("ACTIVE")), "disposition is not completion"),
+                F.when(live & no("in_office"), "missing or stale owner"),
+                F.when(live & no("observed"), "missing or stale observation").when(live & no("covered"), "observation does not cover outcome"),
+            ),
+            lambda g: g.isNotNull(),
+        )
+    )
+    return covered.select("id", F.explode(gaps).alias("gap")).unionByName(twice)
+
+
+#: The columns of the audit table.
+AUDIT_COLUMNS = ("원장", "게이트ID", "제목", "상태", "검증방식", "CHECK", "EXPECT", "종료코드", "EXPECT일치", "출력해시", "검증시각", "승인시각", "포기사유")
+
+
+def audit_rows(gates: DataFrame) -> DataFrame:
+    """One line of the audit table per gate, with its ledger and line for the order (K10); gates has approved_at."""
+    fields = evidence_fields(F.col("evidence"))
+    of = lambda key: F.try_element_at(fields, F.lit(key))
+    cells = ["ledger", "id", "title", "state", F.when(F.col("runnable"), "runnable").otherwise("manual"), "check", "expect", of("exit"), of("EXPECT"), of("output-sha256"), of("verified-at"), "approved_at", "reason"]
+    return gates.select("ledger", "line", csv_line(*(F.col(c) if isinstance(c, str) else c for c in cells)).alias("text"))
+
+
+def write_audit_csv(rows: DataFrame, path: str, bom: bool = True) -> None:
+    """The audit table as text files whose lines end in CRLF, in order over the files, header first; with a byte
+    order mark unless told otherwise, as spreadsheets guess wrong without it."""
+    header = ("\ufeff" if bom else "") + ",".join(AUDIT_COLUMNS)
+    first = rows.sparkSession.createDataFrame([(None, None, header)], rows.schema)
+    ordered = first.unionByName(rows).orderBy(F.col("ledger").asc_nulls_first(), F.col("line").asc_nulls_first())
+    ordered.select("text").write.option("lineSep", "\r\n").mode("overwrite").text(path)
+
+
+def audit_markdown(counts: DataFrame, found: DataFrame, files: DataFrame, log: DataFrame, shown: int = 50) -> DataFrame:
+    """Lines (section, place, text) of a report: counts(ledger, met, unmet, abandoned, manual), findings(severity,
+    code, subject), manifest(path, bytes, sha256) and the last lines of log(number, text) (K11, W9)."""
+    cell = lambda c: F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"[|\r\n]", " ")
+    line = lambda *columns: F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    part = lambda df, name, text, place: df.select(F.lit(name).alias("section"), place.cast("string").alias("place"), text.alias("text"))
+    last = log.orderBy(F.desc("number")).limit(shown)
+    return together(
+        part(counts, "1 ledgers", line("ledger", "met", "unmet", "abandoned", "manual"), F.col("ledger")),
+        part(found, "2 findings", line("severity", "code", "subject"), F.concat_ws(" ", "severity", "code", "subject")),
+        part(files, "3 manifest", line("path", "bytes", "sha256"), F.col("path")),
+        part(last, "4 log", F.col("text"), F.lpad(F.col("number").cast("string"), 20, "0")),
+    )
+
+
+def lint_report(warnings: DataFrame, strict: bool = False) -> DataFrame:
+    """Per file its warnings as one text and the exit status: 2 where parsing failed, 1 for warnings if strict, else 0
+    (K12, L1). warnings(file, id, rule)."""
+    broken = F.max(F.col("rule") == "parse")
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws(": ", "id", "rule"))), "\n")
+    status = F.when(broken, 2).otherwise(F.lit(1 if strict else 0))
+    return warnings.groupBy("file").agg(F.count(F.lit(1)).alias("n"), lines.alias("text"), status.cast("int").alias("status"))
+
+
+def search_path(path: Column, separator: str = ":") -> Column:
+    """First 12 hex digits of a search path's SHA-256 and its number of entries that are not empty."""
+    some = F.filter(F.split(path, F.lit(re.escape(separator))), lambda x: x != "")
+    return F.struct(F.left(F.sha2(path, 256), F.lit(12)).alias("digest"), F.size(some).cast("long").alias("entries"))

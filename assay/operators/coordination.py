@@ -1,35 +1,81 @@
 """Coordination: lease conflicts, dispatch lifecycles, progress guard, sessions
-(J9-J11, F15, T-1 to T-7, W8, W13, A22)."""
+(J9-J11, S17, F15, T-1 to T-7, W8, W13, W14, A22)."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.paths import WILD, globs_overlap
+from assay.config import UsageError
+from assay.functions.paths import literal_prefix, path_problem
+from assay.functions.text import is_handle, is_name, is_reason
 
 RELEASE_AFTER = 6
 SESSIONS = 64
 
 
-def lease_conflicts(claims: DataFrame) -> DataFrame:
-    """Pairs of owners (owner, glob) whose globs overlap.
+EVERYTHING = ""  # the reach of a glob that starts with a wildcard, and of one that may not be claimed
 
-    Literal first segments must be equal to overlap, so those pairs meet in an equi-join; only globs
-    that start with a wildcard are compared with all others.
+
+def reaches(claims: DataFrame) -> DataFrame:
+    """Each glob with its reach: the literal segments that it starts with."""
+    return claims.withColumn("reach", literal_prefix(F.col("glob")))
+
+
+def lease_conflicts(claims: DataFrame, held: DataFrame) -> DataFrame:
+    """claims(owner, glob) against held(owner, place, glob): per claimed glob and other owner the first glob of
+    that owner's lease that overlaps it (J9).
+
+    Two globs overlap if one's reach is the other's or stands above it, so each reach meets the other side's
+    reaches and all that stand above those: an equi-join that makes overlapping pairs alone. What reaches
+    everything conflicts with all others by that; it is told once, with no partner, and not paired.
     """
-    first = F.split("glob", "/")[0]
-    rows = claims.select("owner", "glob", first.alias("head"), first.rlike(WILD).alias("wild"))
-    a, b = rows.alias("a"), rows.alias("b")
-    ordered = F.col("a.owner") < F.col("b.owner")
-    equal = a.join(b, (F.col("a.head") == F.col("b.head")) & ordered & ~F.col("a.wild") & ~F.col("b.wild"))
-    wild = rows.filter("wild")
-    every = wild.alias("a").join(rows.alias("b"), F.col("a.owner") != F.col("b.owner"))
-    both = equal.select(F.col("a.owner").alias("x"), F.col("a.glob").alias("gx"), F.col("b.owner").alias("y"), F.col("b.glob").alias("gy"))
-    turned = F.col("a.owner") < F.col("b.owner")
-    pick = lambda first, second: F.when(turned, first).otherwise(second)
-    loose = every.select(pick(F.col("a.owner"), F.col("b.owner")).alias("x"), pick(F.col("a.glob"), F.col("b.glob")).alias("gx"), pick(F.col("b.owner"), F.col("a.owner")).alias("y"), pick(F.col("b.glob"), F.col("a.glob")).alias("gy")).distinct()
-    return both.unionByName(loose).filter(globs_overlap(F.col("gx"), F.col("gy"))).select(F.col("x").alias("owner_a"), F.col("gx").alias("glob_a"), F.col("y").alias("owner_b"), F.col("gy").alias("glob_b"))
+    above = lambda c: F.transform(F.sequence(F.lit(1), F.size(F.split(c, "/"))), lambda n: F.array_join(F.slice(F.split(c, "/"), F.lit(1), n), "/"))
+    mine = reaches(claims.select("owner", "glob").distinct())
+    theirs = reaches(held.select(F.col("owner").alias("other"), "place", "glob")).withColumnRenamed("glob", "their_glob")
+    some, held_some = mine.filter(F.col("reach") != EVERYTHING), theirs.filter(F.col("reach") != EVERYTHING)
+    below = some.join(held_some.withColumn("reach", F.explode(above(F.col("reach")))), "reach")
+    over = some.withColumn("own", F.col("reach")).withColumn("reach", F.explode(above(F.col("reach")))).filter("reach <> own").join(held_some, "reach")
+    columns = ["owner", "glob", "other", "place", "their_glob"]
+    met = below.select(*columns).unionByName(over.select(*columns)).filter("owner <> other")
+    pairs = met.groupBy("owner", "glob", "other").agg(F.min_by("their_glob", "place").alias("their_glob"))
+    wide = mine.filter(F.col("reach") == EVERYTHING).select("owner", "glob", F.lit(None).cast("string").alias("other"), F.lit(None).cast("string").alias("their_glob"))
+    held_wide = theirs.filter(F.col("reach") == EVERYTHING).select(F.lit(None).cast("string").alias("owner"), F.lit(None).cast("string").alias("glob"), "other", "their_glob").distinct()
+    return pairs.unionByName(wide).unionByName(held_wide)
+
+
+def admit_claims(claims: DataFrame) -> DataFrame:
+    """claims(turn, owner, globs) in order of their turn: a claim is admitted if none of its globs overlaps one of
+    an admitted claim before it, all or nothing (T-6).
+
+    Instead of one claim after the other, all claims whose earlier conflicts are decided are decided together,
+    round by round: with an admitted one among them a claim is refused, with none left it is admitted. A claim
+    without globs, or with one that may not be claimed, is refused.
+    """
+    refusable = F.coalesce(F.size("globs") <= 0, F.lit(True)) | F.exists("globs", lambda g: path_problem(g).isNotNull())
+    asked, claims = claims, claims.filter(~refusable)
+    globs = claims.select("turn", F.explode("globs").alias("glob")).withColumn("key", F.col("turn").cast("string"))
+    named = globs.select(F.col("key").alias("owner"), "glob", F.lit(0).alias("place"))
+    met = lease_conflicts(named, named)
+    pairs = met.filter("owner is not null and other is not null").select(F.col("owner").cast("long").alias("a"), F.col("other").cast("long").alias("b"))
+    edges = pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct().checkpoint()
+    wide = met.filter("other is null").select(F.col("owner").cast("long").alias("turn")).distinct()
+    # what claims everything comes first or not at all, and ends what comes after it
+    state = claims.select("turn", F.lit("open").alias("state")).join(wide.withColumn("wide", F.lit(True)), "turn", "left").select("turn", "state", F.coalesce("wide", F.lit(False)).alias("wide")).checkpoint()
+    first_wide = state.filter("wide").agg(F.min("turn").alias("turn")).first()["turn"]
+    least = claims.agg(F.min("turn")).first()[0]
+    if first_wide is not None:
+        blocked = F.lit(first_wide == least) & (F.col("turn") > first_wide)
+        refused = blocked | (F.col("wide") & (F.col("turn") != least))
+        state = state.withColumn("state", F.when(refused, "refused").when(F.col("wide"), "admitted").otherwise(F.col("state"))).checkpoint()
+    while not state.filter("state = 'open'").isEmpty():
+        early = state.select(F.col("turn").alias("early"), F.col("state").alias("was"))
+        waits = edges.join(early, "early").groupBy(F.col("late").alias("turn")).agg(F.max(F.col("was") == "admitted").alias("beaten"), F.max(F.col("was") == "open").alias("unsure"))
+        decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("beaten"), "refused").when(F.col("unsure"), "open").otherwise("admitted")
+        state = state.join(waits, "turn", "left").select("turn", decided.alias("state"), "wide").checkpoint()
+    won = state.select("turn", (F.col("state") == "admitted").alias("admitted"))
+    return asked.join(won, "turn", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
 def block_runs(states: DataFrame, session: str, order: str, state: Column) -> DataFrame:
@@ -53,36 +99,127 @@ def latest(sessions: DataFrame, n: int = SESSIONS) -> DataFrame:
 
 
 def wave_problems(waves: DataFrame) -> DataFrame:
-    """Impossible histories of waves (T-2): one row per wave and rule.
+    """Impossible histories of waves (T-2, J10): one row per wave and rule.
 
     waves(wave, state, leaves array, opened_at, sealed_at, completed_at, abandoned_at, reason,
-    started map<leaf, time>, returned map<leaf, time>).
+    started map<leaf, struct<handle, at>>, returned map<leaf, at>).
     """
-    last_start, last_return = F.array_max(F.map_values("started")), F.array_max(F.map_values("returned"))
-    first_start, first_return = F.array_min(F.map_values("started")), F.array_min(F.map_values("returned"))
-    all_started = F.size(F.array_except("leaves", F.map_keys("started"))) == 0
-    all_returned = F.size(F.array_except("leaves", F.map_keys("returned"))) == 0
-    state = F.col("state")
-    rules = F.filter(
-        F.array(
-            F.when(F.size("leaves") == 0, "no-leaves"),
-            F.when(F.size(F.array_distinct("leaves")) < F.size("leaves"), "duplicate-leaves"),
-            F.when(F.size(F.array_except(F.map_keys("started"), "leaves")) > 0, "unknown-start"),
-            F.when(F.size(F.array_except(F.map_keys("returned"), F.map_keys("started"))) > 0, "return-without-start"),
-            F.when(first_start < F.col("opened_at"), "start-before-open"),
-            F.when(state.isin("sealed", "complete") & ~all_started, "sealed-with-missing-starts"),
-            F.when(F.col("sealed_at") < last_start, "sealed-before-last-start"),
-            F.when(F.coalesce(first_return < F.col("sealed_at"), F.size("returned") > 0) & (F.col("sealed_at").isNull() | (first_return < F.col("sealed_at"))), "return-before-seal"),
-            F.when((state == "sealed") & all_returned, "sealed-yet-returned"),
-            F.when((state == "complete") & ~all_returned, "complete-with-missing-returns"),
-            F.when((state == "complete") & (F.col("completed_at") < last_return), "complete-before-last-return"),
-            F.when((state == "abandoned") & all_returned & (F.size("leaves") > 0), "abandoned-yet-returned"),
-            F.when((state == "abandoned") & F.col("reason").isNull(), "abandoned-without-reason"),
-            F.when((state == "open") & (F.col("sealed_at").isNotNull() | F.col("completed_at").isNotNull()), "stray-times"),
-        ),
-        lambda r: r.isNotNull(),
-    )
-    return waves.select("wave", F.explode(rules).alias("rule"))
+    state, leaves = F.col("state"), F.col("leaves")
+    starts, returns = F.map_entries("started"), F.map_entries("returned")
+    start_times, handles = F.transform(starts, lambda e: e["value"]["at"]), F.transform(starts, lambda e: F.trim(e["value"]["handle"]))
+    return_times = F.map_values("returned")
+    last_start = F.greatest(F.col("opened_at"), F.array_max(start_times))
+    all_started, all_returned = F.size("started") == F.size(leaves), F.size("returned") == F.size(leaves)
+    needs_seal = state.isin("sealed", "complete") | ((state == "abandoned") & F.col("sealed_at").isNotNull())
+    gone = F.col("abandoned_at").isNotNull() | F.col("reason").isNotNull()
+    rules = {
+        "invalid-state": ~F.coalesce(state.isin("open", "sealed", "complete", "abandoned"), F.lit(False)),
+        "invalid-wave-id": ~is_name(F.col("wave")),
+        "no-leaves": F.coalesce(F.size(leaves) <= 0, F.lit(True)),
+        "invalid-leaf-id": F.exists(leaves, lambda x: ~is_name(x)),
+        "duplicate-leaves": F.size(F.array_distinct(leaves)) < F.size(leaves),
+        "missing-time": F.col("opened_at").isNull() | F.exists(start_times, lambda t: t.isNull()) | F.exists(return_times, lambda t: t.isNull()) | (state.isin("sealed", "complete") & F.col("sealed_at").isNull()) | ((state == "complete") & F.col("completed_at").isNull()) | ((state == "abandoned") & F.col("abandoned_at").isNull()),
+        "stray-abandonment": (state != "abandoned") & gone,
+        "abandoned-without-reason": (state == "abandoned") & ~F.coalesce(is_reason(F.trim("reason")), F.lit(False)),
+        "unknown-start": F.size(F.array_except(F.map_keys("started"), leaves)) > 0,
+        "invalid-handle": F.exists(handles, lambda h: ~F.coalesce(is_handle(h), F.lit(False))),
+        "handle-reused": F.size(F.array_distinct(handles)) < F.size(handles),
+        "start-before-open": F.exists(start_times, lambda t: t < F.col("opened_at")),
+        "return-without-start": F.size(F.array_except(F.map_keys("returned"), F.map_keys("started"))) > 0,
+        "return-before-own-start": F.exists(returns, lambda e: e["value"] < F.try_element_at(F.col("started"), e["key"])["at"]),
+        "open-with-returns": (state == "open") & (F.size("returned") > 0),
+        "sealed-with-missing-starts": (state.isin("sealed", "complete") | needs_seal) & ~all_started,
+        "complete-with-missing-returns": (state == "complete") & ~all_returned,
+        "sealed-yet-returned": (state == "sealed") & all_returned,
+        "sealed-before-last-start": needs_seal & (F.col("sealed_at") < last_start),
+        "stray-seal": ~needs_seal & F.col("sealed_at").isNotNull(),
+        "return-without-seal": (F.size("returned") > 0) & F.col("sealed_at").isNull(),
+        "return-before-seal": F.exists(return_times, lambda t: t < F.col("sealed_at")),
+        "complete-before-last-return": (state == "complete") & (F.col("completed_at") < F.greatest(F.col("sealed_at"), F.array_max(return_times))),
+        "stray-completion": (state != "complete") & F.col("completed_at").isNotNull(),
+        "abandoned-yet-returned": (state == "abandoned") & all_returned,
+        "abandoned-before-last-transition": (state == "abandoned") & (F.col("abandoned_at") < F.greatest(last_start, F.col("sealed_at"), F.array_max(return_times))),
+    }
+    broken = F.filter(F.array(*(F.when(F.coalesce(test, F.lit(False)), rule) for rule, test in rules.items())), lambda r: r.isNotNull())
+    return waves.select("wave", F.explode(broken).alias("rule"))
+
+
+class Wave:
+    """What one wave's events have come to; ``step`` says why an event is refused, or null (T-1)."""
+
+    def __init__(self):
+        self.state, self.leaves, self.handles, self.started, self.returned = None, (), set(), set(), set()
+
+    def step(self, action: str, leaves: list[str] | None, leaf: str | None, handle: str | None, reason: str | None) -> str | None:
+        handle, reason = (handle or "").strip(), (reason or "").strip()
+        if action == "open":
+            if self.state:
+                return "wave-exists"
+            if not leaves or len(set(leaves)) < len(leaves):
+                return "duplicate-leaf" if leaves else "no-leaves"
+            self.state, self.leaves = "open", tuple(leaves)
+            return None
+        if self.state is None:
+            return "unknown-wave"
+        if action == "abandon":
+            if self.state in ("complete", "abandoned"):
+                return "wave-is-" + self.state
+            if not reason or len(reason) > 500:
+                return "invalid-reason"
+            self.state = "abandoned"
+        elif action == "seal":
+            if self.state != "open":
+                return "wave-is-" + self.state
+            if len(self.started) < len(self.leaves):
+                return "missing-starts"
+            self.state = "sealed"
+        elif action in ("start", "return"):
+            done = self.started if action == "start" else self.returned
+            if self.state != ("open" if action == "start" else "sealed"):
+                return "wave-is-" + self.state
+            if leaf not in self.leaves:
+                return "unknown-leaf"
+            if leaf in done:
+                return "already-" + {"start": "started", "return": "returned"}[action]
+            if action == "start":
+                if not handle or len(handle) > 256:
+                    return "invalid-handle"
+                if handle in self.handles:
+                    return "handle-in-use"
+                self.handles.add(handle)
+            done.add(leaf)
+            if len(self.returned) == len(self.leaves):
+                self.state = "complete"
+        else:
+            return "unknown-action"
+        return None
+
+
+EVENT = "wave string, seq long, action string, leaves array<string>, leaf string, handle string, reason string"
+
+
+def fold_waves(events: DataFrame, parts: int | None = None) -> DataFrame:
+    """events in the columns of EVENT, in order of seq: each with why it was refused (null: it was taken), the
+    wave's state after it, and its started and returned leaves (T-1). A task holds the state of one wave."""
+
+    def run(batches):
+        name, wave = None, Wave()
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["wave"] != name:
+                    name, wave = row["wave"], Wave()
+                refused = wave.step(row["action"], row["leaves"], row["leaf"], row["handle"], row["reason"])
+                out.append((refused, wave.state, len(wave.started), len(wave.returned)))
+            refused, state, started, returned = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("wave"), batch.column("seq"), batch.column("action"), pa.array(refused, pa.string()), pa.array(state, pa.string()), pa.array(started, pa.int64()), pa.array(returned, pa.int64())],
+                ["wave", "seq", "action", "refused", "state", "started", "returned"],
+            )
+
+    columns = [part.split()[0] for part in EVENT.replace("array<string>", "array").split(", ")]
+    dealt = events.select(*columns).repartition(parts, "wave") if parts else events.select(*columns).repartition("wave")
+    return dealt.sortWithinPartitions("wave", "seq").mapInArrow(run, "wave string, seq long, action string, refused string, state string, started long, returned long")
 
 
 def wave_progress(waves: DataFrame) -> DataFrame:
@@ -97,6 +234,35 @@ def wave_progress(waves: DataFrame) -> DataFrame:
     )
 
 
+def progress_line(wave: str = "wave") -> Column:
+    """A wave's state with its counts as one item of the state digest (T-3)."""
+    of = lambda c: F.concat_ws("/", F.col(c).cast("string"), F.col("leaves").cast("string"))
+    return F.concat(F.lit("dispatch:"), F.col(wave), F.lit("="), F.col("state"), F.lit(";started="), of("started"), F.lit(";returned="), of("returned"))
+
+
+def session_scope(bindings: DataFrame, session: str) -> DataFrame:
+    """The scope that a session is bound to, if it is bound to exactly one."""
+    return bindings.filter(F.col("session") == session).agg(F.count_distinct("scope").alias("n"), F.min("scope").alias("scope")).filter("n = 1").select("scope")
+
+
+def resolve_target(scopes: list[str], files: list[str] = (), scope: str | None = None, bound: str | None = None, legacy: list[str] = ()) -> tuple[str, list[str]]:
+    """What a run is about: given files, a given scope, the only scope, the session's scope, the files of old
+    layouts; several scopes without a choice are refused (S17)."""
+    if files:
+        return "files", list(files)
+    if scope is not None:
+        if scope not in scopes:
+            raise UsageError(f"no scope {scope!r}")
+        return "scope", [scope]
+    if len(scopes) == 1:
+        return "scope", list(scopes)
+    if bound is not None and bound in scopes:
+        return "scope", [bound]
+    if scopes:
+        raise UsageError(f"{len(scopes)} scopes and no choice among them")
+    return "legacy", list(legacy)
+
+
 def release_leases(leases: DataFrame, scope: str, leaf: str | None = None) -> DataFrame:
     """What is left after a scope, or one leaf of it, is released (T-7)."""
     gone = F.col("scope") == scope

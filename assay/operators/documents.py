@@ -1,11 +1,14 @@
-"""Document checks over paragraphs (P22-P27, A8-A10, F5, F6): placeholders, headings, texts, sizes."""
+"""Document checks over paragraphs (P21-P27, A8-A10, F5, F6): placeholders, headings, texts, sizes."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass, fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.functions.text import collapsed, excerpt_around
+from assay.config import UsageError, whole
+from assay.functions.text import NOT_WHITE, collapsed, excerpt_around
 
 # What counts as an unfilled place in a document and in a workbook cell. The two lists differ.
 DOCUMENT_PLACEHOLDERS = (
@@ -16,7 +19,7 @@ DOCUMENT_PLACEHOLDERS = (
     ("OOO marker", r"(^|[^0-9A-Za-z])OOO([^0-9A-Za-z]|$)"),
     ("circle marker", r"○○○"),
     ("lorem ipsum filler", r"(?i)lorem\s+ipsum"),
-    ("angle bracket placeholder", r"<[^<>/][^<>]{0,38}>"),
+    ("angle bracket placeholder", r"<(?!\/)[^<>]{1,39}>"),
     ("double bracket placeholder", r"\[\[[^\]\[]{0,80}\]\]"),
     ("double brace placeholder", r"\{\{[^{}]{0,80}\}\}"),
     ("Korean placeholder 여기에", r"여기에"),
@@ -35,6 +38,8 @@ CELL_PLACEHOLDERS = (
     ("OOO", r"(?i)(^|[^0-9A-Za-z])OOO"),
     ("○○○", r"○○○"),
 )
+#: What every text with a placeholder of either list has.
+ANY_PLACEHOLDER = r"(?i)TODO|TBD|FIXME|XXX|OOO|○○○|lorem|<|\[\[|\{\{|여기에|내용을|입력|작성|기재"
 HEADING = r"(?iu)^(Heading[1-9]|Title|Subtitle|제목\s*[1-9]?|표제)"
 SHORT = 80
 
@@ -49,9 +54,11 @@ def paragraphs_of(text: Column) -> Column:
 
 
 def placeholder_hits(rows: DataFrame, text: str = "text", keep: list[str] = ("idx",), patterns=DOCUMENT_PLACEHOLDERS) -> DataFrame:
-    """Every pattern that a paragraph matches, with its first place; no join, patterns are literals."""
+    """Every pattern that a paragraph matches, with its first place; no join, patterns are literals.
+    One pattern of their fixed parts decides first whether any of them needs a look."""
     line = F.col(text)
-    hits = F.filter(F.array(*(F.when(line.rlike(p), F.struct(F.lit(label).alias("label"), (F.regexp_instr(line, F.lit(p)) - 1).alias("at"))) for label, p in patterns)), lambda h: h.isNotNull())
+    places = F.array(*(F.struct(F.lit(label).alias("label"), (F.regexp_instr(line, F.lit(p)) - 1).alias("at")) for label, p in patterns))
+    hits = F.when(line.rlike(ANY_PLACEHOLDER), F.filter(places, lambda h: h["at"] >= 0))
     return rows.select(*keep, text, F.explode(hits).alias("hit")).select(*keep, "hit.label", excerpt_around(line, F.col("hit.at")).alias("excerpt"))
 
 
@@ -81,11 +88,50 @@ def text_hits(paragraphs: DataFrame, needles: list[str], keep: list[str] = ("idx
 
 def sizes(paragraphs: DataFrame, by: list[str] = ()) -> DataFrame:
     """Words, paragraphs that are not empty, and headings."""
-    words = F.size(F.filter(F.split(collapsed(F.col("text")), " "), lambda w: w != ""))
-    full = collapsed(F.col("text")) != ""
+    words = F.regexp_count("text", F.lit(f"{NOT_WHITE}+"))
+    full = F.col("text").rlike(NOT_WHITE)
     return paragraphs.groupBy(*by).agg(F.sum(words).cast("long").alias("words"), F.count_if(full).alias("paragraphs"), F.count_if(full & is_heading_style(F.col("style"))).alias("headings"))
 
 
+def text_sizes(text: Column) -> Column:
+    """Words and paragraphs of a text whose lines are its paragraphs; a row each, so nothing is grouped."""
+    full = F.filter(F.split(text, "\n"), lambda p: p.rlike(NOT_WHITE))
+    return F.struct(F.regexp_count(text, F.lit(f"{NOT_WHITE}+")).cast("long").alias("words"), F.size(full).cast("long").alias("paragraphs"))
+
+
+@dataclass(frozen=True)
+class SizeBounds:
+    """Least and most of what a document has; nothing asserted is an error."""
+
+    least_words: int | None = None
+    most_words: int | None = None
+    least_paragraphs: int | None = None
+    least_headings: int | None = None
+    least_tables: int | None = None
+    tables: int | None = None
+
+    def __post_init__(self):
+        given = [whole(f.name, getattr(self, f.name)) for f in fields(self) if getattr(self, f.name) is not None]
+        if not given:
+            raise UsageError("nothing is asserted")
+        if self.least_words is not None and self.most_words is not None and self.least_words > self.most_words:
+            raise UsageError("least_words is above most_words")
+
+    def problems(self) -> Column:
+        """Names of the bounds that words, paragraphs, headings and tables of a row break, all of them."""
+        below = lambda c, n: F.col(c) < F.lit(n)
+        tests = {
+            "least_words": below("words", self.least_words),
+            "most_words": F.col("words") > F.lit(self.most_words),
+            "least_paragraphs": below("paragraphs", self.least_paragraphs),
+            "least_headings": below("headings", self.least_headings),
+            "least_tables": below("tables", self.least_tables),
+            "tables": F.col("tables") != F.lit(self.tables),
+        }
+        broken = F.array(*(F.when(test, name) for name, test in tests.items() if getattr(self, name) is not None))
+        return F.filter(broken, lambda x: x.isNotNull())
+
+
 def opening_tags(html: Column, tag: str) -> Column:
     """Number of opening tags (A10)."""
     return F.regexp_count(html, F.lit(rf"<{tag}(\s[^>]*)?>")).cast("long")

@@ -21,8 +21,9 @@ def size_within(length: Column, least: int | None = None, most: int | None = Non
     return ok & (length <= most) if most is not None else ok
 
 
-def digest_is(content: Column, sha256: str) -> Column:
-    return F.sha2(content, 256) == sha256.strip().lower()
+def digest_is(content: Column, sha256: str | Column) -> Column:
+    """The SHA-256, in either case."""
+    return F.sha2(content, 256) == F.lower(F.trim(sha256 if isinstance(sha256, Column) else F.lit(sha256)))
 
 
 def has_content(text: Column) -> Column:
@@ -53,3 +54,19 @@ def consistency(labels: DataFrame, by: list[str] = ()) -> DataFrame:
     other = F.when(F.col("label") != "ascii", F.col("label"))
     kinds = F.array_sort(F.collect_set(other))
     return labels.groupBy(*by).agg(F.count_distinct(other).alias("kinds"), F.coalesce(F.nullif(F.array_join(kinds, ","), F.lit("")), F.lit("ascii")).alias("label")).withColumn("consistent", F.col("kinds") <= 1)
+
+
+def newer(when: Column, other: Column) -> Column:
+    """Strictly later (P10)."""
+    return when > other
+
+
+def file_states(wanted: DataFrame, files: DataFrame) -> DataFrame:
+    """wanted(path) against the files that were read: measured, or unusable where there is none."""
+    return wanted.join(files.select("path", "length", "modificationTime"), "path", "left").select("path", F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), F.when(F.col("length").isNull(), "unusable").otherwise("measured").alias("state"))
+
+
+def discover(files: DataFrame) -> DataFrame:
+    """path, scope of ledgers below a root, in order of their path; lock folders are left out."""
+    parts = F.split("path", "/")
+    return files.filter(F.col("path").rlike(r"(?i)\.md\z") & ~F.array_contains(parts, "locks")).select("path", F.get(parts, F.size(parts) - 2).alias("scope")).orderBy("path")

@@ -1,5 +1,5 @@
 """Ledger semantics: gate states, verdicts, diagnostics, lint, stale results
-(D15, A14-A17, A23, J6, J7, J13, J15, L2-L8)."""
+(D15, A14-A17, A23, J6, J7, J13, J15, L2-L8, P34-P38, 2.9.3, 2.9.4)."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from assay.functions.text import expectation, is_pending, trimmed
 
-# Expectations that failing output can show as well, commands with a fixed output, and
-# openings that name an activity.
+# Expectations too weak to tell success, commands whose output never changes, first words of
+# titles that say what is done and not what comes of it.
 WEAK_EXPECT = ("ok", "okay", "done", "pass", "passed", "success", "successful", "succeeded", "complete", "completed", "finished", "yes", "true", "0", "good", "fine", "working")
 FIXED_OUTPUT = r"(?i)^\s*((echo|printf)(\s+[^&|;]*)?|true|:|exit\s+0)\s*$"
 ACTIVITY = r"(?i)^(work(ing)? on|improve|enhance|handle|support|ensure|make sure|try|attempt|look (at|into)|investigate|consider|review|refactor|clean ?up|polish|update|tidy|address|deal with|add support)\b"
@@ -60,7 +60,7 @@ def incomplete_checks(gates: DataFrame) -> DataFrame:
 
 def lint(gates: DataFrame) -> DataFrame:
     """Warnings per live gate (file, id, rule): one pass, rules are columns."""
-    manual = F.col("check").isNull()
+    manual = F.coalesce(F.col("check"), F.lit("")) == ""
     weak = F.lower(trimmed(F.coalesce("expect", F.lit("")))).isin(*WEAK_EXPECT)
     rules = F.filter(
         F.array(
@@ -78,7 +78,7 @@ def lint(gates: DataFrame) -> DataFrame:
 
 def mostly_manual(gates: DataFrame) -> DataFrame:
     """Runnable share of live gates per file, and whether it is below a half."""
-    return gates.filter(~F.col("abandoned")).groupBy("file").agg(F.count(F.lit(1)).alias("live"), F.count_if(F.col("check").isNotNull()).alias("runnable")).withColumn("mostly_manual", F.col("runnable") * 2 < F.col("live"))
+    return gates.filter(~F.col("abandoned")).groupBy("file").agg(F.count(F.lit(1)).alias("live"), F.count_if(F.coalesce(F.col("check"), F.lit("")) != "").alias("runnable")).withColumn("mostly_manual", F.col("runnable") * 2 < F.col("live"))
 
 
 def apply_results(results: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -113,3 +113,27 @@ def select_gates(gates: DataFrame, wanted: DataFrame) -> DataFrame:
     named = gates.select("file", "id", F.explode(F.array("id", F.concat_ws(":", "file", "id"))).alias("name"))
     found = wanted.join(named, "name", "left").groupBy("name").agg(F.count("id").alias("n"), F.min("file").alias("file"), F.min("id").alias("id"))
     return found.select("name", F.when(F.col("n") == 1, F.col("file")).alias("file"), F.when(F.col("n") == 1, F.col("id")).alias("id"), F.when(F.col("n") == 1, "selected").when(F.col("n") == 0, "unknown").otherwise("ambiguous").alias("state"))
+
+
+def pending(gates: DataFrame, reverify: bool = False) -> DataFrame:
+    """Gates that a run is about: runnable and not abandoned; met ones only to verify them again."""
+    live = gates.filter(F.col("runnable") & (F.col("state") != "abandoned"))
+    return live if reverify else live.filter("state <> 'met'")
+
+
+def unreadable_deps(gates: DataFrame, digests: DataFrame) -> DataFrame:
+    """file, id, path of the named files without a digest; any blocks its run (P38). gates has deps, digests(path, sha256)."""
+    named = gates.select("file", "id", F.explode("deps").alias("path"))
+    return named.join(digests.filter("sha256 is not null"), "path", "left_anti").select("file", "id", "path")
+
+
+def reverified(gates: DataFrame, results: DataFrame) -> DataFrame:
+    """Gates after all runnable ones ran again (2.9.4, J15): one that fails is unchecked and pending; one that was
+    met and did not run, or ran against an older text of itself, counts as unmet. results(file, id, signature, ok)."""
+    ran = results.select("file", "id", F.col("signature").alias("ran_as"), "ok")
+    both = gates.join(ran, ["file", "id"], "left")
+    stale = F.col("ran_as").isNotNull() & (F.col("ran_as") != F.col("signature"))
+    met = F.col("runnable") & (F.col("state") == "met")
+    extra = F.coalesce(stale, F.lit(False)) & met | met & F.col("ran_as").isNull()
+    state = F.when(F.col("runnable") & ~stale & ~F.col("ok") & F.col("state").isin("met", "unmet-no-evidence"), "unmet").when(F.col("runnable") & ~stale & F.col("ok") & (F.col("state") != "abandoned"), "met").otherwise(F.col("state"))
+    return both.select("file", "id", state.alias("state"), F.coalesce(extra, F.lit(False)).alias("extra_unmet"))

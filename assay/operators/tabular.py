@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.config import UsageError, whole
@@ -85,8 +85,6 @@ def listed_rows(df: DataFrame, key: Column, row_no: Column, limit: int = 20) ->
     Only the first ``limit`` rows of a value reach its list, whatever its size: rows are numbered
     within the group by a window that Spark limits before the sort is complete.
     """
-    from pyspark.sql import Window
-
     value = trimmed(F.coalesce(key.cast("string"), F.lit("")))
     rows = df.select(value.alias("value"), row_no.cast("long").alias("row_no"))
     totals = rows.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -144,3 +142,18 @@ def reconcile(left: DataFrame, right: DataFrame, left_amount: Column, right_amou
         same.alias("rows_agree"),
         F.when(sums & same, "pass").otherwise("fail").alias("status"),
     )
+
+
+def unreadable_cells(df: DataFrame, column: Column, row_no: Column, limit: int = 20) -> DataFrame:
+    """Per kind of bad cell, blank or not a number: how many, the first row numbers in order and how many more."""
+    text = column.cast("string")
+    kind = F.when(is_blank(text), "blank").when(parse_number(text).isNull(), "not-a-number")
+    bad = df.select(kind.alias("kind"), row_no.cast("long").alias("row_no")).filter("kind is not null")
+    first = bad.withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy("row_no"))).filter(F.col("place") <= limit)
+    lists = first.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("row_no")), lambda r: r.cast("string")), ",").alias("rows"))
+    return bad.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(lists, "kind").select("kind", "n", "rows", F.greatest(F.lit(0).cast("long"), F.col("n") - limit).alias("more"))
+
+
+def first_of_each(df: DataFrame, by: list[str], order: list) -> DataFrame:
+    """The first row of each group in an order."""
+    return df.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter("__place = 1").drop("__place")

@@ -1,5 +1,5 @@
 """Workbook checks over cells (sheet, ref, type, value): lookup, equality, depth, errors
-(P14-P21, A11, A12, J2, J3, J12)."""
+(P14-P21, A11, A12, J2, J3, J12, U3)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from assay.functions.numbers import numerically_equal, parse_number
 from assay.functions.text import cell_row, is_blank, trimmed
 from assay.operators.documents import first_placeholder
+from assay.operators.tabular import RowBounds
 
 
 def find_sheets(wanted: DataFrame, sheets: DataFrame) -> DataFrame:
@@ -48,13 +49,26 @@ def scan_cells(cells: DataFrame, sheets: list[str] | None = None) -> DataFrame:
     )
 
 
-def shared_strings(cells: DataFrame, strings: DataFrame) -> DataFrame:
+def shared_strings(cells: DataFrame, strings: DataFrame, by: list[str] = ()) -> DataFrame:
     """Cells of type s get their string by index; an index out of range is empty."""
-    shared = strings.select(F.col("idx").cast("string").alias("__idx"), F.col("text").alias("__text"))
-    both = cells.join(shared, (F.col("type") == "s") & (F.col("value") == F.col("__idx")), "left")
-    return both.withColumn("value", F.when(F.col("type") == "s", F.coalesce("__text", F.lit(""))).otherwise(F.col("value"))).drop("__idx", "__text")
+    shared = strings.select(*by, F.col("idx").cast("string").alias("value"), F.col("text").alias("__text"), F.lit("s").alias("type"))
+    both = cells.join(shared, [*by, "type", "value"], "left")
+    return both.select(*[c for c in cells.columns if c != "value"], F.when(F.col("type") == "s", F.coalesce("__text", F.lit(""))).otherwise(F.col("value")).alias("value"))
 
 
-def sheet_map(sheets: DataFrame, relations: DataFrame) -> DataFrame:
-    """sheets(name, rid) to relations(rid, target); a sheet without relation goes."""
-    return sheets.join(relations, "rid").select("name", F.regexp_replace(F.regexp_replace("target", r"^/?(xl/)?", ""), r"^\./", "").alias("target")).select("name", F.concat(F.lit("xl/"), F.col("target")).alias("path"))
+def sheet_map(sheets: DataFrame, relations: DataFrame, by: list[str] = ()) -> DataFrame:
+    """sheets(name, rid) to relations(rid, target): name and target_path; a sheet without relation goes."""
+    target = F.when(F.col("target").startswith("/"), F.substr("target", F.lit(2))).when(F.col("target").startswith("xl/"), F.col("target")).otherwise(F.concat(F.lit("xl/"), F.col("target")))
+    return sheets.filter("name is not null").join(relations, [*by, "rid"]).select(*by, "name", F.regexp_replace(target, r"^xl/\.\./", "").alias("target_path"))
+
+
+def sheet_rules(sheets: DataFrame, required: DataFrame, forbidden: DataFrame) -> DataFrame:
+    """Required names that no sheet has, and forbidden names that one has (P14, U2, U3); names compare as in find_sheets."""
+    missing = find_sheets(required, sheets).filter("sheet is null").select("name", F.lit("missing").alias("rule"))
+    present = find_sheets(forbidden, sheets).filter("sheet is not null").select("name", F.lit("forbidden").alias("rule"))
+    return missing.unionByName(present)
+
+
+def sheet_count(sheets: DataFrame, bounds: RowBounds) -> DataFrame:
+    """Number of sheets and whether it is as asked."""
+    return sheets.agg(F.count(F.lit(1)).alias("sheets")).select("sheets", bounds.holds(F.col("sheets")).alias("ok"))

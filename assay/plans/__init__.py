@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tabular", "texts")
+MODULES = ("tabular", "texts", "ledgers")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 

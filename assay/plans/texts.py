@@ -1,13 +1,12 @@
-"""Text, encoding, log, document and workbook checks over the tables."""
+"""Text, encoding, log, document and workbook checks over the tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assay.findings import together
 from assay.functions import encoding, text
 from assay.operators import documents, files, logs, workbooks
+from assay.operators.tabular import RowBounds, first_of_each
 from assay.plans import query, table
 
 LABEL = "case when strlen(text) = length(text) then 'ascii' else 'utf-8' end"
@@ -20,16 +19,20 @@ def encoding_class(spark, sf_dir):
     return docs.select("doc_id", encoding.encoding_class(F.col("content")).alias("label"), F.octet_length("content").cast("long").alias("size"))
 
 
-@query(
-    "with t as (select doc_id % 6 as kind, text from documents where length(text) >= 100) select kind, case kind when 0 then 'utf-16le' when 1 then 'utf-16be' when 2 then 'utf-16le' when 3 then 'utf-8-bom' else 'other' end as label, count(*) n from t "
-    "where kind < 4 group by 1, 2"
-)
+@query("select doc_id % 8 as kind, ['utf-16le', 'utf-16be', 'utf-16le', 'utf-8-bom', 'utf-16be', 'cp949-or-binary', 'utf-16?', 'cp949-or-binary'][doc_id % 8 + 1] as label, count(*) n from documents group by 1, 2")
 def encoding_marks(spark, sf_dir):
-    """UTF-16 with and without byte order marks, and a UTF-8 mark."""
-    docs = table(spark, sf_dir, "documents").filter("length(text) >= 100").withColumn("kind", F.col("doc_id") % 6).filter("kind < 4")
-    ascii_head = F.concat(F.lit("a" * 600), F.col("text"))
-    content = F.when(F.col("kind") == 0, F.concat(F.unhex(F.lit("FFFE")), F.encode("text", "UTF-16LE"))).when(F.col("kind") == 1, F.concat(F.unhex(F.lit("FEFF")), F.encode("text", "UTF-16BE"))).when(F.col("kind") == 2, F.encode(ascii_head, "UTF-16LE")).otherwise(F.concat(F.unhex(F.lit("EFBBBF")), F.encode("text", "UTF-8")))
-    return docs.withColumn("label", encoding.encoding_class(content)).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
+    """UTF-16 with and without byte order marks, a UTF-8 mark, bytes that are no UTF-8 with and without a mark, zero bytes anywhere."""
+    head = F.concat(F.lit("a" * 600), F.col("text"))
+    raw, bytes_of = F.encode("text", "UTF-8"), lambda x: F.unhex(F.lit(x))
+    kinds = [
+        F.concat(bytes_of("FFFE"), F.encode("text", "UTF-16LE")), F.concat(bytes_of("FEFF"), F.encode("text", "UTF-16BE")), F.encode(head, "UTF-16LE"), F.concat(bytes_of("EFBBBF"), raw),
+        F.encode(head, "UTF-16BE"), F.concat(raw, bytes_of("C1A4BBF3")), F.concat(bytes_of("000041" * 300), raw), F.concat(bytes_of("EFBBBF"), raw, bytes_of("C1A4BBF3")),
+    ]
+    kind = F.col("doc_id") % 8
+    content = kinds[0]
+    for i, c in enumerate(kinds):
+        content = F.when(kind == i, c).otherwise(content)
+    return table(spark, sf_dir, "documents").select(kind.alias("kind"), encoding.encoding_class(content).alias("label")).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select lang, count(distinct case when {LABEL} <> 'ascii' then {LABEL} end) kinds, coalesce(max(case when {LABEL} <> 'ascii' then {LABEL} end), 'ascii') as label, count(distinct case when {LABEL} <> 'ascii' then {LABEL} end) <= 1 consistent from documents group by 1")
@@ -39,12 +42,31 @@ def encoding_consistency(spark, sf_dir):
     return files.consistency(labels, ["lang"])
 
 
-@query(f"select expected, {LABEL} as label, count(*) n, case expected when 'ascii' then {LABEL} = 'ascii' when 'utf8' then true when 'cp949' then {LABEL} = 'ascii' else false end meets from documents, (select unnest(['utf8', 'utf8-bom', 'cp949', 'ascii']) expected) group by all")
+@query(f"with d as (select case when doc_id % 4 = 0 then 'utf-8-bom' else {LABEL} end label from documents) select expected, label, count(*) n, case expected when 'ascii' then label = 'ascii' when 'utf8' then true when 'cp949' then label = 'ascii' when 'utf8-bom' then label = 'utf-8-bom' end meets, label <> 'utf-8-bom' no_bom, label = 'utf-8-bom' has_bom from d, (select unnest(['utf8', 'utf8-bom', 'cp949', 'ascii']) expected) group by all")
 def encoding_expected(spark, sf_dir):
     """P11, P12."""
-    label = encoding.encoding_class(F.encode("text", "UTF-8"))
-    counts = table(spark, sf_dir, "documents").groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return together(*(counts.select(F.lit(e).alias("expected"), "label", "n", encoding.meets(F.col("label"), e).alias("meets")) for e in ("utf8", "utf8-bom", "cp949", "ascii")))
+    raw = F.encode("text", "UTF-8")
+    content = F.when(F.col("doc_id") % 4 == 0, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(raw)
+    seen = table(spark, sf_dir, "documents").select(encoding.encoding_class(content).alias("label"), encoding.has_bom(content).alias("bom"))
+    counts = seen.groupBy("label", "bom").agg(F.count(F.lit(1)).alias("n"))
+    rules = F.explode(F.array(*(F.struct(F.lit(e).alias("expected"), encoding.meets(F.col("label"), e).alias("meets")) for e in ("utf8", "utf8-bom", "cp949", "ascii")))).alias("r")
+    return counts.select("label", "n", encoding.bom_rule(F.col("bom"), F.col("label"), False).alias("no_bom"), encoding.bom_rule(F.col("bom"), F.col("label"), True).alias("has_bom"), rules).select("r.*", "label", "n", "no_bom", "has_bom")
+
+
+@query("select doc_id, case when doc_id % 3 = 2 then 'cp949' else 'utf8' end as encoding, doc_id % 3 = 1 as bom, case when doc_id % 3 = 2 then '정상' else md5(text) end as digest from documents")
+def text_decode(spark, sf_dir):
+    """S3: UTF-8 with and without a mark, and cp949."""
+    raw, kind = F.encode("text", "UTF-8"), F.col("doc_id") % 3
+    content = F.when(kind == 0, raw).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(F.unhex(F.lit("C1A4BBF3")))
+    d = table(spark, sf_dir, "documents").select("doc_id", encoding.decoded(content).alias("d"))
+    return d.select("doc_id", "d.encoding", "d.bom", F.when(F.col("doc_id") % 3 == 2, F.col("d.text")).otherwise(F.md5("d.text")).alias("digest"))
+
+
+@query("with l as (select doc_id, unnest(string_split_regex(text, '\\r\\n|\\r|\\n')) as t, unnest(range(1, len(string_split_regex(text, '\\r\\n|\\r|\\n')) + 1)) as number from documents) select doc_id, count(*) n, max(number)::bigint as last from l where trim(t, E' \\t\\f\\v') <> '' group by 1")
+def text_lines(spark, sf_dir):
+    """Lines that are not blank keep their number among all."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(logs.log_lines(F.col("text"))).alias("l"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("l.number").alias("last"))
 
 
 @query("select count(*) n, count(*) filter (where contains(text, chr(65533)) or regexp_matches(text, '[\\x{c0}-\\x{ff}][\\x{80}-\\x{bf}]')) hits from documents")
@@ -60,26 +82,24 @@ def mojibake_injected(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.count_if(encoding.mojibake(misread)).alias("hits"))
 
 
-@query(
-    f"select doc_id, regexp_replace(substring(text, 1, 40), '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', ' ', 'g') || ' ' || case when doc_id % 3 = 0 then '{text.REDACTED}' else 'plain' end as line from documents"
-)
+@query(f"select doc_id, md5(replace(regexp_replace(text || chr(7) || chr(8203) || case when doc_id % 3 = 0 then '{text.PASS_MARKER}' else 'plain' end || chr(8238) || text, '{text.CONTROL}', ' ', 'g'), '{text.PASS_MARKER}', '{text.REDACTED}')) as line from documents")
 def clean_redact(spark, sf_dir):
-    """a marker and a control character are injected."""
-    line = F.concat(F.substring("text", 1, 40), F.lit("\x07"), F.when(F.col("doc_id") % 3 == 0, F.lit(text.PASS_MARKER)).otherwise(F.lit("plain")))
-    return table(spark, sf_dir, "documents").select("doc_id", text.redact(line).alias("line"))
+    """a marker, a control, a zero-width and a direction character in the midst of whole texts."""
+    line = F.concat("text", F.lit("\x07\u200b"), F.when(F.col("doc_id") % 3 == 0, F.lit(text.PASS_MARKER)).otherwise(F.lit("plain")), F.lit("\u202e"), "text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.redact(line)).alias("line"))
 
 
-@query(
-    "with t as (select doc_id, text || case doc_id % 10 when 0 then ' TODO.' when 1 then ' tbd' when 2 then ' [[name]]' when 3 then ' {{x}}' when 4 then ' OOO' when 5 then ' TODOS' when 6 then ' lorem  ipsum' else '' end as text from documents), "
-    "p as (select unnest(['TODO marker', 'TBD marker', 'double bracket placeholder', 'double brace placeholder', 'OOO marker', 'lorem ipsum filler']) as label, unnest(['(?i)(^|[^0-9A-Za-z])TODO([^0-9A-Za-z]|$)', '(?i)(^|[^0-9A-Za-z])TBD([^0-9A-Za-z]|$)', '\\[\\[[^\\]\\[]{0,80}\\]\\]', '\\{\\{[^{}]{0,80}\\}\\}', '(^|[^0-9A-Za-z])OOO([^0-9A-Za-z]|$)', '(?i)lorem\\s+ipsum']) as re) "
-    "select label, count(*) n from t, p where regexp_matches(text, re) group by 1"
-)
+MARKS = (" TODO.", " tbd", " FIXME", " xxx-", " OOO", " ○○○", " lorem  ipsum", " <name>", " [[name]]", " {{x}}", " 여기에", " 내용을 입력", " 작성요망", " 기재  요망", " TODOS ooo </b>", "")
+# the fixed patterns; where DuckDB's engine has no lookahead, the same set of strings
+SQL_PATTERNS = ", ".join(f"('{label}', '{'<[^<>/][^<>]{0,38}>' if label.startswith('angle') else pattern}')" for label, pattern in documents.DOCUMENT_PLACEHOLDERS)
+
+
+@query(f"with m(i, mark) as (values {', '.join(f"({i}, '{m}')" for i, m in enumerate(MARKS))}), t as (select doc_id, text || mark as text from documents join m on doc_id % {len(MARKS)} = i), p(label, re) as (values {SQL_PATTERNS}) select label, count(*) n from t, p where regexp_matches(text, re) group by 1")
 def placeholder_hits(spark, sf_dir):
-    """P22, with marks injected by a rule; a longer word with the mark inside must not count."""
-    marks = [" TODO.", " tbd", " [[name]]", " {{x}}", " OOO", " TODOS", " lorem  ipsum"]
+    """Every pattern, with marks injected by a rule; longer words with a mark inside must not count."""
     mark = F.lit("")
-    for i, m in enumerate(marks):
-        mark = F.when(F.col("doc_id") % 10 == i, F.lit(m)).otherwise(mark)
+    for i, m in enumerate(MARKS):
+        mark = F.when(F.col("doc_id") % len(MARKS) == i, F.lit(m)).otherwise(mark)
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", mark).alias("text"))
     return documents.placeholder_hits(docs, keep=["doc_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
@@ -90,8 +110,23 @@ def placeholder_hits(spark, sf_dir):
 )
 def doc_measures(spark, sf_dir):
     """A8, A9."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(documents.paragraphs_of(F.col("text"))).alias("p")).select("doc_id", "p.text", F.lit("").alias("style"))
-    return documents.sizes(rows, ["doc_id"]).select("doc_id", "words", "paragraphs")
+    return table(spark, sf_dir, "documents").select("doc_id", documents.text_sizes(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
+@query("with p as (select page_id, unnest(string_split(html, '<')) as piece from pages), q as (select page_id, regexp_extract(piece, '^([a-z0-9]+)', 1) tag, trim(regexp_replace(regexp_replace(piece, '^[^>]*>', ''), '\\s+', ' ', 'g')) body from p) select page_id, sum(case when body = '' then 0 else length(body) - length(replace(body, ' ', '')) + 1 end)::bigint words, count(*) filter (where body <> '') paragraphs, count(*) filter (where body <> '' and tag in ('h1', 'title')) headings from q group by 1")
+def page_measures(spark, sf_dir):
+    """Page titles stand for heading styles."""
+    piece = F.explode(F.split("html", "<")).alias("piece")
+    rows = table(spark, sf_dir, "pages").select("page_id", piece).select("page_id", F.regexp_replace("piece", r"^[^>]*>", "").alias("text"), F.when(F.regexp_extract("piece", "^([a-z0-9]+)", 1).isin("h1", "title"), "Title").otherwise("Body").alias("style"))
+    return documents.sizes(rows, ["page_id"])
+
+
+@query("select doc_id, array_to_string(list_filter([case when w < 50 then 'least_words' end, case when w > 900 then 'most_words' end, case when p < 2 then 'least_paragraphs' end, case when doc_id % 3 <> 1 then 'tables' end], lambda x: x is not null), ',') problems from (select doc_id, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) w, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, E' \\t\\r\\f\\v') <> '')) p from documents)")
+def document_bounds(spark, sf_dir):
+    """All bounds that a document breaks."""
+    bounds = documents.SizeBounds(least_words=50, most_words=900, least_paragraphs=2, tables=1)
+    rows = table(spark, sf_dir, "documents").select("doc_id", documents.text_sizes(F.col("text")).alias("s"), (F.col("doc_id") % 3).alias("tables"), F.lit(0).alias("headings")).select("doc_id", "s.*", "tables", "headings")
+    return rows.select("doc_id", F.array_join(bounds.problems(), ",").alias("problems"))
 
 
 @query(
@@ -211,25 +246,61 @@ def freshness(spark, sf_dir):
     first = events.agg(F.min("ts").alias("first"))
     age = F.round((F.unix_millis(now) - F.unix_millis(F.col("last").cast("timestamp"))) / F.lit(3_600_000.0), 4)
     last = events.groupBy("event_type").agg(F.max("ts").alias("last")).join(F.broadcast(first))  # one row
-    return last.select("event_type", age.alias("age_hours"), files.fresh(F.col("last").cast("timestamp"), now, 24).alias("fresh"), (F.col("last") > F.col("first")).alias("newer"))
+    return last.select("event_type", age.alias("age_hours"), files.fresh(F.col("last").cast("timestamp"), now, 24).alias("fresh"), files.newer(F.col("last"), F.col("first")).alias("newer"))
 
 
-@query("select doc_id, sha256(text) as sha256, strlen(text) as bytes from documents")
+@query("select doc_id, sha256(text) as sha256, strlen(text) as bytes, sha256(text) = sha256('x') or doc_id % 2 = 0 as as_asked from documents")
 def digest_manifest(spark, sf_dir):
-    """A20, A21, F13, P7."""
-    from assay.operators.audit import fingerprint
-
-    return table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text")).alias("f")).select("doc_id", "f.*")
+    """The digest that is asked for is the row's own in capitals, or another."""
+    docs = table(spark, sf_dir, "documents").withColumn("content", F.encode("text", "UTF-8"))
+    asked = F.when(F.col("doc_id") % 2 == 0, F.upper(F.sha2("content", 256))).otherwise(F.sha2(F.lit("x"), 256))
+    as_files = docs.select(F.struct("doc_id", files.digest_is(F.col("content"), asked).alias("as_asked")).alias("path"), F.octet_length("content").cast("long").alias("length"), F.lit(NOW).cast("timestamp").alias("modificationTime"), "content")
+    return files.manifest(as_files).select("path.doc_id", "sha256", "bytes", "path.as_asked")
 
 
-@query("select doc_id, case when length(text) > 60 then substring(text, 1, 57) || '...' else text end as head, trim(regexp_replace(text, '\\s+', ' ', 'g')) = '' blank from documents")
+@query("with t as (select doc_id, trim(text, E' \\t\\n\\r\\f\\v') as t, trim(regexp_replace(text, '\\s+', ' ', 'g')) as flat, instr(lower(text), 'the') - 1 as hit, text from documents) select doc_id, case when length(t) > 120 then substring(t, 1, 117) || '...' else t end as line, case when length(flat) > 60 then substring(flat, 1, 60) || '...' else flat end as cell, flat = '' as blank, "
+    "case when hit < 0 then null when hit > 12 then case when length(text) - hit + 12 > 57 then '...' || substring(text, hit - 11, 54) || '...' else '...' || substring(text, hit - 11) end else case when length(text) > 60 then substring(text, 1, 57) || '...' else text end end as around from t")
 def excerpts(spark, sf_dir):
-    """F5, F7, F8."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.excerpt(F.col("text"), 60).alias("head"), (text.collapsed(F.col("text")) == "").alias("blank"))
+    """F5, F6, F7, F8."""
+    t, hit = F.col("text"), F.instr(F.lower("text"), F.lit("the")) - 1
+    return table(spark, sf_dir, "documents").select("doc_id", text.log_excerpt(t).alias("line"), text.cell_excerpt(t).alias("cell"), (text.collapsed(t) == "").alias("blank"), F.when(hit >= 0, text.excerpt_around(t, hit)).alias("around"))
 
 
-@query("with t as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn) place from conversations) select conv_id, turn from t where place = 1")
+@query("with t as (select conv_id, turn, role, row_number() over (partition by conv_id order by turn) place from conversations) select conv_id, turn, role from t where place = 1")
 def first_match(spark, sf_dir):
     """The first row of each group."""
-    rows = table(spark, sf_dir, "conversations")
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).filter("place = 1").select("conv_id", "turn")
+    return first_of_each(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role"), ["conv_id"], ["turn"])
+
+
+TAILED = logs.LogScan(forbid=("error disk",), control=("value",), tail=5)
+
+
+@query("with t as (select user_id % 50 as log, event_id, row_number() over (partition by user_id % 50 order by event_id desc) <= 5 scanned from events) select log, count(*) as lines, count(*) filter (where scanned and event_id % 97 = 0) forbidden_hits, case when count(*) filter (where scanned and event_id % 97 <> 0 and event_id % 101 <> 0) = 0 then 'control' when count(*) filter (where scanned and event_id % 97 = 0) > 0 then 'forbidden' else 'pass' end stage from t group by 1")
+def log_scan_tail(spark, sf_dir):
+    """Lines are counted over whole logs, patterns in their tails alone."""
+    lines = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("log"), F.col("event_id").alias("number"), F.expr(LINE).alias("text"))
+    return logs.verdict(lines, TAILED, ["log"])
+
+
+@query("select upper(r_name) || '?' as name, 'missing' as rule from region union all select lower(n_name), 'forbidden' from nation where n_nationkey % 4 = 0")
+def sheet_rules(spark, sf_dir):
+    """Sheets that must and that must not be there."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    sheets = nation.select(F.col("n_name").alias("sheet"))
+    required = region.select(F.concat(F.upper("r_name"), F.lit("?")).alias("name")).unionByName(nation.select(F.lower("n_name").alias("name")))
+    forbidden = nation.filter("n_nationkey % 4 = 0").select(F.lower("n_name").alias("name")).unionByName(region.select(F.concat("r_name", F.lit("!")).alias("name")))
+    return workbooks.sheet_rules(sheets, required, forbidden)
+
+
+@query("select count(*) as sheets, count(*) between 10 and 100 as ok from nation")
+def sheet_count(spark, sf_dir):
+    """P17."""
+    return workbooks.sheet_count(table(spark, sf_dir, "nation"), RowBounds(least=10, most=100))
+
+
+@query("select page_id, replace(replace(format('{:.6f}', n), '.000000', ''), '.500000', '.5') shown from (select page_id, (page_id - 100) * 1.5 as n from pages)")
+def shown_numbers(spark, sf_dir):
+    """N8."""
+    from assay.functions.numbers import shown_number
+
+    return table(spark, sf_dir, "pages").select("page_id", shown_number((F.col("page_id") - 100) * 1.5).alias("shown"))

@@ -1 +1 @@
-"""Sources that Spark has no reader for; so far only the entities of office files are decoded."""
+"""Sources that Spark has no reader for: strict delimited text, office files, completion ledgers, coordination state."""
