@@ -11,8 +11,13 @@ from assay.functions.numbers import age_hours
 
 
 def read_files(spark, path: str, glob: str | None = None) -> DataFrame:
+    """Whole files (S1). The reader leaves out empty ones: the files that it lists and does not give are added, without a time."""
     reader = spark.read.format("binaryFile")
-    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string").select(plain.alias("path"))
+    empty = listed.join(found.select(plain.alias("path")), "path", "left_anti")
+    return found.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
 
 
 def size_within(length: Column, least: int | None = None, most: int | None = None) -> Column:
