@@ -2,8 +2,10 @@
 
 Candidate strings are runs of token characters. A window slides over each one; the counts of its
 characters change by one in and one out, so each step costs a constant. Windows above their
-class's threshold join into one span, unless the allow list knows the candidate; what a fixed
-pattern already covers is cut out of it. Fixed-pattern spans are never suppressed.
+class's threshold join into spans; what a fixed pattern already covers is cut out of them. The
+allow list suppresses windows and no more: those that touch a word of examples, those that lie for a
+half or more in a plain ascending run, and all of a candidate that is a known digest or an
+identifier. Fixed-pattern spans are never suppressed.
 
 Texts: null and "" have no spans; offsets are code points, ends exclusive; repeated rows are
 scanned each for itself; extra columns are not read. An empty table gives an empty result.
@@ -29,47 +31,63 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "entropy")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Strings that documentation and tools use as examples, digests of nothing, and plain runs.
-ALLOW = re.compile(
-    r"(?i)example|sample|dummy|placeholder|x{6}|0{8}|1234567|abcdefg|"
-    r"d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|"
-    r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-)
+#: Words of examples; ascending runs; digests of nothing and identifiers.
+EXAMPLES = re.compile(r"(?i)example|sample|dummy|placeholder|changeme")
+ASCENDING = re.compile(r"(?i)0?1234567(?:8(?:9a?b?c?d?e?f?)?)?|abcdefgh?i?j?k?l?m?n?o?p?q?r?s?t?u?v?w?x?y?z?")
+KNOWN = re.compile(r"(?i)d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
 
 
 @dataclass(frozen=True)
 class EntropyRule:
-    """A character class, its window and the bits per character from which a window is suspicious."""
+    """A character class, its window, the bits per character from which a window is suspicious, and what it must have
+    besides: digits, letters, and places where the case of neighbouring letters changes."""
 
     name: str
     alphabet: frozenset[str]
     window: int
     bits: float
+    digits: int = 0
+    letters: int = 0
+    changes: int = 0
 
 
-HEX_RULE = EntropyRule("hex", frozenset("0123456789abcdefABCDEF"), 20, 2.9)
-BASE64_RULE = EntropyRule("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.8)
+# Words have no digits, numbers no letters, and names written in camel case few changes of case.
+HEX_RULE = EntropyRule("hex", frozenset("0123456789abcdefABCDEF"), 20, 2.9, 3, 3)
+BASE64_RULE = EntropyRule("base64", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 20, 3.8, 3, 3)
+LETTER_RULE = EntropyRule("letters", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), 20, 3.7, 0, 20, 7)
 
 
 @dataclass(frozen=True)
 class Settings:
-    rules: tuple[EntropyRule, ...] = (HEX_RULE, BASE64_RULE)
-    allow: re.Pattern = field(default=ALLOW)
-    digits: int = 3  # a window needs this many digits and as many letters: words have none, numbers no letters
+    rules: tuple[EntropyRule, ...] = (HEX_RULE, BASE64_RULE, LETTER_RULE)
+    examples: re.Pattern = field(default=EXAMPLES)
+    ascending: re.Pattern = field(default=ASCENDING)
+    known: re.Pattern = field(default=KNOWN)
 
 
-def hot_windows(text: str, rule: EntropyRule, digits: int) -> list[tuple[int, int]]:
+def allowed_starts(run: str, window: int, settings: Settings) -> list[tuple[int, int]]:
+    """Ranges of window starts that the allow list suppresses, ends exclusive."""
+    if settings.known.fullmatch(run):
+        return [(0, len(run))]
+    out = [(m.start() - window + 1, m.end()) for m in settings.examples.finditer(run)]
+    half = window // 2
+    out += [(m.start() - half, m.end() - half + 1) for m in settings.ascending.finditer(run) if m.end() - m.start() >= half]
+    return sorted(out)
+
+
+def hot_windows(text: str, rule: EntropyRule, allowed: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
     """Joined spans of windows whose entropy reaches the rule's bits; counts move with the window."""
-    w, n = rule.window, len(text)
+    w = rule.window
     part = [0.0] + [c * math.log2(c) for c in range(1, w + 1)]
     counts: dict[str, int] = {}
-    total, held, nums, letters = 0.0, 0, 0, 0  # total: sum of c log2 c; entropy = log2 w - total / w
-    top = math.log2(w)
+    total, held, nums, letters, changes = 0.0, 0, 0, 0, 0  # total: sum of c log2 c; entropy = log2 w - total / w
+    top, at = math.log2(w), 0
+    turn = [False, *((a.isupper() and b.islower()) or (a.islower() and b.isupper()) for a, b in zip(text, text[1:], strict=False))]
     spans: list[list[int]] = []
     for i, c in enumerate(text):
         if c not in rule.alphabet:
             counts.clear()
-            total, held, nums, letters = 0.0, 0, 0, 0
+            total, held, nums, letters, changes = 0.0, 0, 0, 0, 0
             continue
         if held == w:
             old = text[i - w]
@@ -78,6 +96,7 @@ def hot_windows(text: str, rule: EntropyRule, digits: int) -> list[tuple[int, in
             counts[old] = k - 1
             nums -= old.isdigit()
             letters -= old.isalpha()
+            changes -= turn[i - w + 1]
         else:
             held += 1
         k = counts.get(c, 0)
@@ -85,11 +104,17 @@ def hot_windows(text: str, rule: EntropyRule, digits: int) -> list[tuple[int, in
         counts[c] = k + 1
         nums += c.isdigit()
         letters += c.isalpha()
-        if held == w and nums >= digits and letters >= digits and top - total / w >= rule.bits:
-            if spans and i - w + 1 <= spans[-1][1]:
+        changes += turn[i] and held > 1
+        if held == w and nums >= rule.digits and letters >= rule.letters and changes >= rule.changes and top - total / w >= rule.bits:
+            start = i - w + 1
+            while at < len(allowed) and allowed[at][1] <= start:
+                at += 1
+            if any(a <= start < b for a, b in allowed[at:]):
+                continue
+            if spans and start <= spans[-1][1]:
                 spans[-1][1] = i + 1
             else:
-                spans.append([i - w + 1, i + 1])
+                spans.append([start, i + 1])
     return [(a, b) for a, b in spans]
 
 
@@ -106,23 +131,32 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]], settings: Setting
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         run = m.group()
-        if settings.allow.search(run):
-            continue
         for rule in settings.rules:
-            found += [(m.start() + a, m.start() + b) for a, b in hot_windows(run, rule, settings.digits)]
+            found += [(m.start() + a, m.start() + b) for a, b in hot_windows(run, rule, allowed_starts(run, rule.window, settings))]
     joined: list[list[int]] = []
     for a, b in sorted(found):
         if joined and a < joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], b)
         else:
             joined.append([a, b])
+    covered: list[list[int]] = []
+    for x, y, _ in base:  # by start
+        if covered and x <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], y)
+        else:
+            covered.append([x, y])
     left: list[tuple[int, int, int]] = []
-    for a, b in joined:
-        for x, y, _ in base:  # by start
-            if x < b and a < y:
-                if a < x:
-                    left.append((a, x, 3))
-                a = min(b, y)
+    at = 0
+    for a, b in joined:  # both lists ascend, so neither is walked twice
+        while at < len(covered) and covered[at][1] <= a:
+            at += 1
+        k = at
+        while k < len(covered) and covered[k][0] < b:
+            x, y = covered[k]
+            if a < x:
+                left.append((a, x, 3))
+            a = max(a, y)
+            k += 1
         if a < b:
             left.append((a, b, 3))
     return left
@@ -170,8 +204,8 @@ def mask_text(text: str, settings: Settings = Settings()) -> str:
 def redact(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The documents with every found secret replaced in the text; every other column is kept as it is."""
 
-    @F.pandas_udf("string")
-    def masked(texts):
-        return texts.map(lambda t: None if t is None else mask_text(t, settings))
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else mask_text(t, settings) for t in texts.to_pylist()], pa.string())
 
     return docs.withColumn("text", masked("text"))

@@ -137,13 +137,21 @@ def entropy(text):
     return -sum(c / len(text) * math.log2(c / len(text)) for c in Counter(text).values())
 
 
-def entropy_windows(run, alphabet, window, bits, least):
-    """Joined spans of hot windows, each window's entropy computed anew."""
-    hot = set()
-    for i in range(len(run) - window + 1):
-        w = run[i : i + window]
-        if set(w) <= alphabet and sum(c.isdigit() for c in w) >= least and sum(c.isalpha() for c in w) >= least and entropy(w) >= bits - 1e-12:
-            hot.update(range(i, i + window))
+def entropy_windows(run, rule, settings):
+    """Places in hot windows, each window judged anew; those that the allow list knows are left out."""
+    hot, w = set(), rule.window
+    if settings.known.fullmatch(run):
+        return hot
+    for i in range(len(run) - w + 1):
+        some = run[i : i + w]
+        if any(m.start() < i + w and i < m.end() for m in settings.examples.finditer(run)):
+            continue
+        if any(min(m.end(), i + w) - max(m.start(), i) >= w // 2 for m in settings.ascending.finditer(run)):
+            continue
+        changes = sum(a.isupper() and b.islower() or a.islower() and b.isupper() for a, b in zip(some, some[1:], strict=False))
+        enough = sum(c.isdigit() for c in some) >= rule.digits and sum(c.isalpha() for c in some) >= rule.letters and changes >= rule.changes
+        if set(some) <= rule.alphabet and enough and entropy(some) >= rule.bits - 1e-12:
+            hot.update(range(i, i + w))
     return hot
 
 
