@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, repeats, search, secrets, token_counts, warc
 from assay.llm.common import table
+from assay.llm.oracle import ORACLE as ORACLE
 
 #: Where the public tokenizer files are; a parameter of every operator that reads one.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -68,4 +69,3 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
