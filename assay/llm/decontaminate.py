@@ -1,14 +1,14 @@
 """Benchmark decontamination as a prefix-filtered set join with exact window verification.
 
 An item's windows are its runs of ``window`` words (a shorter item is one window). A window's set
-is its word shingles. All shingles of the benchmark are counted over every document, and a
-window's shingles are ordered by rarity. A document that holds a window holds all its shingles,
-so the rarest alone (a prefix of length one) is the necessary join token. Its place in the window
-bounds the position in the document, the document's end bounds the length, and each candidate is
-then compared word by word.
+is its word shingles, ordered by how rare they are over all documents. A document that holds a
+window holds all its shingles, so the rarest alone (a prefix of length one) is the necessary join
+token. Its place in the window bounds the position in the document, the document's end bounds the
+length, and each candidate is then compared word by word.
 
-The benchmark's index is broadcast in blocks of bounded size, so its bound is proven however
-large the benchmark grows; every block meets every document in one pass.
+Neither the benchmark nor its index is collected or broadcast: windows, shingles and join tokens are
+tables. What goes to all tasks is a bitmap of fixed size that lets most other shingles of a document
+fall before the join; the join on the token settles the rest.
 
 Null and "" have no words; an item without words has no window; items with equal ids count once,
 null ids not at all in lists; repeated documents are judged each for itself; extra columns are
@@ -17,257 +17,216 @@ not read. Empty tables give no hits or an empty result.
 
 from __future__ import annotations
 
-import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import chunked, slices, utf8
+from assay.llm.common import drop_tables, id_filter, materialize, slices, utf8
 
 #: Bytes that are no letter or digit stand between words; A-Z become lower case.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 WINDOW = 10
 SHINGLE = 3
-#: Words of benchmark text in one broadcast block.
-BLOCK_WORDS = 1_000_000
-GAP = 2  # word numbers from here on; 1: a word of no item, 0: between documents
+#: Bits of the broadcast bitmap of tokens; fewer let more shingles through to the join and change nothing else.
+TOKEN_BITS = 1 << 25
+COUNT_TOKENS = 200_000  # tokens whose counts a task holds
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORDS).split()
 
 
-@dataclass
-class Block:
-    """Index of some items: word numbers, and windows by size."""
+class WordHashes(dict):
+    """64-bit hashes of words, kept for the words that a task meets first."""
 
-    numbers: dict[bytes, int]
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # size: rows of word numbers, window of each (window, item) pair, item of each
-    prefix: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] | None = None  # (size, shingle size): sorted join tokens, their offsets and windows
-    items: list[str | None] | None = None
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < 300_000:
+            self[word] = h
+        return h
 
 
-def mix(rows: np.ndarray) -> np.ndarray:
-    """A 64-bit token for each row of word numbers."""
-    h = np.zeros(len(rows), np.uint64)
-    for j in range(rows.shape[1]):
-        h = (h ^ rows[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+def tokens(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A 64-bit token for each run of k words."""
+    n = max(0, len(hashes) - k + 1)
+    h = np.full(n, k, np.uint64)
+    for j in range(k):
+        h = (h ^ hashes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h
 
 
-def rolling(ids: np.ndarray, n: int) -> np.ndarray:
-    return np.lib.stride_tricks.sliding_window_view(ids, n) if len(ids) >= n else np.empty((0, n), ids.dtype)
-
-
-def build_block(items: list[tuple[str | None, bytes]], window: int) -> Block:
-    numbers: dict[bytes, int] = {}
-    names: dict[str | None, int] = {}
-    seen: dict[int, dict[tuple[int, ...], int]] = {}
-    pairs: dict[int, set[tuple[int, int]]] = {}
-    for name, text in items:
-        ids = [numbers.setdefault(w, len(numbers) + GAP) for w in words_of(text)]
-        if not ids:
-            continue
-        item = names.setdefault(name, len(names))
-        size = min(window, len(ids))
-        for at in range(len(ids) - size + 1):
-            key = tuple(ids[at : at + size])
-            known = seen.setdefault(size, {})
-            pairs.setdefault(size, set()).add((known.setdefault(key, len(known)), item))
-    windows = {}
-    for size, known in seen.items():
-        both = np.array(sorted(pairs[size]), np.int64).reshape(-1, 2)
-        windows[size] = np.array(list(known), np.int32).reshape(-1, size), both[:, 0], both[:, 1]
-    return Block(numbers, windows, None, list(names))
-
-
-def tokens_of(block: Block, size: int) -> tuple[int, np.ndarray]:
-    """Shingle size and the (windows, places) matrix of shingle tokens."""
-    rows = block.windows[size][0]
-    k = min(SHINGLE, size)
-    return k, np.stack([mix(rows[:, at : at + k]) for at in range(size - k + 1)], axis=1)
-
-
-def add_prefixes(block: Block, frequency: dict[int, Counter]) -> None:
-    """Keep of each window the rarest shingle over all documents, with its place."""
-    block.prefix = {}
-    for size in block.windows:
-        k, tokens = tokens_of(block, size)
-        known, where = np.unique(tokens, return_inverse=True)
-        often = np.array([frequency[k].get(int(t), 0) for t in known], np.int64)[where.reshape(tokens.shape)]
-        place = np.lexsort((tokens, often), axis=1)[:, 0] if tokens.shape[1] > 1 else np.zeros(len(tokens), np.int64)
-        token = tokens[np.arange(len(tokens)), place]
-        order = np.argsort(token, kind="stable")
-        block.prefix[size, k] = token[order], place[order], order
-
-
-def stream(texts: list[bytes], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers of all texts in one row, a 0 after each text, and the number of words of each."""
-    get, flat, counts = numbers.get, [], []
+def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item, size, words: the distinct windows of each item, words joined by spaces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, 1):
+            rows = []
+            for item, text in zip(part.column(0).to_pylist(), utf8(part.column(1)), strict=True):
+                words = words_of(text)
+                size = min(window, len(words))
+                rows += [(item, size, b" ".join(words[at : at + size])) for at in range(len(words) - size + 1 if size else 0)]
+            for at in range(0, len(rows), 50_000):
+                item, size, words = zip(*rows[at : at + 50_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(size, pa.int32()), pa.array(words, pa.binary())], ["item", "size", "words"])
+
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, size int, words binary").distinct()
+
+
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """k, token, place of every shingle of the windows(size, words)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            row, k_of, token, place = [], [], [], []
+            for i, (size, words) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                k = min(SHINGLE, size)
+                h = tokens(np.fromiter(map(hashes.__getitem__, words.split()), np.uint64, size), k)
+                row += [i] * len(h)
+                k_of += [k] * len(h)
+                token.append(h)
+                place += range(len(h))
+            if row:
+                of = batch.take(pa.array(row, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*of.columns, pa.array(k_of, pa.int32()), pa.array(np.concatenate(token).view(np.int64)), pa.array(place, pa.int32())], ["size", "words", "k", "token", "place"])
+
+    return windows.select("size", "words").mapInArrow(run, "size int, words binary, k int, token long, place int")
+
+
+class TokenFilter:
+    """A bitmap of the tokens of a table: a test that is false only for tokens that it has not."""
+
+    def __init__(self, table: DataFrame):
+        bits = TOKEN_BITS
+        bit = F.expr(f"token & {bits - 1}L")
+        words = table.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toArrow()
+        bitmap = np.zeros(max(1, bits >> 6), np.int64)
+        bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+        self.sizes = sorted(r[0] for r in table.select("k").distinct().collect())  # SHINGLE at most
+        self.shared, self.mask = table.sparkSession.sparkContext.broadcast(bitmap), bits - 1
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        return np.flatnonzero(self.shared.value[at >> 6] >> (at & 63) & 1)
+
+
+def hashed(texts: list[bytes], hashes: WordHashes) -> Iterator[tuple[list[bytes], np.ndarray]]:
     for text in texts:
         words = words_of(text)
-        flat += [get(w, 1) for w in words]
-        flat.append(0)
-        counts.append(len(words))
-    return np.array(flat, np.int32), np.array(counts, np.int64)
-
-
-def find(ids: np.ndarray, block: Block) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(size, start, window) of each exact occurrence in the row of word numbers."""
-    for (size, k), (tokens, places, windows) in block.prefix.items():
-        view = rolling(ids, k)
-        known = np.flatnonzero((ids[: len(view)] >= GAP) & (ids[k - 1 : k - 1 + len(view)] >= GAP)) if len(view) else np.empty(0, np.int64)
-        if not len(known):
-            continue
-        h = mix(view[known])
-        lo, hi = np.searchsorted(tokens, h, "left"), np.searchsorted(tokens, h, "right")
-        n = hi - lo
-        hit = np.flatnonzero(n)
-        if not len(hit):
-            continue
-        n, lo = n[hit], lo[hit]
-        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        start = np.repeat(known[hit], n) - places[entry]
-        inside = (start >= 0) & (start + size <= len(ids))  # bounds of position and length
-        start, window = start[inside], windows[entry[inside]]
-        rows = block.windows[size][0]
-        # word by word; a text's end holds 0, which no window has
-        for lo_ in range(0, len(start), 200_000):
-            s, w = start[lo_ : lo_ + 200_000], window[lo_ : lo_ + 200_000]
-            same = (rolling(ids, size)[s] == rows[w]).all(axis=1)
-            yield size, s[same], w[same]
-
-
-def blocks_of(benchmark: DataFrame, window: int) -> Iterator[Block]:
-    """Blocks of items with about BLOCK_WORDS words, read one after the other."""
-    held, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).toLocalIterator()
-    for row in rows:
-        text = row["text"].encode()
-        held.append((row["item_id"], text))
-        size += text.count(b" ") + 1
-        if size >= BLOCK_WORDS:
-            yield build_block(held, window)
-            held, size = [], 0
-    if held:
-        yield build_block(held, window)
-
-
-def count_shingles(docs: DataFrame, blocks: list) -> dict[int, Counter]:
-    """How often each benchmark shingle occurs over all documents: partial counts per task, summed by shingle."""
-
-    def run(batches):
-        total: dict[int, Counter] = {}
-        wanted = [{k: np.unique(np.concatenate([tokens_of(b.value, s)[1].ravel() for s in b.value.windows if min(SHINGLE, s) == k])) for k in {min(SHINGLE, s) for s in b.value.windows}} for b in blocks]
-        sums = [{k: np.zeros(len(t), np.int64) for k, t in w.items()} for w in wanted]
+        yield words, np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+
+
+def shingle_counts(docs: DataFrame, wanted: TokenFilter) -> DataFrame:
+    """k, token, n: how often shingles that pass the filter occur over all documents, summed per task before the shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = WordHashes(), {k: [] for k in wanted.sizes}, 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for k, some in held.items():
+                if some:
+                    token, n = np.unique(np.concatenate(some), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(token), k, np.int32)), pa.array(token.view(np.int64)), pa.array(n.astype(np.int64))], ["k", "token", "n"])
+                    some.clear()
+
         for part in slices(batches, 0):
-            texts = utf8(part.column(0))
-            for b, want, have in zip(blocks, wanted, sums, strict=True):
-                ids, _ = stream(texts, b.value.numbers)
-                for k, tokens in want.items():
-                    view = rolling(ids, k)
-                    if len(view):
-                        h = mix(view[(view >= GAP).all(axis=1)])
-                        at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-                        have[k] += np.bincount(at[tokens[at] == h], minlength=len(tokens))
-        for want, have in zip(wanted, sums, strict=True):
-            for k, tokens in want.items():
-                total.setdefault(k, Counter()).update({int(t): int(n) for t, n in zip(tokens, have[k], strict=True) if n})
-        for k, c in total.items():
-            for some in chunked(iter(c.items()), 50_000):
-                tokens, n = zip(*some, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(n), pa.int32()), pa.array(np.array(tokens, np.uint64).view(np.int64)), pa.array(n, pa.int64())], ["k", "token", "n"])
-
-    found: dict[int, Counter] = {}
-    for k, token, n in docs.select("text").mapInArrow(run, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n")).toLocalIterator():
-        found.setdefault(k, Counter())[token % 2**64] = n
-    return found
-
-
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-
-
-def index(docs: DataFrame, benchmark: DataFrame, window: int) -> list:
-    """Broadcast blocks whose windows have their rarest shingle as join token."""
-    context = docs.sparkSession.sparkContext
-    blocks = list(blocks_of(benchmark, window))
-    plain = [context.broadcast(b) for b in blocks]
-    frequency = count_shingles(docs, plain) if blocks else {}
-    for b in blocks:
-        for size in b.windows:
-            frequency.setdefault(min(SHINGLE, size), Counter())
-        add_prefixes(b, frequency)
-    for b in plain:
-        b.unpersist()
-    return [context.broadcast(b) for b in blocks]
-
-
-def judge(texts: list[bytes], blocks: list) -> list[tuple[int, int, list[str]]]:
-    """(words, hit words, ids of the items found) of each text."""
-    if not blocks:
-        return [(len(words_of(t)), 0, []) for t in texts]
-    marks, found = None, [set() for _ in texts]
-    for b in blocks:
-        block = b.value
-        ids, counts = stream(texts, block.numbers)
-        ends = np.cumsum(counts + 1)
-        if marks is None:
-            marks = np.zeros(len(ids) + 1, np.int64)
-        for size, start, window in find(ids, block):
-            np.add.at(marks, start, 1)
-            np.add.at(marks, start + size, -1)
-            _, of, item = block.windows[size]
-            pairs = np.unique(np.stack([np.searchsorted(ends, start, "right"), window]), axis=1)
-            for doc, w in pairs.T.tolist():
-                lo, hi = np.searchsorted(of, w, "left"), np.searchsorted(of, w, "right")
-                found[doc].update(item_name for i in item[lo:hi].tolist() if (item_name := block.items[i]) is not None)
-    hit = np.concatenate([[0], np.cumsum(np.cumsum(marks[:-1]) > 0)])
-    starts = ends - counts - 1
-    return [(int(n), int(hit[e - 1] - hit[s]), sorted(x)) for n, s, e, x in zip(counts, starts, ends, found, strict=True)]
+            for _, h in hashed(utf8(part.column(0)), hashes):
+                for k in wanted.sizes:
+                    t = tokens(h, k)
+                    t = t[wanted.places(t)]
+                    held[k].append(t)
+                    size += len(t)
+            if size > COUNT_TOKENS:
+                yield from told()
+                size = 0
+        yield from told()
 
+    return docs.select("text").mapInArrow(run, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per document with its hit words and items. Two narrow passes over the documents."""
-    blocks = index(docs, benchmark, window)
 
-    def run(batches):
+def join_tokens(windows: DataFrame, docs: DataFrame) -> DataFrame:
+    """k, token, place, size, words: the rarest shingle of each distinct window."""
+    shingles = window_shingles(windows.select("size", "words").distinct())
+    counts = shingle_counts(docs, TokenFilter(shingles))
+    order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "place")
+    return shingles.join(counts, ["k", "token"], "left").groupBy("size", "words", "k").agg(F.min(order).alias("first")).select("k", "first.token", "first.place", "size", "words")
+
+
+FOUND = "key binary, doc_id long, n_words long, k int, token long, at int, near binary, before int"
+
+
+def find(docs: DataFrame, wanted: TokenFilter, window: int) -> DataFrame:
+    """A row for each document (k is null), and one for each shingle of it that may be a join token: its place ``at``
+    and the words around it that a window can reach, of which ``before`` stand before it. The key tells a document
+    from others with its doc_id."""
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         for part in slices(batches, 1):
-            rows = judge(utf8(part.column(1)), blocks)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array([r[0] for r in rows], pa.int64()),
-                    pa.array([r[1] for r in rows], pa.int64()),
-                    pa.array([len(r[2]) for r in rows], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(r[2]).encode()).hexdigest() for r in rows], pa.string()),
-                    pa.array([r[1] > 0 for r in rows], pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+            texts, out = utf8(part.column(1)), []
+            for doc, text, (words, h) in zip(part.column(0).to_pylist(), texts, hashed(texts, hashes), strict=True):
+                key = xxhash.xxh3_128_digest(text) + str(doc).encode()
+                out.append((key, doc, len(words), None, None, None, None, None))
+                for k in wanted.sizes:
+                    t = tokens(h, k)
+                    for at in wanted.places(t).tolist():
+                        start = max(0, at - window + 1)
+                        out.append((key, doc, None, k, int(t[at].view(np.int64)), at, b" ".join(words[start : at + window]), at - start))
+            for at in range(0, len(out), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[at : at + 20_000], strict=True), kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, FOUND)
+
+
+def hits(found: DataFrame, index: DataFrame) -> DataFrame:
+    """key, doc_id, start, size, words of the windows that stand in documents: joined by token, compared word by word."""
+    both = found.filter("k is not null").join(index, ["k", "token"])
+    first = F.col("before") - F.col("place")
+    inside = F.slice(F.split(F.col("near").cast("string"), " "), F.greatest(first, F.lit(0)) + 1, F.col("size"))
+    same = (first >= 0) & (F.array_join(inside, " ") == F.col("words").cast("string"))
+    return both.filter(same).select("key", "doc_id", (F.col("at") - F.col("place")).alias("start"), "size", "words").distinct()
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What find gives, the hits in it and the windows, as tables."""
+    windows = materialize(item_windows(benchmark, window), "leak-windows")
+    index = materialize(join_tokens(windows, docs), "leak-tokens")
+    found = materialize(find(docs, TokenFilter(index), window), "leak-candidates")
+    hit = materialize(hits(found, index), "leak-hits")
+    drop_tables(docs.sparkSession, index)
+    return found, hit, windows
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated. Texts are read twice and not shuffled."""
+    found, hit, windows = leaks(docs, benchmark, window)
+    covered = hit.select("key", F.explode(F.sequence("start", F.col("start") + F.col("size") - 1)).alias("word")).groupBy("key").agg(F.count_distinct("word").alias("n_hit"))
+    named = hit.select("key", "size", "words").distinct().join(windows.filter("item is not null"), ["size", "words"]).groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    rows = found.filter("k is null").join(covered, "key", "left").join(named, "key", "left")
+    items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0)).cast("long")
+    return rows.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that hold no window of any item, with all their columns."""
-    blocks = index(docs, benchmark, window)
-
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        out, held, size = [], [], 0
-        for text in texts:
-            held.append((text or "").encode())
-            size += len(held[-1])
-            if size > 2 << 20:
-                out += [r[1] == 0 for r in judge(held, blocks)]
-                held, size = [], 0
-        out += [r[1] == 0 for r in judge(held, blocks)] if held else []
-        return type(texts)(out, dtype=bool)
-
-    return docs.filter(clean("text"))
+    """The documents that hold no window of any item, with all their columns. Only documents whose doc_id may be
+    one of a contaminated document meet the list of those; no other text is shuffled."""
+    _, hit, _ = leaks(docs, benchmark, window)
+    bad = hit.select("key", "doc_id").distinct()
+    may_be = id_filter(bad.select(F.col("doc_id").alias("id")))
+
+    @F.arrow_udf("binary")
+    def key_of(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        return pa.array([xxhash.xxh3_128_digest(t) + str(d).encode() for d, t in zip(ids.to_pylist(), utf8(texts), strict=True)], pa.binary())
+
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    marked = docs.withColumn("__may_be", may_be(F.col("doc_id").cast("long")))
+    clean = marked.filter(~F.col("__may_be"))
+    doubtful = marked.filter("__may_be").withColumn("__key", key_of(F.col("doc_id").cast("long"), F.col("text")))
+    kept = doubtful.join(bad.select(F.col("key").alias("__key")), "__key", "left_anti")
+    return clean.select(*names).unionByName(kept.select(*names))

@@ -145,12 +145,28 @@ class TestDecontamination:
         rows = decontaminate.contamination(odd_docs[0], bench.limit(0)).collect()
         assert len(rows) == len(odd_docs[1]) and not any(r.contaminated for r in rows)
 
-    def test_blocks(self, spark, odd_docs, monkeypatch):
+    def test_small_filter(self, spark, odd_docs, monkeypatch):
+        """A bitmap that lets nearly everything through, and small counts, change nothing; items can stand twice."""
         docs = dict(odd_docs[1])
-        items = [(i, docs[i]) for i in range(0, 60, 3)]
-        monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 100)
+        items = [(i, docs[i]) for i in range(0, 60, 3)] + [(3, docs[3]), (3, "one two"), (None, docs[9])]
+        monkeypatch.setattr(decontaminate, "TOKEN_BITS", 64)
+        monkeypatch.setattr(decontaminate, "COUNT_TOKENS", 50)
         bench = spark.createDataFrame(items, "item_id long, text string")
-        assert keyed(decontaminate.contamination(odd_docs[0], bench), *self.COLUMNS) == brute.contaminated(odd_docs[1], items)
+        named = [(i, t) for i, t in items if i is not None]
+        have, want = keyed(decontaminate.contamination(odd_docs[0], bench), *self.COLUMNS), brute.contaminated(odd_docs[1], named)
+        assert {k: v[2:4] for k, v in have.items()} == {k: v[2:4] for k, v in want.items()}
+        assert {k: v[:2] for k, v in have.items()} == {k: v[:2] for k, v in brute.contaminated(odd_docs[1], items).items()}
+
+    def test_repeated_ids(self, spark):
+        """Rows that share a doc_id are judged by their own texts."""
+        words = [f"w{i}" for i in range(12)]
+        docs = [(1, " ".join(words)), (1, "clean text"), (None, " ".join(words)), (None, None), (2, " ".join(words)), (2, " ".join(words))]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        bench = spark.createDataFrame([("x", " ".join(words[1:11]))], "item_id string, text string")
+        rows = sorted((r.doc_id or 0, r.n_words, r.n_hit) for r in decontaminate.contamination(df, bench).collect())
+        assert rows == [(0, 0, 0), (0, 12, 10), (1, 2, 0), (1, 12, 10), (2, 12, 10), (2, 12, 10)]
+        kept = sorted((r.doc_id or 0, r.text) for r in decontaminate.without_contaminated(df, bench).collect())
+        assert kept == [(0, None), (1, "clean text")]
 
 
 class TestBpe:
