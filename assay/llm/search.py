@@ -3,14 +3,17 @@
 Vectors are dealt to shards of bounded size by a hash of their row, and each shard's task builds
 a ball tree. A query's bound on a ball is its product with the centre plus its length times the
 radius; nodes are opened from the largest bound down and skipped when they cannot reach the
-query's current k-th score. That score starts from one shard: a first round searches each query
-in a single seed shard, and every shard then prunes with what the seed found.
+query's current k-th score. Shards are searched in rounds, few first: after each round the k-th
+score that a query has over all shards so far is where every shard of the next round starts.
 
-Queries come in blocks of bounded size against all rows. Vectors that are null, empty, of another
-length than most or that hold null or non-finite parts take no part; neither do null ids. Ties go
+Queries are packed into blocks of bounded size. A task meets a group of blocks with a group of
+shards; groups are dealt to tasks as rows, so neither vectors nor queries go through the driver.
+
+Vectors that are null, empty or that hold null or non-finite parts take no part; neither do null
+ids. Vectors of another length have no product with a query and are not its candidates. Ties go
 to the smaller id; rows with the query's own id are not its candidates, other repeated rows count
-one by one. Fewer than k candidates give fewer rows, none gives none. An empty table gives an empty
-result; extra columns are not read.
+one by one. Fewer than k candidates give fewer rows, none gives none. An id asks once, with its
+smallest vector if it has several. An empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -22,14 +25,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.llm.common import chunked, materialize, parts_for
+from assay.llm.common import drop_tables, materialize, parts_for
 
-SHARD_ROWS = 8192
+#: Bytes of vectors in a shard and in a block of queries, and how many of them at most meet in one task.
+SHARD_BYTES, BLOCK_BYTES = 4 << 20, 2 << 20
+GROUP = 16
 LEAF_ROWS = 64
-QUERY_BLOCK = 4096
 
 
 @dataclass
@@ -107,74 +112,111 @@ def vectors(table: DataFrame) -> DataFrame:
     return table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").filter(valid).filter(F.coalesce(sound, F.lit(False))).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 256).cast("double")).alias("v"))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def build_shards(vecs: DataFrame, n: int) -> DataFrame:
-    """One row per shard with its pickled tree; at most about SHARD_ROWS rows each."""
+    """dim, shard, tree: one ball tree for each length of vectors in each of n shards."""
 
-    def build(batches):
-        ids, rows = [], []
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for b in batches:
-            ids.append(b.column(0).to_numpy())
-            flat = b.column(1)
-            rows.append(flat.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
-        if ids:
-            tree = build_tree(np.concatenate(ids), np.concatenate(rows))
-            yield pa.RecordBatch.from_pydict({"tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                some = b.filter(pa.array(dims == dim))
+                held.setdefault(dim, []).append((some.column(0).to_numpy(), matrix(some.column(1))))
+        for dim, parts in held.items():
+            tree = build_tree(*map(np.concatenate, zip(*parts, strict=True)))
+            yield pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "tree": pa.array([pickle.dumps(tree, 5)], pa.binary())})
 
     # sorted, so that a task that runs again builds the same tree
-    return vecs.repartition(n, F.xxhash64("vec_id", "v")).sortWithinPartitions("vec_id").mapInArrow(build, "tree binary")
+    return vecs.repartition(n, F.xxhash64("vec_id", "v")).sortWithinPartitions("vec_id").mapInArrow(build, "dim int, shard int, tree binary")
 
 
-FOUND = "query_id long, vec_id long, score double"
+def query_blocks(queries: DataFrame, n: int) -> DataFrame:
+    """dim, block, ids, rows, floors: queries(query_id, v, dim, floor) packed by length into blocks of n or fewer tasks' shares."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
 
-def search_shards(shards: DataFrame, block, k: int) -> DataFrame:
-    """The best of each shard for a broadcast block of (ids, rows, floors)."""
+        def block(dim: int) -> pa.RecordBatch:
+            ids, rows, floors = map(np.concatenate, zip(*held.pop(dim), strict=True))
+            return pa.RecordBatch.from_pydict({"dim": pa.array([dim], pa.int32()), "block": pa.array([TaskContext.get().partitionId()], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "rows": pa.array([rows.tobytes()], pa.binary()), "floors": pa.array([floors.tobytes()], pa.binary())})
 
-    def run(batches):
-        ids, rows, floors = block.value
         for b in batches:
-            for blob in b.column(0).to_pylist():
-                tree = pickle.loads(blob)
-                found = [(q, v, s) for q, row, floor in zip(ids.tolist(), rows, floors.tolist(), strict=True) for s, v in search_tree(tree, q, row, k, floor)]
-                for some in chunked(iter(found), 50_000):
-                    q, v, s = zip(*some, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], ["query_id", "vec_id", "score"])
+            dims = b.column(2).to_numpy()
+            for dim in np.unique(dims).tolist():
+                some = b.filter(pa.array(dims == dim))
+                held.setdefault(dim, []).append((some.column(0).to_numpy(), matrix(some.column(1)), some.column(3).to_numpy()))
+                if sum(len(x[0]) for x in held[dim]) * dim * 8 >= BLOCK_BYTES:
+                    yield block(dim)
+        for dim in list(held):
+            yield block(dim)
+
+    return queries.select("query_id", "v", "dim", "floor").repartition(n, "query_id").mapInArrow(pack, "dim int, block int, ids binary, rows binary, floors binary")
+
+
+FOUND = "query_id long, vec_id long, score double"
+
+
+def search_round(shards: DataFrame, blocks: DataFrame, k: int, n_shards: int, n_blocks: int) -> DataFrame:
+    """The k best of each group of shards for each query of the blocks, those that reach the query's floor."""
+    shard_groups, block_groups = parts_for(n_shards, min(GROUP, max(1, n_shards // 64))), parts_for(n_blocks, min(GROUP, max(1, n_blocks // 8)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = shards.withColumn("sg", F.col("shard") % shard_groups).withColumn("bg", every(block_groups))
+    right = blocks.withColumn("bg", F.col("block") % block_groups).withColumn("sg", every(shard_groups))
+
+    def run(key, own: pa.Table, asked: pa.Table) -> pa.Table:
+        trees = [pickle.loads(t) for t in own.column("tree").to_pylist()]
+        out: list[tuple[int, int, float]] = []
+        dim = key[0].as_py()
+        for ids, rows, floors in zip(*(asked.column(c).to_pylist() for c in ("ids", "rows", "floors")), strict=True):
+            ids, rows, floors = np.frombuffer(ids, np.int64), np.frombuffer(rows, np.float64).reshape(-1, dim), np.frombuffer(floors, np.float64)
+            for q, row, floor in zip(ids.tolist(), rows, floors.tolist(), strict=True):
+                best: list[tuple[float, int]] = []
+                for tree in trees:  # what one shard finds is where the next starts
+                    best = heapq.nsmallest(k, [*best, *search_tree(tree, q, row, k, floor)], key=lambda x: (-x[0], x[1]))
+                    if len(best) == k:
+                        floor = max(floor, best[-1][0])
+                out += [(q, v, s) for s, v in best]
+        q, v, s = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.float64())})
 
-    return shards.mapInArrow(run, FOUND)
+    on = ["dim", "sg", "bg"]
+    parts = shard_groups * block_groups
+    return left.repartition(parts, *on).groupBy(*on).cogroup(right.repartition(parts, *on).groupBy(*on)).applyInArrow(run, FOUND)
 
 
-def best(found: DataFrame, k: int) -> DataFrame:
-    """The k best rows of each query: partial lists per task, merged per query."""
-    ordered = F.expr("sort_array(collect_list(struct(-score as s, vec_id as v)))")
-    top = found.groupBy("query_id").agg(F.slice(ordered, 1, k).alias("top"))
-    return top.select("query_id", F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.v").alias("vec_id"), (-F.col("hit.s")).cast("long").alias("score"))
+def best_of(found: DataFrame, k: int) -> DataFrame:
+    """The k best rows of each query with their rank; Spark keeps k of a query per task before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def query_blocks(vecs: DataFrame, every: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    # an id asks once, with its smallest vector if it has several
-    asked = vecs.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v")).toLocalIterator()
-    for rows in chunked(asked, QUERY_BLOCK):
-        yield np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+def rounds_of(n: int) -> list[tuple[int, int]]:
+    """Ranges of shards: one, about an eighth, the rest."""
+    cuts = sorted({0, min(1, n), min(-(-n // 8), n), n})
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
 def top_k(table: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """Per query (ids divisible by ``every``): query_id, rank, vec_id, score of its k best other rows."""
     spark = table.sparkSession
-    vecs = vectors(table)
-    lengths = vecs.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if lengths is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    vecs = vecs.filter(F.size("v") == lengths["n"])
-    shards = materialize(build_shards(vecs, parts_for(lengths["count"], SHARD_ROWS)), "ball-trees")
-    seed = shards.limit(1)
-    out = None
-    for ids, rows in query_blocks(vecs, every):
-        block = spark.sparkContext.broadcast((ids, rows, np.full(len(ids), -np.inf)))
-        first = search_shards(seed, block, k).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") == k)
-        floors = {row["query_id"]: row["floor"] for row in first.toLocalIterator()}
-        block = spark.sparkContext.broadcast((ids, rows, np.array([floors.get(q, -np.inf) for q in ids.tolist()])))
-        found = search_shards(shards, block, k)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    return best(out, k)
+    vecs = vectors(table).withColumn("dim", F.size("v"))
+    asked = (F.pmod("vec_id", F.lit(every)) == 0).alias("asked")
+    size, queries_size = vecs.select("dim", asked).agg(F.sum("dim"), F.sum(F.when(F.col("asked"), F.col("dim")))).first()
+    n_shards, n_blocks = parts_for((size or 0) * 8, SHARD_BYTES, 1), parts_for((queries_size or 0) * 8, BLOCK_BYTES, 1)
+    shards = materialize(build_shards(vecs.select("vec_id", "v", "dim"), n_shards), "ball-trees")
+    n_shards = (shards.agg(F.max("shard")).first()[0] or 0) + 1  # as many as there were tasks
+    queries = materialize(vecs.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("v")).withColumn("dim", F.size("v")), "top-queries")
+    best = spark.createDataFrame([], FOUND + ", rank int")
+    for first, last in rounds_of(n_shards):
+        floors = best.filter(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+        ready = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
+        found = search_round(shards.filter(F.col("shard").between(first, last - 1)), query_blocks(ready, n_blocks), k, last - first, n_blocks)
+        before = best
+        best = materialize(best_of(best.select("query_id", "vec_id", "score").unionByName(found), k), "top-best")
+        drop_tables(spark, before)
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))

@@ -393,11 +393,11 @@ class TestSearch:
         df = spark.read.parquet(f"{SMALL}/embeddings.parquet")
         self.compare(df, [(r[0], r[1]) for r in df.select("vec_id", "embedding").collect()])
 
-    @pytest.mark.parametrize("shard,leaf,block", [(40, 4, 3), (1000, 64, 4096)])
+    @pytest.mark.parametrize("shard,leaf,block", [(40 * 24, 4, 3 * 24), (300, 4, 24), (1 << 20, 64, 1 << 20)])
     def test_ties_and_shards(self, spark, monkeypatch, shard, leaf, block):
         import random
 
-        for name, value in (("SHARD_ROWS", shard), ("LEAF_ROWS", leaf), ("QUERY_BLOCK", block)):
+        for name, value in (("SHARD_BYTES", shard), ("LEAF_ROWS", leaf), ("BLOCK_BYTES", block)):
             monkeypatch.setattr(search, name, value)
         rng = random.Random(1)
         rows = [(i, [rng.choice([-1.5, 0.0, 0.25, 1.0]) for _ in range(3)]) for i in range(300)]
@@ -408,6 +408,11 @@ class TestSearch:
         rows = [(0, [1.0, 2.0]), (1, None), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0]), (6, []), (50, [0.5, -1.0]), (7, [3.0, 3.0]), (None, [1.0, 1.0])]
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
         self.compare(df, [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (7, [3.0, 3.0])])
+        # each length is searched among its own, and an id that has several vectors asks with its smallest
+        more = df.unionByName(spark.createDataFrame([(100, [2.0]), (150, [-1.0]), (0, [9.0, 9.0])], "vec_id long, embedding array<float>"))
+        have = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in search.top_k(more).collect())
+        x = 256 * 256
+        assert have == [(0, 1, 7, 9 * x), (0, 2, 50, -3 * x // 2), (50, 1, 0, -3 * x // 2), (50, 2, 7, -3 * x // 2), (50, 3, 0, -9 * x // 2), (100, 1, 5, 2 * x), (100, 2, 150, -2 * x), (150, 1, 5, -x), (150, 2, 100, -2 * x)]
         assert search.top_k(df.limit(0)).collect() == []
         assert search.top_k(df.filter("vec_id = 0")).collect() == []
 
