@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,41 +227,71 @@ def earliest_windows(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
     return out, segment
 
 
-ANCHOR = "h long, around long, key long, place long"
+ANCHOR = "h long, around long, key long, place long, copy boolean"
+#: Anchors that a task holds to tell copies from the first of them before the shuffle.
+HELD_ANCHORS = 1_000_000
 
 
 def place_key() -> F.Column:
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**62)) - F.pmod(F.xxhash64("text"), F.lit(2**62)))
 
 
+def anchor_batch(columns: list[np.ndarray], copy: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(columns[0]), copy))], ["h", "around", "key", "place", "copy"])
+
+
 def find_anchors(docs: DataFrame) -> DataFrame:
+    """The anchors of all documents. Of equal surroundings that a task meets, all but the first are copies whatever
+    other tasks have, so a passage that stands in very many documents comes to the shuffle a few times a task."""
+
     def run(batches):
+        held, size = [], 0
+
+        def told():
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            order = np.lexsort(columns[::-1])
+            h, around, key, place = columns = [c[order] for c in columns]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            copy = ~new & ((key != key[first]) | (place != place[first]))
+            yield anchor_batch([c[~copy] for c in columns], False)
+            if copy.any():
+                yield anchor_batch([c[copy] for c in columns], True)
+
         for part in slices(batches, 1, PIECE):
             key = part.column(0).to_numpy()
             for text, place, h, around in anchor_rows(utf8(part.column(1))):
                 if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(around.view(np.int64)), pa.array(key[text]), pa.array(place)], ["h", "around", "key", "place"])
+                    held.append((h.view(np.int64), around.view(np.int64), key[text], place))
+                    size += len(text)
+            if size > HELD_ANCHORS:
+                yield from told()
+                held, size = [], 0
+        if held:
+            yield from told()
 
     return docs.select(place_key().alias("key"), "text").mapInArrow(run, ANCHOR)
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
     """Anchors with what they are: a copy of equal surroundings, or the first of its surroundings
-    where the anchor has others too. One pass over sorted rows that holds one row."""
+    where the anchor has others too. One pass over sorted rows that holds one row; copies that their
+    task has told already are dealt by themselves and pass."""
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = found.repartition(parts, "h").sortWithinPartitions("h", "around", "key", "place")
-    names = ["h", "around", "key", "place", "copy"]
-
-    def rows(columns: list[np.ndarray], copy: bool):
-        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(np.full(len(columns[0]), copy))], names)
+    by = F.when(F.col("copy"), F.xxhash64("key", "place")).otherwise(F.col("h"))
+    placed = found.repartition(parts, by).sortWithinPartitions("copy", "h", "around", "key", "place")
 
     def run(batches):
         lead = None  # the first row of the current surroundings
         held, told = None, False  # the last first row, and whether another of its anchor stands before it
         for batch in batches:
+            passed = batch.filter(batch.column(4))
+            if passed.num_rows:
+                yield passed
+                batch = batch.filter(pc.invert(batch.column(4)))
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy() for c in batch.columns]
+            columns = [c.to_numpy() for c in batch.columns[:4]]
             h, around, key, place = columns
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (around[1:] != around[:-1])])
             if lead is not None and (h[0], around[0]) == lead[:2]:
@@ -271,7 +302,7 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
             first_place = np.concatenate([[lead[3] if lead else 0], place[starts]])[of + 1]
             copy = ~new & ((key != first_key) | (place != first_place))
             if copy.any():
-                yield rows([c[copy] for c in columns], True)
+                yield anchor_batch([c[copy] for c in columns], True)
             if len(starts):
                 lead = tuple(int(c[starts[-1]]) for c in columns)
                 firsts = [c[starts] for c in columns]
@@ -280,12 +311,12 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
                 same = firsts[0][1:] == firsts[0][:-1]
                 many = np.concatenate([[told and held is not None], same]) | np.concatenate([same, [False]])
                 if many[:-1].any():
-                    yield rows([c[:-1][many[:-1]] for c in firsts], False)
+                    yield anchor_batch([c[:-1][many[:-1]] for c in firsts], False)
                 held, told = tuple(int(c[-1]) for c in firsts), bool(many[-1])
         if held is not None and told:
-            yield rows([np.array([x], np.int64) for x in held], False)
+            yield anchor_batch([np.array([x], np.int64) for x in held], False)
 
-    return placed.mapInArrow(run, ANCHOR + ", copy boolean")
+    return placed.mapInArrow(run, ANCHOR)
 
 
 FLAG = "key long, at long, around long, lo long, hi long"
@@ -348,20 +379,25 @@ def index_flags(segments: DataFrame) -> DataFrame:
 
 
 def hot_flags(segments: DataFrame) -> DataFrame:
-    """The same for anchors with very many surroundings: single windows, reduced to their first place before the shuffle."""
+    """The same for anchors with very many surroundings: single windows, reduced to their first place before the
+    shuffle. All but those first places are repeats; they part by window and place, so no window is one task's."""
 
     def windows(batches):
-        for batch in batches:
-            for _, around, key, place, segment in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                at, lo, hi = (int(x) for x in unpack(np.int64(place)))
-                start = np.arange(lo, hi + 1)
-                rolls = [Rolling(np.frombuffer(segment[::d], np.uint8)).grams(WINDOW) for d in (1, -1)]
-                n = len(start)
-                yield pa.RecordBatch.from_arrays([pa.array(rolls[0].view(np.int64)), pa.array(rolls[1][::-1].copy().view(np.int64)), pa.array(np.full(n, key)), pa.array(np.full(n, at)), pa.array(np.full(n, around)), pa.array(start)], ["w1", "w2", "key", "at", "around", "lo"])
+        for part in slices(batches, 4, PIECE):
+            lengths = np.array([len(x) for x in part.column(4).to_pylist()], np.int64)
+            data = np.frombuffer(b"".join(part.column(4).to_pylist()), np.uint8)
+            at, lo, hi = unpack(part.column(3).to_numpy())
+            n = hi - lo + 1
+            row = np.repeat(np.arange(len(n)), n)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            start = np.repeat(np.cumsum(lengths) - lengths, n) + inside
+            there, back = Rolling(data).grams(WINDOW)[start], Rolling(data[::-1]).grams(WINDOW)[len(data) - WINDOW - start]
+            key, around = part.column(2).to_numpy(), part.column(1).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (there.view(np.int64), back.view(np.int64), key[row], at[row], around[row], lo[row] + inside)], ["w1", "w2", "key", "at", "around", "lo"])
 
     rows = segments.mapInArrow(windows, "w1 long, w2 long, key long, at long, around long, lo long")
-    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("key", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2", F.col("first.key").alias("k0"), F.col("first.lo").alias("s0"))
-    return rows.join(first, ["w1", "w2"]).filter("key != k0 or lo != s0").select("key", "at", "around", "lo", F.col("lo").alias("hi"))
+    first = rows.groupBy("w1", "w2").agg(F.min(F.struct("key", "lo")).alias("first")).select("w1", "w2", F.col("first.key").alias("key"), F.col("first.lo").alias("lo"))
+    return rows.join(first, ["w1", "w2", "key", "lo"], "left_anti").select("key", "at", "around", "lo", F.col("lo").alias("hi"))
 
 
 def around_of(text: bytes, at: int) -> int:
