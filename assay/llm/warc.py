@@ -16,22 +16,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import materialize, parts_for, shared_dir
+from assay.llm.common import chunked, materialize, parts_for, shared_dir
 
 READ_BYTES = 1 << 20
-#: Index entries that one merging task holds.
-MERGE_ROWS = 500_000
+#: Index entries that one merging task holds, and of each run that its cursor has read ahead.
+MERGE_ROWS, CURSOR_ROWS = 500_000, 500
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 
 
@@ -123,9 +125,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         url_key(F.col("url")).alias("url_key"),
         F.sha1(F.coalesce("html", F.lit(""))).alias("sha1"),
     )
-    owners = rows.groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1 and owner is not null").select(F.col("sha1").alias("same"), "owner")
+    # pages meet their payload's owner by digests alone; the payloads themselves move by page, so a common one is spread
+    keys = rows.select("sha1", "page_id").distinct()
+    owners = keys.groupBy("sha1").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("n")).filter("n > 1 and owner is not null").select("sha1", "owner")
+    owned = keys.join(owners, "sha1").select(F.col("sha1").alias("same"), F.col("page_id").alias("page"), "owner")
     placed = (
-        rows.join(owners, rows.sha1 == owners.same, "left")
+        rows.join(owned, (rows.sha1 == owned.same) & rows.page_id.eqNullSafe(owned.page), "left")
         .withColumn("seconds", F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000)).cast("int"))
         .select("url_key", "seconds", "page_id", "url", "html", F.when(F.coalesce(F.col("page_id") < F.col("owner"), F.col("owner").isNotNull()), F.col("owner")).alias("owner"))
         .sortWithinPartitions("url_key", "seconds", F.col("page_id").asc_nulls_first())
@@ -133,7 +138,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         part = TaskContext.get().partitionId()
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
         name, out, n = f"run-{part:06d}-{uuid.uuid4().hex}.warc.gz", None, 0
         try:
             for batch in batches:
@@ -157,7 +162,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     checked against its digest; a revisit has size and digest of the full payload in its headers."""
 
     def run(batches):
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
         for batch in batches:
             for number, archive, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows, seen = [], 0
@@ -233,12 +238,19 @@ def merge_index(entries: DataFrame, rows: int) -> DataFrame:
         if not held:
             return
         data = pa.Table.from_batches(held)
-        numbers = data.column(0).to_pylist()
-        keys = list(zip(data.column(1).to_pylist(), data.column(2).to_pylist(), ((x is not None, x or 0) for x in data.column(3).to_pylist()), range(data.num_rows), strict=True))
-        starts = [i for i in range(len(numbers)) if i == 0 or numbers[i] != numbers[i - 1]]
-        runs = [keys[a:b] for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
-        order = pa.array([key[3] for _, key in LoserTree(runs)], pa.int64())
-        yield from data.take(order).combine_chunks().to_batches(max_chunksize=50_000)
+        numbers = data.column(0).to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])).tolist()
+
+        def cursor(at: int, end: int) -> Iterator[tuple]:
+            # a run's keys are read a few at a time, as the tree takes them
+            for lo in range(at, end, CURSOR_ROWS):
+                part = data.slice(lo, min(CURSOR_ROWS, end - lo))
+                keys, times, pages = (part.column(c).to_pylist() for c in (1, 2, 3))
+                yield from zip(keys, times, ((x is not None, x or 0) for x in pages), range(lo, lo + part.num_rows), strict=True)
+
+        merged = (key[3] for _, key in LoserTree([cursor(a, b) for a, b in zip(starts, [*starts[1:], data.num_rows], strict=True)]))
+        for some in chunked(merged, 20_000):
+            yield from data.take(pa.array(some, pa.int64())).combine_chunks().to_batches()
 
     return ranged.mapInArrow(run, ENTRY)
 
