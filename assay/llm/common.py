@@ -79,6 +79,17 @@ def text_bytes(docs: DataFrame, column: str = "text") -> tuple[int, int]:
     return int(row[0]), int(row[1] or 0)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` has not, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def parts_for(size: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(size / each))
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import drop_tables, id_filter, materialize, slices, utf8
+from assay.llm.common import drop_tables, fresh, id_filter, materialize, slices, utf8
 
 #: Bytes that are no letter or digit stand between words; A-Z become lower case.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -45,7 +45,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -224,9 +224,9 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WI
     def key_of(ids: pa.Array, texts: pa.Array) -> pa.Array:
         return pa.array([xxhash.xxh3_128_digest(t) + str(d).encode() for d, t in zip(ids.to_pylist(), utf8(texts), strict=True)], pa.binary())
 
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__may_be", may_be(F.col("doc_id").cast("long")))
-    clean = marked.filter(~F.col("__may_be"))
-    doubtful = marked.filter("__may_be").withColumn("__key", key_of(F.col("doc_id").cast("long"), F.col("text")))
-    kept = doubtful.join(bad.select(F.col("key").alias("__key")), "__key", "left_anti")
-    return clean.select(*names).unionByName(kept.select(*names))
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    mark, key, bad_key = fresh(docs, "__may_be", "__key", "__bad_key")
+    marked = docs.withColumn(mark, may_be(F.col("doc_id").cast("long")))
+    doubtful = marked.filter(F.col(mark)).select(*plain, key_of(F.col("doc_id").cast("long"), F.col("text")).alias(key))
+    kept = doubtful.join(bad.select(F.col("key").alias(bad_key)), F.col(key) == F.col(bad_key), "left_anti")
+    return marked.filter(~F.col(mark)).select(*plain).unionByName(kept.select(*plain))

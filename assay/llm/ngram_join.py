@@ -27,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import drop_tables, id_filter, materialize, slices, utf8
+from assay.llm.common import drop_tables, fresh, id_filter, materialize, slices, utf8
 
 NGRAM = 4
 LEAST, OF = 85, 100  # link: OF * intersection >= least * union, least being LEAST unless told otherwise
 #: An n-gram is looked at for the frequent end of the order if so many documents of one step have it.
-STEP_NGRAMS, STEP_OFTEN = 4_000_000, 16
+STEP_NGRAMS, STEP_OFTEN = 2_000_000, 8
 #: Entries of the broadcast table of frequent n-grams; the order of the others is by hash.
 #: More or fewer change what the join costs, not its result.
 FREQUENT = 1_000_000
@@ -50,7 +50,7 @@ class WordHashes(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
+        if len(self) < 100_000:
             self[word] = h
         return h
 
@@ -467,10 +467,18 @@ def join_components(docs: DataFrame, n: int = NGRAM) -> DataFrame:
 
 def one_of_each(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
     """The documents with one left of each group of linked ones: that with the smallest doc_id, and of
-    rows that share it the smallest text. Documents without n-grams all stay, as do all columns."""
+    rows that share it the smallest text. Documents without n-grams all stay, as do all columns.
+
+    Only documents whose doc_id may be one of a document that goes, or that stands twice, are looked at
+    again; no other text is shuffled.
+    """
     placed = materialize(classes(docs, n, least), "ngram-classes").filter("class is not null")
-    chosen = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("of")).select(F.col("of.doc_id").alias("__id"), F.col("of.node").alias("__of"))
-    twice = placed.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of"))
+    chosen = placed.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("of"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("of.doc_id")) & (F.col("node") == F.col("of.node")))
+    losers = placed.join(chosen, "class").filter(other).select(F.col("doc_id").alias("__id"), F.col("node").alias("__of")).distinct()
+    losers = materialize(losers, "ngram-losers")
+    twice = materialize(placed.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("__id"), F.col("node").alias("__of")), "ngram-twice")
+    may_be = id_filter(losers.unionByName(twice).select(F.col("__id").alias("id")))
 
     @F.arrow_udf("long")
     def node_of(texts: pa.Array) -> pa.Array:
@@ -480,13 +488,12 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFram
             out.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
         return pa.array(out, pa.int64())
 
-    names = docs.columns
-    noted = docs.withColumn("__node", node_of("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__node") == F.col("__of"))
-    kept = noted.filter("__node is not null").join(chosen.hint("shuffle_hash"), same, "left_semi")
-    once = kept.join(twice, same, "left_anti")
-    row = F.struct(*(F.col(f"`{c}`") for c in names))
-    repeated = kept.join(twice, same, "left_semi").groupBy("doc_id", "__node").agg(F.min_by(row, F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
-    bare = noted.filter("__node is null")
-    plain = [F.col(f"`{c}`") for c in names]
-    return once.select(*plain).union(repeated).union(bare.select(*plain))
+    plain = [F.col(f"`{c}`") for c in docs.columns]
+    mark, node, lost_id, lost_node = fresh(docs, "__may_be", "__node", "__lost_id", "__lost_node")
+    marked = docs.withColumn(mark, may_be(F.col("doc_id").cast("long")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(lost_id)) & (F.col(node) == F.col(lost_node))
+    told = lambda df: df.select(F.col("__id").alias(lost_id), F.col("__of").alias(lost_node))
+    kept = marked.filter(F.col(mark)).select(*plain, node_of("text").alias(node)).join(told(losers), same, "left_anti")
+    once = kept.join(told(twice), same, "left_anti")
+    repeated = kept.join(told(twice), same, "left_semi").groupBy("doc_id", node).agg(F.min_by(F.struct(*plain), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return marked.filter(~F.col(mark)).select(*plain).union(once.select(*plain)).union(repeated)

@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import id_filter, materialize, slices, utf8
+from assay.llm.common import fresh, id_filter, materialize, slices, utf8
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper_share", "digit_share", "mark_share", "symbol_share", "wide_share", "space_share",
@@ -177,6 +177,6 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
         columns = np.array([measure(t) for part in slices(iter([pa.record_batch([texts], ["text"])]), 0) for t in utf8(part.column(0))], np.float64).reshape(-1, len(FEATURES)).T
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], FEATURES)
 
-    names = docs.columns
-    kept = docs.withColumn("__statistics", measured("text")).filter(model.column(lambda f: F.col("__statistics")[f]) >= 0.5)
-    return kept.select(*(kept[f"`{c}`"] for c in names))
+    (held,) = fresh(docs, "__statistics")
+    kept = docs.withColumn(held, measured("text")).filter(model.column(lambda f: F.col(held)[f]) >= 0.5)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
