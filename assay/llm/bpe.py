@@ -33,6 +33,24 @@ CACHE_PAIRS = 250_000
 DIGEST_PIECES = 50_000
 
 
+# Letters and numbers of later Unicode versions that the vocabulary's library does not take for such (first
+# and last of each range), and capitals that it knows and Python's tables may not: single ones, and ranges with their distance.
+NO_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D),
+    (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7), (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128), (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24),
+    (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE), (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F),
+    (0x2B81E, 0x2B81E), (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+NO_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITAL_RANGES = ((0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+
+
+def capitals() -> dict[int, int]:
+    return CAPITALS | {c: c + step for first, last, step in CAPITAL_RANGES for c in range(first, last + 1)}
+
+
 def byte_alphabet() -> list[str]:
     """The printable stand-in of each byte in byte-level BPE files."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -86,7 +104,14 @@ class Transducer:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         # The word pattern of this vocabulary's format, with the white space that it means.
         space = r"\t-\r \x85\xa0  -     　"
-        self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{space}\p{{L}}\p{{N}}]+")
+        span = lambda ranges: "".join(f"{chr(x)}-{chr(y)}" for x, y in ranges)
+        letter, number = rf"[\p{{L}}--[{span(NO_LETTERS)}]]", rf"[\p{{N}}--[{span(NO_NUMBERS)}]]"
+        ends = "'s|'t|'re|'ve|'m|'ll|'d"
+        self.words = regex.compile(rf"{ends}|[\p{{L}}]+|[\p{{N}}]|[^{space}\p{{L}}\p{{N}}]+")
+        # the same for texts that have one of the characters on which the tables differ
+        self.odd_words = regex.compile(rf"(?V1){ends}|{letter}+|{number}|[^{space}{letter}{number}]+")
+        self.capitals = capitals()
+        self.odd = frozenset(chr(c) for x, y in NO_LETTERS + NO_NUMBERS for c in range(x, y + 1)) | frozenset(map(chr, self.capitals))
 
     def _edge(self, token: int, side: int) -> list[tuple[int, int]]:
         """Symbols at a token's left (0) or right (1) edge while it was built, each with the merge that ended it."""
@@ -225,9 +250,12 @@ class Transducer:
         for m in [*marks, None]:
             part = text[start : m.start() if m else len(text)]
             if part:
+                words = self.words
                 if not part.isascii():
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-                yield from map(regex.Match.group, self.words.finditer(part.lower()))
+                    if not self.odd.isdisjoint(part):
+                        part, words = part.translate(self.capitals), self.odd_words
+                yield from map(regex.Match.group, words.finditer(part.lower()))
             if m:
                 yield self.special[m.group()]
                 start = m.end()

@@ -188,6 +188,18 @@ class TestBpe:
         for text in ("a" * 5000, "ab" * 3000, "nananabanana" * 200, "é" * 999, "internationalization" * 300):
             assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
+    def test_every_code_point(self):
+        """Every code point between letters, digits and spaces is encoded as the library does."""
+        from tokenizers import Tokenizer
+
+        library, own = Tokenizer.from_file(WORD_BPE), bpe.Encoder(bpe.Transducer(WORD_BPE))
+        points = [chr(c) for c in (*range(0xD800), *range(0xE000, 0x33500), *range(0xE0000, 0xE0200))]
+        for at in range(0, len(points), 500):
+            text = " ".join(f"a{c}b 1{c} {c}{c}A" for c in points[at : at + 500])
+            if own.encode(text) != library.encode(text, add_special_tokens=False).ids:
+                wrong = [hex(ord(c)) for c in points[at : at + 500] if own.encode(f"a{c}b 1{c} {c}{c}A") != library.encode(f"a{c}b 1{c} {c}{c}A", add_special_tokens=False).ids]
+                assert wrong == []
+
     def test_memory_is_constant(self):
         t = bpe.Transducer(WORD_BPE)
         assert t.lookahead < 200
