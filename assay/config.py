@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import fields
 
 
@@ -28,3 +30,15 @@ def whole(name: str, value, least: int = 0) -> int:
     if isinstance(value, bool) or not isinstance(value, int) or value < least:
         raise UsageError(f"{name} must be a whole number of at least {least}, not {value!r}")
     return value
+
+
+def checkpointed(df):
+    """``df`` with its lineage cut, in the folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset
+    a single machine takes a temporary folder; a cluster shares none, so there it is an error."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise UnusableInput("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()

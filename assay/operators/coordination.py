@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.config import UsageError
+from assay.config import UsageError, checkpointed
 from assay.functions.paths import literal_prefix, path_problem
 from assay.functions.text import is_handle, is_name, is_reason
 
@@ -59,21 +59,21 @@ def admit_claims(claims: DataFrame) -> DataFrame:
     named = globs.select(F.col("key").alias("owner"), "glob", F.lit(0).alias("place"))
     met = lease_conflicts(named, named)
     pairs = met.filter("owner is not null and other is not null").select(F.col("owner").cast("long").alias("a"), F.col("other").cast("long").alias("b"))
-    edges = pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct().checkpoint()
+    edges = checkpointed(pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct())
     wide = met.filter("other is null").select(F.col("owner").cast("long").alias("turn")).distinct()
     # what claims everything comes first or not at all, and ends what comes after it
-    state = claims.select("turn", F.lit("open").alias("state")).join(wide.withColumn("wide", F.lit(True)), "turn", "left").select("turn", "state", F.coalesce("wide", F.lit(False)).alias("wide")).checkpoint()
+    state = checkpointed(claims.select("turn", F.lit("open").alias("state")).join(wide.withColumn("wide", F.lit(True)), "turn", "left").select("turn", "state", F.coalesce("wide", F.lit(False)).alias("wide")))
     first_wide = state.filter("wide").agg(F.min("turn").alias("turn")).first()["turn"]
     least = claims.agg(F.min("turn")).first()[0]
     if first_wide is not None:
         blocked = F.lit(first_wide == least) & (F.col("turn") > first_wide)
         refused = blocked | (F.col("wide") & (F.col("turn") != least))
-        state = state.withColumn("state", F.when(refused, "refused").when(F.col("wide"), "admitted").otherwise(F.col("state"))).checkpoint()
+        state = checkpointed(state.withColumn("state", F.when(refused, "refused").when(F.col("wide"), "admitted").otherwise(F.col("state"))))
     while not state.filter("state = 'open'").isEmpty():
         early = state.select(F.col("turn").alias("early"), F.col("state").alias("was"))
         waits = edges.join(early, "early").groupBy(F.col("late").alias("turn")).agg(F.max(F.col("was") == "admitted").alias("beaten"), F.max(F.col("was") == "open").alias("unsure"))
         decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("beaten"), "refused").when(F.col("unsure"), "open").otherwise("admitted")
-        state = state.join(waits, "turn", "left").select("turn", decided.alias("state"), "wide").checkpoint()
+        state = checkpointed(state.join(waits, "turn", "left").select("turn", decided.alias("state"), "wide"))
     won = state.select("turn", (F.col("state") == "admitted").alias("admitted"))
     return asked.join(won, "turn", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 

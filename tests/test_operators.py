@@ -282,7 +282,6 @@ class TestCoordination:
         import random
 
         rng = random.Random(seed)
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         parts = ["a", "b", "c"]
         some = lambda: "/".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) + rng.choice(["", "", "/*"])
         claims = [(i, f"o{i % 5}", [some() for _ in range(rng.randint(1, 2))]) for i in range(30)]
