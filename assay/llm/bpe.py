@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from assay.llm.common import chunked, slices
+from assay.llm.common import chunked, frugal, slices
 
 #: Words kept per worker with their encoding, twice, and token pairs kept with whether they fit.
 CACHE_WORDS = 80_000
@@ -368,7 +368,6 @@ def encoder_for(path: str) -> Iterator[Encoder]:
         yield encoder
     finally:
         encoder.transducer.fits.clear()
-        pa.default_memory_pool().release_unused()
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -384,7 +383,7 @@ def encode_digests(docs: DataFrame, path: str) -> DataFrame:
                 n, ids, texts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), SCHEMA)
 
 
 def encode_ids(docs: DataFrame, path: str) -> DataFrame:
@@ -396,7 +395,7 @@ def encode_ids(docs: DataFrame, path: str) -> DataFrame:
                 ids = [encoder.encode(t or "") for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), "doc_id long, ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, path: str, plain: bool | None = None) -> DataFrame:
@@ -411,4 +410,4 @@ def decode_ids(tokens: DataFrame, path: str, plain: bool | None = None) -> DataF
                 texts.append(d.feed(ids or []) + d.close())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return tokens.select("doc_id", "ids").mapInArrow(frugal(run), "doc_id long, text string")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import drop_tables, fresh, id_filter, materialize, slices, utf8
+from assay.llm.common import drop_tables, fresh, frugal, id_filter, materialize, slices, utf8
 
 #: Bytes that are no letter or digit stand between words; A-Z become lower case.
 WORDS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -74,7 +74,7 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
                 item, size, words = zip(*rows[at : at + 50_000], strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(size, pa.int32()), pa.array(words, pa.binary())], ["item", "size", "words"])
 
-    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, size int, words binary").distinct()
+    return benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(frugal(run), "item string, size int, words binary").distinct()
 
 
 def window_shingles(windows: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def window_shingles(windows: DataFrame) -> DataFrame:
                 of = batch.take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*of.columns, pa.array(k_of, pa.int32()), pa.array(np.concatenate(token).view(np.int64)), pa.array(place, pa.int32())], ["size", "words", "k", "token", "place"])
 
-    return windows.select("size", "words").mapInArrow(run, "size int, words binary, k int, token long, place int")
+    return windows.select("size", "words").mapInArrow(frugal(run), "size int, words binary, k int, token long, place int")
 
 
 class TokenFilter:
@@ -146,7 +146,7 @@ def shingle_counts(docs: DataFrame, wanted: TokenFilter) -> DataFrame:
                 size = 0
         yield from told()
 
-    return docs.select("text").mapInArrow(run, "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(frugal(run), "k int, token long, n long").groupBy("k", "token").agg(F.sum("n").alias("n"))
 
 
 def join_tokens(windows: DataFrame, docs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def find(docs: DataFrame, wanted: TokenFilter, window: int) -> DataFrame:
             for at in range(0, len(out), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out[at : at + 20_000], strict=True), kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, FOUND)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), FOUND)
 
 
 def hits(found: DataFrame, index: DataFrame) -> DataFrame:

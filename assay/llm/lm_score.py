@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import materialize, parts_for, slices, text_bytes, utf8
+from assay.llm.common import frugal, materialize, parts_for, slices, text_bytes, utf8
 
 END = b"\n"  # no word has white space
 FOLDS, TEST_FOLD = 10, 0
@@ -71,7 +71,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
         if held:
             yield block(held, number)
 
-    return docs.mapInArrow(run, "block long, data binary")
+    return docs.mapInArrow(frugal(run), "block long, data binary")
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -164,7 +164,7 @@ def ask(blocks: DataFrame, buckets: tuple[int, int]) -> DataFrame:
                     for name, hashes, counts in asked.rows():
                         yield pa.RecordBatch.from_pydict({"bucket": pa.array([name], pa.int32()), "block": pa.array([number], pa.int64()), "hashes": pa.array([hashes], pa.binary()), "counts": pa.array([counts], pa.binary())})
 
-    return blocks.select("block", "data").mapInArrow(run, "bucket int, block long, hashes binary, counts binary")
+    return blocks.select("block", "data").mapInArrow(frugal(run), "bucket int, block long, hashes binary, counts binary")
 
 
 def answer(asked: DataFrame, buckets: tuple[int, int]) -> DataFrame:

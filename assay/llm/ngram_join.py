@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import drop_tables, fresh, id_filter, materialize, slices, utf8
+from assay.llm.common import drop_tables, fresh, frugal, give_back, id_filter, materialize, slices, utf8
 
 NGRAM = 4
 LEAST, OF = 85, 100  # link: OF * intersection >= least * union, least being LEAST unless told otherwise
@@ -132,7 +132,7 @@ def frequent_ngrams(docs: DataFrame, n: int) -> Order:
         if held:
             yield flush()
 
-    found = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
+    found = docs.select("text").mapInArrow(frugal(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
     return Order(found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy())
 
 
@@ -154,7 +154,7 @@ def describe(docs: DataFrame, order, n: int, least: int) -> DataFrame:
                 prefixes.append(order.value.sort(s)[: prefix_size(len(s), least)].view(np.int64) if fresh else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n int, node long, prefix array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), "doc_id long, n int, node long, prefix array<long>")
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -200,7 +200,7 @@ def posting_lists(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (gram, node, n, pos, node[centre], n[centre], pos[centre])], ["gram", "node", "n", "pos", "c_node", "c_n", "c_pos"])
 
     placed = entries.select("gram", "node", "n", "pos").repartition(parts, "gram").sortWithinPartitions("gram", "pos", "node")
-    return placed.mapInArrow(run, "gram long, node long, n int, pos int, c_node long, c_n int, c_pos int")
+    return placed.mapInArrow(frugal(run), "gram long, node long, n int, pos int, c_node long, c_n int, c_pos int")
 
 
 PAIR = "a long, b long, na int, nb int"
@@ -215,7 +215,7 @@ def star_pairs(postings: DataFrame, least: int) -> DataFrame:
             some = (node != c_node) & possible(n.astype(np.int64), c_n.astype(np.int64), pos, c_pos, least)
             yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (c_node, node, c_n, n)], ["a", "b", "na", "nb"])
 
-    return postings.mapInArrow(run, PAIR).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
+    return postings.mapInArrow(frugal(run), PAIR).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
 
 
 def nearest_centres(stars: DataFrame) -> DataFrame:
@@ -291,7 +291,7 @@ def left_to_try(mixed: DataFrame, least: int) -> int:
         total = sum(len(i) for gram, node, n, pos, comp in lists(batches) if len(gram) for i, _ in crossing(gram, node, n.astype(np.int64), pos, comp, least))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
-    return int(by_size(mixed).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0)
+    return int(by_size(mixed).mapInArrow(frugal(run), "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
@@ -318,7 +318,7 @@ def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
         a, b, na, nb = np.unique(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))], ["a", "b", "na", "nb"])
 
-    return by_size(mixed).mapInArrow(run, PAIR).distinct()
+    return by_size(mixed).mapInArrow(frugal(run), PAIR).distinct()
 
 
 def prefix_survivors(pairs: DataFrame, sets: DataFrame, order, least: int) -> DataFrame:
@@ -346,7 +346,7 @@ def prefix_survivors(pairs: DataFrame, sets: DataFrame, order, least: int) -> Da
                 keep.append(common + min(size[0] - len(x), size[1] - int(inside.sum())) >= needed(sum(size), least))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, PAIR)
+    return both.mapInArrow(frugal(run), PAIR)
 
 
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: int) -> DataFrame:
@@ -383,7 +383,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: in
                 roles = part.select(["a", "task", "role", "member"]).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*roles.columns, pa.array(f, pa.int32()), pa.array(p, pa.binary())], ["a", "task", "role", "member", "fragment", "grams"])
 
-    placed = texts.mapInArrow(cut, "a long, task int, role int, member long, fragment int, grams binary").select("a", "task", "fragment", "role", "member", "grams")
+    placed = texts.mapInArrow(frugal(cut), "a long, task int, role int, member long, fragment int, grams binary").select("a", "task", "fragment", "role", "member", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(parts, "a", "task", "fragment").sortWithinPartitions("a", "task", "fragment", "role", "member")
 
@@ -402,7 +402,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: in
                 a, b, k = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], ["a", "b", "common"])
 
-    overlaps = placed.mapInArrow(count, "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
+    overlaps = placed.mapInArrow(frugal(count), "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
     return pairs.join(overlaps, ["a", "b"]).filter(f"{OF} * common >= {least} * (na + nb - common)").select("a", "b")
 
 
@@ -486,6 +486,7 @@ def one_of_each(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFram
         for text in utf8(texts):
             (s,) = sets_of([text], n, hashes)
             out.append(xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 if len(s) else None)
+        give_back()
         return pa.array(out, pa.int64())
 
     plain = [F.col(f"`{c}`") for c in docs.columns]

@@ -26,7 +26,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import fresh, id_filter, materialize, slices, utf8
+from assay.llm.common import fresh, frugal, give_back, id_filter, materialize, slices, utf8
 
 FEATURES = (
     "log_bytes", "log_words", "word_bytes", "upper_share", "digit_share", "mark_share", "symbol_share", "wide_share", "space_share",
@@ -74,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             rows = np.array([measure(t) for t in utf8(part.column(1))], np.float64).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in rows.T)], ["doc_id", *FEATURES])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 @dataclass(frozen=True, order=True)
@@ -175,6 +175,7 @@ def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     @F.arrow_udf(", ".join(f"{f} double" for f in FEATURES))
     def measured(texts: pa.Array) -> pa.Array:
         columns = np.array([measure(t) for part in slices(iter([pa.record_batch([texts], ["text"])]), 0) for t in utf8(part.column(0))], np.float64).reshape(-1, len(FEATURES)).T
+        give_back()
         return pa.StructArray.from_arrays([pa.array(c) for c in columns], FEATURES)
 
     (held,) = fresh(docs, "__statistics")

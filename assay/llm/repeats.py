@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import materialize, parts_for, slices, text_bytes, utf8
+from assay.llm.common import frugal, materialize, parts_for, slices, text_bytes, utf8
 
 WINDOW = 100
 GRAM = 32
@@ -270,7 +270,7 @@ def find_anchors(docs: DataFrame) -> DataFrame:
         if held:
             yield from told()
 
-    return docs.select(place_key().alias("key"), "text").mapInArrow(run, ANCHOR)
+    return docs.select(place_key().alias("key"), "text").mapInArrow(frugal(run), ANCHOR)
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
         if held is not None and told:
             yield anchor_batch([np.array([x], np.int64) for x in held], False)
 
-    return placed.mapInArrow(run, ANCHOR)
+    return placed.mapInArrow(frugal(run), ANCHOR)
 
 
 FLAG = "key long, at long, around long, lo long, hi long"
@@ -375,7 +375,7 @@ def index_flags(segments: DataFrame) -> DataFrame:
             at, lo, _ = unpack(place[of])
             yield flags(key[of], at, around[of], lo + a - start, lo + b - start)
 
-    return placed.mapInArrow(run, FLAG)
+    return placed.mapInArrow(frugal(run), FLAG)
 
 
 def hot_flags(segments: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def hot_flags(segments: DataFrame) -> DataFrame:
             key, around = part.column(2).to_numpy(), part.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (there.view(np.int64), back.view(np.int64), key[row], at[row], around[row], lo[row] + inside)], ["w1", "w2", "key", "at", "around", "lo"])
 
-    rows = segments.mapInArrow(windows, "w1 long, w2 long, key long, at long, around long, lo long")
+    rows = segments.mapInArrow(frugal(windows), "w1 long, w2 long, key long, at long, around long, lo long")
     first = rows.groupBy("w1", "w2").agg(F.min(F.struct("key", "lo")).alias("first")).select("w1", "w2", F.col("first.key").alias("key"), F.col("first.lo").alias("lo"))
     return rows.join(first, ["w1", "w2", "key", "lo"], "left_anti").select("key", "at", "around", "lo", F.col("lo").alias("hi"))
 

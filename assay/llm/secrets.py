@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import slices
+from assay.llm.common import frugal, slices
 
 # The patterns of the three kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -184,7 +184,7 @@ def scan(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()] * 2
             yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns, kinds)], ["doc_id", "n_assign", "n_access", "n_hex", "n_entropy", "base_sha256", "spans"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), SCHEMA)
 
 
 MASK = "[SECRET]"

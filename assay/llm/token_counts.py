@@ -20,7 +20,7 @@ from collections.abc import Iterable
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from assay.llm.common import slices
+from assay.llm.common import frugal, slices
 
 SPACE = "▁"
 #: Distinct pre-tokens whose counts one task keeps; the memory starts anew when full.
@@ -107,4 +107,4 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             tokens = [sum(n * known[w] for w, n in Counter(ws).items()) for ws in words]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(map(len, words), pa.int64()), pa.array(tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), SCHEMA)
