@@ -50,4 +50,36 @@ least_of as (select doc_id, min(r) as r from reach group by 1)
 select s.doc_id, len(s.s)::bigint as n_shingles, least(s.doc_id, coalesce(l.r, s.doc_id)) as component_id from s left join least_of l using (doc_id)
 """
 
-ORACLE = {"op2_warc_index": OP2, "op3_decontamination": OP3, "op8_topk": OP8, "op9_ngram_join": OP9}
+#: The table of crc32 by its rule, bytes as hexadecimal digits; then every spelling with one code point less, marked by the place, brings near words together.
+OP12 = rf"""
+with recursive crc as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, b)) as t),
+runs as (select coalesce(doc_id::varchar, '') as d, unnest(regexp_extract_all({SMALL}, '[A-Za-zÀ-ÿ]+')) as w from documents),
+r as (select d, w, count(*) as n, hex(encode(d || ':' || w)) as x from runs group by d, w),
+h as (select d, w, n, xor(list_reduce(range(length(x) // 2), lambda c, i: xor(c >> 8, t[(xor(c, (instr('0123456789ABCDEF', substr(x, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(x, 2 * i + 2, 1)) - 1) & 255) + 1]), 4294967295::bigint), 4294967295) as h from r, crc),
+s as (select n, case when h % 199 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word from h),
+words as (select word, sum(n)::bigint as n from s where length(word) >= 6 group by word having sum(n) >= 5),
+less as (select word, n, place, substr(word, 1, place::int) || substr(word, place::int + 2) as part from (select word, n, unnest(range(length(word))) as place from words)),
+near as (select distinct a.word, a.n, b.word as other, b.n as m from less a join less b on a.part = b.part and a.place = b.place and a.word <> b.word
+  union select a.word, a.n, b.word, b.n from less a join words b on a.part = b.word union select b.word, b.n, a.word, a.n from less a join words b on a.part = b.word),
+best as (select word, any_value(n) as n, count(*) as n_near, arg_min(other, (-m, other)) as top, max(m) as m from near group by word),
+forms as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when m >= 5 * w.n then top end as form, case when m >= 5 * w.n then m end as form_n from words w left join best using (word)),
+walk as (select word, word as at from forms union all select walk.word, forms.form from walk join forms on walk.at = forms.word where forms.form is not null),
+ends as (select walk.word, walk.at as root from walk join forms on walk.at = forms.word where forms.form is null)
+select word, form, root, n, n_near, form_n::bigint as form_n from forms join ends using (word)
+"""
+
+OP13 = rf"""
+with d as (select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source, regexp_extract_all({SMALL}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+t as (select lang, source, term, count(*)::hugeint as n, count(distinct d) as docs from (select d, lang, source, unnest(w) as term from d) group by all),
+kept as (select lang, term, sum(n)::hugeint as total from t group by all having sum(docs) >= 10),
+v as (select lang, count(*)::hugeint as v, sum(total)::hugeint as size from kept group by all),
+g as (select lang, source, coalesce(s.size, 0)::hugeint as size from (select distinct lang, source from d) left join (select lang, source, sum(n) as size from t semi join kept using (lang, term) group by all) s using (lang, source)),
+p as (select g.lang, g.source, k.term, k.total, coalesce(t.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(t.n, 0) + 2)) // (g.size + 2 * v.v) as p from g join v using (lang) join kept k using (lang) left join t on t.lang = g.lang and t.source = g.source and t.term = k.term),
+pairs as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+terms as (select lang, source, term as item, (p - q) * (p - q) // (p + q) as value from (select p.*, 1 + (1000000000::hugeint * (total + 2)) // (v.size + 2 * v.v) as q from p join v using (lang)) where n > 0 and p > q),
+a as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source union all select lang, source, 'term', item, value::bigint from terms),
+r as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from a)
+select * from r where part = 'pair' or rank <= 10
+"""
+
+ORACLE = {"op2_warc_index": OP2, "op3_decontamination": OP3, "op8_topk": OP8, "op9_ngram_join": OP9, "op12_spelling": OP12, "op13_divergence": OP13}

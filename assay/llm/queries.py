@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, repeats, search, secrets, token_counts, warc
+from assay.llm import bpe, decontaminate, divergence, lm_score, ngram_join, quality, repeats, search, secrets, simhash, spelling, token_counts, warc
 from assay.llm.common import table
 from assay.llm.oracle import ORACLE as ORACLE
 
@@ -57,6 +57,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_score": op1_lm_score,
     "op2_warc_index": op2_warc_index,
@@ -68,4 +80,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_ngram_join": op9_ngram_join,
     "op10_quality": op10_quality,
+    "op11_simhash": op11_simhash,
+    "op12_spelling": op12_spelling,
+    "op13_divergence": op13_divergence,
 }

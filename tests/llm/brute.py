@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
+
 
 def fold(doc_id, n):
     return zlib.crc32(str(doc_id).encode()) % n
@@ -202,3 +204,78 @@ def unigram_tokens(word, scores, byte):
             ways.append((best[at - 1][0] + n * byte, best[at - 1][1] + n))
         best.append(max(ways, key=lambda w: (round(w[0], 9), -w[1])))
     return best[-1][1]
+
+
+def simhashes(docs):
+    """doc_id to fingerprint and component, every pair compared."""
+    prints = {}
+    for d, text in docs:
+        ws = white_words(text)
+        grams = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) >= 3 else ([" ".join(ws)] if ws else [])
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    label = {d: d for d in prints}
+    top = lambda d: d if label[d] == d else top(label[d])
+    ids = sorted(prints)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = top(a), top(b)
+                label[max(x, y)] = min(x, y)
+    return {d: (f"{prints[d]:016x}", top(d)) for d in ids}
+
+
+def one_apart(a, b):
+    """Whether one code point inserted, deleted or replaced makes one word the other."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    return len(a) + 1 == len(b) and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def spellings(docs):
+    """word to form, root, n, n_near, form_n; every pair of words compared."""
+    count = Counter()
+    for d, text in docs:
+        for w in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = lower(w)
+            h = zlib.crc32(f"{'' if d is None else d}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            count[w] += 1
+    words = {w: n for w, n in count.items() if len(w) >= 6 and n >= 5}
+    out = {}
+    for w, n in words.items():
+        near = [u for u in words if one_apart(w, u)]
+        best = min(near, key=lambda u: (-words[u], u), default=None)
+        form = best if best is not None and words[best] >= 5 * n else None
+        out[w] = form, n, len(near), words.get(form)
+    def root(w):
+        return w if out[w][0] is None else root(out[w][0])
+    return {w: (form, root(w), n, near, m) for w, (form, n, near, m) in out.items()}
+
+
+def divergences(docs):
+    """(lang, source, part, item, value, rank) of rows of lang, source and text, every term of every pair looked at."""
+    count, rows, groups = Counter(), Counter(), set()
+    for lang, source, text in docs:
+        lang, source = lang or "", source or ""
+        groups.add((lang, source))
+        found = [lower(w) for w in re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+        count.update((lang, source, w) for w in found)
+        rows.update({(lang, w) for w in found})
+    out = []
+    for lang in {g[0] for g in groups}:
+        kept = [w for (at, w), n in rows.items() if at == lang and n >= 10]
+        own = sorted(s for at, s in groups if at == lang)
+        counts = {s: {w: count[lang, s, w] for w in kept} for s in own}
+        counts[None] = {w: sum(counts[s][w] for s in own) for w in kept}
+        p = {s: {w: 1 + 10**9 * (n + 2) // (sum(c.values()) + 2 * len(kept)) for w, n in c.items()} for s, c in counts.items()}
+        f = lambda s, t, w: (p[s][w] - p[t][w]) ** 2 // (p[s][w] + p[t][w])  # noqa: B023, E731
+        for s in own:
+            pairs = [(-sum(f(s, t, w) for w in kept), t.encode(), t) for t in own if t != s]
+            terms = [(-f(s, None, w), w.encode(), w) for w in kept if counts[s][w] and p[s][w] > p[None][w]]
+            for part, items in (("pair", sorted(pairs)), ("term", sorted(terms)[:10])):
+                out += [(lang, s, part, item, -v, rank) for rank, (v, _, item) in enumerate(items, 1)]
+    return sorted(out)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from assay.llm import bpe, decontaminate, lm_score, ngram_join, quality, repeats, search, secrets, token_counts, warc
+from assay.llm import bpe, decontaminate, divergence, lm_score, ngram_join, quality, repeats, search, secrets, simhash, spelling, token_counts, warc
 from assay.llm.queries import PIECES, QUERIES, WORD_BPE
 from tests.conftest import DATA
 from tests.llm import brute
@@ -609,3 +609,158 @@ class TestPipeline:
 
 def test_files_stay_outside():
     assert WORD_BPE == public_tokenizers.path("word_bpe_49k.json")
+
+
+CLASHING = "doc_id long, text string, lang string, source string, print long, least long, key long, word string, n long, total long, value long, rank int"
+
+
+def clashing(spark, rows):
+    """Rows of doc_id, text, lang, source among columns that are named as the operators name theirs."""
+    return spark.createDataFrame([(*r, 1, 2, 3, "x", 4, 5, 6, 7) for r in rows], CLASHING).repartition(5)
+
+
+class TestSimHash:
+    def compare(self, df, docs):
+        assert keyed(simhash.near_duplicates(df), "fingerprint", "component_id") == brute.simhashes(docs)
+
+    def test_odd(self, odd_docs):
+        self.compare(*odd_docs)
+
+    def test_tables(self, spark, small):
+        self.compare(spark.read.parquet(f"{SMALL}/documents.parquet"), small)
+
+    def test_query_reads_the_whole_table(self, spark, small):
+        assert QUERIES["op11_simhash"](spark, SMALL).count() == len(small)
+
+    def test_empty(self, no_docs):
+        assert simhash.near_duplicates(no_docs).collect() == []
+
+    def test_steps_of_a_long_text(self, monkeypatch):
+        text = " ".join(f"w{i % 700}" for i in range(5000)).encode()
+        whole = simhash.fingerprint(text)
+        monkeypatch.setattr(simhash, "STEP_SHINGLES", 7)
+        assert simhash.fingerprint(text) == whole
+        assert f"{whole & 2**64 - 1:016x}" == brute.simhashes([(1, text.decode())])[1][0]
+
+    @pytest.mark.parametrize("crowded", [1, 6, 10_000])
+    def test_links_of_any_crowd(self, spark, monkeypatch, crowded):
+        """A ball of fingerprints round one value, by pairs and by midpoints: the same classes, few links."""
+        import random
+
+        rng = random.Random(3)
+        centre = rng.getrandbits(64)
+        prints = {centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(250)} | {rng.getrandbits(64) for _ in range(50)} | {0, 3, 2**64 - 1, 2**64 - 4}
+        monkeypatch.setattr(simhash, "CROWDED", crowded)
+        found = simhash.links(spark.createDataFrame([(simhash.signed(p),) for p in prints], "print long"))
+        label = {simhash.signed(p): simhash.signed(p) for p in prints}
+
+        def top(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        def classes(pairs):
+            for x in label:
+                label[x] = x
+            for a, b in pairs:
+                x, y = sorted((top(a), top(b)))
+                label[y] = x
+            return {x: top(x) for x in label}
+
+        pairs = [tuple(r) for r in found.collect()]
+        assert all((a ^ b).bit_count() <= 2 or (((a ^ b) + 2**64) % 2**64).bit_count() <= 2 for a, b in pairs)
+        all_pairs = [(a, b) for a in label for b in label if a < b and ((a ^ b) & 2**64 - 1).bit_count() <= 2]
+        assert classes(pairs) == classes(all_pairs)
+        if crowded == 1:  # linear where lists are crowded
+            assert len(pairs) <= 65 * len(prints)
+
+    def test_every_close_pair_shares_a_key(self):
+        masks = simhash.key_masks()
+        flips = [0, *(1 << i for i in range(64)), *(1 << i | 1 << j for i in range(64) for j in range(i))]
+        assert all(any(not (f & m & 2**64 - 1) for m in masks) for f in flips)
+
+    def test_null_ids_and_repeats(self, spark):
+        docs = clashing(spark, [(None, "a b c", None, None), (None, "x y z", None, None), (4, "a b c", "", ""), (4, "a b c", "", ""), (9, "A  B\tc", "", ""), (7, None, "", ""), (5, " ", "", "")])
+        rows = [(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()]
+        assert sorted(rows, key=repr) == sorted([(None, 4), (None, None), (4, 4), (4, 4), (9, 4), (7, 5), (5, 5)], key=repr)
+
+
+class TestSpelling:
+    def compare(self, df, docs):
+        rows = spelling.variants(df).collect()
+        have = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in rows}
+        assert len(have) == len(rows) and have == brute.spellings(docs)
+        return have
+
+    def test_odd(self, odd_docs):
+        assert self.compare(*odd_docs)
+
+    def test_tables(self, spark, small):
+        self.compare(spark.read.parquet(f"{SMALL}/documents.parquet"), small)
+
+    def test_empty(self, no_docs):
+        assert spelling.variants(no_docs).collect() == []
+
+    WORDS = [("abcdefg", 300), ("abcdef", 40), ("abcdeg", 40), ("abcdxg", 6), ("abcdxgh", 5), ("àbcdefg", 30), ("zzzzzz", 9), ("zzzzzzz", 50), ("zzzzzzzz", 7), ("q" * 400, 30), ("q" * 401, 5), ("short", 90)]
+
+    def words(self, spark):
+        docs = [(i % 7 if i % 9 else None, " ".join([w] * 1 + ["#", w.upper() if i % 2 and w.isascii() else w])) for w, n in self.WORDS for i in range(n)]
+        return clashing(spark, [(d, t, None, "s") for d, t in docs] + [(1, None, "", ""), (2, "", "", "")]), docs
+
+    @pytest.mark.parametrize("size", [1, 3, 50_000])
+    def test_chains_ties_and_rounds(self, spark, monkeypatch, size):
+        """Forms that have forms, equal counts, null ids, repeated rows, long runs; shards and rounds of any size."""
+        monkeypatch.setattr(spelling, "SHARD_WORDS", size)
+        monkeypatch.setattr(spelling, "ROUND_BYTES", 1 if size == 3 else 1 << 20)
+        have = self.compare(*self.words(spark))
+        assert have["abcdxg"][:2] == ("abcdeg", "abcdefg")
+
+    def test_trie_finds_just_the_near_words(self):
+        import random
+
+        rng = random.Random(4)
+        words = sorted({"".join(rng.choice("abà") for _ in range(rng.randint(1, 7))) for _ in range(600)})
+        trie = spelling.Trie.unpack(**spelling.Trie.pack(words, list(range(1, len(words) + 1))))
+        for w in [*words[::3], "", "a", "zz", "abababab"]:
+            found = list(trie.near(w)) if w else []
+            assert sorted(found) == [(u, words.index(u) + 1) for u in words if w and brute.one_apart(w, u)]
+
+    def test_no_words_and_one_word(self):
+        for words in ([], ["abcdef"]):
+            trie = spelling.Trie.unpack(**spelling.Trie.pack(words, [5] * len(words)))
+            assert list(trie.near("abcdef")) == [] and list(trie.near("abcdeg")) == [(w, 5) for w in words]
+
+
+class TestDivergence:
+    def compare(self, df):
+        docs = [(r.lang, r.source, r.text) for r in df.select("lang", "source", "text").collect()]
+        rows = sorted((r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in divergence.audit(df).collect())
+        assert rows == brute.divergences(docs)
+        return rows
+
+    def test_odd(self, odd_docs):
+        assert self.compare(odd_docs[0])
+
+    def test_empty(self, no_docs):
+        assert divergence.audit(no_docs).collect() == []
+
+    def test_groups_of_all_kinds(self, spark):
+        """Nulls, empty groups, langs without terms or of one source, ties, repeated rows, equal vectors."""
+        rows = [(i, f"Common é{i % 3} same{i % 2} also{i % 2}", "en", f"s{i % 4}") for i in range(60)]
+        rows += [(1, "twice twice", "en", "s1")] * 12 + [(70 + i, "nül nül", None, None if i % 2 else "t") for i in range(22)]
+        rows += [(100, None, "en", "silent"), (101, "rare words", "xx", "a"), (102, "", "xx", "b"), (103, "1 2 3", "yy", "only")] + [(200 + i, "alone", "zz", "one") for i in range(11)]
+        found = self.compare(clashing(spark, rows))
+        assert {(r[0], r[2]) for r in found} == {("en", "pair"), ("en", "term"), ("", "pair"), ("xx", "pair")} | ({("", "term")} & {(r[0], r[2]) for r in found})
+        assert {r[4] for r in found if r[0] == "xx"} == {0}
+
+    def test_steps_of_vectors(self, odd_docs, monkeypatch):
+        whole = sorted(map(tuple, divergence.audit(odd_docs[0]).collect()))
+        monkeypatch.setattr(divergence, "STEP_ENTRIES", 3)
+        monkeypatch.setattr(divergence, "HELD_TERMS", 10)
+        assert sorted(map(tuple, divergence.audit(odd_docs[0]).collect())) == whole
+
+    def test_counts_beyond_64_bits(self, spark):
+        """A term of ten million million occurrences has the share that whole numbers give it."""
+        n, total, terms = 9 * 10**12, 10**13 + 7, 12345
+        row = spark.createDataFrame([(n, total, terms)], "n long, total long, terms long").select(divergence.share(F.col("n"), F.col("total"), F.col("terms")).alias("p")).first()
+        assert row.p == 1 + 10**9 * (n + 2) // (total + 2 * terms)
