@@ -33,8 +33,8 @@ from assay.llm.common import frugal, materialize, slices, utf8
 
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
-#: Terms of groups that a task counts before it hands them on.
-HELD_TERMS = 300_000
+#: Terms of groups that a task counts before it hands them on; a held number is occurrences + ROW * rows.
+HELD_TERMS, ROW = 300_000, 1 << 40
 #: Entries of vectors that are evaluated together.
 STEP_ENTRIES = 1 << 18
 
@@ -43,25 +43,25 @@ def count_terms(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs: occurrences of each term in each group, and rows of the group that have it."""
 
     def run(batches):
-        count: Counter[tuple[str, str, bytes]] = Counter()
-        rows: Counter[tuple[str, str, bytes]] = Counter()
+        held: dict[tuple[str, str], dict[bytes, int]] = {}
 
         def hand_on():
-            columns = [pa.array([k[i] for k in count], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))]
-            columns[2] = columns[2].cast(pa.string())
-            batch = pa.RecordBatch.from_arrays([*columns, pa.array(count.values(), pa.int64()), pa.array([rows[k] for k in count], pa.int64())], ["lang", "source", "term", "n", "docs"])
-            count.clear(), rows.clear()
-            return batch
+            for (lang, source), terms in held.items():
+                both = np.fromiter(terms.values(), np.int64, len(terms))
+                names = pa.array([lang], pa.string()), pa.array([source], pa.string())
+                columns = [pa.DictionaryArray.from_arrays(np.zeros(len(terms), np.int32), x).dictionary_decode() for x in names]
+                columns += [pa.array(terms, pa.binary()).cast(pa.string()), pa.array(both % ROW), pa.array(both // ROW)]
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+            held.clear()
 
         for piece in slices(batches, 2):
             for lang, source, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), utf8(piece.column(2)), strict=True):
+                terms = held.setdefault((lang, source), {})
                 for term, n in Counter(TERM.findall(text.lower())).items():
-                    key = lang, source, term
-                    count[key] += n
-                    rows[key] += 1
-            if len(count) >= HELD_TERMS:
-                yield hand_on()
-        yield hand_on()
+                    terms[term] = terms.get(term, 0) + n + ROW
+            if sum(map(len, held.values())) >= HELD_TERMS:
+                yield from hand_on()
+        yield from hand_on()
 
     parts = docs.mapInArrow(frugal(run), "lang string, source string, term string, n long, docs long")
     return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
