@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 from dataclasses import fields
 
 
@@ -32,6 +33,17 @@ def whole(name: str, value, least: int = 0) -> int:
     return value
 
 
+def shared_folder(spark, label: str) -> str:
+    """A new folder that the whole cluster sees, below ``spark.checkpoint.dir``; a single machine without one takes a
+    temporary folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise UnusableInput("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        root = tempfile.mkdtemp(prefix="spark-")
+    return f"{root.rstrip('/')}/assay-{label}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df):
     """``df`` with its lineage cut, in the folder that the cluster names in ``spark.checkpoint.dir``. Where that is unset
     a single machine takes a temporary folder; a cluster shares none, so there it is an error."""

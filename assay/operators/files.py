@@ -3,6 +3,8 @@ age, encoding (P6-P13, A7, A20, S1, S2)."""
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,14 +12,28 @@ from assay.functions.encoding import encoding_class, has_bom
 from assay.functions.numbers import age_hours
 
 
+def list_files(spark, path: str, glob: str | None = None) -> DataFrame:
+    """path, modificationTime and length of files, whose content is not read. Spark's reader leaves out empty files: those
+    that it lists and does not give are added, without a time. Listed names are encoded as URIs, the rows' paths are not."""
+    return _with_empty(_reader(spark, path, glob).select("path", "modificationTime", "length"))
+
+
 def read_files(spark, path: str, glob: str | None = None) -> DataFrame:
-    """Whole files (S1). The reader leaves out empty ones: the files that it lists and does not give are added, without a time."""
+    """Whole files (S1), empty ones as well."""
+    found = _with_empty(_reader(spark, path, glob))
+    return found.withColumn("content", F.coalesce("content", F.lit(b"")))
+
+
+def _reader(spark, path: str, glob: str | None) -> DataFrame:
     reader = spark.read.format("binaryFile")
-    found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+    return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
+
+
+def _with_empty(found: DataFrame) -> DataFrame:
     plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
-    listed = spark.createDataFrame([(f,) for f in found.inputFiles()], "path string").select(plain.alias("path"))
+    listed = found.sparkSession.createDataFrame([(unquote(f),) for f in found.inputFiles()], "path string").select(plain.alias("path"))
     empty = listed.join(found.select(plain.alias("path")), "path", "left_anti")
-    return found.unionByName(empty.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content")))
+    return found.unionByName(empty.select("path", F.lit(0).cast("long").alias("length")), allowMissingColumns=True)
 
 
 def size_within(length: Column, least: int | None = None, most: int | None = None) -> Column:

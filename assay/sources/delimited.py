@@ -3,7 +3,9 @@
 A quote opens only at the start of a field; inside it a doubled quote is one quote and line ends are
 data; what follows a closing quote is added to the field. Records end at LF, CRLF or CR. A record of
 one empty cell is dropped but keeps its number. A quote that never closes makes the file malformed.
-A file is one row and one task: quoted line ends cannot be found from the middle of a file.
+
+``load_blocks`` reads files of any size: each in blocks by many tasks, whose quotes are told apart by running every
+block from all states. ``load`` takes small files as rows that hold their content.
 """
 
 from __future__ import annotations
@@ -15,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assay.config import UsageError
+from assay.config import UsageError, checkpointed
 from assay.findings import findings, together
 from assay.functions.encoding import decoded, mojibake
 from assay.functions.text import strip_bom, trimmed
+from assay.sources import blocks
 
 RECORDS = "struct<records: array<struct<no: bigint, cells: array<string>>>, error: string>"
 
@@ -82,6 +85,97 @@ def load(files: DataFrame, dialect: Dialect = Dialect(), encoding: str = "auto")
     return parsed.select("path", "encoding", "bom", header.alias("header"), F.array_max(F.transform("r.records", lambda x: F.size(x["cells"]))).alias("width"), data.alias("records"), error.alias("error"))
 
 
+class Records:
+    """The dialect as a machine over bytes (see ``blocks``): 0 a field begins, 1 in a plain field or behind a closing quote, 2 in
+    quotes, 3 a quote in quotes, 4 a CR that ends a record. The bytes of quotes, line ends and delimiters stand for nothing
+    else in UTF-8 and cp949, but for letters, which can be second bytes in cp949."""
+
+    states = 5
+    INSIDE = re.compile(rb'(?:[^"]++|"")*+')
+
+    def __init__(self, delimiter: str):
+        if not delimiter.isascii() or delimiter.isalpha():
+            raise UsageError("files in blocks need an ASCII delimiter that is no letter")
+        self.mark = delimiter.encode()
+        mark = re.escape(self.mark)
+        plain = rb"[^%s\r\n]*+" % mark
+        field = rb'(?:"(?:[^"]++|"")*+"%s|(?!")%s)' % (plain, plain)
+        self.plain = re.compile(plain)
+        self.record = re.compile(rb"%s(?:%s%s)*+(?:\r\n|\n|\r(?=[\s\S]))" % (field, mark, field))
+
+    def fields(self, data: bytes, at: int) -> int:
+        """The exit state of data without a further end of a record, from a field's beginning."""
+        while at < len(data):
+            if data[at] == 0x22:
+                at = self.INSIDE.match(data, at + 1).end() + 1
+                if at >= len(data):
+                    return 2 if at > len(data) else 3
+            at = self.plain.match(data, at).end()
+            if at == len(data):
+                return 1
+            if data[at : at + 1] != self.mark:
+                return 4
+            at += 1
+        return 0
+
+    def more(self, data: bytes, at: int):
+        n = 0
+        while m := self.record.match(data, at):
+            n, at = n + 1, m.end()
+        return n, self.fields(data, at)
+
+    def first(self, data: bytes, state: int):
+        if not data:
+            return None, state
+        if state == 4:
+            return (1 if data[:1] == b"\n" else 0), None
+        at = 0
+        if state == 3 and data[:1] == b'"':
+            state, at = 2, 1
+        if state == 2:
+            at = self.INSIDE.match(data, at).end() + 1
+            if at >= len(data):
+                return None, (2 if at > len(data) else 3)
+        if state:
+            at = self.plain.match(data, at).end()
+            if at == len(data):
+                return None, 1
+            if data[at : at + 1] != self.mark:
+                if data[at:] == b"\r":
+                    return None, 4
+                return at + (2 if data[at : at + 2] == b"\r\n" else 1), None
+            at += 1
+        m = self.record.match(data, at)
+        return (m.end(), None) if m else (None, self.fields(data, at))
+
+
+def load_blocks(listed: DataFrame, dialect: Dialect = Dialect(), encoding: str = "auto", block_bytes: int = blocks.BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The files of listed(path, length), and their records (S4, S5, W1), each file read by many tasks.
+
+    One row per file: path, encoding, bom, header, width, n_records (the header too), error. And path, no, cells of the data
+    records of files without an error. Files are read once to find records and once more for each result.
+    """
+    found = blocks.scan(listed, Records(dialect.delimiter), block_bytes)
+    unclosed = F.when(F.col("state") == 2, F.concat(F.lit("unterminated quoted field starting at row "), (F.col("ended") + 1).cast("string")))
+    ends = blocks.with_encoding(found.files, encoding).withColumn("unclosed", unclosed)
+    splits = found.splits.join(ends.filter("unclosed is null").select("path", "encoding"), "path")
+    delimiter = dialect.delimiter
+
+    def parse(split, data):
+        for no, cells in split_records(data.decode(blocks.CODECS[split["encoding"]], "replace"), delimiter)[0]:
+            yield split["path"], split["no"] + no - 1, cells
+
+    parsed = blocks.read_splits(splits, parse, "path string, no long, cells array<string>")
+    seen = parsed.groupBy("path").agg(F.max(F.size("cells")).alias("width"), F.bool_or(F.exists("cells", mojibake)).alias("garbled"), F.min_by("cells", "no").alias("top"), F.min("no").alias("first"), F.count(F.lit(1)).alias("n"))
+    header = F.transform("top", lambda c, i: trimmed(F.when(i == 0, strip_bom(c)).otherwise(c))) if dialect.header else F.lit(None).cast("array<string>")
+    error = F.coalesce("unclosed", F.when(F.col("garbled"), "mojibake"), F.when(F.col("n").isNull(), "no records"))
+    told = ends.join(seen, "path", "left").select("path", "encoding", "bom", header.alias("header"), "width", F.coalesce("n", F.lit(0)).alias("n_records"), error.alias("error"), "first")
+    told = checkpointed(told)
+    data = parsed.join(told.filter("error is null").select("path", "first"), "path")
+    data = data.filter("no > first") if dialect.header else data
+    return told.drop("first"), data.select("path", "no", "cells")
+
+
 def rows(loaded: DataFrame) -> DataFrame:
     """Data records of the files that could be read: path, no, cells (D3)."""
     return loaded.filter("error is null").select("path", F.explode("records").alias("r")).select("path", "r.no", "r.cells")
