@@ -1,7 +1,8 @@
-"""Number functions: accounting text, tolerant equality, ages."""
+"""Number functions: accounting text, exact parts of doubles, tolerant equality, ages."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ SIGNS = "[%₩$]"
 
 
 def parse_number(text: Column) -> Column:
-    """The number that accounting text shows, or null.
+    """The double nearest to the number that accounting text shows, or null; a number beyond all doubles is none.
 
     White space and commas go; brackets around all negate; one leading sign counts; % and currency
     signs go; then digits with at most one point, and a digit after it, must be left.
@@ -23,10 +24,45 @@ def parse_number(text: Column) -> Column:
     inner = F.when(bracketed, F.regexp_extract(bare, r"^\((.*)\)\z", 1)).otherwise(bare)
     minus = inner.startswith("-")
     digits = F.regexp_replace(F.regexp_replace(inner, r"^[+-]", ""), SIGNS, "")
-    value = F.when(digits.rlike(r"^\d*\.?\d+\z"), digits).try_cast(MONEY)
+    value = F.when(digits.rlike(r"^\d*\.?\d+\z"), digits).try_cast("double")
+    value = F.when(value < float("inf"), value)
     return F.when(bracketed != minus, -value).otherwise(value)
 
 
+#: Doubles are summed by bins of so many exponents.
+BIN = 8
+
+
+def exponent_bin(x: Column) -> Column:
+    """The lowest exponent of the bin that a finite double belongs to; null for zero. The logarithm may be off by one in
+    its last place, so the bin starts one exponent lower than it says."""
+    return (F.floor((F.floor(F.log2(F.abs(x))) - 1) / BIN) * BIN).cast("int")
+
+
+def mantissa(x: Column, bin: Column) -> Column:
+    """``x`` as a whole number of 2^(bin - 52): exact, and below 2^62. Two steps keep the powers of two within doubles."""
+    shift = 52 - bin
+    half = (shift / 2).cast("int")
+    return (x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), shift - half)).cast("long")
+
+
+def rounded(parts: Column) -> Column:
+    """The double nearest to a sum of mantissas by bins, array of (bin, m), ties to even: the one rounding of a whole sum."""
+    low = 1200  # below all bins, so that shifts are to the left
+
+    def put(sums: pa.Array) -> pa.Array:
+        out = []
+        for row in sums.to_pylist():
+            exact = sum(int(p["m"]) << p["bin"] + low for p in row)
+            try:
+                out.append(exact / (1 << low + 52))
+            except OverflowError:
+                out.append(float("inf") if exact > 0 else float("-inf"))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(put, "double")(parts)
+
+
 def numerically_equal(a: Column, b: Column) -> Column:
     """Equal within a billionth of the larger, or of one."""
     return F.abs(a - b) <= F.lit(1e-9) * F.greatest(F.lit(1.0), F.abs(a), F.abs(b))
@@ -38,7 +74,7 @@ def age_hours(when: Column, now: Column) -> Column:
 
 def shown_number(value: Column, places: int = 6) -> Column:
     """At most six decimals, no trailing zeros and no negative zero."""
-    text = F.round(value.cast(MONEY), places).cast("string")
+    text = F.coalesce(F.round(value.try_cast(MONEY), places).cast("string"), value.cast("string"))
     bare = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
     return F.when(bare == "-0", F.lit("0")).otherwise(bare)
 

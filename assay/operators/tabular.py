@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.config import UsageError, whole
-from assay.functions.numbers import MONEY, parse_number
+from assay.functions.numbers import exponent_bin, mantissa, parse_number, rounded
 from assay.functions.text import is_blank, trimmed
 
 TOLERANCE = 0.001
@@ -93,37 +93,45 @@ def listed_rows(df: DataFrame, key: Column, row_no: Column, limit: int = 20) ->
     return totals.join(lists, "value").select("value", "n", "rows", F.greatest(F.lit(0).cast("long"), F.col("n") - limit).alias("more"))
 
 
-def total(df: DataFrame, column: Column, empty_as_zero: bool = False, by: list[str] = ()) -> DataFrame:
-    """Exact decimal total of accounting text or numbers, with counted, blank and unreadable cells (A1-A3).
+def exact_sums(df: DataFrame, value: Column, by: list[str] = (), counts: dict[str, Column] | None = None, name: str = "total") -> DataFrame:
+    """Sums of doubles that no order of rows changes: the exact sum, rounded once (A1). Further columns count where a
+    condition holds.
 
-    Each cell becomes a decimal before it is summed, so the total does not depend on row order.
+    Each number is a whole number of a power of two. These are summed as whole numbers by bins of exponents, in each task
+    first; a group has at most some 270 bins, which are put together in its last row. Nulls add nothing; infinities and
+    NaN make the sum what they make of any sum. No rows sum to 0.
     """
-    text = column.cast("string")
-    number = parse_number(text)
-    blank = is_blank(text)
-    zero = F.lit(0).cast(MONEY)
-    value = F.when(blank & F.lit(empty_as_zero), zero).otherwise(number)
-    return df.groupBy(*by).agg(
-        F.coalesce(F.sum(value), zero).alias("total"),
-        F.count(value).alias("counted"),
-        F.count_if(blank).alias("blanks"),
-        F.count_if(~blank & number.isNull()).alias("not_numbers"),
-        F.count(F.lit(1)).alias("n_rows"),
+    by, counts = list(by), counts or {}
+    x = value.cast("double")
+    finite = F.when(F.abs(x) < float("inf"), x)  # NaN is above all
+    rows = df.select(*by, x.alias("__x"), finite.alias("__finite"), exponent_bin(finite).alias("__bin"), *(c.alias(n) for n, c in counts.items()))
+    bins = rows.groupBy(*by, "__bin").agg(
+        F.sum(mantissa(F.col("__finite"), F.col("__bin")).cast("decimal(20,0)")).alias("__m"),
+        F.sum(F.when(F.col("__finite").isNull(), F.col("__x"))).alias("__other"),
+        *(F.count_if(n).alias(n) for n in counts),
     )
+    parts = F.collect_list(F.when(F.col("__bin").isNotNull(), F.struct(F.col("__bin").alias("bin"), F.col("__m").alias("m"))))
+    sums = bins.groupBy(*by).agg(parts.alias("__parts"), F.sum("__other").alias("__other"), *(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in counts))
+    return sums.select(*by, F.coalesce("__other", rounded("__parts")).alias(name), *counts)
 
 
-def exact_sum(column: Column) -> Column:
-    """Sum of a numeric column as exact decimals."""
-    return F.coalesce(F.sum(column.cast(MONEY)), F.lit(0).cast(MONEY))
+def total(df: DataFrame, column: Column, empty_as_zero: bool = False, by: list[str] = ()) -> DataFrame:
+    """Exact total of accounting text or numbers, with counted, blank and unreadable cells (A1-A3)."""
+    text = column.cast("string")
+    number = parse_number(text)
+    blank = is_blank(text)
+    value = F.when(blank & F.lit(empty_as_zero), F.lit(0.0)).otherwise(number)
+    counts = {"counted": value.isNotNull(), "blanks": blank, "not_numbers": ~blank & number.isNull(), "n_rows": F.lit(True)}
+    return exact_sums(df, value, by, counts)
 
 
 def within(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
     """Equal up to an inclusive tolerance; never for missing values."""
-    return F.coalesce(F.abs(a - b) <= F.lit(tolerance).cast(MONEY), F.lit(False))
+    return F.coalesce(F.abs(a - b) <= F.lit(float(tolerance)), F.lit(False))
 
 
 def measure(df: DataFrame, amount: Column) -> DataFrame:
-    return df.agg(exact_sum(amount).alias("total"), F.count(F.lit(1)).alias("n_rows"))
+    return exact_sums(df, amount, counts={"n_rows": F.lit(True)})
 
 
 def reconcile(left: DataFrame, right: DataFrame, left_amount: Column, right_amount: Column, tolerance: float = TOLERANCE, rows: bool = True) -> DataFrame:
@@ -134,8 +142,8 @@ def reconcile(left: DataFrame, right: DataFrame, left_amount: Column, right_amou
     sums = within(F.col("left_total"), F.col("right_total"), tolerance)
     same = (F.col("left_rows") == F.col("right_rows")) if rows else F.lit(True)
     return both.select(
-        F.round("left_total", 2).cast("double").alias("left_total"),
-        F.round("right_total", 2).cast("double").alias("right_total"),
+        "left_total",
+        "right_total",
         "left_rows",
         "right_rows",
         sums.alias("sums_agree"),

@@ -22,7 +22,7 @@ def find_sheets(wanted: DataFrame, sheets: DataFrame) -> DataFrame:
 
 def cells_equal(actual: Column, expected: Column) -> Column:
     """Equal as text or as numbers; blank never."""
-    a, e = parse_number(actual).cast("double"), parse_number(expected).cast("double")
+    a, e = parse_number(actual), parse_number(expected)
     return F.coalesce(~is_blank(actual) & ((trimmed(actual) == trimmed(expected)) | F.coalesce(numerically_equal(a, e), F.lit(False))), F.lit(False))
 
 

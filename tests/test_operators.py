@@ -4,6 +4,9 @@ import io
 import zipfile
 from datetime import datetime
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -389,3 +392,33 @@ class TestDocuments:
             documents.SizeBounds()
         with pytest.raises(UsageError):
             documents.SizeBounds(least_words=2, most_words=1)
+
+
+class TestExactSums:
+    def test_digits_are_kept(self, spark):
+        cells = ["0.0000004", "1" + "0" * 40, "(0.00000000000000012)", "9" * 400, "123456789012345678901234567890123.5"]
+        assert column(spark, cells, numbers.parse_number) == [4e-7, 1e40, -1.2e-16, None, 123456789012345678901234567890123.5]
+        assert column(spark, ["0.0000004"], lambda c: workbooks.cells_equal(c, F.lit("0"))) == [False]
+        assert column(spark, [1e300, 0.5, -0.0], numbers.shown_number, "double")[1:] == ["0.5", "0"]
+        million = spark.range(1_000_000).select(F.lit("0.0000004").alias("cell"))
+        assert tabular.total(million, F.col("cell")).first().total == math.fsum([4e-7] * 1_000_000)
+
+    def test_equals_fsum_in_any_layout(self, spark):
+        rng = random.Random(11)
+        of = lambda: rng.choice([1, -1]) * rng.random() * 10.0 ** rng.randint(-300, 300)
+        rows = [(g, of()) for g in range(5) for _ in range(400)]
+        rows += [(g, -x) for g, x in rows[:1500:3]]  # much of the largest cancels
+        rows += [(5, x) for x in (5e-324, -5e-324, 5e-324, 2.0**-1022, 1.7976931348623157e308, -1.7976931348623157e308)]
+        rows += [(6, 1.0), (6, 2.0**-53), (6, 2.0**-54)] + [(7, 1.7976931348623157e308)] * 2 + [(8, 0.0), (8, None)] + [(9, float("inf")), (9, 1.0), (10, float("nan")), (10, 2.0), (11, float("inf")), (11, float("-inf"))]
+        rows += [(12, s * 2.0**e) for e in range(-1074, 1022) for s in (1, 1.0000000000000002, -1.9999999999999998)]
+        want = {g: math.fsum(x for k, x in rows if k == g and x is not None) for g in (*range(7), 8, 12)}
+        for parts in (1, 7):
+            df = spark.createDataFrame(rows, "g int, x double").repartition(parts)
+            have = {r.g: (r.total, r.n) for r in tabular.exact_sums(df, F.col("x"), ["g"], {"n": F.col("x").isNotNull()}).collect()}
+            assert {g: have[g][0] for g in want} == want
+            assert have[7][0] == math.inf == have[9][0] and math.isnan(have[10][0]) and math.isnan(have[11][0]) and have[8][1] == 1
+        assert tabular.exact_sums(df.limit(0), F.col("x")).first().total == 0.0
+
+    def test_tiny_tolerance(self, spark):
+        one = spark.createDataFrame([(1e-9, 3e-9)], "a double, b double")
+        assert one.select(tabular.within(F.col("a"), F.col("b"), 1e-9).alias("x"), tabular.within(F.col("a"), F.col("b"), 2e-9).alias("y")).first() == (False, True)
