@@ -82,8 +82,9 @@ def mostly_manual(gates: DataFrame) -> DataFrame:
 
 
 def apply_results(results: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Results(file, id, signature, ok) written back to the fresh ledger: a changed or missing gate is stale."""
-    fresh = ledger.select("file", "id", "signature", F.lit(True).alias("known"))
+    """Results(file, id, signature, ok) written back to the fresh ledger: a changed or missing gate is stale (J6). One row
+    for each result, also where the ledger has an id twice."""
+    fresh = ledger.select("file", "id", "signature").distinct().withColumn("known", F.lit(True))
     state = F.when(F.col("known").isNull(), "stale").when(F.col("ok"), "met").otherwise("unmet")
     return results.join(fresh, ["file", "id", "signature"], "left").select("file", "id", "ok", state.alias("outcome"))
 
@@ -128,12 +129,12 @@ def unreadable_deps(gates: DataFrame, digests: DataFrame) -> DataFrame:
 
 
 def reverified(gates: DataFrame, results: DataFrame) -> DataFrame:
-    """Gates after all runnable ones ran again (2.9.4, J15): one that fails is unchecked and pending; one that was
-    met and did not run, or ran against an older text of itself, counts as unmet. results(file, id, signature, ok)."""
-    ran = results.select("file", "id", F.col("signature").alias("ran_as"), "ok")
-    both = gates.join(ran, ["file", "id"], "left")
-    stale = F.col("ran_as").isNotNull() & (F.col("ran_as") != F.col("signature"))
-    met = F.col("runnable") & (F.col("state") == "met")
-    extra = F.coalesce(stale, F.lit(False)) & met | met & F.col("ran_as").isNull()
-    state = F.when(F.col("runnable") & ~stale & ~F.col("ok") & F.col("state").isin("met", "unmet-no-evidence"), "unmet").when(F.col("runnable") & ~stale & F.col("ok") & (F.col("state") != "abandoned"), "met").otherwise(F.col("state"))
-    return both.select("file", "id", state.alias("state"), F.coalesce(extra, F.lit(False)).alias("extra_unmet"))
+    """Gates after all runnable ones ran again (2.9.4, J15): one that fails is unchecked and pending; one that was met and
+    did not run, or ran against another text of itself alone, counts as unmet. results(file, id, signature, ok). One row for
+    each gate, also where an id stands twice; of several results of one text, one that fails counts."""
+    ran = results.groupBy("file", "id", "signature").agg(F.bool_and("ok").alias("ok"))
+    both = gates.join(ran, ["file", "id", "signature"], "left")
+    ok = F.col("runnable") & F.col("ok")
+    extra = F.col("runnable") & (F.col("state") == "met") & F.col("ok").isNull()
+    state = F.when(F.col("runnable") & ~F.col("ok") & F.col("state").isin("met", "unmet-no-evidence"), "unmet").when(ok & (F.col("state") != "abandoned"), "met").otherwise(F.col("state"))
+    return both.select("file", "id", state.alias("state"), extra.alias("extra_unmet"))

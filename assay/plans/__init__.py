@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("tabular", "texts", "ledgers", "sources")
+MODULES = ("tabular", "texts", "ledgers", "sources", "streams")
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 

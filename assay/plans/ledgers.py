@@ -27,8 +27,7 @@ RUNNABLE = "coalesce(\"check\", '') <> ''"
 
 
 def gates(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("assay_orders")
-    made = spark.sql(GATES.format(s="string").replace('"check"', "`check`").replace("from orders", "from assay_orders"))
+    made = spark.sql(GATES.format(s="string").replace('"check"', "`check`").replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
     return made.withColumn("state", ledger.gate_state(F.col("abandoned"), F.col("checked"), F.col("evidence"))).withColumn("runnable", F.coalesce("check", F.lit("")) != "")
 
 
@@ -77,24 +76,31 @@ def lint_ratio(spark, sf_dir):
     return ledger.mostly_manual(gates(spark, sf_dir))
 
 
+SIGNED = f"select *, {STATE} state, {RUNNABLE} runnable, concat_ws('|', id, \"check\", expect) as sig from ({SQL_GATES})"
+
+
+def signed(g):
+    return g.withColumn("signature", F.sha2(F.concat_ws("|", "id", "check", "expect"), 256))
+
+
 @query(
-    f"with g as (select *, {STATE} state from ({SQL_GATES})) select case when o_orderkey % 23 = 0 then 'stale' when o_orderkey % 2 = 0 then 'met' else 'unmet' end outcome, count(*) n from g where {RUNNABLE} and o_orderkey % 401 <> 0 group by 1"
+    f"with g as ({SIGNED}) select case when not exists (select 1 from g f where f.runnable and f.file = r.file and f.id = r.id and f.sig = r.sig and f.o_orderkey % 23 <> 0) then 'stale' when o_orderkey % 2 = 0 then 'met' else 'unmet' end outcome, count(*) n from g r where runnable group by 1"
 )
 def stale_results(spark, sf_dir):
-    """Results of gates whose text has changed since."""
-    g = gates(spark, sf_dir).filter("runnable and o_orderkey % 401 <> 0").withColumn("signature", F.sha2(F.concat_ws("|", "id", "check", "expect"), 256))
+    """Results of gates whose text has changed since; some ids stand twice."""
+    g = signed(gates(spark, sf_dir).filter("runnable"))
     fresh = g.withColumn("signature", F.when(F.col("o_orderkey") % 23 == 0, "changed").otherwise(F.col("signature")))
     results = g.select("file", "id", "signature", (F.col("o_orderkey") % 2 == 0).alias("ok"))
     return ledger.apply_results(results, fresh).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"with g as (select *, {STATE} state, {RUNNABLE} runnable, o_orderkey % 5 <> 0 ran, o_orderkey % 23 = 0 stale, o_orderkey % 2 = 0 ok from ({SQL_GATES}) where o_orderkey % 401 <> 0 and o_orderkey % 401 <> 200) select file, id, "
-    "case when runnable and ran and not stale and not ok and state in ('met', 'unmet-no-evidence') then 'unmet' when runnable and ran and not stale and ok and state <> 'abandoned' then 'met' else state end state, runnable and state = 'met' and (not ran or stale) extra_unmet from g"
+    f"with g as ({SIGNED}), r as (select file, id, case when o_orderkey % 23 = 0 then 'older' else sig end sig, bool_and(o_orderkey % 2 = 0) ok from g where runnable and o_orderkey % 5 <> 0 group by all) select g.file, g.id, "
+    "case when runnable and not ok and state in ('met', 'unmet-no-evidence') then 'unmet' when runnable and ok and state <> 'abandoned' then 'met' else state end state, runnable and state = 'met' and ok is null extra_unmet from g left join r on g.file = r.file and g.id = r.id and g.sig = r.sig"
 )
 def reverified_gates(spark, sf_dir):
-    """J15, 2.9.4."""
-    g = gates(spark, sf_dir).filter("o_orderkey % 401 <> 0 and o_orderkey % 401 <> 200").withColumn("signature", F.sha2(F.concat_ws("|", "id", "check", "expect"), 256))
+    """J15, 2.9.4: every gate once, those too whose id stands twice."""
+    g = signed(gates(spark, sf_dir))
     ran = g.filter("runnable and o_orderkey % 5 <> 0").select("file", "id", F.when(F.col("o_orderkey") % 23 == 0, "older").otherwise(F.col("signature")).alias("signature"), (F.col("o_orderkey") % 2 == 0).alias("ok"))
     return ledger.reverified(g, ran)
 
@@ -131,10 +137,10 @@ def audit_findings(spark, sf_dir):
     return found.groupBy("severity", "code").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"with g as ({SQL_GATES}) select file as ledger, count(*) n from g where o_orderkey % 4 = 0 and {RUNNABLE} and o_orderkey % 401 <> 0 and o_orderkey % 401 <> 200 and o_orderkey % 12 <> 4 group by 1")
+@query(f"with g as ({SIGNED}) select file as ledger, count(*) n from g where runnable and exists (select 1 from g a where a.runnable and a.file = g.file and a.id = g.id and a.sig = g.sig and a.o_orderkey % 4 = 0 and a.o_orderkey % 12 <> 4) group by 1")
 def signed_approvals(spark, sf_dir):
     """An approval counts for the text that it was given for."""
-    g = gates(spark, sf_dir).filter("runnable and o_orderkey % 401 <> 0 and o_orderkey % 401 <> 200").withColumnRenamed("file", "ledger").withColumn("signature", F.sha2(F.concat_ws("|", "check", "expect", "id"), 256))
+    g = signed(gates(spark, sf_dir).filter("runnable")).withColumnRenamed("file", "ledger")
     given = g.filter("o_orderkey % 4 = 0").select("ledger", "id", F.when(F.col("o_orderkey") % 12 == 4, "other").otherwise(F.col("signature")).alias("signature"))
     return audit.signed_approval(g, given).groupBy("ledger").agg(F.count(F.lit(1)).alias("n"))
 
@@ -254,7 +260,12 @@ def hook_decisions(spark, sf_dir):
     "case when conv_id % 4 = 0 then case when seq >= 6 then 'abandoned' else 'open' end when seq < 3 then 'open' when seq < 5 then 'sealed' else 'complete' end as state from s"
 )
 def dispatch_lifecycle(spark, sf_dir):
-    """T-1: a conversation's turns are the events of a wave of two leaves; in some the second start takes the handle of the first."""
+    """T-1: the events of wave_events, folded."""
+    return coordination.fold_waves(wave_events(spark, sf_dir)).select(F.col("wave").cast("long").alias("conv_id"), "seq", "action", "refused", "state")
+
+
+def wave_events(spark, sf_dir):
+    """A conversation's turns as the events of a wave of two leaves; in some the second start takes the handle of the first."""
     from pyspark.sql import Window
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).cast("long").alias("seq"))
@@ -262,8 +273,7 @@ def dispatch_lifecycle(spark, sf_dir):
     action = F.when(seq == 0, "open").when(seq.isin(1, 2), "start").when(seq == 3, "seal").when(seq.isin(4, 5), "return").otherwise("abandon")
     leaf = F.when(seq.isin(1, 4), "a").when(seq.isin(2, 5), "b")
     handle = F.when((seq == 1) | ((seq == 2) & (F.col("conv_id") % 4 == 0)), "h1").when(seq == 2, "h2")
-    events = rows.select(F.col("conv_id").cast("string").alias("wave"), "seq", action.alias("action"), F.when(seq == 0, F.array(F.lit("a"), F.lit("b"))).alias("leaves"), leaf.alias("leaf"), handle.alias("handle"), F.lit("no time").alias("reason"))
-    return coordination.fold_waves(events).select(F.col("wave").cast("long").alias("conv_id"), "seq", "action", "refused", "state")
+    return rows.select(F.col("conv_id").cast("string").alias("wave"), "seq", action.alias("action"), F.when(seq == 0, F.array(F.lit("a"), F.lit("b"))).alias("leaves"), leaf.alias("leaf"), handle.alias("handle"), F.lit("no time").alias("reason"))
 
 
 def made_waves(spark, sf_dir):
