@@ -66,13 +66,19 @@ class Settings:
 
 
 def allowed_starts(run: str, window: int, settings: Settings) -> list[tuple[int, int]]:
-    """Ranges of window starts that the allow list suppresses, ends exclusive."""
+    """Ranges of window starts that the allow list suppresses, ends exclusive, apart and in order."""
     if settings.known.fullmatch(run):
         return [(0, len(run))]
     out = [(m.start() - window + 1, m.end()) for m in settings.examples.finditer(run)]
     half = window // 2
     out += [(m.start() - half, m.end() - half + 1) for m in settings.ascending.finditer(run) if m.end() - m.start() >= half]
-    return sorted(out)
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out):
+        if merged and a <= merged[-1][1]:
+            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        else:
+            merged.append((a, b))
+    return merged
 
 
 def hot_windows(text: str, rule: EntropyRule, allowed: list[tuple[int, int]] = ()) -> list[tuple[int, int]]:
@@ -109,7 +115,7 @@ def hot_windows(text: str, rule: EntropyRule, allowed: list[tuple[int, int]] = (
             start = i - w + 1
             while at < len(allowed) and allowed[at][1] <= start:
                 at += 1
-            if any(a <= start < b for a, b in allowed[at:]):
+            if at < len(allowed) and allowed[at][0] <= start:
                 continue
             if spans and start <= spans[-1][1]:
                 spans[-1][1] = i + 1

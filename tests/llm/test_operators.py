@@ -619,6 +619,33 @@ def clashing(spark, rows):
     return spark.createDataFrame([(*r, 1, 2, 3, "x", 4, 5, 6, 7) for r in rows], CLASHING).repartition(5)
 
 
+class TestLongCandidates:
+    def test_time_grows_with_the_length(self):
+        """Example words and ascending runs all over a candidate of megabytes: each is looked at once."""
+        import random
+        import time
+
+        rng = random.Random(8)
+        word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(60))
+        seconds = []
+        for n in (1 << 18, 1 << 20):
+            text = "".join(word() + ("example" if i % 2 else "abcdefghijklmnop0123456789") for i in range(n // 75))
+            began = time.process_time()
+            spans = secrets.entropy_spans(text, [], secrets.Settings())
+            seconds.append(time.process_time() - began)
+            assert spans
+        assert seconds[1] < 60 and seconds[1] < 10 * seconds[0]
+
+    def test_ranges_are_apart_and_the_same(self):
+        settings = secrets.Settings()
+        run = "example" * 3 + "Zx9Kq2Lm8Vw4Rt6Yb1Nc" + "0123456789abcdefghij" + "exampleZx9Kq2Lm8Vw4Rt6Yb1Nc7Hg5Fd3Sa" * 4
+        for rule in settings.rules:
+            ranges = secrets.allowed_starts(run, rule.window, settings)
+            assert all(a < b for a, b in ranges) and all(x[1] < y[0] for x, y in zip(ranges, ranges[1:], strict=False))
+            hot = {i for a, b in secrets.hot_windows(run, rule, ranges) for i in range(a, b)}
+            assert hot == brute.entropy_windows(run, rule, settings)
+
+
 class TestSimHash:
     def compare(self, df, docs):
         assert keyed(simhash.near_duplicates(df), "fingerprint", "component_id") == brute.simhashes(docs)
