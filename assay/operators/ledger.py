@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.patterns import refuse_runaway
 from assay.functions.text import expectation, is_pending, trimmed
 
 # Expectations too weak to tell success, commands whose output never changes, first words of
@@ -95,7 +96,7 @@ def passed(exit_code: Column, matched: Column, error: Column) -> Column:
 
 
 def matches(output: Column, expect: str) -> Column:
-    """A plain expectation is a substring; one between slashes a pattern."""
+    """A plain expectation is a substring; one between slashes a pattern (P34), which must not be able to run away."""
     import re
 
     from assay.config import UsageError
@@ -106,6 +107,7 @@ def matches(output: Column, expect: str) -> Column:
     if len(found[1]) > 1000:
         raise UsageError("the pattern is longer than 1000 characters")
     flags = "".join(sorted(set(found[2]) & set("ims")))
+    refuse_runaway(found[1], flags)
     return output.rlike(f"(?{flags}{'u' if 'i' in flags else ''}){found[1]}" if flags else found[1])
 
 

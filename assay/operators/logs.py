@@ -3,13 +3,13 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.config import UsageError, whole
+from assay.functions.patterns import refuse_runaway
 from assay.functions.text import is_blank
 
 STAGES = ("empty", "control", "required", "forbidden", "pass")
@@ -39,10 +39,7 @@ class LogScan:
             whole("tail", self.tail, 1)
 
         for source in (*self.forbid, *self.require, *self.control, *self.ignore):
-            try:
-                re.compile(source)
-            except re.error as e:
-                raise UsageError(f"no pattern: {source!r}: {e}") from None
+            refuse_runaway(source, self.flags)
 
     def pattern(self, source: str) -> str:
         flags = self.flags + ("u" if "i" in self.flags and "u" not in self.flags else "")
