@@ -147,12 +147,6 @@ def failure_summary(text: Column, head: int = 6, last: int = 2, limit: int = 480
     return F.left(F.coalesce(F.nullif(F.array_join(parts, " | "), F.lit("")), F.lit("(no output)")), F.lit(limit))
 
 
-def head_list(items: Column, n: int = 12) -> Column:
-    """The first n items and how many more there are."""
-    more = F.size(items) - n
-    return F.concat(F.array_join(F.slice(items, 1, n), ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
-
-
 def distinct_in_order(items: Column) -> Column:
     """Each item where it comes first (U4)."""
     return F.filter(items, lambda x, i: F.array_position(items, x) == i + 1)

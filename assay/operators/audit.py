@@ -3,10 +3,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
 
 from assay.findings import together
 from assay.functions.text import csv_cell, evidence_fields
@@ -43,9 +47,46 @@ def csv_line(*cells: Column) -> Column:
     return F.concat_ws(",", *(csv_cell(c) for c in cells))
 
 
-def state_digest(items: Column) -> Column:
-    """First 24 hex digits of the SHA-256 of the sorted items joined by NUL."""
-    return F.substr(F.sha2(F.array_join(F.array_sort(items), "\0"), 256), F.lit(1), F.lit(24))
+def state_digests(rows: DataFrame, by: list[str], item: str) -> DataFrame:
+    """Per group the first 24 hex digits of the SHA-256 of its sorted items joined by NUL (A18); nulls are no items.
+
+    Spark sorts the items within the groups and a task hashes them as they pass, so a group of any size takes the memory of
+    one batch.
+    """
+    columns = rows.select(*by, F.col(item).cast("string").alias(item))
+    schema = StructType([*columns.select(*by).schema.fields, StructField("digest", StringType())])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        key, hashed, fed = None, None, False
+        for batch in batches:
+            done = []
+            for *now, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if hashed is None or now != key:
+                    if hashed is not None:
+                        done.append((*key, hashed.hexdigest()[:24]))
+                    key, hashed, fed = now, hashlib.sha256(), False
+                if value is not None:
+                    hashed.update((b"\0" if fed else b"") + value.encode())
+                    fed = True
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, d, strict=True)) for d in done], arrow)
+        if hashed is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, (*key, hashed.hexdigest()[:24]), strict=True))], arrow)
+
+    return columns.repartition(*by).sortWithinPartitions(*by, item).mapInArrow(run, schema)
+
+
+def heads(rows: DataFrame, by: list[str], item: str, n: int = 12) -> DataFrame:
+    """Per group how many items there are, and the first ``n`` in order with the number left out as ``shown`` (W10). Spark
+    keeps the first n of a group in each task, so no more of them meet."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(item))
+    first = rows.select(*by, item).withColumn("__place", place).filter(F.col("__place") <= n)
+    lists = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__place", F.col(item).cast("string").alias("text")))), lambda x: x["text"]).alias("__items"))
+    same = [F.col(f"c.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by]
+    counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    more = F.col("n") - n
+    shown = F.concat(F.array_join("__items", ", "), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
+    return counts.alias("c").join(lists.alias("l"), same).select(*(F.col(f"c.{c}") for c in by), "n", shown.alias("shown"))
 
 
 def fingerprint(text: Column) -> Column:

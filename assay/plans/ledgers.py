@@ -177,8 +177,8 @@ def evidence_fields(spark, sf_dir):
 @query("select o_custkey, substring(sha256(string_agg(o_orderkey::varchar || ':' || o_orderstatus, chr(0) order by o_orderkey::varchar || ':' || o_orderstatus)), 1, 24) digest from orders group by 1")
 def state_digest(spark, sf_dir):
     """A18."""
-    items = F.collect_list(F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(audit.state_digest(items).alias("digest"))
+    items = table(spark, sf_dir, "orders").select("o_custkey", F.concat_ws(":", F.col("o_orderkey").cast("string"), "o_orderstatus").alias("item"))
+    return audit.state_digests(items, ["o_custkey"], "item")
 
 
 GLOB = "case when page_id % 83 = 0 then '**/x' when page_id % 97 = 0 then '../up' when page_id % 5 = 0 then concat('./', p) when page_id % 7 = 0 then concat(p, '/*.html') when page_id % 11 = 0 then regexp_extract(p, '^([^/]*/[^/]*)', 1) else p end"
@@ -397,5 +397,4 @@ def small_functions(spark, sf_dir):
 @query("select o_custkey, count(*) n, string_agg(o_orderkey::varchar, ', ' order by o_orderkey) filter (where place <= 12) || case when count(*) > 12 then ' +' || (count(*) - 12) || ' more' else '' end shown from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_orderkey) place from orders) group by 1")
 def unmet_heads(spark, sf_dir):
     """The first ids and how many more there are."""
-    ids = F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda k: k.cast("string"))
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), text.head_list(ids).alias("shown"))
+    return audit.heads(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey")

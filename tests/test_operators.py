@@ -422,3 +422,35 @@ class TestExactSums:
     def test_tiny_tolerance(self, spark):
         one = spark.createDataFrame([(1e-9, 3e-9)], "a double, b double")
         assert one.select(tabular.within(F.col("a"), F.col("b"), 1e-9).alias("x"), tabular.within(F.col("a"), F.col("b"), 2e-9).alias("y")).first() == (False, True)
+
+
+class TestSortedGroups:
+    ROWS = [("a", i, f"x{i % 7}:é{i}") for i in range(40)] + [(None, i, f"n{i}") for i in range(13)] + [("b", 1, None), ("c", 2, "one"), ("c", 2, "one"), ("d", 3, None), ("d", 4, "z"), ("", 5, "")]
+
+    @pytest.mark.parametrize("batch", [1, 10_000])
+    def test_digests(self, spark, batch):
+        """One digest for each group, wherever batches cut it; nulls are no items, repeated ones are."""
+        import hashlib
+
+        df = spark.createDataFrame(self.ROWS, "g string, k int, item string").repartition(3)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            have = {r.g: r.digest for r in audit.state_digests(df, ["g"], "item").collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        groups = {g: sorted((x for h, _, x in self.ROWS if h == g and x is not None), key=str.encode) for g in {r[0] for r in self.ROWS}}
+        assert have == {g: hashlib.sha256("\0".join(x).encode()).hexdigest()[:24] for g, x in groups.items()}
+        assert audit.state_digests(df.limit(0), ["g"], "item").collect() == []
+
+    def test_heads(self, spark):
+        df = spark.createDataFrame(self.ROWS, "g string, k int, item string").repartition(3)
+        have = {r.g: (r.n, r.shown) for r in audit.heads(df, ["g"], "k").collect()}
+        assert have["a"] == (40, ", ".join(map(str, range(12))) + " +28 more") and have["c"] == (2, "2, 2") and have["b"] == (1, "1")
+        assert have[None] == (13, ", ".join(map(str, range(12))) + " +1 more")
+
+    def test_a_large_group_passes_through(self, spark):
+        import hashlib
+
+        df = spark.range(300_000).select(F.lit("g").alias("g"), F.lpad(F.col("id").cast("string"), 9, "0").alias("item"))
+        want = hashlib.sha256("\0".join(f"{i:09d}" for i in range(300_000)).encode()).hexdigest()[:24]
+        assert [r.digest for r in audit.state_digests(df, ["g"], "item").collect()] == [want]
