@@ -1,4 +1,4 @@
-"""Encoding functions over bytes (N3-N7, P11, P12, S3). Only ``decoded`` runs Python: Spark has no cp949."""
+"""Encoding functions over bytes (N3-N7, P11, P12, S3). Only ``decoded`` runs Python, on what is no UTF-8: Spark has no cp949."""
 
 from __future__ import annotations
 
@@ -79,5 +79,15 @@ def _decode(contents, wanted):
 
 
 def decoded(content: Column, encoding: str = "auto") -> Column:
-    """Struct of text, encoding and bom (S3). An Arrow UDF: the JVM has no cp949 by default."""
-    return F.pandas_udf(_decode, "struct<text: string, encoding: string, bom: boolean>")(content, F.lit(encoding))
+    """Struct of text, encoding and bom (S3). The JVM decodes what is valid UTF-8, or ASCII where cp949 is told; the bytes of
+    other rows alone reach Python, since the JVM has no cp949 by default."""
+    raw = F.coalesce(content, F.lit(b""))
+    bom = has_bom(raw)
+    body = F.when(bom, F.substring(raw, 4, 2**31 - 1)).otherwise(raw)
+    text = body.cast("string")
+    plain = F.is_valid_utf8(text)
+    if encoding == "cp949":
+        plain = plain & (F.octet_length(body) == F.length(text))
+    rest = F.pandas_udf(_decode, "struct<text: string, encoding: string, bom: boolean>")(F.when(~plain, raw), F.lit(encoding))
+    kind = F.lit("cp949" if encoding == "cp949" else "utf8")
+    return F.when(plain, F.struct(text.alias("text"), kind.alias("encoding"), bom.alias("bom"))).otherwise(rest)

@@ -53,11 +53,20 @@ def encoding_expected(spark, sf_dir):
     return counts.select("label", "n", encoding.bom_rule(F.col("bom"), F.col("label"), False).alias("no_bom"), encoding.bom_rule(F.col("bom"), F.col("label"), True).alias("has_bom"), rules).select("r.*", "label", "n", "no_bom", "has_bom")
 
 
-@query("select doc_id, case when doc_id % 3 = 2 then 'cp949' else 'utf8' end as encoding, doc_id % 3 = 1 as bom, case when doc_id % 3 = 2 then '정상' else md5(text) end as digest from documents")
+#: Ten syllables that stand one after the other in cp949, from B0A1 on, for the ten digits.
+SYLLABLES, DIGITS = "가각간갇갈갉갊감갑값", "0123456789"
+
+
+@query(f"select doc_id, case when doc_id % 3 = 2 then 'cp949' else 'utf8' end as encoding, doc_id % 3 = 1 as bom, case when doc_id % 3 = 2 then translate(doc_id::varchar, '{DIGITS}', '{SYLLABLES}') || ' end' else md5(text) end as digest from documents")
 def text_decode(spark, sf_dir):
-    """S3: UTF-8 with and without a mark, and cp949."""
+    """S3: UTF-8 with and without a mark, and cp949 that differs in each document."""
     raw, kind = F.encode("text", "UTF-8"), F.col("doc_id") % 3
-    content = F.when(kind == 0, raw).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(F.unhex(F.lit("C1A4BBF3")))
+    letters = "klmnopqrst"
+    code = F.translate(F.col("doc_id").cast("string"), DIGITS, letters)
+    for i, letter in enumerate(letters):
+        code = F.replace(code, F.lit(letter), F.lit(f"B0{0xA1 + i:02X}"))
+    korean = F.concat(F.unhex(code), F.encode(F.lit(" end"), "UTF-8"))
+    content = F.when(kind == 0, raw).when(kind == 1, F.concat(F.unhex(F.lit("EFBBBF")), raw)).otherwise(korean)
     d = table(spark, sf_dir, "documents").select("doc_id", encoding.decoded(content).alias("d"))
     return d.select("doc_id", "d.encoding", "d.bom", F.when(F.col("doc_id") % 3 == 2, F.col("d.text")).otherwise(F.md5("d.text")).alias("digest"))
 

@@ -454,3 +454,26 @@ class TestSortedGroups:
         df = spark.range(300_000).select(F.lit("g").alias("g"), F.lpad(F.col("id").cast("string"), 9, "0").alias("item"))
         want = hashlib.sha256("\0".join(f"{i:09d}" for i in range(300_000)).encode()).hexdigest()[:24]
         assert [r.digest for r in audit.state_digests(df, ["g"], "item").collect()] == [want]
+
+
+class TestDecoded:
+    def test_as_python_decodes(self, spark):
+        """Marks, broken sequences, cp949, nothing and null, in each encoding that can be told."""
+        mark = b"\xef\xbb\xbf"
+        given = [b"", None, b"abc", "é日🙂".encode(), mark, mark + "é".encode(), mark + b"\xc1\xa4", "정상 end".encode("cp949"), b"a\xff", b"\xed\xa0\x80", "정상".encode(), mark + b"x" * 70_000, b"\xe6\x97"]
+        df = spark.createDataFrame([(i, None if v is None else bytearray(v)) for i, v in enumerate(given)], "i int, v binary").repartition(3)
+        for told in ("auto", "utf8", "cp949"):
+            want = []
+            for v in given:
+                v = v or b""
+                bom = v.startswith(mark)
+                body, kind = (v[3:] if bom else v), told
+                if told == "auto":
+                    try:
+                        body.decode()
+                        kind = "utf8"
+                    except UnicodeDecodeError:
+                        kind = "utf8" if bom else "cp949"
+                want.append((body.decode("utf-8" if kind == "utf8" else "cp949", "replace"), kind, bom))
+            have = [tuple(r.d) for r in df.select("i", encoding.decoded(F.col("v"), told).alias("d")).orderBy("i").collect()]
+            assert have == want, told
