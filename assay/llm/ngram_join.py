@@ -8,8 +8,10 @@ link, and the other fragments are counted only for pairs that it leaves.
 
 Documents with equal sets are one node. No group is expanded into its pairs: two rounds join
 each node to one centre of its posting lists, and verified links contract them. In crowded lists,
-further rounds let each component try the likeliest pair that leads out of it. A last round takes
-all pairs whose ends are still in different components, so no link between components is lost.
+further rounds let each component try the likeliest pair that leads out of it. A last round looks at
+all pairs whose ends are still in different components: the lists in which two nodes meet are the whole
+overlap of their prefixes, so a count of them leaves those that can link, and no link between
+components is lost.
 
 A document's set has the distinct n-grams of its lower-cased (A-Z) words between ASCII white
 space; fewer than n words are one n-gram; null and "" have none and link with nothing. Repeated
@@ -32,7 +34,7 @@ from assay.llm.common import drop_tables, fresh, frugal, give_back, id_filter, m
 NGRAM = 4
 LEAST, OF = 85, 100  # link: OF * intersection >= least * union, least being LEAST unless told otherwise
 #: An n-gram is looked at for the frequent end of the order if so many documents of one step have it.
-STEP_NGRAMS, STEP_OFTEN = 2_000_000, 8
+STEP_NGRAMS, STEP_OFTEN = 2_000_000, 2
 #: Entries of the broadcast table of frequent n-grams; the order of the others is by hash.
 #: More or fewer change what the join costs, not its result.
 FREQUENT = 1_000_000
@@ -253,10 +255,10 @@ def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame, least: int) -> D
     return best.select("p.*").distinct()
 
 
-def crossing(gram: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of one list that are in different components and within the bounds, in steps of bounded
-    size; a pair can come twice. Entries are sorted by gram and size. Only those outside their list's largest
-    component look for partners, among the sizes that can link."""
+def crossing(gram: np.ndarray, n: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the pairs of one list that are in different components and of sizes that can link, each once, in
+    steps of bounded size. Entries are sorted by gram and size. Only those outside their list's largest component
+    look for partners."""
     new = np.concatenate([[True], gram[1:] != gram[:-1]])
     of, start = np.cumsum(new) - 1, np.flatnonzero(new)
     by = np.lexsort((comp, of))
@@ -275,35 +277,38 @@ def crossing(gram: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray,
         wide = hi[step] - lo[step]
         i = np.repeat(lone[step], wide)
         j = np.repeat(lo[step] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
-        ok = (comp[i] != comp[j]) & possible(n[i], n[j], pos[i], pos[j], least)
+        ok = (comp[i] != comp[j]) & ((i < j) | (comp[j] == major[of[j]]))
         yield i[ok], j[ok]
 
 
 def by_size(mixed: DataFrame) -> DataFrame:
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
+    return mixed.select("gram", "node", "n", "component").repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
 
 
 def left_to_try(mixed: DataFrame, least: int) -> int:
-    """How many pairs crossing_pairs would make, each list for itself; none is kept."""
+    """How many pairs crossing_pairs would look at, each list for itself; none is kept."""
 
     def run(batches):
-        total = sum(len(i) for gram, node, n, pos, comp in lists(batches) if len(gram) for i, _ in crossing(gram, node, n.astype(np.int64), pos, comp, least))
+        total = sum(len(i) for gram, _, n, comp in lists(batches) if len(gram) for i, _ in crossing(gram, n.astype(np.int64), comp, least))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
     return int(by_size(mixed).mapInArrow(frugal(run), "n long").agg(F.sum("n")).first()[0] or 0)
 
 
 def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
-    """Pairs of one list whose nodes are in different components, within the bounds."""
+    """Pairs of nodes in different components that the number of lists they share leaves as possible links.
+
+    Of two prefixes, what the one that reaches less far shares with the other set is what the prefixes share, so all
+    else that is common stands after it in its set."""
 
     def run(batches):
-        for gram, node, n, pos, comp in lists(batches):
+        for gram, node, n, comp in lists(batches):
             if not len(gram):
                 continue
             n = n.astype(np.int64)
             held, size = [], 0
-            for i, j in crossing(gram, node, n, pos, comp, least):
+            for i, j in crossing(gram, n, comp, least):
                 held.append(np.stack([node[i], node[j], n[i], n[j]]))
                 size += len(i)
                 if size > 200_000:
@@ -315,10 +320,16 @@ def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
     def emit(held):
         a, b, na, nb = np.concatenate(held, axis=1)
         turn = a > b
-        a, b, na, nb = np.unique(np.stack([np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(na.astype(np.int32)), pa.array(nb.astype(np.int32))], ["a", "b", "na", "nb"])
+        a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
+        by = np.lexsort((b, a))
+        first = np.flatnonzero(np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])]) if len(by) else [])
+        met, at = np.diff(np.append(first, len(by))), by[first]
+        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(na[at].astype(np.int32)), pa.array(nb[at].astype(np.int32)), pa.array(met.astype(np.int32))], ["a", "b", "na", "nb", "lists"])
 
-    return by_size(mixed).mapInArrow(frugal(run), PAIR).distinct()
+    met = by_size(mixed).mapInArrow(frugal(run), f"{PAIR}, lists int").groupBy("a", "b", "na", "nb").agg(F.sum("lists").alias("lists"))
+    rest = F.expr(f"({least} * cast(greatest(na, nb) as bigint) + {OF - 1}) div {OF} - 1")  # of the larger set, what stands after its prefix
+    need = F.expr(f"({least} * (cast(na as bigint) + nb) + {least + OF - 1}) div {least + OF}")
+    return met.filter(F.col("lists") + rest >= need).select("a", "b", "na", "nb")
 
 
 def prefix_survivors(pairs: DataFrame, sets: DataFrame, order, least: int) -> DataFrame:
@@ -403,7 +414,9 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: in
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], ["a", "b", "common"])
 
     overlaps = placed.mapInArrow(frugal(count), "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-    return pairs.join(overlaps, ["a", "b"]).filter(f"{OF} * common >= {least} * (na + nb - common)").select("a", "b")
+    links = materialize(pairs.join(overlaps, ["a", "b"]).filter(f"{OF} * common >= {least} * (na + nb - common)").select("a", "b"), "ngram-links")
+    drop_tables(docs.sparkSession, cast)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -420,6 +433,7 @@ def components(links: DataFrame) -> DataFrame:
         drop_tables(edges.sparkSession, labels)
         labels = step.select("node", "component")
         if done:
+            drop_tables(edges.sparkSession, edges)
             return labels
 
 
@@ -438,23 +452,30 @@ def classes(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
         pairs = materialize(asked, "ngram-pairs")
         left = materialize(prefix_survivors(pairs, sets, order, least), "ngram-survivors")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = None if left.isEmpty() and component is not None else materialize(linked(left, docs, sets, n, least), "ngram-links")
+        found = None if left.isEmpty() and component is not None else linked(left, docs, sets, n, least)
         if found is None or links is not None and found.isEmpty():
+            drop_tables(spark, left)
             return False
         links = found if links is None else links.unionByName(found)
+        if component is not None:
+            drop_tables(spark, component)
         component = components(links)
-        return found.count() * YIELD >= left.count()
+        pays = found.count() * YIELD >= left.count()
+        drop_tables(spark, left)
+        return pays
 
     step(nearest_centres(stars))
     step(nearest_centres(apart(stars, component).join(tried, ["a", "b"], "left_anti")))
     mixed, seed, more = materialize(mixed_lists(postings, component), "ngram-mixed"), 0, True
+    drop_tables(spark, stars, postings)
     # while the pairs left are many for the entries they come from, each component tries its likeliest one
     while more and left_to_try(mixed, least) > CROWDED * mixed.count():
         seed += 1
         more = step(likely_pairs(mixed, seed, tried, least))
-        mixed = materialize(mixed_lists(mixed.drop("component"), component), "ngram-mixed")
+        before, mixed = mixed, materialize(mixed_lists(mixed.drop("component"), component), "ngram-mixed")
+        drop_tables(spark, before)
     step(crossing_pairs(mixed, least).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-    drop_tables(spark, postings)
+    drop_tables(spark, mixed)
     return sets.select("doc_id", "n", "node").join(component, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
 
 
