@@ -1,13 +1,14 @@
-"""Files that Spark writes from the tables, read again in blocks."""
+"""Files that Spark makes from the tables: delimited files and logs read again in blocks, ledgers parsed and written back
+(S2, S4, S5, S6, S15, W1, W2, W4, W15, P32, P38, K4, F19, J5, J6, X4)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from assay.config import shared_folder
-from assay.operators import files
+from assay.operators import files, writeback
 from assay.plans import query, table
-from assay.sources import blocks
+from assay.sources import blocks, ledgers
 from assay.sources.delimited import Dialect, load_blocks
 
 #: Small, so that the small tables are cut as well.
@@ -63,3 +64,47 @@ def log_tail_blocks(spark, sf_dir):
     """The last lines of each log, read from its end."""
     log = F.regexp_extract("path", "log=([0-9]+)", 1).cast("long").alias("log")
     return blocks.last_lines(written_logs(spark, sf_dir), 200, block_bytes=4096).select(log, "from_end", F.md5("text").alias("digest"))
+
+
+@query(
+    "with g as (select *, case when o_orderkey % 5 = 0 then 'stale' when o_orderkey % 2 = 0 then 'met' when o_orderstatus <> 'O' and o_orderkey % 3 = 0 then 'unmet' else 'unchanged' end outcome from orders), "
+    r"l as (select *, concat('- [', case when outcome = 'met' then 'x' when outcome = 'unmet' or o_orderstatus = 'O' then ' ' else 'x' end, '] G', o_orderkey, E': Totals agree\n  CHECK: run totals', case when outcome = 'stale' then ' again' else '' end, E'\n  EXPECT: total: ', o_custkey, E'\n', "
+    r"case when outcome = 'met' then case when o_orderkey % 3 = 0 then '  ' else '' end || E'  EVIDENCE: exit=0; EXPECT=matched\n' when outcome = 'unmet' then E'    EVIDENCE: pending\n' when o_orderkey % 3 = 0 then E'    EVIDENCE: exit=0\n' else '' end) part from g), "
+    "f as (select o_custkey, string_agg(part, '' order by o_orderkey) as text, count(*) filter (where outcome = 'met') as met, count(*) filter (where outcome = 'unmet') as unmet, count(*) filter (where outcome = 'unchanged') as unchanged, count(*) filter (where outcome = 'stale') as stale from l group by 1) "
+    r"select concat('led', o_custkey, '.md') as file, met, unmet, unchanged, stale, case when met + unmet > 0 then md5(case when o_custkey % 2 = 0 then text else replace(text, E'\n', E'\r\n') end) end as digest from f"
+)
+def ledger_write_back(spark, sf_dir):
+    """A ledger for each customer, with either line end; results of gates whose check has changed since are stale."""
+    part = F.expr(r"concat('- [', if(o_orderstatus <> 'O', 'x', ' '), '] G', o_orderkey, ': Totals agree\n  CHECK: run totals\n  EXPECT: total: ', o_custkey, '\n', if(o_orderkey % 3 = 0, '    EVIDENCE: exit=0\n', ''))")
+    parts = table(spark, sf_dir, "orders").select(F.format_string("led%d.md", "o_custkey").alias("file"), "o_custkey", "o_orderkey", part.alias("part"))
+
+    def rendered(part):
+        whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part")))), lambda p: p["part"]), "")
+        text = F.when(F.col("o_custkey") % 2 == 0, F.col("text")).otherwise(F.replace("text", F.lit("\n"), F.lit("\r\n")))
+        return parts.groupBy("file", "o_custkey").agg(whole.alias("text")).select("file", text.alias("text"))
+
+    before = rendered(F.col("part"))
+    now = rendered(F.when(F.col("o_orderkey") % 5 == 0, F.replace("part", F.lit("run totals"), F.lit("run totals again"))).otherwise(F.col("part")))
+    none = spark.createDataFrame([], "path string, sha256 string")
+    signed = writeback.signed_gates(writeback.met_before(ledgers.parse(before).gates), none)
+    results = signed.select("file", "id", "signature", F.expr("cast(substr(id, 2) as long) % 2 = 0").alias("ok"), "was_met", F.lit("exit=0; EXPECT=matched").alias("evidence"))
+    written = writeback.write_back(now, ledgers.parse(now), results, none)
+    is_outcome = lambda o: F.count_if(F.col("outcome") == o).alias(o)
+    counts = written.outcomes.groupBy("file").agg(*map(is_outcome, ("met", "unmet", "unchanged", "stale")))
+    return counts.join(written.texts.select("file", F.md5("text").alias("digest")), "file", "left")
+
+
+@query(
+    "with d as (select o_orderkey, unnest([o_orderkey % 997, o_custkey % 89]) as doc from orders), s as (select d.o_orderkey, bool_or(t.text is null) blocked, bool_or(t.doc_id % 7 = 0) changed from d left join documents t on t.doc_id = d.doc group by 1) "
+    "select o_orderkey, case when blocked then 'blocked' when changed then 'refused' else 'approved' end as approval from s"
+)
+def dependency_approvals(spark, sf_dir):
+    """Approvals over the bytes of two texts; some texts have one byte more since, some are not there."""
+    contents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+    later = contents.withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.encode(F.lit(" "), "UTF-8"))).otherwise(F.col("content")))
+    doc = lambda c, n: (F.col(c) % n).cast("string")
+    gate = [F.lit(v).alias(k) for k, v in (("file", "ledger.md"), ("check", "run"), ("expect", "total"))]
+    gates = table(spark, sf_dir, "orders").select(*gate, "o_orderkey", F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("cwd"), F.array(doc("o_orderkey", 997), doc("o_custkey", 89)).alias("deps"))
+    given = writeback.signed_gates(gates, writeback.dep_digests(contents), shell="sh").filter("not blocked")
+    now = writeback.signed_gates(gates, writeback.dep_digests(later), shell="sh")
+    return writeback.approval_states(now, given).select("o_orderkey", "approval")

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.config import checkpointed
 from assay.findings import together
 from assay.functions.paths import normalized, path_problem
 from assay.functions.text import expectation, trimmed
@@ -105,8 +106,9 @@ def listed(text: Column) -> Column:
 
 
 def parse(files: DataFrame, need_gates: bool = True) -> Ledger:
-    """Ledgers of files(file, text)."""
+    """Ledgers of files(file, text). The lines of the grammar are written once and read by every rule."""
     lines, unclosed = told(files)
+    lines = checkpointed(lines)
     text = F.col("text")
     title = trimmed(F.regexp_extract("text", GATE, 2))
     name = F.regexp_extract(title, r"^(\S+?):(?:\s+|\z)", 1)
