@@ -1,14 +1,21 @@
 """Files that Spark makes from the tables: delimited files and logs read again in blocks, ledgers parsed and written back
-(S2, S4, S5, S6, S15, W1, W2, W4, W15, P32, P38, K4, F19, J5, J6, X4)."""
+(S2, S4 to S15, W1, W2, W4, W15, P32, P38, K4, F19, J2, J3, J5, J6, X4); Word and Excel files read by ranges."""
 
 from __future__ import annotations
 
+import re
+import uuid
+import zipfile
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.config import shared_folder
 from assay.operators import files, writeback
 from assay.plans import query, table
-from assay.sources import blocks, ledgers
+from assay.sources import archives, blocks, ledgers, office
 from assay.sources.delimited import Dialect, load_blocks
 
 #: Small, so that the small tables are cut as well.
@@ -108,3 +115,97 @@ def dependency_approvals(spark, sf_dir):
     given = writeback.signed_gates(gates, writeback.dep_digests(contents), shell="sh").filter("not blocked")
     now = writeback.signed_gates(gates, writeback.dep_digests(later), shell="sh")
     return writeback.approval_states(now, given).select("o_orderkey", "approval")
+
+
+def written_archives(parts: DataFrame, folder: str) -> DataFrame:
+    """Archives of parts(file, name, at, text): the texts of a name are one entry, in the order of ``at``. A task writes its
+    archives one after the other and holds one row; an archive is moved to its name when it is whole, so tasks can run again."""
+
+    def run(batches):
+        store, root = pa.fs.FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+        store.create_dir(root)
+        file = name = target = packed = entry = own = None
+
+        def shut():
+            if file is not None:
+                entry.close(), packed.close(), target.close()
+                store.move(own, f"{root}/{file}")
+
+        done = []
+        for b in batches:
+            for row in b.to_pylist():
+                if row["file"] != file:
+                    shut()
+                    file, name, own = row["file"], None, f"{root}/_{uuid.uuid4().hex}"
+                    target = store.open_output_stream(own)
+                    packed = zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED)
+                    done.append(file)
+                if row["name"] != name:
+                    if name is not None:
+                        entry.close()
+                    name = row["name"]
+                    entry = packed.open(name, "w")
+                entry.write(row["text"].encode())
+        shut()
+        yield pa.RecordBatch.from_pydict({"file": pa.array(done, pa.string())})
+
+    parts.repartition("file").sortWithinPartitions("file", "name", "at").mapInArrow(run, "file string").count()
+    return files.list_files(parts.sparkSession, folder)
+
+
+def in_xml(text):
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+#: Documents of a Word file, parts of a workbook.
+TOGETHER = 100
+FILE_NUMBER = r"cast(regexp_extract(path, '([0-9]+)[.][a-z]+$', 1) as long) as file"
+
+
+@query(
+    f"with p as (select doc_id, unnest(string_split(text, chr(10))) as para, generate_subscripts(string_split(text, chr(10)), 1) as line from documents) "
+    f"select doc_id // {TOGETHER} as file, row_number() over (partition by doc_id // {TOGETHER} order by doc_id, line) as idx, md5(trim(regexp_replace(para, '\\s+', ' ', 'g'))) as digest, case when line = 1 then 'Heading1' else '' end as style from p"
+)
+def word_paragraphs(spark, sf_dir):
+    """Whole documents as Word files; each document's first line is a heading."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / TOGETHER).alias("n"), "doc_id", "text")
+    style = F.when(F.col("line") == 0, F.lit('<w:pPr><w:pStyle w:val="Heading1"/></w:pPr>')).otherwise("")
+    shown = F.concat(F.lit("<w:p>"), style, F.lit('<w:r><w:t xml:space="preserve">'), in_xml(F.col("para")), F.lit("</w:t></w:r><w:del><w:delText>gone</w:delText></w:del></w:p>"))
+    body = docs.select("n", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "para")).select("n", F.struct("doc_id", "line").alias("at"), shown.alias("text"))
+    edge = lambda id, text: docs.select("n").distinct().select("n", F.struct(F.lit(id).cast("long").alias("doc_id"), F.lit(0).alias("line")).alias("at"), F.lit(text).alias("text"))
+    pieces = edge(-1, "<w:document><w:body>").unionByName(body).unionByName(edge((1 << 63) - 1, "</w:body></w:document>"))
+    parts = pieces.select(F.format_string("%d.docx", "n").alias("file"), F.lit("word/document.xml").alias("name"), "at", "text")
+    found = office.document_paragraphs(written_archives(parts, shared_folder(spark, "word")))
+    return found.select(F.expr(FILE_NUMBER), "idx", F.md5("text").alias("digest"), "style")
+
+
+@query(
+    f"with c as (select p_partkey // {TOGETHER} as file, p_partkey % {TOGETHER} + 1 as row, * from part) select file, 'Names & types' as sheet, 'A' || row as ref, 's' as type, p_name as value from c union all select file, 'Names & types', 'B' || row, 'inlineStr', p_type from c "
+    "union all select file, 'Sizes', 'C' || row, 'n', p_size::varchar from c union all select file, 'Sizes', 'AA' || row, case when p_size % 10 = 0 then 'e' else 'str' end, case when p_size % 10 = 0 then '#N/A' else p_brand end from c"
+)
+def workbook_parts(spark, sf_dir):
+    """Parts as workbooks of two sheets, with names as shared strings; a sheet without relation goes."""
+    key = F.col("p_partkey")
+    part = table(spark, sf_dir, "part").select("*", F.floor(key / TOGETHER).alias("n"), (key % TOGETHER + 1).alias("row"))
+    index = F.dense_rank().over(Window.partitionBy("n").orderBy("p_name")) - 1
+    part = part.withColumn("string", index)
+    string = part.select("n", "string", "p_name").distinct()
+    piece = lambda df, name, at, *text: df.select(F.format_string("%d.xlsx", "n").alias("file"), F.lit(name).alias("name"), at.cast("long").alias("at"), F.concat(*(F.lit(t) if isinstance(t, str) else t for t in text)).alias("text"))
+    one, row = part.select("n").distinct(), F.col("row").cast("string")
+    sheet = lambda n: f"xl/worksheets/sheet{n}.xml"
+    kind = F.when(F.col("p_size") % 10 == 0, "e").otherwise("str")
+    value = F.when(F.col("p_size") % 10 == 0, "#N/A").otherwise(in_xml(F.col("p_brand")))
+    parts = [
+        piece(one, "xl/workbook.xml", F.lit(0), '<workbook><sheets><sheet name="Names &amp; types" r:id="r1"/><sheet name="Sizes" r:id="r2"/><sheet name="Lost" r:id="r3"/></sheets></workbook>'),
+        piece(one, "xl/_rels/workbook.xml.rels", F.lit(0), '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/><Relationship Id="r2" Target="/xl/worksheets/sheet2.xml"/></Relationships>'),
+        piece(one, sheet(3), F.lit(0), '<c r="A1"><v>1</v></c>'),
+        piece(string, "xl/sharedStrings.xml", F.col("string"), "<si><t>", in_xml(F.col("p_name")), "</t></si>"),
+        piece(part, sheet(1), key, '<row><c r="A', row, '" t="s"><v>', F.col("string").cast("string"), '</v></c><c r="B', row, '" t="inlineStr"><is><t>', in_xml(F.col("p_type")), "</t></is></c></row>"),
+        piece(part, sheet(2), key, '<row><c r="C', row, '"><v>', F.col("p_size").cast("string"), '</v></c><c r="AA', row, '" t="', kind, '"><v>', value, "</v></c></row>"),
+    ]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return office.workbook_cells(written_archives(rows, shared_folder(spark, "workbooks"))).select(F.expr(FILE_NUMBER), "sheet", "ref", "type", "value")

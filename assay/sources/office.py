@@ -1,7 +1,7 @@
-"""Word and Excel files: archive entries, paragraphs, shared strings, cells, sheet maps, entities.
+"""Word and Excel files: paragraphs, shared strings, cells, sheet maps, entities.
 
-Opening an archive is one small function per file; the parts are then rows, and what they hold is
-extracted by column expressions.
+Archives are read by ranges (``archives``); elements of their parts are rows, and what they hold is extracted by column
+expressions.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.functions.text import collapsed
+from assay.sources.archives import elements, wanted
 
 # The entities that office text uses.
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0"}
@@ -35,51 +36,6 @@ def decode_entities(text: Column) -> Column:
     return F.when(text.contains("&"), F.array_join(F.zip_with(between, entities, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")).otherwise(text)
 
 
-ENTRIES = "struct<entries: array<struct<name: string, content: binary>>, error: string>"
-
-
-def archive(content: Column, pattern: str = "") -> Column:
-    """Struct of an archive's entries whose names match a pattern, and why it cannot be read.
-
-    Encrypted, truncated and 64-bit archives, and methods other than stored and deflated, are refused.
-    """
-    import io
-    import re
-    import zipfile
-
-    import pyarrow as pa
-
-    wanted = re.compile(pattern)
-
-    def unpack(data: bytes) -> dict:
-        try:
-            if b"PK\x06\x06" in data[-(1 << 16) - 76 :]:
-                return {"entries": [], "error": "64-bit archive"}
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                some = [i for i in z.infolist() if wanted.search(i.filename)]
-                if any(i.flag_bits & 1 for i in some):
-                    return {"entries": [], "error": "encrypted archive"}
-                if any(i.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) for i in some):
-                    return {"entries": [], "error": "unknown compression"}
-                return {"entries": [{"name": i.filename, "content": z.read(i)} for i in some], "error": None}
-        except (zipfile.BadZipFile, EOFError, ValueError, OSError) as e:
-            return {"entries": [], "error": f"not a readable archive: {e}"}
-
-    kind = pa.struct([("entries", pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())]))), ("error", pa.string())])
-    return F.arrow_udf(lambda files: pa.array([unpack(f or b"") for f in files.to_pylist()], kind), ENTRIES)(content)
-
-
-def entries(files: DataFrame, pattern: str = "") -> DataFrame:
-    """path, name, text of the entries of files(path, content); an archive that cannot be read has one row with its error."""
-    opened = files.select("path", archive(F.col("content"), pattern).alias("a"))
-    return opened.select("path", F.col("a.error").alias("error"), F.explode_outer("a.entries").alias("e")).select("path", "e.name", F.decode("e.content", "UTF-8").alias("text"), "error")
-
-
-def tagged(xml: Column, tag: str) -> Column:
-    """The whole elements of a tag, also those without content."""
-    return F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?/>|<{tag}(?:\s[^>]*)?>.*?</{tag}>"), F.lit(0))
-
-
 def inner_texts(xml: Column, tag: str) -> Column:
     """The decoded texts inside all elements of a tag, joined."""
     parts = F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s[^>]*)?>(.*?)</{tag}>"), F.lit(1))
@@ -92,56 +48,62 @@ def attribute(element: Column, name: str) -> Column:
     return F.when(head.rlike(rf'\s{name}="'), decode_entities(F.regexp_extract(head, rf'\s{name}="([^"]*)"', 1)))
 
 
-def paragraphs(document: Column) -> Column:
-    """Array of (idx, text, style) of a document part; deletions are left out, white space is collapsed."""
-    body = F.regexp_replace(F.regexp_replace(document, r"(?s)^.*?<w:body[^>]*>", ""), r"(?s)</w:body>.*\z", "")
-    kept = F.regexp_replace(body, r"(?s)<w:delText(?:\s[^>]*)?>.*?</w:delText>", "")
-    style = lambda p: F.coalesce(decode_entities(F.regexp_extract(p, r'<w:pStyle\s[^>]*w:val="([^"]*)"', 1)), F.lit(""))
-    return F.transform(tagged(kept, "w:p"), lambda p, i: F.struct((i + 1).alias("idx"), collapsed(inner_texts(p, "w:t")).alias("text"), style(p).alias("style")))
+def paragraph(element: Column) -> Column:
+    """Text and style of a paragraph; deletions are left out, white space is collapsed."""
+    kept = F.regexp_replace(element, r"(?s)<w:delText(?:\s[^>]*)?>.*?</w:delText>", "")
+    style = F.coalesce(decode_entities(F.regexp_extract(kept, r'<w:pStyle\s[^>]*w:val="([^"]*)"', 1)), F.lit(""))
+    return F.struct(collapsed(inner_texts(kept, "w:t")).alias("text"), style.alias("style"))
+
+
+def cell(element: Column) -> Column:
+    """ref, type and value of a cell; a shared string's value is still its index."""
+    kind = F.coalesce(attribute(element, "t"), F.lit("n"))
+    value = F.when(kind == "inlineStr", inner_texts(element, "t")).otherwise(inner_texts(element, "v"))
+    return F.struct(attribute(element, "r").alias("ref"), kind.alias("type"), value.alias("value"))
 
 
-def strings(part: Column) -> Column:
-    """Array of (idx, text) of the shared strings, from 0; a missing part has none."""
-    return F.transform(tagged(F.coalesce(part, F.lit("")), "si"), lambda s, i: F.struct(i.alias("idx"), inner_texts(s, "t").alias("text")))
+def document_paragraphs(files: DataFrame) -> DataFrame:
+    """path, idx, text, style of the paragraphs of documents(path, length), idx from 1 (S10); a row each, so that a long
+    document is in no one cell. A document that cannot be read has one row with its error."""
+    found = elements(files, r"^word/document\.xml$", "w:p", within="w:body")
+    return found.select("path", F.col("no").alias("idx"), paragraph(F.col("element")).alias("p"), "error").select("path", "idx", "p.text", "p.style", "error")
 
 
-def cells(sheet: Column) -> Column:
-    """Array of (ref, type, value) of a sheet part; a shared string's value is still its index."""
-    found = F.filter(F.regexp_extract_all(sheet, F.lit(r"(?s)<c\s[^>]*?(?:/>|>.*?</c>)"), F.lit(0)), lambda c: attribute(c, "r").rlike(r"^[A-Z]+[0-9]+\z"))
-    kind = lambda c: F.coalesce(attribute(c, "t"), F.lit("n"))
-    value = lambda c: F.when(kind(c) == "inlineStr", inner_texts(c, "t")).otherwise(inner_texts(c, "v"))
-    return F.transform(found, lambda c: F.struct(attribute(c, "r").alias("ref"), kind(c).alias("type"), value(c).alias("value")))
+def sheet_names(files: DataFrame) -> DataFrame:
+    """path, name, rid of the sheets of workbooks(path, length)."""
+    found, e = elements(files, r"^xl/workbook\.xml$", "sheet"), F.col("element")
+    return found.filter("element is not null").select("path", attribute(e, "name").alias("name"), attribute(e, "r:id").alias("rid"))
 
 
-def sheets(workbook: Column) -> Column:
-    """Array of (name, rid) of the workbook part."""
-    return F.transform(tagged(workbook, "sheet"), lambda s: F.struct(attribute(s, "name").alias("name"), attribute(s, "r:id").alias("rid")))
+def relations(files: DataFrame) -> DataFrame:
+    """path, rid, target of the workbooks' relationships."""
+    found, e = elements(files, r"^xl/_rels/workbook\.xml\.rels$", "Relationship"), F.col("element")
+    return found.filter("element is not null").select("path", attribute(e, "Id").alias("rid"), attribute(e, "Target").alias("target"))
 
 
-def relations(part: Column) -> Column:
-    """Array of (rid, target) of the workbook's relationships part."""
-    return F.transform(tagged(part, "Relationship"), lambda r: F.struct(attribute(r, "Id").alias("rid"), attribute(r, "Target").alias("target")))
+def strings(files: DataFrame) -> DataFrame:
+    """path, idx (from 0), text of the shared strings; a missing part has none."""
+    found = elements(files, r"^xl/sharedStrings\.xml$", "si").filter("element is not null")
+    return found.select("path", (F.col("no") - 1).alias("idx"), inner_texts(F.col("element"), "t").alias("text"))
 
 
 def workbook_cells(files: DataFrame) -> DataFrame:
-    """path, sheet, ref, type, value of all cells of workbooks(path, content) (S14): parts of one file meet by
-    its path and the part's name, shared strings by their index."""
-    from assay.operators.workbooks import sheet_map, shared_strings
+    """path, sheet, ref, type, value of all cells of workbooks(path, length) (S14): parts of one file meet by
+    its path and the part's name, shared strings by their index. Workbooks of :func:`workbook_problems` have no sound cells."""
+    from assay.operators.workbooks import shared_strings, sheet_map
 
-    parts = entries(files, r"^xl/(workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|worksheets/[^/]+\.xml)$").filter("error is null and name is not null")
-    one = lambda name: parts.filter(F.col("name") == name)
-    named = one("xl/workbook.xml").select("path", F.explode(sheets(F.col("text"))).alias("s")).select("path", "s.*")
-    related = one("xl/_rels/workbook.xml.rels").select("path", F.explode(relations(F.col("text"))).alias("r")).select("path", "r.*")
-    where = sheet_map(named, related, ["path"]).select("path", F.col("name").alias("sheet"), F.col("target_path").alias("name"))
-    found = parts.join(where, ["path", "name"]).select("path", "sheet", F.explode(cells(F.col("text"))).alias("c")).select("path", "sheet", "c.*")
-    shared = one("xl/sharedStrings.xml").select("path", F.explode(strings(F.col("text"))).alias("s")).select("path", "s.*")
-    return shared_strings(found, shared, ["path"])
+    where = sheet_map(sheet_names(files), relations(files), ["path"]).select("path", F.col("name").alias("sheet"), F.col("target_path").alias("name"))
+    held = elements(files, r"^xl/worksheets/[^/]+\.xml$", "c").filter("element is not null").select("path", "name", cell(F.col("element")).alias("c"))
+    found = held.select("path", "name", "c.*").filter(F.col("ref").rlike(r"^[A-Z]+[0-9]+\z"))
+    return shared_strings(found.join(where, ["path", "name"]).select("path", "sheet", "ref", "type", "value"), strings(files), ["path"])
 
 
 def workbook_problems(files: DataFrame) -> DataFrame:
-    """path, problem: archives that cannot be read, and workbooks without a workbook part or without sheets."""
-    part = F.filter("a.entries", lambda e: e["name"] == "xl/workbook.xml")
-    opened = files.select("path", archive(F.col("content"), r"^xl/workbook\.xml$").alias("a"))
-    text = F.decode(F.get(part, F.lit(0))["content"], "UTF-8")
-    problem = F.coalesce(F.col("a.error"), F.when(F.size(part) == 0, "no workbook part"), F.when(F.size(sheets(text)) == 0, "no sheets"))
-    return opened.select("path", problem.alias("problem")).filter("problem is not null")
+    """path, problem: archives and parts that cannot be read, and workbooks without a workbook part or without sheets."""
+    parts = wanted(files, r"^xl/workbook\.xml$").groupBy("path").agg(F.max("error").alias("refused"), F.count("name").alias("parts"))
+    sheets = elements(files, r"^xl/(workbook\.xml|_rels/workbook\.xml\.rels|sharedStrings\.xml|worksheets/[^/]+\.xml)$", "sheet")
+    told = sheets.groupBy("path").agg(F.max("error").alias("broken"), F.count_if((F.col("name") == "xl/workbook.xml") & F.col("element").isNotNull()).alias("sheets"))
+    both = files.select("path").join(parts, "path", "left").join(told, "path", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit(0)) == 0
+    problem = F.coalesce("refused", F.when(none("parts"), "no workbook part"), "broken", F.when(none("sheets"), "no sheets"))
+    return both.select("path", problem.alias("problem")).filter("problem is not null")

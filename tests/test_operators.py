@@ -1,7 +1,5 @@
 """Operators on small fixtures: file formats, ledgers, lifecycles, claims, contracts, numbers."""
 
-import io
-import zipfile
 from datetime import datetime
 
 import math
@@ -108,44 +106,6 @@ class TestDelimited:
         assert {r.state: r["count"] for r in states} == {"measured": 6, "unusable": 1}
 
 
-def archive(parts):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, data in parts.items():
-            z.writestr(name, data)
-    return bytearray(out.getvalue())
-
-
-class TestOffice:
-    def test_paragraphs(self, spark):
-        xml = '<w:document><w:body w:x="1"><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>To</w:t></w:r><w:r><w:t xml:space="preserve">tals &amp; more</w:t></w:r></w:p><w:p/><w:p><w:r><w:delText>old</w:delText><w:t> a  b </w:t></w:r></w:p><w:tbl><w:tr/></w:tbl></w:body></w:document>'
-        df = spark.createDataFrame([("f", archive({"word/document.xml": xml}))], "path string, content binary")
-        part = office.entries(df, r"^word/document\.xml$")
-        rows = part.select(F.explode(office.paragraphs(F.col("text"))).alias("p")).select("p.*")
-        assert [tuple(r) for r in rows.collect()] == [(1, "Totals & more", "Heading1"), (2, "", ""), (3, "a b", "")]
-        assert part.select(documents.opening_tags(F.col("text"), "w:tbl")).first()[0] == 1
-        sizes = documents.sizes(rows).first()
-        assert (sizes.words, sizes.paragraphs, sizes.headings) == (5, 2, 1)
-
-    def test_workbook(self, spark):
-        book = archive(
-            {
-                "xl/workbook.xml": '<workbook><sheets><sheet name="One &amp; all" sheetId="1" r:id="rId1"/><sheet name="Two" r:id="rId2"/><sheet name="Lost" r:id="rId9"/></sheets></workbook>',
-                "xl/_rels/workbook.xml.rels": '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/b.xml"/></Relationships>',
-                "xl/sharedStrings.xml": "<sst><si><t>first</t></si><si><r><t>sec</t></r><r><t>ond</t></r></si><si/></sst>",
-                "xl/worksheets/sheet1.xml": '<sheetData><row><c r="A1" t="s"><v>1</v></c><c r="B1"><v>12.5</v></c><c r="C1" t="s"><v>7</v></c><c t="n"><v>1</v></c></row></sheetData>',
-                "xl/worksheets/b.xml": '<c r="A10" t="inlineStr"><is><t>in &lt;line</t></is></c><c r="A11" t="e"><v>#REF!</v></c><c r="A12"/>',
-            }
-        )
-        df = spark.createDataFrame([("f", book), ("g", bytearray(b"no archive")), ("h", archive({"a": "b"}))], "path string, content binary")
-        cells = office.workbook_cells(df)
-        want = {("One & all", "A1", "s", "second"), ("One & all", "B1", "n", "12.5"), ("One & all", "C1", "s", ""), ("Two", "A10", "inlineStr", "in <line"), ("Two", "A11", "e", "#REF!"), ("Two", "A12", "n", "")}
-        assert {(r.sheet, r.ref, r.type, r.value) for r in cells.collect()} == want
-        assert {r.sheet: (r.filled, r.errors) for r in workbooks.scan_cells(cells).collect()} == {"One & all": (2, 0), "Two": (2, 1)}
-        problems = {r.path: r.problem for r in office.workbook_problems(df).collect()}
-        assert problems.keys() == {"g", "h"} and problems["h"] == "no workbook part" and problems["g"].startswith("not a readable archive")
-
-
 LEDGER = """# Title
 OWNS: src/api, ./docs/*, ../up
 - [x] G1: All totals agree
