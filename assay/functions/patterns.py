@@ -266,3 +266,27 @@ def refuse_runaway(source: str, flags: str = "") -> None:
         raise UsageError(f"no pattern: {source!r}: {e}") from None
     if runaway:
         raise UsageError(f"the pattern can take exponential time: {source!r}")
+
+
+def literal_core(source: str) -> tuple[str, bool] | None:
+    """The longest text that stands in whatever a pattern matches, and whether case is ignored in it; None if none is certain.
+
+    A text without its core need not be shown to the matcher. Only what follows one another at the top of the pattern
+    counts. Where case is ignored the core is ASCII in lower case and the text is to be lowered: of other letters the
+    engines differ.
+    """
+    if re.search(r"\(\?[a-zA-Z]*[ux]|\\[QE]", source):
+        return None
+    try:
+        parsed = parser.parse(source)
+    except (re.error, OverflowError, RecursionError):
+        return None
+    folds = bool(parsed.state.flags & re.IGNORECASE)
+    runs, run = [""], ""
+    for kind, value in [*parsed, (None, None)]:
+        if kind is op.LITERAL and not (folds and value > 127):
+            run += chr(value)
+        else:
+            runs, run = [*runs, run], ""
+    core = max(runs, key=len)
+    return ((core.lower() if folds else core), folds) if core else None

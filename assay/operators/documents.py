@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.config import UsageError, whole
+from assay.functions.patterns import literal_core
 from assay.functions.text import NOT_WHITE, collapsed, excerpt_around
 
 # What counts as an unfilled place in a document and in a workbook cell. The two lists differ.
@@ -38,8 +39,6 @@ CELL_PLACEHOLDERS = (
     ("OOO", r"(?i)(^|[^0-9A-Za-z])OOO"),
     ("○○○", r"○○○"),
 )
-#: What every text with a placeholder of either list has.
-ANY_PLACEHOLDER = r"(?i)TODO|TBD|FIXME|XXX|OOO|○○○|lorem|<|\[\[|\{\{|여기에|내용을|입력|작성|기재"
 HEADING = r"(?iu)^(Heading[1-9]|Title|Subtitle|제목\s*[1-9]?|표제)"
 SHORT = 80
 
@@ -53,20 +52,27 @@ def paragraphs_of(text: Column) -> Column:
     return F.transform(F.split(text, "\n"), lambda p, i: F.struct((i + 1).alias("idx"), p.alias("text")))
 
 
+def may_match(text: Column, lowered: Column, pattern: str) -> Column:
+    """False only if the text lacks what every match has; a search for fixed bytes, far cheaper than the pattern."""
+    core = literal_core(pattern)
+    return F.lit(True) if core is None else (lowered if core[1] else text).contains(core[0])
+
+
 def placeholder_hits(rows: DataFrame, text: str = "text", keep: list[str] = ("idx",), patterns=DOCUMENT_PLACEHOLDERS) -> DataFrame:
     """Every pattern that a paragraph matches, with its first place; no join, patterns are literals.
-    One pattern of their fixed parts decides first whether any of them needs a look."""
-    line = F.col(text)
-    places = F.array(*(F.struct(F.lit(label).alias("label"), (F.regexp_instr(line, F.lit(p)) - 1).alias("at")) for label, p in patterns))
-    hits = F.when(line.rlike(ANY_PLACEHOLDER), F.filter(places, lambda h: h["at"] >= 0))
-    return rows.select(*keep, text, F.explode(hits).alias("hit")).select(*keep, "hit.label", excerpt_around(line, F.col("hit.at")).alias("excerpt"))
+    A pattern looks only at paragraphs that hold its fixed part; the text is lowered once for all of them."""
+    held = rows.select(*keep, F.col(text).alias("__text"), F.lower(text).alias("__lowered"))
+    line, lowered = F.col("__text"), F.col("__lowered")
+    place = lambda p: F.when(may_match(line, lowered, p), F.regexp_instr(line, F.lit(p)) - 1)
+    hits = F.filter(F.array(*(F.struct(F.lit(label).alias("label"), place(p).alias("at")) for label, p in patterns)), lambda h: h["at"] >= 0)
+    return held.select(*keep, "__text", F.explode(hits).alias("hit")).select(*keep, "hit.label", excerpt_around(line, F.col("hit.at")).alias("excerpt"))
 
 
 def first_placeholder(text: Column, patterns=CELL_PLACEHOLDERS) -> Column:
     """The first pattern in order that a cell matches, else null."""
     out = F.when(F.lit(False), F.lit(""))
     for label, p in patterns:
-        out = out.when(text.rlike(p), F.lit(label))
+        out = out.when(may_match(text, F.lower(text), p) & text.rlike(p), F.lit(label))
     return out
 
 
@@ -81,9 +87,11 @@ def heading_routes(paragraphs: DataFrame, wanted: list[str], by: list[str] = ())
 
 def text_hits(paragraphs: DataFrame, needles: list[str], keep: list[str] = ("idx",)) -> DataFrame:
     """Every (needle, paragraph) pair, case-insensitive, with an excerpt around it."""
-    text = collapsed(F.col("text"))
-    hits = F.filter(F.array(*(F.struct(F.lit(n).alias("needle"), (F.instr(F.lower(text), F.lit(n.lower())) - 1).alias("at")) for n in needles)), lambda h: h["at"] >= 0)
-    return paragraphs.select(*keep, text.alias("text"), F.explode(hits).alias("hit")).select(*keep, "hit.needle", excerpt_around(F.col("text"), F.col("hit.at")).alias("excerpt"))
+    held = paragraphs.select(*keep, collapsed(F.col("text")).alias("__text")).withColumn("__lowered", F.lower("__text"))
+    lowered = F.col("__lowered")
+    place = lambda n: F.when(lowered.contains(n), F.instr(lowered, F.lit(n)) - 1)
+    hits = F.filter(F.array(*(F.struct(F.lit(n).alias("needle"), place(n.lower()).alias("at")) for n in needles)), lambda h: h["at"] >= 0)
+    return held.select(*keep, F.col("__text").alias("text"), F.explode(hits).alias("hit")).select(*keep, "hit.needle", excerpt_around(F.col("text"), F.col("hit.at")).alias("excerpt"))
 
 
 def sizes(paragraphs: DataFrame, by: list[str] = ()) -> DataFrame:

@@ -1,5 +1,6 @@
 """Patterns that can run away are refused; others pass, and at once."""
 
+import random
 import re
 import time
 
@@ -66,3 +67,32 @@ def test_expectations_are_judged(spark):
     began = time.time()
     assert [r[0] for r in df.select(ledger.matches(df.o, "/TOTAL: \\d+/i")).collect()] == [True, False]
     assert time.time() - began < 60
+
+
+def test_literal_core():
+    from assay.functions.patterns import literal_core
+    from assay.operators.documents import CELL_PLACEHOLDERS, DOCUMENT_PLACEHOLDERS
+
+    cores = {
+        "abc": ("abc", False), "(?i)aBc": ("abc", True), "a|b": None, "(ab)c+d": ("d", False), "ab?cd": ("cd", False), "a{0,2}": None, r"x\.y\s*z": ("x.y", False),
+        "(?i)aéb": ("a", True), "(?iu)sk": None, "(?x)a b": None, "(?=ab)c": ("c", False), "(": None, "": None, r"\Qa.b\E": None, r"^ab$": ("ab", False), "[a]bc": ("abc", False),
+    }
+    assert {p: literal_core(p) for p in cores} == cores
+    assert all(literal_core(p) for _, p in DOCUMENT_PLACEHOLDERS + CELL_PLACEHOLDERS)
+
+
+def test_placeholders_equal_their_patterns(spark):
+
+    from pyspark.sql import functions as F
+
+    from assay.operators.documents import CELL_PLACEHOLDERS, DOCUMENT_PLACEHOLDERS, first_placeholder, placeholder_hits
+
+    parts = ["TODO", "todo", "tOdOs", "TBD", "xxx", "OOO", "ooo", "○○○", "lorem", "LOREM", " ", "\n", "ipsum", "<", ">", "/", "[[", "]]", "{{", "}}", "여기에", "내용을", "입력", "작성", "기재", "요망", "a", "İ", "FIXME", "K", "1", ""]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(400)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "idx int, text string")
+    found = sorted((r.idx, r.label) for r in placeholder_hits(df).collect())
+    java = lambda p: re.compile(p, re.ASCII)
+    assert found == sorted((i, label) for i, t in enumerate(texts) if t is not None for label, p in DOCUMENT_PLACEHOLDERS if java(p).search(t))
+    cells = {r.idx: r.label for r in df.select("idx", first_placeholder(F.col("text")).alias("label")).collect()}
+    assert cells == {i: next((label for label, p in CELL_PLACEHOLDERS if t is not None and java(p).search(t)), None) for i, t in enumerate(texts)}
