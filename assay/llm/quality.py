@@ -33,8 +33,10 @@ FEATURES = (
     "distinct_share", "top_share", "stutter_share", "bare_share", "shout_share", "end_mark_share", "line_words", "line_distinct_share", "full_stop_share", "long_word_share", "pair_distinct_share",
 )
 FOLDS, TEST_FOLD = 3, 1
-#: Labelled rows to learn from; beyond it a share of them, chosen by a hash of the statistics.
+#: Labelled rows to learn from; beyond it a share of them, chosen by a hash of their ids, labels and statistics.
 TRAIN_ROWS = 500_000
+#: Partitions of the rows that the trees and weights are fitted on.
+TRAIN_PARTS = 4
 
 UPPER = bytes(range(0x41, 0x5B))
 DIGITS = bytes(range(0x30, 0x3A))
@@ -128,14 +130,15 @@ def tree_rules(printed: str) -> set[Rule]:
 
 
 def training(stats: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled rows outside the test fold, at most about TRAIN_ROWS."""
+    """Labelled rows outside the test fold: their label and statistics, and the id that tells copies apart where
+    ``fit`` chooses and orders rows."""
     marks = labels.filter("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("labelled"), F.when(F.col("quality") > 0, 1.0).otherwise(0.0).alias("label"))
-    rows = stats.join(marks, stats.doc_id == marks.labelled).filter(f"crc32(cast(doc_id as string)) % {FOLDS} != {TEST_FOLD}").select("label", *FEATURES)
+    rows = stats.join(marks, stats.doc_id == marks.labelled).filter(f"crc32(cast(doc_id as string)) % {FOLDS} != {TEST_FOLD}").select("labelled", "label", *FEATURES)
     return rows
 
 
 def fit(train: DataFrame, trees: int = 16, depth: int = 3, lasso: float = 0.001, seed: int = 7) -> Ensemble:
-    """Grow the trees, take their rules and weight them."""
+    """Grow the trees, take their rules and weight them, from at most about TRAIN_ROWS rows."""
     train = materialize(train, "quality-train")
     kinds = {row["label"]: row["count"] for row in train.groupBy("label").count().collect()}
     total = sum(kinds.values())
@@ -143,7 +146,9 @@ def fit(train: DataFrame, trees: int = 16, depth: int = 3, lasso: float = 0.001,
         share = next(iter(kinds), 0.5)
         return Ensemble(0.0 if not kinds else (12.0 if share else -12.0), ())
     if total > TRAIN_ROWS:
-        train = train.filter(F.pmod(F.xxhash64(*FEATURES), F.lit(1 << 20)) < int(TRAIN_ROWS / total * (1 << 20)))
+        train = train.filter(F.pmod(F.xxhash64(*train.columns), F.lit(1 << 20)) < int(TRAIN_ROWS / total * (1 << 20)))
+    # bagging follows partitions and the order in them: both are told by the rows alone, however the input lies or a lost task reruns
+    train = train.repartition(TRAIN_PARTS, *train.columns).sortWithinPartitions(*train.columns)
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(train)
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, maxBins=48, minInstancesPerNode=5, subsamplingRate=0.8, featureSubsetStrategy="0.5", seed=seed).fit(vectors)
     rules = sorted(set().union(*(tree_rules(t.toDebugString) for t in forest.trees)))

@@ -487,6 +487,13 @@ class TestQuality:
         assert kept.columns == odd_docs[0].columns
         assert {r.doc_id for r in kept.select("doc_id").collect()} == {r.doc_id for r in rows if r.score >= 0.5}
 
+    def test_layout_changes_no_score(self, spark):
+        sf = f"{DATA}/sf0.01"
+        docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+        a = keyed(quality.score(docs, labels), "score")
+        b = keyed(quality.score(docs.repartition(7).sortWithinPartitions(F.desc("doc_id")), labels.repartition(3)), "score")
+        assert a.keys() == b.keys() and max(abs(a[d][0] - b[d][0]) for d in a) < 1e-9
+
     def test_labels_are_no_inputs(self, spark, odd_docs):
         """Labels of held-out rows change nothing."""
         labels = [(i, i % 2) for i in range(60)]
