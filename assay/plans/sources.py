@@ -209,3 +209,34 @@ def workbook_parts(spark, sf_dir):
     for p in parts[1:]:
         rows = rows.unionByName(p)
     return office.workbook_cells(written_archives(rows, shared_folder(spark, "workbooks"))).select(F.expr(FILE_NUMBER), "sheet", "ref", "type", "value")
+
+
+# Four lines of a ledger for each order, with one defect or none, and what must be told of it: its line in the four, rule, subject.
+BLOCKS = (
+    ("- [x] Totals agree\n\n\n", 0, "gate-without-id", None),
+    ("- [ ] G#:\n\n\n", 0, "blank-title", "G#"),
+    ("- [ ] G#: Totals agree\n  CHECK: run\n\n", 0, "check-and-expect-belong-together", "G#"),
+    ("- [ ] G#: Totals agree\n  CHECK: run\n  CHECK: again\n  EXPECT: ok", 2, "duplicate-attribute", "check"),
+    ("- [ ] G#: Totals agree\nCHECK: run\n\n", 1, "unindented-attribute", "check"),
+    ("# Part\n  EXPECT: ok\n\n", 1, "orphan-attribute", "expect"),
+    ("- [ ] G#: Totals agree\nABANDON: G#\n\n", 1, "abandon-without-reason", "G#"),
+    ("ABANDON: X# no longer asked for\n\n\n", 0, "unknown-abandon", "X#"),
+    ("```\n- [x] in a fence\nABANDON:\n```", None, None, None),
+    ("- [x] G#: Totals agree\n  CHECK: run\n  EXPECT: ok\n", None, None, None),
+)
+SQL_BLOCKS = ", ".join(f"({i}, {at}, '{rule}', {'null' if subject is None else f"'{subject}'"})" for i, (_, at, rule, subject) in enumerate(BLOCKS) if rule)
+
+
+@query(
+    f"with b(kind, place, rule, subject) as (values {SQL_BLOCKS}), o as (select o_custkey, o_orderkey, o_orderkey % {len(BLOCKS)} as kind, 4 * row_number() over (partition by o_custkey order by o_orderkey) - 3 as first from orders) "
+    "select concat('led', o_custkey, '.md') as file, first + place as line, rule, 'error' as level, coalesce(replace(subject, '#', o_orderkey::varchar), concat('L', first)) as subject from o join b on o.kind = b.kind "
+    "union all select concat('led', o_custkey, '.md'), null, 'no-gates', 'error', null from o group by o_custkey having bool_and(kind in (5, 7, 8))"
+)
+def ledger_problems(spark, sf_dir):
+    """Ledgers with a defect in most of their gates; what stands in a code fence counts as nothing."""
+    orders = table(spark, sf_dir, "orders").withColumn("kind", F.col("o_orderkey") % len(BLOCKS))
+    block = F.element_at(F.array(*(F.lit(text) for text, *_ in BLOCKS)), (F.col("kind") + 1).cast("int"))
+    part = F.replace(block, F.lit("#"), F.when(F.col("kind") == 5, "#").otherwise(F.col("o_orderkey").cast("string")))
+    ordered = F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("part"))))
+    texts = orders.groupBy("o_custkey").agg(F.array_join(F.transform(ordered, lambda p: p["part"]), "\n").alias("text"))
+    return ledgers.parse(texts.select(F.format_string("led%d.md", "o_custkey").alias("file"), "text")).problems

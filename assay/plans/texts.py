@@ -313,3 +313,38 @@ def shown_numbers(spark, sf_dir):
     from assay.functions.numbers import shown_number
 
     return table(spark, sf_dir, "pages").select("page_id", shown_number((F.col("page_id") - 100) * 1.5).alias("shown"))
+
+
+LINES = r"[t for t in [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in regexp_split_to_array(text, '\r?\n')] if t <> '']"
+
+
+@query(
+    f"with l as (select doc_id, {LINES} as ls from documents) select doc_id, md5(left(case when len(ls) = 0 then '(no output)' when len(ls) <= 8 then array_to_string(ls, ' | ') else array_to_string(ls[1:6] || ['...'] || ls[-2:], ' | ') end, 480)) as summary, "
+    "md5(left(case when len(ls) = 0 then '(no output)' when len(ls) <= 2 then array_to_string(ls, ' | ') else array_to_string(ls[-2:], ' | ') end, 240)) as tail from l"
+)
+def output_summaries(spark, sf_dir):
+    """Whole texts as outputs of failed commands."""
+    from assay.functions.text import failure_summary, last_lines
+
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(failure_summary(text)).alias("summary"), F.md5(last_lines(text)).alias("tail"))
+
+
+@query(
+    "with n as (select event_id, case event_id % 8 when 0 then event_type when 1 then event_type || '.' || event_id when 2 then '..' when 3 then '-' || event_type when 4 then event_type || '/x' when 5 then '' when 6 then event_type || ' ' else '.' end as name, "
+    "case event_id % 3 when 0 then props when 1 then repeat('x', (event_id % 700)::int) else ' ' || chr(9) end as reason from events) "
+    r"select event_id, regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9._-]*') as named, length(reason) <= 500 and regexp_matches(reason, '\S') and not regexp_matches(reason, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]') as reasoned, [event_id % 5, event_id % 3, event_id % 2] as given, "
+    "case when event_id % 5 = event_id % 3 and event_id % 5 = event_id % 2 then [event_id % 5] when event_id % 5 = event_id % 3 or event_id % 3 = event_id % 2 then [event_id % 5, case when event_id % 5 = event_id % 3 then event_id % 2 else event_id % 3 end] "
+    "when event_id % 5 = event_id % 2 then [event_id % 5, event_id % 3] else [event_id % 5, event_id % 3, event_id % 2] end as once from n"
+)
+def names_and_reasons(spark, sf_dir):
+    """Names of scopes, reasons of decisions, and lists without what stood before."""
+    from assay.functions.text import distinct_in_order, is_name, is_reason
+
+    of, kind = F.col("event_id"), F.col("event_type")
+    names = [kind, F.concat_ws(".", kind, of.cast("string")), F.lit(".."), F.concat(F.lit("-"), kind), F.concat(kind, F.lit("/x")), F.lit(""), F.concat(kind, F.lit(" ")), F.lit(".")]
+    name, reason = F.lit(None), F.when(of % 3 == 0, F.col("props")).when(of % 3 == 1, F.repeat(F.lit("x"), (of % 700).cast("int"))).otherwise(" \t")
+    for i, n in enumerate(names):
+        name = F.when(of % 8 == i, n).otherwise(name)
+    given = F.array(of % 5, of % 3, of % 2)
+    return table(spark, sf_dir, "events").select("event_id", is_name(name).alias("named"), is_reason(reason).alias("reasoned"), given.alias("given"), distinct_in_order(given).alias("once"))
