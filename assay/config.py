@@ -54,3 +54,9 @@ def checkpointed(df):
             raise UnusableInput("spark.checkpoint.dir must name a folder that the whole cluster shares")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
+
+
+def dealt(df, *by: str):
+    """``df`` over all shuffle partitions by ``by``. Its rows are small and tell of large work, such as ranges to read: without
+    a number Spark would put them together by their own size, and few tasks would do it all."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)

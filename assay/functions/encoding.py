@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SAMPLE, SAMPLE_LEAST, ZERO_SHARE = 512, 16, 0.2
+MOJIBAKE = "\ufffd|[\u00c0-\u00ff][\u0080-\u00bf]+"  # Spark and Python read it alike
 
 
 def has_bom(content: Column) -> Column:
@@ -14,7 +15,7 @@ def has_bom(content: Column) -> Column:
 
 def mojibake(text: Column) -> Column:
     """A replacement character, or a Latin-1 letter with one or more continuation-range characters after it."""
-    return F.coalesce(text.rlike(r"\x{fffd}|[\x{c0}-\x{ff}][\x{80}-\x{bf}]+"), F.lit(False))
+    return F.coalesce(text.rlike(MOJIBAKE), F.lit(False))
 
 
 def encoding_class(content: Column) -> Column:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.config import UnusableInput, UsageError, checkpointed, whole
+from assay.config import UnusableInput, UsageError, checkpointed, dealt, whole
 
 BLOCK_BYTES = 8 << 20
 FAN = 4096
@@ -131,7 +131,7 @@ def summaries(files: DataFrame, machine, block_bytes: int) -> DataFrame:
     schema = pa.schema([("path", pa.string()), ("length", pa.int64()), ("block", pa.int64()), ("exits", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64())), ("firsts", pa.list_(pa.int64())), ("head", pa.binary()), ("solid", pa.bool_()), ("good", pa.bool_()), ("tail", pa.binary()), ("bom", pa.bool_())])
     last = F.greatest(F.ceil(F.col("length") / block_bytes) - 1, F.lit(0)).cast("long")
     blocks = files.select("path", F.col("length").cast("long").alias("length"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
-    return blocks.repartition(F.col("path"), F.col("block")).mapInArrow(run, SUMMARY)
+    return dealt(blocks, "path", "block").mapInArrow(run, SUMMARY)
 
 
 def compose(rows: pd.DataFrame, states: int) -> tuple[list[int], list[int], list[int], tuple]:
@@ -224,7 +224,7 @@ def read_splits(splits: DataFrame, parse, schema: str, rows_at_once: int = 5000)
                         held = []
         yield pa.RecordBatch.from_pylist(held, arrow)
 
-    return splits.repartition(F.col("path"), F.col("start")).mapInArrow(run, schema)
+    return dealt(splits, "path", "start").mapInArrow(run, schema)
 
 
 class Lines:

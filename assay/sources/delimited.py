@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 
 from assay.config import UsageError, checkpointed
 from assay.findings import findings, together
-from assay.functions.encoding import decoded, mojibake
+from assay.functions.encoding import MOJIBAKE, decoded, mojibake
 from assay.functions.text import strip_bom, trimmed
 from assay.sources import blocks
 
+MOJI = re.compile(MOJIBAKE)
 RECORDS = "struct<records: array<struct<no: bigint, cells: array<string>>>, error: string>"
 
 
@@ -159,21 +160,35 @@ def load_blocks(listed: DataFrame, dialect: Dialect = Dialect(), encoding: str =
     unclosed = F.when(F.col("state") == 2, F.concat(F.lit("unterminated quoted field starting at row "), (F.col("ended") + 1).cast("string")))
     ends = blocks.with_encoding(found.files, encoding).withColumn("unclosed", unclosed)
     splits = found.splits.join(ends.filter("unclosed is null").select("path", "encoding"), "path")
-    delimiter = dialect.delimiter
+    delimiter, header = dialect.delimiter, dialect.header
 
-    def parse(split, data):
+    def numbered(split, data):
         for no, cells in split_records(data.decode(blocks.CODECS[split["encoding"]], "replace"), delimiter)[0]:
-            yield split["path"], split["no"] + no - 1, cells
+            yield split["no"] + no - 1, cells
 
-    parsed = blocks.read_splits(splits, parse, "path string, no long, cells array<string>")
-    seen = parsed.groupBy("path").agg(F.max(F.size("cells")).alias("width"), F.bool_or(F.exists("cells", mojibake)).alias("garbled"), F.min_by("cells", "no").alias("top"), F.min("no").alias("first"), F.count(F.lit(1)).alias("n"))
-    header = F.transform("top", lambda c, i: trimmed(F.when(i == 0, strip_bom(c)).otherwise(c))) if dialect.header else F.lit(None).cast("array<string>")
+    def survey(split, data):
+        """What the records of a split add to the row of their file."""
+        top, n, width, garbled = None, 0, 0, False
+        for no, cells in numbered(split, data):
+            top, n, width = top or (no, cells), n + 1, max(width, len(cells))
+            garbled = garbled or any(not c.isascii() and MOJI.search(c) for c in cells)
+        if top:
+            yield split["path"], *top, n, width, garbled
+
+    def parse(split, data):
+        for no, cells in numbered(split, data):
+            if not header or no > split["first"]:
+                yield split["path"], no, cells
+
+    # What is known of a file meets its splits, which are few. Records met by their path would all go to one task.
+    seen = blocks.read_splits(splits, survey, "path string, first long, top array<string>, n long, width int, garbled boolean")
+    seen = seen.groupBy("path").agg(F.max("width").alias("width"), F.bool_or("garbled").alias("garbled"), F.min_by("top", "first").alias("top"), F.min("first").alias("first"), F.sum("n").alias("n"))
+    named = F.transform("top", lambda c, i: trimmed(F.when(i == 0, strip_bom(c)).otherwise(c))) if header else F.lit(None).cast("array<string>")
     error = F.coalesce("unclosed", F.when(F.col("garbled"), "mojibake"), F.when(F.col("n").isNull(), "no records"))
-    told = ends.join(seen, "path", "left").select("path", "encoding", "bom", header.alias("header"), "width", F.coalesce("n", F.lit(0)).alias("n_records"), error.alias("error"), "first")
+    told = ends.join(seen, "path", "left").select("path", "encoding", "bom", named.alias("header"), "width", F.coalesce("n", F.lit(0)).alias("n_records"), error.alias("error"), "first")
     told = checkpointed(told)
-    data = parsed.join(told.filter("error is null").select("path", "first"), "path")
-    data = data.filter("no > first") if dialect.header else data
-    return told.drop("first"), data.select("path", "no", "cells")
+    data = blocks.read_splits(splits.join(told.filter("error is null").select("path", "first"), "path"), parse, "path string, no long, cells array<string>")
+    return told.drop("first"), data
 
 
 def rows(loaded: DataFrame) -> DataFrame:

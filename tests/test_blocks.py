@@ -4,6 +4,7 @@ import random
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from assay.config import UnusableInput, UsageError
 from assay.operators import files, logs
@@ -154,3 +155,11 @@ def test_a_tail_reads_the_end_alone(spark, tmp_path):
     assert read == {"big.log": 2 * 4096, "small.log": 4}  # 100 lines of about 60 bytes
     found = blocks.last_lines(listed, 100, block_bytes=4096).filter("path like '%big.log'").collect()
     assert [r.text for r in sorted(found, key=lambda r: -r.from_end)] == lines[-100:]
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    """Splits are small rows and large work, and no record is sent to its file's task."""
+    (tmp_path / "one.csv").write_text("".join(f"{i},x\n" for i in range(3000)))
+    _, data = delimited.load_blocks(files.list_files(spark, str(tmp_path)), block_bytes=64)
+    assert data.count() == 2999
+    assert data.select(F.spark_partition_id()).distinct().count() > 1
