@@ -45,6 +45,12 @@ class TestArchives:
         order = [r.name for r in archives.directory(df.filter("path like '%stored'")).orderBy("no").collect()]
         assert order == [n for n, _ in parts]
 
+    def test_one_archive_is_read_by_many_tasks(self, spark, tmp_path):
+        """Entries are small rows and large work."""
+        found = archives.elements(listed(spark, tmp_path, one=archive([(f"{i}.xml", "<p>x</p>") for i in range(64)])), "", "p")
+        assert found.count() == 64
+        assert found.select(F.spark_partition_id()).distinct().count() > 1
+
     def test_refused(self, spark, tmp_path):
         good = archive([("a", "some text" * 50), ("b", "b")])
         at = good.index(b"PK\x01\x02")
