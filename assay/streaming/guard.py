@@ -34,12 +34,10 @@ class InOrder(StatefulProcessor):
         self.kept = handle.getValueState("kept", self.kept_schema)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        latest = None
-        for row in rows:
-            self.held.appendValue(tuple(row[name] for name in self.waiting))
-            latest = row.at if latest is None else max(latest, row.at)
-        if latest is not None:
-            self.handle.registerTimer(-(-latest // 1000))
+        new = [tuple(row[name] for name in self.waiting) for row in rows]
+        if new:
+            self.held.appendList(new)  # one call to the store for a key's rows, not one for each
+            self.handle.registerTimer(-(-max(x[0] for x in new) // 1000))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:

@@ -75,3 +75,18 @@ def test_state_store_is_put_back(spark):
     with guard.state_store(spark):
         assert spark.conf.get(guard.PROVIDER) == guard.ROCKS
     assert spark.conf.get(guard.PROVIDER, None) == before
+
+
+def test_a_key_waits_with_one_call_to_the_store():
+    """However many rows of a key come together."""
+    from unittest.mock import MagicMock
+
+    from pyspark.sql import Row
+
+    processor = guard.Guard()
+    processor.init(MagicMock())
+    processor.held, rows = MagicMock(), [Row(at=1000 * n, seq=n, state="a") for n in range(5)]
+    assert list(processor.handleInputRows(("s",), iter(rows), None)) == []
+    assert [c[0] for c in processor.held.method_calls] == ["appendList"]
+    assert processor.held.appendList.call_args[0][0] == [(1000 * n, n, "a") for n in range(5)]
+    processor.handle.registerTimer.assert_called_once_with(4)
