@@ -50,16 +50,17 @@ def scan_cells(cells: DataFrame, sheets: list[str] | None = None) -> DataFrame:
 
 
 def shared_strings(cells: DataFrame, strings: DataFrame, by: list[str] = ()) -> DataFrame:
-    """Cells of type s get their string by index; an index out of range is empty."""
+    """Cells of type s get their string by index; an index out of range is empty (J2). Strings read from archives are many times
+    what Spark takes them for by their entries, so they are merged and never broadcast."""
     shared = strings.select(*by, F.col("idx").cast("string").alias("value"), F.col("text").alias("__text"), F.lit("s").alias("type"))
-    both = cells.join(shared, [*by, "type", "value"], "left")
+    both = cells.join(shared.hint("merge"), [*by, "type", "value"], "left")
     return both.select(*[c for c in cells.columns if c != "value"], F.when(F.col("type") == "s", F.coalesce("__text", F.lit(""))).otherwise(F.col("value")).alias("value"))
 
 
 def sheet_map(sheets: DataFrame, relations: DataFrame, by: list[str] = ()) -> DataFrame:
     """sheets(name, rid) to relations(rid, target): name and target_path; a sheet without relation goes."""
     target = F.when(F.col("target").startswith("/"), F.substr("target", F.lit(2))).when(F.col("target").startswith("xl/"), F.col("target")).otherwise(F.concat(F.lit("xl/"), F.col("target")))
-    return sheets.filter("name is not null").join(relations, [*by, "rid"]).select(*by, "name", F.regexp_replace(target, r"^xl/\.\./", "").alias("target_path"))
+    return sheets.filter("name is not null").join(relations.hint("merge"), [*by, "rid"]).select(*by, "name", F.regexp_replace(target, r"^xl/\.\./", "").alias("target_path"))
 
 
 def sheet_rules(sheets: DataFrame, required: DataFrame, forbidden: DataFrame) -> DataFrame:

@@ -89,13 +89,14 @@ def strings(files: DataFrame) -> DataFrame:
 
 def workbook_cells(files: DataFrame) -> DataFrame:
     """path, sheet, ref, type, value of all cells of workbooks(path, length) (S14): parts of one file meet by
-    its path and the part's name, shared strings by their index. Workbooks of :func:`workbook_problems` have no sound cells."""
+    its path and the part's name, shared strings by their index; all by merging, as Spark takes cells for small as their entries
+    and would broadcast them. Workbooks of :func:`workbook_problems` have no sound cells."""
     from assay.operators.workbooks import shared_strings, sheet_map
 
     where = sheet_map(sheet_names(files), relations(files), ["path"]).select("path", F.col("name").alias("sheet"), F.col("target_path").alias("name"))
     held = elements(files, r"^xl/worksheets/[^/]+\.xml$", "c").filter("element is not null").select("path", "name", cell(F.col("element")).alias("c"))
     found = held.select("path", "name", "c.*").filter(F.col("ref").rlike(r"^[A-Z]+[0-9]+\z"))
-    return shared_strings(found.join(where, ["path", "name"]).select("path", "sheet", "ref", "type", "value"), strings(files), ["path"])
+    return shared_strings(found.join(where.hint("merge"), ["path", "name"]).select("path", "sheet", "ref", "type", "value"), strings(files), ["path"])
 
 
 def workbook_problems(files: DataFrame) -> DataFrame:

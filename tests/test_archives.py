@@ -1,6 +1,7 @@
 """Archives by ranges and what office files hold: equal to the standard library's reader, damage told, bytes read counted."""
 
 import io
+import os
 import random
 import struct
 import zipfile
@@ -151,3 +152,19 @@ class TestOffice:
         assert {r.sheet: (r.filled, r.errors) for r in workbooks.scan_cells(cells).collect()} == {"One & all": (2, 0), "Two": (2, 1)}
         problems = {short(r.path): r.problem for r in office.workbook_problems(df).collect()}
         assert problems == {"g": "no directory of an archive", "h": "no workbook part", "i": "no sheets", "crc": "size or checksum of the entry differs"}
+
+
+def test_no_cells_are_broadcast(spark, tmp_path):
+    """Entries are small and their cells many: a size guessed from entries must not send cells or strings to the driver."""
+    listed = []
+    for n in range(3):
+        path = str(tmp_path / f"{n}.xlsx")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("xl/workbook.xml", '<sheets><sheet name="S" r:id="r"/></sheets>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationship Id="r" Target="worksheets/sheet1.xml"/>')
+            z.writestr("xl/sharedStrings.xml", "".join(f"<si><t>{n}-{i}</t></si>" for i in range(5000)))
+            z.writestr("xl/worksheets/sheet1.xml", "".join(f'<c r="A{i + 1}" t="s"><v>{i}</v></c>' for i in range(5000)))
+        listed.append((path, os.path.getsize(path)))
+    cells = office.workbook_cells(spark.createDataFrame(listed, "path string, length long"))
+    assert len({r.value for r in cells.collect()}) == 15000
+    assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
