@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -13,6 +15,11 @@ MONEY = "decimal(38,6)"
 SIGNS = "[%₩$]"
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once. Written plainly, a value that branches name several times is made again for each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def parse_number(text: Column) -> Column:
     """The double nearest to the number that accounting text shows, or null; a number beyond all doubles is none.
 
@@ -20,13 +27,12 @@ def parse_number(text: Column) -> Column:
     signs go; then digits with at most one point, and a digit after it, must be left.
     """
     bare = F.regexp_replace(text, rf"{WHITE}|,", "")
-    bracketed = bare.rlike(r"^\(.*\)\z")
-    inner = F.when(bracketed, F.regexp_extract(bare, r"^\((.*)\)\z", 1)).otherwise(bare)
-    minus = inner.startswith("-")
-    digits = F.regexp_replace(F.regexp_replace(inner, r"^[+-]", ""), SIGNS, "")
-    value = F.when(digits.rlike(r"^\d*\.?\d+\z"), digits).try_cast("double")
-    value = F.when(value < float("inf"), value)
-    return F.when(bracketed != minus, -value).otherwise(value)
+    bracketed = lambda b: b.rlike(r"^\(.*\)\z")
+    parts = lambda b: F.struct(bracketed(b).alias("bracketed"), F.when(bracketed(b), F.regexp_extract(b, r"^\((.*)\)\z", 1)).otherwise(b).alias("inner"))
+    digits = lambda p: F.regexp_replace(F.regexp_replace(p["inner"], r"^[+-]", ""), SIGNS, "")
+    value = lambda d: F.when(d.rlike(r"^\d*\.?\d+\z"), d).try_cast("double")
+    signed = lambda p: once(once(digits(p), value), lambda v: F.when(v < float("inf"), F.when(p["bracketed"] != p["inner"].startswith("-"), -v).otherwise(v)))
+    return once(once(bare, parts), signed)
 
 
 #: Doubles are summed by bins of so many exponents.

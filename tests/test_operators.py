@@ -20,6 +20,9 @@ def column(spark, values, make, kind="string"):
 
 
 class TestFunctions:
+    def test_a_number_is_parsed_from_a_text_made_once(self, spark):
+        assert str(numbers.parse_number(F.col("amount"))).count("amount") == 1
+
     def test_parse_number(self, spark):
         given = ["1,234.56", "(500)", "abc", "0", " ", "1 2", "(-5)", "-$5", "$-5", "5.", ".5", "1e5", "15%", "(1,000)%", "+-5", "()", "€5"]
         want = [1234.56, -500, None, 0, None, 12, 5, -5, None, None, 0.5, None, 15, None, None, None, None]
