@@ -49,7 +49,11 @@ def signed_gates(gates: DataFrame, digests: DataFrame, **settings: str) -> DataF
         F.bool_or(F.col("sha256").isNull()).alias("blocked"),
     )
     oracle = F.to_json(F.struct("check", "expect", "cwd", F.col("read").alias("deps"), *(F.lit(v).alias(k) for k, v in sorted(settings.items()))))
-    return gates.join(read, "deps", "left").withColumn("signature", F.sha2(oracle, 256)).withColumn("blocked", F.coalesce("blocked", F.lit(False))).drop("read")
+    # gates without deps have no partner: as keys without a value they would all meet in one task
+    bare = F.coalesce(F.size("deps") <= 0, F.lit(True))
+    some = gates.filter(~bare).join(read, "deps", "left")
+    alone = gates.filter(bare).withColumns({"read": F.lit(None).cast(read.schema["read"].dataType), "blocked": F.lit(False)})
+    return some.unionByName(alone).withColumn("signature", F.sha2(oracle, 256)).withColumn("blocked", F.coalesce("blocked", F.lit(False))).drop("read")
 
 
 def approval_states(signed: DataFrame, approvals: DataFrame) -> DataFrame:
@@ -78,10 +82,9 @@ def patched(files: DataFrame, changes: DataFrame) -> DataFrame:
     The box of a gate's line is set; its last evidence line is replaced and keeps its indent, or one is put behind the gate's
     attribute lines. Text with any CRLF is joined by CRLF, other text by LF; a last line end stays.
     """
-    touched = files.join(changes.select("file").distinct(), "file", "left_semi")
+    touched = checkpointed(files.join(changes.select("file").distinct(), "file", "left_semi"))
     lines = touched.select("file", F.posexplode(F.split("text", r"\r?\n")).alias("at", "text")).select("file", (F.col("at") + 1).cast("long").alias("line"), "text")
-    marks, _ = told(touched)
-    evidence = marks.filter("kind = 'attribute' and gate > 0").filter(F.col("text").rlike(r"^\s+EVIDENCE:")).groupBy("file", F.col("gate").alias("line")).agg(F.max("line").alias("evidence_line"))
+    evidence = told(touched).filter("kind = 'attribute' and gate > 0").filter(F.col("text").rlike(r"^\s+EVIDENCE:")).groupBy("file", F.col("gate").alias("line")).agg(F.max("line").alias("evidence_line"))
     # a gate's line and the attribute lines under it are one run
     run = F.count_if(~F.col("text").rlike(BELOW)).over(Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     runs = lines.withColumn("run", run).groupBy("file", "run").agg(F.min("line").alias("line"), F.max("line").alias("last"))

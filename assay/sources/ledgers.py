@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,11 +62,12 @@ LIVE = "struct<lines: array<struct<line: bigint, text: string>>, open: boolean>"
 
 
 def live_lines(text: Column) -> Column:
-    kind = pa.struct([("lines", pa.list_(pa.struct([("line", pa.int64()), ("text", pa.string())]))), ("open", pa.bool_())])
-
     def run(texts: pa.Array) -> pa.Array:
         found = [outside_fences(t or "") for t in texts.to_pylist()]
-        return pa.array([{"lines": [{"line": n, "text": x} for n, x in kept], "open": is_open} for kept, is_open in found], kind)
+        ends = np.cumsum([0, *(len(kept) for kept, _ in found)])
+        numbers, lines = pa.array([n for kept, _ in found for n, _ in kept], pa.int64()), pa.array([x for kept, _ in found for _, x in kept], pa.string())
+        kept = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([numbers, lines], ["line", "text"]))
+        return pa.StructArray.from_arrays([kept, pa.array([is_open for _, is_open in found], pa.bool_())], ["lines", "open"])
 
     return F.arrow_udf(run, LIVE)(text)
 
@@ -81,13 +83,15 @@ def is_pattern(sources: pa.Array) -> pa.Array:
     return pa.array(out)
 
 
-def told(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Live lines with their kind and gate (0: none), and the files whose fence stays open."""
+def told(files: DataFrame) -> DataFrame:
+    """Live lines with their kind and gate (0: none), and a row of kind file before each file's: open if its fence stays open."""
     opened = files.select("file", live_lines(F.col("text")).alias("live"))
-    lines = opened.select("file", F.explode("live.lines").alias("l")).select("file", "l.line", "l.text")
+    own = F.array(F.struct(F.lit(0).cast("long").alias("line"), F.lit(None).cast("string").alias("text")))
+    lines = opened.select("file", F.col("live.open").alias("open"), F.explode(F.concat(own, F.col("live.lines"))).alias("l")).select("file", "open", "l.line", "l.text")
     text = F.col("text")
     kind = (
-        F.when(text.rlike(GATE), "gate")
+        F.when(F.col("line") == 0, "file")
+        .when(text.rlike(GATE), "gate")
         .when(text.rlike(INDENTED_ABANDON), "indented-abandon")
         .when(text.rlike(UNINDENTED), "unindented")
         .when(text.rlike(ATTRIBUTE), "attribute")
@@ -98,7 +102,7 @@ def told(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     before = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     marked = lines.withColumn("kind", kind).filter("kind is not null").withColumn("seen_gate", F.max(F.col("kind") == "gate").over(before))
     ends = F.when(F.col("kind") == "gate", F.col("line")).when(F.col("kind").isin("indented-abandon", "unindented", "abandon", "break") | ((F.col("kind") == "owns") & F.col("seen_gate")), F.lit(0))
-    return marked.withColumn("gate", F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(0))), opened.filter("live.open").select("file")
+    return marked.withColumn("gate", F.coalesce(F.last(ends, ignorenulls=True).over(before), F.lit(0)))
 
 
 def listed(text: Column) -> Column:
@@ -106,29 +110,36 @@ def listed(text: Column) -> Column:
 
 
 def parse(files: DataFrame, need_gates: bool = True) -> Ledger:
-    """Ledgers of files(file, text). The lines of the grammar are written once and read by every rule."""
-    lines, unclosed = told(files)
-    lines = checkpointed(lines)
-    text = F.col("text")
-    title = trimmed(F.regexp_extract("text", GATE, 2))
-    name = F.regexp_extract(title, r"^(\S+?):(?:\s+|\z)", 1)
-    heads = lines.filter("kind = 'gate'").select(
-        "file",
-        "line",
-        (F.lower(F.regexp_extract("text", GATE, 1)) == "x").alias("checked"),
-        (name == "").alias("unnamed"),
-        F.when(name == "", F.concat(F.lit("L"), F.col("line").cast("string"))).otherwise(name).alias("id"),
-        F.when(name == "", title).otherwise(trimmed(F.regexp_replace(title, r"^(\S+?):(?:\s+|\z)", ""))).alias("title"),
-    )
+    """Ledgers of files(file, text). The lines of the grammar are written once and read by every rule, as are the gates, each put
+    together from its own line and its attributes' in one aggregation; rules about one line or gate share a pass."""
+    lines = checkpointed(told(files))
+    text, is_gate = F.col("text"), F.col("kind") == "gate"
     key, value = F.lower(F.regexp_extract("text", ATTRIBUTE, 2)), trimmed(F.regexp_extract("text", ATTRIBUTE, 3))
     attributes = lines.filter("kind = 'attribute'").select("file", "line", "gate", key.alias("key"), value.alias("value"))
     owned = attributes.filter("gate > 0")
-    last = owned.groupBy("file", F.col("gate").alias("line")).agg(*(F.max_by(F.when(F.col("key") == k, F.col("value")), F.when(F.col("key") == k, F.col("line"))).alias(k) for k in ATTRIBUTES))
+    parts = lines.filter("gate > 0 and kind in ('gate', 'attribute')").select("file", "gate", "line", F.when(is_gate, text).alias("head"), F.when(~is_gate, key).alias("key"), F.when(~is_gate, value).alias("value"))
+    of_key = lambda k, c: F.when(F.col("key") == k, F.col(c))
+    joined = parts.groupBy("file", F.col("gate").alias("line")).agg(F.collect_list("head").alias("heads"), *(F.max_by(of_key(k, "value"), of_key(k, "line")).alias(k) for k in ATTRIBUTES))
+    joined = joined.withColumn("head", F.explode("heads"))  # one, unless a file stands twice
+    title = trimmed(F.regexp_extract("head", GATE, 2))
+    name = F.regexp_extract("whole_title", r"^(\S+?):(?:\s+|\z)", 1)
+    named = joined.withColumn("whole_title", title).withColumn("name", name)
+    unnamed = F.col("name") == ""
+    found = named.select(
+        "file",
+        "line",
+        (F.lower(F.regexp_extract("head", GATE, 1)) == "x").alias("checked"),
+        unnamed.alias("unnamed"),
+        F.when(unnamed, F.concat(F.lit("L"), F.col("line").cast("string"))).otherwise(F.col("name")).alias("id"),
+        F.when(unnamed, F.col("whole_title")).otherwise(trimmed(F.regexp_replace("whole_title", r"^(\S+?):(?:\s+|\z)", ""))).alias("title"),
+        *ATTRIBUTES,
+    )
     said = lines.filter("kind = 'abandon'").select("file", "line", F.regexp_replace(F.regexp_extract("text", ABANDON, 1), r":\z", "").alias("id"), trimmed(F.regexp_extract("text", ABANDON, 2)).alias("reason"))
     turn = F.row_number().over(Window.partitionBy("file", "id").orderBy("line"))
     sound = said.filter("id <> '' and reason <> ''").withColumn("turn", turn)
     abandons = sound.filter("turn = 1").select("file", "line", "id", "reason")
-    gates = heads.join(last, ["file", "line"], "left").withColumn("deps_given", F.col("deps").isNotNull()).withColumn("declared", listed("deps")).join(abandons.select("file", "id", "reason"), ["file", "id"], "left")
+    gates = checkpointed(found.join(abandons.select("file", "id", "reason"), ["file", "id"], "left")).withColumn("deps_given", F.col("deps").isNotNull()).withColumn("declared", listed("deps"))
+    heads = gates.select("file", "line", "id")
     has = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
     expects = F.when(has("expect"), expectation(F.col("expect")))
     paths = F.when(F.col("deps_given"), F.transform(F.filter("declared", lambda p: path_problem(p, True).isNull()), normalized))
@@ -141,6 +152,11 @@ def parse(files: DataFrame, need_gates: bool = True) -> Ledger:
         as_column = lambda x: x if isinstance(x, Column) else F.col(x) if x is not None else F.lit(None)
         return df.select("file", as_column(line).cast("long").alias("line"), (rule if isinstance(rule, Column) else F.lit(rule)).alias("rule"), F.lit(level).alias("level"), as_column(subject).cast("string").alias("subject"))
 
+    def of_each(df: DataFrame, *rules: tuple) -> DataFrame:
+        """The problems of each row by rules (condition, rule, subject, level), in one pass."""
+        told = [F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(level).alias("level"), subject.cast("string").alias("subject"))) for test, rule, subject, level in rules]
+        return df.select("file", "line", F.explode(F.array_compact(F.array(*told))).alias("p")).select("file", F.col("line").cast("long").alias("line"), "p.*")
+
     first = Window.partitionBy("file", "id").orderBy("line")
     again = heads.withColumn("turn", F.row_number().over(first)).withColumn("first_line", F.min("line").over(first)).filter("turn > 1")
     repeated = owned.withColumn("turn", F.row_number().over(Window.partitionBy("file", "gate", "key").orderBy("line"))).filter("turn > 1")
@@ -149,34 +165,40 @@ def parse(files: DataFrame, need_gates: bool = True) -> Ledger:
     claim = claims.withColumn("why", path_problem(F.col("given")))
     regexes = gates.withColumn("e", expects).filter("e.kind = 'regex'")
     valid = F.arrow_udf(is_pattern, "boolean")
+    kind, error, none = F.col("kind"), "error", F.lit(None)
     problems = [
-        problem(heads.filter("unnamed"), "gate-without-id"),
-        problem(heads.filter(~F.col("unnamed") & ~F.col("id").rlike(GATE_ID)), "invalid-id"),
-        problem(heads.filter("title = ''"), "blank-title"),
+        of_each(
+            gates,
+            (F.col("unnamed"), "gate-without-id", F.col("id"), error),
+            (~F.col("unnamed") & ~F.col("id").rlike(GATE_ID), "invalid-id", F.col("id"), error),
+            (F.col("title") == "", "blank-title", F.col("id"), error),
+            (has("check") != has("expect"), "check-and-expect-belong-together", F.col("id"), error),
+            ((F.col("check") == "") | (F.col("expect") == ""), "blank-check-or-expect", F.col("id"), error),
+            (F.col("deps_given") & ~has("check"), "deps-on-manual-gate", F.col("id"), error),
+        ),
+        of_each(
+            lines,
+            (kind == "indented-abandon", "indented-abandon", text, error),
+            (kind == "unindented", "unindented-attribute", F.lower(F.regexp_extract("text", UNINDENTED, 1)), error),
+            ((kind == "attribute") & (F.col("gate") == 0), "orphan-attribute", key, error),
+            ((kind == "owns") & F.col("seen_gate"), "owns-after-gate", none, error),
+        ),
+        of_each(said, (F.col("id") == "", "abandon-without-id", none, error), ((F.col("id") != "") & (F.col("reason") == ""), "abandon-without-reason", F.col("id"), error)),
         problem(again, "duplicate-id", F.concat_ws(":", "id", "first_line")),
-        problem(lines.filter("kind = 'indented-abandon'"), "indented-abandon", text),
-        problem(lines.filter("kind = 'unindented'"), "unindented-attribute", F.lower(F.regexp_extract("text", UNINDENTED, 1))),
-        problem(attributes.filter("gate = 0"), "orphan-attribute", "key"),
         problem(repeated, "duplicate-attribute", "key"),
         problem(deps.filter(F.size("paths") == 0), "deps-empty", None),
         problem(dep.filter("why is not null"), F.concat(F.lit("deps-"), F.col("why")), "given"),
-        problem(said.filter("id = ''"), "abandon-without-id", None),
-        problem(said.filter("id <> '' and reason = ''"), "abandon-without-reason"),
         problem(sound.filter("turn > 1"), "duplicate-abandon"),
-        problem(owns_line.filter("seen_gate"), "owns-after-gate", None),
         problem(early.filter(F.size("paths") == 0), "owns-empty", None),
         problem(claim.filter("why is not null"), F.concat(F.lit("owns-"), F.col("why")), "given"),
-        problem(unclosed, "unclosed-fence", None, line=None),
-        problem(gates.filter(has("check") != has("expect")), "check-and-expect-belong-together"),
-        problem(gates.filter("check = '' or expect = ''"), "blank-check-or-expect"),
-        problem(gates.filter(F.col("deps_given") & ~has("check")), "deps-on-manual-gate"),
+        problem(lines.filter("kind = 'file' and open"), "unclosed-fence", None, line=None),
         problem(regexes.filter("e.too_long"), "expect-too-long"),
         problem(regexes.filter(~F.col("e.too_long") & ~valid("e.value")), "expect-invalid"),
         problem(regexes.filter("e.path_like and not e.too_long"), "path-read-as-regex", level="warning"),
         problem(abandons.join(heads.select("file", "id"), ["file", "id"], "left_anti"), "unknown-abandon"),
     ]
     if need_gates:
-        problems.append(problem(files.join(heads.select("file"), "file", "left_anti"), "no-gates", None, line=None))
+        problems.append(problem(lines.filter("kind = 'file'").select("file").join(heads.select("file"), "file", "left_anti"), "no-gates", None, line=None))
     full = gates.select(
         "file", "line", "id", "title", "checked", "check", "expect", "evidence", "cwd", paths.alias("deps"), expects.alias("expectation"),
         F.col("reason").isNotNull().alias("abandoned"), "reason",

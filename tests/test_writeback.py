@@ -100,3 +100,20 @@ def test_order_of_dependencies_and_bytes_that_are_no_text(spark):
     one, other = sign(b"\xff"), sign(b"\xfe")
     assert len(one) == 5 and one[0] == one[1] and dict(one)["A"] != dict(one)["B"] and dict(one)["C"] == dict(one)["D"]
     assert [a == b for a, b in zip(one, other, strict=True)] == [False, False, False, True, True]
+
+
+def test_texts_are_parsed_once(spark):
+    """The rules read lines and gates that are written; none goes back to the texts."""
+    plan = ledgers.parse(files(spark, {"f": LEDGER})).problems._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # the patterns of expectations
+
+
+def test_gates_without_dependencies_stay_in_their_tasks(spark):
+    kind = "file string, id string, line int, check string, expect string, cwd string, deps array<string>"
+    gates = spark.createDataFrame([("f", str(i), i, "run", "x", None, None) for i in range(100)], kind).repartition(8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = writeback.signed_gates(gates, digests(spark))
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
