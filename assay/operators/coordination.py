@@ -49,32 +49,38 @@ def admit_claims(claims: DataFrame) -> DataFrame:
     """claims(turn, owner, globs) in order of their turn: a claim is admitted if none of its globs overlaps one of
     an admitted claim before it, all or nothing (T-6).
 
-    Instead of one claim after the other, all claims whose earlier conflicts are decided are decided together,
-    round by round: with an admitted one among them a claim is refused, with none left it is admitted. A claim
-    without globs, or with one that may not be claimed, is refused.
+    Instead of one claim after the other, claims are decided in rounds: those that are the first of all open claims they
+    overlap are admitted, and what overlaps these is refused. No pair of claims is made: a literal path tells its first open
+    claim at it and at or below it, and a claim asks the paths that its globs start with. A claim without globs, or with one
+    that may not be claimed, is refused.
     """
     refusable = F.coalesce(F.size("globs") <= 0, F.lit(True)) | F.exists("globs", lambda g: path_problem(g).isNotNull())
     asked, claims = claims, claims.filter(~refusable)
-    globs = claims.select("turn", F.explode("globs").alias("glob")).withColumn("key", F.col("turn").cast("string"))
-    named = globs.select(F.col("key").alias("owner"), "glob", F.lit(0).alias("place"))
-    met = lease_conflicts(named, named)
-    pairs = met.filter("owner is not null and other is not null").select(F.col("owner").cast("long").alias("a"), F.col("other").cast("long").alias("b"))
-    edges = checkpointed(pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct())
-    wide = met.filter("other is null").select(F.col("owner").cast("long").alias("turn")).distinct()
-    # what claims everything comes first or not at all, and ends what comes after it
-    state = checkpointed(claims.select("turn", F.lit("open").alias("state")).join(wide.withColumn("wide", F.lit(True)), "turn", "left").select("turn", "state", F.coalesce("wide", F.lit(False)).alias("wide")))
-    first_wide = state.filter("wide").agg(F.min("turn").alias("turn")).first()["turn"]
+    reached = reaches(claims.select("turn", F.explode("globs").alias("glob")))
     least = claims.agg(F.min("turn")).first()[0]
+    # what claims everything comes first or not at all, and ends what comes after it
+    wide = reached.filter(F.col("reach") == EVERYTHING).select("turn").distinct()
+    first_wide = wide.agg(F.min("turn").alias("turn")).first()["turn"]
+    parts = F.split("reach", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    paths = reached.filter(F.col("reach") != EVERYTHING).select("turn", "reach", F.explode(above).alias("path")).distinct()
     if first_wide is not None:
-        blocked = F.lit(first_wide == least) & (F.col("turn") > first_wide)
-        refused = blocked | (F.col("wide") & (F.col("turn") != least))
-        state = checkpointed(state.withColumn("state", F.when(refused, "refused").when(F.col("wide"), "admitted").otherwise(F.col("state"))))
-    while not state.filter("state = 'open'").isEmpty():
-        early = state.select(F.col("turn").alias("early"), F.col("state").alias("was"))
-        waits = edges.join(early, "early").groupBy(F.col("late").alias("turn")).agg(F.max(F.col("was") == "admitted").alias("beaten"), F.max(F.col("was") == "open").alias("unsure"))
-        decided = F.when(F.col("state") != "open", F.col("state")).when(F.col("beaten"), "refused").when(F.col("unsure"), "open").otherwise("admitted")
-        state = checkpointed(state.join(waits, "turn", "left").select("turn", decided.alias("state"), "wide"))
-    won = state.select("turn", (F.col("state") == "admitted").alias("admitted"))
+        paths = paths.limit(0) if first_wide == least else paths.join(wide, "turn", "left_anti")
+    each = paths.select("turn", "path", (F.col("path") == F.col("reach")).alias("own")).groupBy("turn", "path").agg(F.max("own").alias("own"))
+    # what lies above all globs tells nothing
+    left = checkpointed(each.join(each.filter("own").select("path").distinct(), "path", "left_semi"))
+    won = wide.filter(F.col("turn") == F.lit(least)) if first_wide is not None else None
+    own = F.col("own")
+    while not left.isEmpty():
+        first = left.groupBy("path").agg(F.min("turn").alias("below"), F.min(F.when(own, F.col("turn"))).alias("here"))
+        met = left.join(first, "path").groupBy("turn").agg(F.min("here").alias("here"), F.min(F.when(own, F.col("below"))).alias("below"))
+        winners = checkpointed(met.filter(F.least("here", "below") == F.col("turn")).select("turn"))
+        won = winners if won is None else won.unionByName(winners)
+        taken = left.join(winners, "turn", "left_semi").groupBy("path").agg(F.max(own).alias("here"))
+        beaten = left.join(taken, "path").filter(own | F.col("here")).select("turn").distinct()
+        left = checkpointed(left.join(beaten, "turn", "left_anti"))
+    won = asked.select("turn").limit(0) if won is None else won
+    won = won.distinct().withColumn("admitted", F.lit(True))
     return asked.join(won, "turn", "left").withColumn("admitted", F.coalesce("admitted", F.lit(False)))
 
 
