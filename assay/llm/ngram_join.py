@@ -1,17 +1,17 @@
 """N-gram Jaccard join with vertical partitioning.
 
-All word n-grams stand in one global order, rare before frequent. The order is cut into
-fragments: the first fragment of a document is its prefix, as long as two documents that link
-must share a part of it; the rest is cut by range. Overlaps are counted per fragment and summed
-per pair: the prefix fragment alone bounds a pair from above and drops nearly all that do not
-link, and the other fragments are counted only for pairs that it leaves.
+The hashes of all word n-grams are cut by range into fragments, so many that two documents that link
+differ in fewer than all of them. What a document has in one fragment, as a whole, is a key. Each document
+shows its fullest fragments, as many as two documents that link must share one of; those that share no whole
+fragment never meet, whatever single n-grams they have in common. Pairs are verified by overlaps counted per
+fragment and summed per pair.
 
 Documents with equal sets are one node. No group is expanded into its pairs: two rounds join
 each node to one centre of its posting lists, and verified links contract them. In crowded lists,
 further rounds let each component try the likeliest pair that leads out of it. A last round looks at
-all pairs whose ends are still in different components: the lists in which two nodes meet are the whole
-overlap of their prefixes, so a count of them leaves those that can link, and no link between
-components is lost.
+all pairs whose ends are still in different components: the number of fragments that two nodes share
+leaves those that can link, and of near copies of one centre their differences from it leave few, so
+that those that link with nothing are not paired with all others. No link between components is lost.
 
 A document's set has the distinct n-grams of its lower-cased (A-Z) words between ASCII white
 space; fewer than n words are one n-gram; null and "" have none and link with nothing. Repeated
@@ -33,12 +33,7 @@ from assay.llm.common import drop_tables, fresh, frugal, give_back, id_filter, m
 
 NGRAM = 4
 LEAST, OF = 85, 100  # link: OF * intersection >= least * union, least being LEAST unless told otherwise
-#: An n-gram is looked at for the frequent end of the order if so many documents of one step have it.
-STEP_NGRAMS, STEP_OFTEN = 2_000_000, 2
-#: Entries of the broadcast table of frequent n-grams; the order of the others is by hash.
-#: More or fewer change what the join costs, not its result.
-FREQUENT = 1_000_000
-FRAGMENTS = 4
+FRAGMENTS = 4  # in which overlaps are counted
 #: Pairs left to try, within the bounds, for each entry of a posting list from which on more rounds of likely
 #: pairs pay; they try TRIES of each component and end when fewer than one in YIELD links. These change what
 #: the join costs, not its result.
@@ -85,67 +80,60 @@ def sets_of(texts: list[bytes], n: int, hashes: WordHashes) -> Iterator[np.ndarr
         at += k
 
 
-def needed(total: int, least: int) -> int:
-    """The smallest overlap of two linked sets with so many n-grams together."""
-    return -(-least * total // (least + OF))
+def apart_by(total, least: int):
+    """The most n-grams that only one of two linked sets with so many n-grams together can have."""
+    return (OF - least) * total // (OF + least)
 
 
-def prefix_size(n: int, least: int) -> int:
-    return n - -(-least * n // OF) + 1
+def band(n):
+    """Sets up to this size are cut alike: the next power of two, 4 at least."""
+    return np.int64(1) << np.maximum(np.frexp(np.asarray(n) - 1)[1], 2).astype(np.int64)
 
 
-class Order:
-    """The global order: n-grams outside the frequent table by hash, then the frequent by count and hash."""
+def shown(n, top, least: int):
+    """How many fragments a set of n shows in the band up to ``top``. Each fragment in which two sets differ takes an
+    n-gram that only one has, so of any order of fragments they share one among the first so many."""
+    return apart_by(n + np.minimum(top, OF * n // least), least) + 1
 
-    def __init__(self, frequent: np.ndarray, counts: np.ndarray):
-        by = np.argsort(frequent)
-        self.frequent, self.counts = frequent[by], counts[by]
 
-    def count(self, grams: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.zeros(len(grams), np.int64)
-        at = np.minimum(np.searchsorted(self.frequent, grams), len(self.frequent) - 1)
-        return np.where(self.frequent[at] == grams, self.counts[at], 0)
-
-    def sort(self, grams: np.ndarray) -> np.ndarray:
-        """Sorted hashes put into the global order."""
-        c = self.count(grams)
-        return grams if not c.any() else grams[np.lexsort((grams, c))]
-
-
-def frequent_ngrams(docs: DataFrame, n: int) -> Order:
-    """N-grams of many documents, counted over all of them in steps of bounded memory."""
-
-    def run(batches):
-        held, size, hashes = [], 0, WordHashes()
-
-        def flush():
-            grams, counts = np.unique(np.concatenate(held), return_counts=True)
-            some = counts >= STEP_OFTEN
-            return pa.RecordBatch.from_arrays([pa.array(grams[some].view(np.int64)), pa.array(counts[some].astype(np.int64))], ["gram", "n"])
-
-        for part in slices(batches, 0):
-            for s in sets_of(utf8(part.column(0)), n, hashes):
-                held.append(s)
-                size += len(s)
-            if size >= STEP_NGRAMS:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    found = docs.select("text").mapInArrow(frugal(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "gram").limit(FREQUENT).toArrow()
-    return Order(found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy())
+def keys(s: np.ndarray, least: int) -> np.ndarray:
+    """The keys of the fragments that a set shows: in its own band, and in the next if a linked set can be there.
+    Fuller fragments come first, for they are seldom equal by chance. A set that links only with equal ones has none."""
+    n, out = len(s), []
+    far = OF * n // least
+    if not n or not apart_by(n + far, least):
+        return np.empty(0, np.uint64)
+    odd, step = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
+    def key(part: np.ndarray, sums: np.ndarray, top: int) -> np.ndarray:
+        h = (sums ^ np.uint64(top)) * odd + part
+        h = (h ^ h >> np.uint64(32)) * step
+        return h ^ h >> np.uint64(29)
 
-def describe(docs: DataFrame, order, n: int, least: int) -> DataFrame:
-    """Per row: doc_id, size and node of its set, and its prefix (in order) unless the task has shown it already."""
+    top, last = int(band(n)), int(band(far))
+    if not apart_by(n + min(top, far), least):  # those of its own band that it links with are equal
+        top *= 2
+    while top <= last:
+        m, p = apart_by(2 * top, least) * 6 // 5 + 1, int(shown(n, top, least))
+        part = s // np.uint64(2**64 // m + 1)
+        start = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        found = key(part[start], np.add.reduceat(s, start), top)
+        out.append(found[np.lexsort((found, -np.diff(np.append(start, n))))[:p]])
+        if len(found) < p:
+            empty = np.setdiff1d(np.arange(m, dtype=np.uint64), part[start])
+            out.append(np.sort(key(empty, np.zeros(len(empty), np.uint64), top))[: p - len(found)])
+        top *= 2
+    return np.concatenate(out)
+
+
+def describe(docs: DataFrame, n: int, least: int) -> DataFrame:
+    """Per row: doc_id, size and node of its set, and its keys unless the task has shown them already."""
 
     def run(batches):
         seen: set[tuple[int, int]] = set()
         hashes = WordHashes()
         for part in slices(batches, 1):
-            sizes, nodes, prefixes = [], [], []
+            sizes, nodes, shows = [], [], []
             for s in sets_of(utf8(part.column(1)), n, hashes):
                 node = None if not len(s) else xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
                 fresh = len(s) > 0 and (node, len(s)) not in seen
@@ -153,10 +141,10 @@ def describe(docs: DataFrame, order, n: int, least: int) -> DataFrame:
                     seen.add((node, len(s)))
                 sizes.append(len(s))
                 nodes.append(node)
-                prefixes.append(order.value.sort(s)[: prefix_size(len(s), least)].view(np.int64) if fresh else None)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "n", "node", "prefix"])
+                shows.append(keys(s, least).view(np.int64) if fresh else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int32()), pa.array(nodes, pa.int64()), pa.array(shows, pa.list_(pa.int64()))], ["doc_id", "n", "node", "keys"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), "doc_id long, n int, node long, prefix array<long>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(frugal(run), "doc_id long, n int, node long, keys array<long>")
 
 
 def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -177,47 +165,45 @@ def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]
         yield tuple(c.to_numpy() for c in pa.Table.from_batches(held).columns)
 
 
-def possible(na, nb, at_a, at_b, least):
-    """Bounds of length and position: if this is the pair's first common n-gram, enough can follow it."""
-    need = -(-least * (na + nb) // (least + OF))
-    return (OF * np.minimum(na, nb) >= least * np.maximum(na, nb)) & (1 + np.minimum(na - at_a, nb - at_b) - 1 >= need)
-
-
 def posting_lists(sets: DataFrame) -> DataFrame:
-    """Entries of the prefix lists with two nodes or more, each with its list's centre: the node with the fewest
-    rarer n-grams. Of near copies that is the one with the fewest changes of its own, so the closest to all."""
-    entries = sets.filter("prefix is not null").select(F.posexplode("prefix").alias("pos", "gram"), "node", "n")
+    """Entries of the lists with two nodes or more, each with its list's size."""
+    entries = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "node", "n")
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        for gram, node, n, pos in lists(batches):
-            if not len(gram):
+        for key, node, n in lists(batches):
+            if not len(key):
                 continue
-            first = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
-            gram, node, n, pos = gram[first], node[first], n[first], pos[first]
-            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            size = np.diff(np.append(start, len(gram)))
-            many = np.repeat(size > 1, size)
-            centre = np.repeat(start, size)
-            yield pa.RecordBatch.from_arrays([pa.array(c[many]) for c in (gram, node, n, pos, node[centre], n[centre], pos[centre])], ["gram", "node", "n", "pos", "c_node", "c_n", "c_pos"])
+            first = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+            key, node, n = key[first], node[first], n[first]
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.append(start, len(key)))
+            size = np.repeat(size, size)
+            yield pa.RecordBatch.from_arrays([pa.array(c[size > 1]) for c in (key, node, n, size)], ["key", "node", "n", "size"])
 
-    placed = entries.select("gram", "node", "n", "pos").repartition(parts, "gram").sortWithinPartitions("gram", "pos", "node")
-    return placed.mapInArrow(frugal(run), "gram long, node long, n int, pos int, c_node long, c_n int, c_pos int")
+    return entries.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(frugal(run), "key long, node long, n int, size long")
 
 
 PAIR = "a long, b long, na int, nb int"
 
 
-def star_pairs(postings: DataFrame, least: int) -> DataFrame:
-    """Each node with the centres of its lists, and in how many lists they meet within the bounds."""
+def star_pairs(postings: DataFrame) -> DataFrame:
+    """Each node with the centres of its lists, and in how many lists they meet. A list's centre is the node that
+    meets most others over all its lists; of near copies that is the one with the fewest changes of its own."""
+    weight = postings.groupBy("node").agg(F.sum("size").alias("weight"))
+    parts = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = postings.join(weight, "node").select("key", "node", "n", "weight").repartition(parts, "key").sortWithinPartitions("key", F.desc("weight"), "node")
 
     def run(batches):
-        for b in batches:
-            _, node, n, pos, c_node, c_n, c_pos = (c.to_numpy() for c in b.columns)
-            some = (node != c_node) & possible(n.astype(np.int64), c_n.astype(np.int64), pos, c_pos, least)
-            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (c_node, node, c_n, n)], ["a", "b", "na", "nb"])
+        for key, node, n, _ in lists(batches):
+            if not len(key):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            centre = np.repeat(start, np.diff(np.append(start, len(key))))
+            some = node != node[centre]
+            yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (node[centre], node, n[centre], n)], ["a", "b", "na", "nb"])
 
-    return postings.mapInArrow(frugal(run), PAIR).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
+    return placed.mapInArrow(frugal(run), PAIR).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
 
 
 def nearest_centres(stars: DataFrame) -> DataFrame:
@@ -236,17 +222,17 @@ def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
 
 def mixed_lists(postings: DataFrame, component: DataFrame) -> DataFrame:
     """Entries, with their component, of the lists that have nodes of several components."""
-    placed = postings.select("gram", "node", "n", "pos").join(component, "node", "left").select("gram", "node", "n", "pos", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("gram").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("gram")
-    return placed.join(mixed, "gram", "left_semi")
+    placed = postings.select("key", "node", "n").join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
+    return placed.join(mixed, "key", "left_semi")
 
 
 def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame, least: int) -> DataFrame:
     """For each component some pairs of most common lists with a node of another: every list offers its
     first node in an order that each round draws anew."""
     order = F.xxhash64("node", F.lit(seed))
-    offer = mixed.groupBy("gram").agg(F.min(F.struct(order.alias("o"), "node", "n", "pos", "component")).alias("c"))
-    met = mixed.join(offer, "gram").filter("component != c.component")
+    offer = mixed.groupBy("key").agg(F.min(F.struct(order.alias("o"), "node", "n", "component")).alias("c"))
+    met = mixed.join(offer, "key").filter("component != c.component")
     turn = F.col("node") > F.col("c.node")
     both = met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b"), F.when(turn, F.col("c.n")).otherwise(F.col("n")).alias("na"), F.when(turn, F.col("n")).otherwise(F.col("c.n")).alias("nb"), F.col("component").alias("x"), F.col("c.component").alias("y"))
     pairs = both.filter(OF * F.least("na", "nb") >= least * F.greatest("na", "nb")).groupBy("a", "b", "na", "nb", "x", "y").agg(F.count(F.lit(1)).alias("lists")).join(tried, ["a", "b"], "left_anti")
@@ -255,11 +241,16 @@ def likely_pairs(mixed: DataFrame, seed: int, tried: DataFrame, least: int) -> D
     return best.select("p.*").distinct()
 
 
-def crossing(gram: np.ndarray, n: np.ndarray, comp: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of the pairs of one list that are in different components and of sizes that can link, each once, in
-    steps of bounded size. Entries are sorted by gram and size. Only those outside their list's largest component
-    look for partners."""
-    new = np.concatenate([[True], gram[1:] != gram[:-1]])
+def crossing(columns: tuple[np.ndarray, ...], least: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the pairs of one list that are in different components and that can link, each once, in steps of bounded
+    size, and how many lists such a pair must share. Entries are sorted by key and size. Only those outside their
+    list's largest component look for partners.
+
+    Two nodes with the same centre differ at least in what each added to it, but for what both added, and by the
+    difference of what they lack. If that leaves no link without a common addition, they meet in lists of additions alone."""
+    key, _, n, comp, pivot, add, cut, kind = columns
+    n, add, cut = n.astype(np.int64), add.astype(np.int64), cut.astype(np.int64)
+    new = np.concatenate([[True], key[1:] != key[:-1]])
     of, start = np.cumsum(new) - 1, np.flatnonzero(new)
     by = np.lexsort((comp, of))
     run = np.flatnonzero(np.concatenate([[True], (of[by][1:] != of[by][:-1]) | (comp[by][1:] != comp[by][:-1])]))
@@ -268,48 +259,60 @@ def crossing(gram: np.ndarray, n: np.ndarray, comp: np.ndarray, least: int) -> I
     largest = np.lexsort((length, of[by][run]))
     last = np.concatenate([of[by][run][largest][1:] != of[by][run][largest][:-1], [True]])
     major = comp[by][run][largest][last]
-    key = of << 32 | n
+    at = of << 32 | n
     lone = np.flatnonzero(comp != major[of])
-    lo = np.searchsorted(key, of[lone] << 32 | -(-least * n[lone] // OF), "left")
-    hi = np.searchsorted(key, of[lone] << 32 | OF * n[lone] // least, "right")
+    lo = np.searchsorted(at, of[lone] << 32 | -(-least * n[lone] // OF), "left")
+    hi = np.searchsorted(at, of[lone] << 32 | OF * n[lone] // least, "right")
     ends = np.cumsum(hi - lo)
     for step in np.split(np.arange(len(lone)), np.searchsorted(ends, np.arange(STEP_PAIRS, ends[-1] if len(ends) else 0, STEP_PAIRS))):
         wide = hi[step] - lo[step]
         i = np.repeat(lone[step], wide)
         j = np.repeat(lo[step] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
         ok = (comp[i] != comp[j]) & ((i < j) | (comp[j] == major[of[j]]))
-        yield i[ok], j[ok]
-
-
-def by_size(mixed: DataFrame) -> DataFrame:
+        i, j = i[ok], j[ok]
+        d = apart_by(n[i] + n[j], least)
+        short = np.where(pivot[i] == pivot[j], add[i] + add[j] + np.abs(cut[i] - cut[j]) - d, 0)
+        top = band(np.maximum(n[i], n[j]))
+        fragments = np.minimum(shown(n[i], top, least), shown(n[j], top, least)) - d
+        ok = (short > 0) == (kind[i] > 0)
+        yield i[ok], j[ok], np.where(kind[i] > 0, (short + 1) // 2, fragments)[ok]
+
+
+def by_size(mixed: DataFrame, centred: DataFrame, additions: DataFrame) -> DataFrame:
+    """The entries of the lists of fragments (kind 0) and, for the same nodes, of additions (kind 1). A node without a
+    centre is its own."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return mixed.select("gram", "node", "n", "component").repartition(parts, "gram").sortWithinPartitions("gram", "n", "node")
+    told = [F.coalesce("centre", "node").alias("centre"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("lacks", F.lit(0)).alias("lacks")]
+    fragments = mixed.join(centred, "node", "left").select("key", "node", "n", "component", *told, F.lit(0).alias("kind"))
+    nodes = mixed.select("node", "n", "component").distinct().join(centred, "node")
+    more = additions.join(nodes, ["node", "centre"]).select(F.xxhash64("centre", "gram").alias("key"), "node", "n", "component", "centre", "added", "lacks", F.lit(1).alias("kind"))
+    return fragments.unionByName(more).repartition(parts, "key").sortWithinPartitions("key", "kind", "n", "node")
 
 
-def left_to_try(mixed: DataFrame, least: int) -> int:
+def left_to_try(entries: DataFrame, least: int) -> int:
     """How many pairs crossing_pairs would look at, each list for itself; none is kept."""
 
     def run(batches):
-        total = sum(len(i) for gram, _, n, comp in lists(batches) if len(gram) for i, _ in crossing(gram, n.astype(np.int64), comp, least))
+        total = sum(len(i) for columns in lists(batches) if len(columns[0]) for i, _, _ in crossing(columns, least))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.int64())], ["n"])
 
-    return int(by_size(mixed).mapInArrow(frugal(run), "n long").agg(F.sum("n")).first()[0] or 0)
+    return int(entries.mapInArrow(frugal(run), "n long").agg(F.sum("n")).first()[0] or 0)
 
 
-def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
+def crossing_pairs(entries: DataFrame, least: int) -> DataFrame:
     """Pairs of nodes in different components that the number of lists they share leaves as possible links.
 
-    Of two prefixes, what the one that reaches less far shares with the other set is what the prefixes share, so all
-    else that is common stands after it in its set."""
+    Of two nodes, what the one that shows less far shares with the other is what both show, so all other fragments
+    that are equal stand after those it shows. Sets that meet in a second band have lists to spare."""
 
     def run(batches):
-        for gram, node, n, comp in lists(batches):
-            if not len(gram):
+        for columns in lists(batches):
+            if not len(columns[0]):
                 continue
-            n = n.astype(np.int64)
+            node, n, kind = columns[1], columns[2], columns[7]
             held, size = [], 0
-            for i, j in crossing(gram, n, comp, least):
-                held.append(np.stack([node[i], node[j], n[i], n[j]]))
+            for i, j, need in crossing(columns, least):
+                held.append(np.stack([node[i], node[j], n[i], n[j], need, kind[i]]))
                 size += len(i)
                 if size > 200_000:
                     yield emit(held)
@@ -318,50 +321,23 @@ def crossing_pairs(mixed: DataFrame, least: int) -> DataFrame:
                 yield emit(held)
 
     def emit(held):
-        a, b, na, nb = np.concatenate(held, axis=1)
+        a, b, na, nb, need, kind = np.concatenate(held, axis=1)
         turn = a > b
         a, b, na, nb = np.where(turn, b, a), np.where(turn, a, b), np.where(turn, nb, na), np.where(turn, na, nb)
-        by = np.lexsort((b, a))
-        first = np.flatnonzero(np.concatenate([[True], (a[by][1:] != a[by][:-1]) | (b[by][1:] != b[by][:-1])]) if len(by) else [])
-        met, at = np.diff(np.append(first, len(by))), by[first]
-        return pa.RecordBatch.from_arrays([pa.array(a[at]), pa.array(b[at]), pa.array(na[at].astype(np.int32)), pa.array(nb[at].astype(np.int32)), pa.array(met.astype(np.int32))], ["a", "b", "na", "nb", "lists"])
-
-    met = by_size(mixed).mapInArrow(frugal(run), f"{PAIR}, lists int").groupBy("a", "b", "na", "nb").agg(F.sum("lists").alias("lists"))
-    rest = F.expr(f"({least} * cast(greatest(na, nb) as bigint) + {OF - 1}) div {OF} - 1")  # of the larger set, what stands after its prefix
-    need = F.expr(f"({least} * (cast(na as bigint) + nb) + {least + OF - 1}) div {least + OF}")
-    return met.filter(F.col("lists") + rest >= need).select("a", "b", "na", "nb")
+        by = np.lexsort((kind, b, a))
+        a, b, na, nb, need, kind = (c[by] for c in (a, b, na, nb, need, kind))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (kind[1:] != kind[:-1])]) if len(a) else [])
+        met = np.diff(np.append(first, len(a)))
+        small = [pa.array(c.astype(np.int32)) for c in (na[first], nb[first], need[first], met)]
+        return pa.RecordBatch.from_arrays([pa.array(a[first]), pa.array(b[first]), *small], ["a", "b", "na", "nb", "need", "lists"])
 
+    met = entries.mapInArrow(frugal(run), f"{PAIR}, need int, lists int").groupBy("a", "b", "na", "nb", "need").agg(F.sum("lists").alias("lists"))
+    return met.filter("lists >= need").select("a", "b", "na", "nb").distinct()
 
-def prefix_survivors(pairs: DataFrame, sets: DataFrame, order, least: int) -> DataFrame:
-    """First fragment: its overlap, with what can follow it, must reach what a link needs."""
-    prefix = sets.filter("prefix is not null").select("node", "prefix").dropDuplicates(["node"])
-    both = pairs.join(prefix.withColumnsRenamed({"node": "a", "prefix": "pa"}), "a").join(prefix.withColumnsRenamed({"node": "b", "prefix": "pb"}), "b").select("a", "b", "na", "nb", "pa", "pb")
 
-    def run(batches):
-        for batch in batches:
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            keep = []
-            columns = []
-            for c in (batch.column(4), batch.column(5)):
-                values, offsets = c.values.to_numpy().view(np.uint64), c.offsets.to_numpy()
-                columns.append((values, order.value.count(values), offsets))
-            (va, ca, oa), (vb, cb, ob) = columns
-            for i in range(batch.num_rows):
-                x, cx = va[oa[i] : oa[i + 1]], ca[oa[i] : oa[i + 1]]
-                y, cy = vb[ob[i] : ob[i + 1]], cb[ob[i] : ob[i + 1]]
-                size = int(na[i]), int(nb[i])
-                if (cx[-1], x[-1]) > (cy[-1], y[-1]):
-                    x, cx, y, cy, size = y, cy, x, cx, size[::-1]
-                inside = (cy < cx[-1]) | (cy == cx[-1]) & (y <= x[-1])  # of the longer-reaching prefix, what the other covers
-                common = len(np.intersect1d(x, y[inside], assume_unique=True))
-                keep.append(common + min(size[0] - len(x), size[1] - int(inside.sum())) >= needed(sum(size), least))
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.mapInArrow(frugal(run), PAIR)
-
-
-def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: int) -> DataFrame:
-    """The pairs that link: fragment overlaps, counted apart and summed per pair."""
+def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs that link: fragment overlaps, counted apart and summed per pair. Also the overlaps, with what b has
+    in the fragment and a has not."""
     centres = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("links"))
     # a centre's links are dealt over several tasks, with the centre's fragments in each
     tasks = F.ceil(F.col("links") / SPREAD).cast("int")
@@ -408,15 +384,28 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: in
                     key, centre, last = (a, task, fragment), s, None
                 elif key == (a, task, fragment) and member != last:
                     last = member
-                    out.append((a, member, len(np.intersect1d(centre, s, assume_unique=True))))
+                    own = np.setdiff1d(s, centre, assume_unique=True)
+                    out.append((a, member, len(s) - len(own), own.view(np.int64)))
             if out:
-                a, b, k = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64())], ["a", "b", "common"])
+                a, b, k, own = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(k, pa.int64()), pa.array(own, pa.list_(pa.int64()))], ["a", "b", "common", "own"])
 
-    overlaps = placed.mapInArrow(frugal(count), "a long, b long, common long").groupBy("a", "b").agg(F.sum("common").alias("common"))
-    links = materialize(pairs.join(overlaps, ["a", "b"]).filter(f"{OF} * common >= {least} * (na + nb - common)").select("a", "b"), "ngram-links")
+    columns = "a long, b long, common long, own array<long>"
+    overlaps = materialize(placed.mapInArrow(frugal(count), columns), "ngram-overlaps")
+    common = pairs.join(overlaps.groupBy("a", "b").agg(F.sum("common").alias("common")), ["a", "b"])
+    links = materialize(common.filter(f"{OF} * common >= {least} * (na + nb - common)").select("a", "b"), "ngram-links")
     drop_tables(docs.sparkSession, cast)
-    return links
+    return links, overlaps
+
+
+def around_centres(pairs: DataFrame, overlaps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each node b that has half of its set in common with its centre a: how many n-grams it added and how many it
+    lacks; and those that it added."""
+    common = overlaps.groupBy("a", "b").agg(F.sum("common").alias("common"))
+    near = pairs.join(common, ["a", "b"]).filter("2 * common >= nb").select(F.col("b").alias("node"), F.col("a").alias("centre"), F.expr("cast(nb - common as int)").alias("added"), F.expr("cast(na - common as int)").alias("lacks"))
+    near = materialize(near, "ngram-centred")
+    own = overlaps.select(F.col("b").alias("node"), F.col("a").alias("centre"), F.explode("own").alias("gram"))
+    return near, materialize(own.join(near.select("node", "centre"), ["node", "centre"], "left_semi"), "ngram-additions")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -440,42 +429,43 @@ def components(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
     """Per document: doc_id, size and node of its set, and the class of linked nodes (null without n-grams)."""
     spark = docs.sparkSession
-    order = spark.sparkContext.broadcast(frequent_ngrams(docs, n))
-    sets = materialize(describe(docs, order, n, least), "ngram-sets")
-    postings = materialize(posting_lists(sets), "ngram-postings")
-    stars = materialize(star_pairs(postings, least), "ngram-stars")
-    tried = links = component = None
+    shows = materialize(describe(docs, n, least), "ngram-shows")
+    postings = materialize(posting_lists(shows), "ngram-postings")
+    sets = materialize(shows.select("doc_id", "n", "node"), "ngram-sets")
+    drop_tables(spark, shows)
+    stars = materialize(star_pairs(postings), "ngram-stars")
+    tried = links = component = around = None
 
     def step(asked: DataFrame) -> bool:
         """Verify pairs; whether enough of them link for more such rounds to pay."""
-        nonlocal tried, links, component
+        nonlocal tried, links, component, around
         pairs = materialize(asked, "ngram-pairs")
-        left = materialize(prefix_survivors(pairs, sets, order, least), "ngram-survivors")
         tried = pairs.select("a", "b") if tried is None else tried.unionByName(pairs.select("a", "b"))
-        found = None if left.isEmpty() and component is not None else linked(left, docs, sets, n, least)
-        if found is None or links is not None and found.isEmpty():
-            drop_tables(spark, left)
+        if pairs.isEmpty() and component is not None:
+            return False
+        found, overlaps = linked(pairs, docs, sets, n, least)
+        around = around or around_centres(pairs, overlaps)
+        drop_tables(spark, overlaps)
+        if links is not None and found.isEmpty():
             return False
         links = found if links is None else links.unionByName(found)
         if component is not None:
             drop_tables(spark, component)
         component = components(links)
-        pays = found.count() * YIELD >= left.count()
-        drop_tables(spark, left)
-        return pays
+        return found.count() * YIELD >= pairs.count()
 
     step(nearest_centres(stars))
     step(nearest_centres(apart(stars, component).join(tried, ["a", "b"], "left_anti")))
     mixed, seed, more = materialize(mixed_lists(postings, component), "ngram-mixed"), 0, True
     drop_tables(spark, stars, postings)
     # while the pairs left are many for the entries they come from, each component tries its likeliest one
-    while more and left_to_try(mixed, least) > CROWDED * mixed.count():
+    while more and left_to_try(by_size(mixed, *around), least) > CROWDED * mixed.count():
         seed += 1
         more = step(likely_pairs(mixed, seed, tried, least))
         before, mixed = mixed, materialize(mixed_lists(mixed.drop("component"), component), "ngram-mixed")
         drop_tables(spark, before)
-    step(crossing_pairs(mixed, least).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
-    drop_tables(spark, mixed)
+    step(crossing_pairs(by_size(mixed, *around), least).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
+    drop_tables(spark, mixed, *around)
     return sets.select("doc_id", "n", "node").join(component, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
 
 

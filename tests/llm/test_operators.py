@@ -172,6 +172,12 @@ class TestDecontamination:
 class TestBpe:
     COLUMNS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
+    def test_shared_beginnings(self):
+        words = [f"q{x}xz{y}jw{z}" for x in "aeiou" for y in "aeiou" for z in "aeiou"]
+        fresh, of = bpe.Transducer(WORD_BPE), bpe.Transducer(WORD_BPE)
+        assert [of.word(w) for w in words] == [list(fresh.stream(w)) for w in words]
+        assert 0 < len(of.starts) <= len({w[:n] for w in words for n in range(1, len(w))})
+
     def test_tables(self, spark, small):
         assert keyed(QUERIES["op4_bpe"](spark, SMALL), *self.COLUMNS) == brute.encoded(small, WORD_BPE)
 
@@ -428,6 +434,38 @@ class TestSearch:
 
 
 class TestNgramJoin:
+    @pytest.mark.parametrize("least", [50, 80, 85, 97])
+    def test_keys(self, least):
+        import numpy as np
+
+        rng = np.random.default_rng(least)
+        seen = 0
+        for _ in range(3000):  # every pair that links shares as many keys as the last round asks for
+            n = int(rng.integers(1, rng.choice([6, 20, 80, 400])))
+            a = np.unique(rng.integers(0, 2**64, n, np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) > rng.random() * 0.2], rng.integers(0, 2**64, int(rng.integers(0, 2 + n // 8)), np.uint64)]))
+            both = len(np.intersect1d(a, b))
+            if both < max(len(a), len(b)) and 100 * both >= least * (len(a) + len(b) - both):
+                top = ngram_join.band(max(len(a), len(b)))
+                need = min(ngram_join.shown(len(a), top, least), ngram_join.shown(len(b), top, least)) - ngram_join.apart_by(len(a) + len(b), least)
+                assert len(np.intersect1d(ngram_join.keys(a, least), ngram_join.keys(b, least))) >= need >= 1
+                seen += 1
+        assert seen > 20
+
+    def test_common_ngrams(self, spark):
+        import random
+
+        rng = random.Random(3)
+        phrases = [" ".join(f"w{rng.randrange(500)}" for _ in range(5)) for _ in range(300)]
+        docs = [(i, " ".join(rng.choice(phrases) for _ in range(30))) for i in range(1500)]
+        docs += [(2000 + i, t + f" end{i}") for i, (_, t) in enumerate(docs[:40])]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+        met = ngram_join.posting_lists(ngram_join.describe(df, 4, 85))
+        # every text has n-grams in common with hundreds of others, but of 1540 few besides near copies meet
+        assert met.select("node").distinct().count() < 250
+        rows = keyed(ngram_join.join_components(df), "component_id")
+        assert rows == {d: (d - 2000 if d >= 2000 else d,) for d, _ in docs}
+
     def test_tables(self, spark, small):
         assert keyed(QUERIES["op9_ngram_join"](spark, SMALL), "n_shingles", "component_id") == brute.near_components(small)
 
