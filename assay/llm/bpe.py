@@ -29,6 +29,10 @@ from assay.llm.common import chunked, frugal, slices
 #: Words kept per worker with their encoding, twice, and token pairs kept with whether they fit.
 CACHE_WORDS = 80_000
 CACHE_PAIRS = 250_000
+#: Beginnings of words kept with the token that ends their encoding.
+CACHE_STARTS = 150_000
+#: Symbols of a text up to which its pieces are found in one call.
+FIND_ALL = 100_000
 #: Pieces of one text that are hashed together.
 DIGEST_PIECES = 50_000
 
@@ -98,6 +102,7 @@ class Transducer:
         self.lookahead = max(map(len, [*self.inner, *self.final]))
         self.lengths = {id(d): self._lengths(d) for d in (self.inner, self.final)}
         self.fits: dict[int, bool] = {}
+        self.starts: dict[str, int] = {}
         letters = byte_alphabet()
         self.letters = {b: letters[b] for b in range(256)}
         self.bytes = {c: b for b, c in self.letters.items()}
@@ -221,28 +226,43 @@ class Transducer:
             return [whole]
         if len(symbols) > 3 * self.lookahead:
             return list(self.stream(symbols))
-        # A word that fits the window needs no emission before its end; the loop is _ending's, without its calls.
-        end, last, size = len(symbols), [-1], [0]
-        token, lengths, fits, fit = self.inner.get, self.lengths[id(self.inner)].get, self.fits, self._fit
-        for at in range(1, end):
-            for n in lengths(symbols[at - 3 : at] if at > 3 else symbols[:at]) or (*(lengths(symbols[at - 2 : at] if at > 2 else symbols[:at]) or ()), 1):
-                if n <= at:
-                    t = token(symbols[at - n : at])
-                    if t is not None:
-                        p = last[at - n]
-                        if p < 0:
-                            break
-                        ok = fits.get(p << 32 | t)
-                        if ok or ok is None and fit(p, t):
-                            break
-            else:
-                raise ValueError(f"no token fits {symbols[:at]!r}")
-            last.append(t)
-            size.append(n)
-        t, n = self._ending(symbols, end, last, -1, self.final)
-        last.append(t)
-        size.append(n)
-        return self._chain(last, size, end)
+        # A word that fits the window needs no emission before its end: only the beginnings that its tokens are tried
+        # after are looked at, and words share them.
+        if len(self.starts) > CACHE_STARTS:
+            self.starts.clear()
+        t, n = self._closing(symbols, self.final)
+        out, end = [t], len(symbols) - n
+        while end:
+            t = self._last(symbols[:end])
+            out.append(t)
+            end -= len(self.tokens[t])
+        return out[::-1]
+
+    def _last(self, start: str) -> int:
+        """The token that ends the encoding of the beginning of a word."""
+        t = self.starts.get(start)
+        if t is None:
+            t = self.starts[start] = self._closing(start, self.inner)[0]
+        return t
+
+    def _closing(self, held: str, tokens: dict[str, int]) -> tuple[int, int]:
+        """What _ending finds, from the beginnings themselves."""
+        at, fits, starts = len(held), self.fits, self.starts
+        lengths = self.lengths[id(tokens)]
+        for n in lengths.get(held[-3:]) or (*(lengths.get(held[-2:]) or ()), 1):
+            if n <= at:
+                t = tokens.get(held[at - n :])
+                if t is not None:
+                    if n == at:
+                        return t, n
+                    start = held[: at - n]
+                    p = starts.get(start)
+                    if p is None:
+                        p = self._last(start)
+                    ok = fits.get(p << 32 | t)
+                    if ok or ok is None and self._fit(p, t):
+                        return t, n
+        raise ValueError(f"no token fits {held!r}")
 
     def pieces(self, text: str) -> Iterator[str | int]:
         """Normalised pre-tokens of a text in order; a special token comes as its id."""
@@ -255,7 +275,8 @@ class Transducer:
                     part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
                     if not self.odd.isdisjoint(part):
                         part, words = part.translate(self.capitals), self.odd_words
-                yield from map(regex.Match.group, words.finditer(part.lower()))
+                part = part.lower()
+                yield from words.findall(part) if len(part) <= FIND_ALL else map(regex.Match.group, words.finditer(part))
             if m:
                 yield self.special[m.group()]
                 start = m.end()
@@ -368,6 +389,7 @@ def encoder_for(path: str) -> Iterator[Encoder]:
         yield encoder
     finally:
         encoder.transducer.fits.clear()
+        encoder.transducer.starts.clear()
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
