@@ -9,9 +9,10 @@ fragment and summed per pair.
 Documents with equal sets are one node. No group is expanded into its pairs: two rounds join
 each node to one centre of its posting lists, and verified links contract them. In crowded lists,
 further rounds let each component try the likeliest pair that leads out of it. A last round looks at
-all pairs whose ends are still in different components: the number of fragments that two nodes share
-leaves those that can link, and of near copies of one centre their differences from it leave few, so
-that those that link with nothing are not paired with all others. No link between components is lost.
+all pairs whose ends are still in different components. A node whose n-grams occur too seldom in other
+components links with none of them and leaves its lists, so that texts around one common passage are not paired
+with each other. The number of fragments that two nodes share leaves those that can link, and of near copies
+of one centre their differences from it leave few. No link between components is lost.
 
 A document's set has the distinct n-grams of its lower-cased (A-Z) words between ASCII white
 space; fewer than n words are one n-gram; null and "" have none and link with nothing. Repeated
@@ -222,7 +223,8 @@ def apart(pairs: DataFrame, component: DataFrame) -> DataFrame:
 
 def mixed_lists(postings: DataFrame, component: DataFrame) -> DataFrame:
     """Entries, with their component, of the lists that have nodes of several components."""
-    placed = postings.select("key", "node", "n").join(component, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
+    kept = [c for c in postings.columns if c not in ("size", "component")]
+    placed = postings.select(*kept).join(component, "node", "left").select(*kept, F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key")
     return placed.join(mixed, "key", "left_semi")
 
@@ -246,10 +248,11 @@ def crossing(columns: tuple[np.ndarray, ...], least: int) -> Iterator[tuple[np.n
     size, and how many lists such a pair must share. Entries are sorted by key and size. Only those outside their
     list's largest component look for partners.
 
-    Two nodes with the same centre differ at least in what each added to it, but for what both added, and by the
+    A pair has no more n-grams in common than either end shares with other components, which also leaves an end fewer
+    sizes to look through. Two nodes with the same centre differ at least in what each added to it, but for what both added, and by the
     difference of what they lack. If that leaves no link without a common addition, they meet in lists of additions alone."""
-    key, _, n, comp, pivot, add, cut, kind = columns
-    n, add, cut = n.astype(np.int64), add.astype(np.int64), cut.astype(np.int64)
+    key, _, n, comp, shared, pivot, add, cut, kind = columns
+    n, shared, add, cut = (c.astype(np.int64) for c in (n, shared, add, cut))
     new = np.concatenate([[True], key[1:] != key[:-1]])
     of, start = np.cumsum(new) - 1, np.flatnonzero(new)
     by = np.lexsort((comp, of))
@@ -262,13 +265,14 @@ def crossing(columns: tuple[np.ndarray, ...], least: int) -> Iterator[tuple[np.n
     at = of << 32 | n
     lone = np.flatnonzero(comp != major[of])
     lo = np.searchsorted(at, of[lone] << 32 | -(-least * n[lone] // OF), "left")
-    hi = np.searchsorted(at, of[lone] << 32 | OF * n[lone] // least, "right")
+    far = np.minimum(OF * n[lone] // least, (OF + least) * shared[lone] // least - n[lone])
+    hi = np.maximum(np.searchsorted(at, of[lone] << 32 | np.maximum(far, 0), "right"), lo)
     ends = np.cumsum(hi - lo)
     for step in np.split(np.arange(len(lone)), np.searchsorted(ends, np.arange(STEP_PAIRS, ends[-1] if len(ends) else 0, STEP_PAIRS))):
         wide = hi[step] - lo[step]
         i = np.repeat(lone[step], wide)
         j = np.repeat(lo[step] - np.cumsum(wide) + wide, wide) + np.arange(wide.sum())
-        ok = (comp[i] != comp[j]) & ((i < j) | (comp[j] == major[of[j]]))
+        ok = (comp[i] != comp[j]) & ((i < j) | (comp[j] == major[of[j]])) & ((OF + least) * shared[j] >= least * (n[i] + n[j]))
         i, j = i[ok], j[ok]
         d = apart_by(n[i] + n[j], least)
         short = np.where(pivot[i] == pivot[j], add[i] + add[j] + np.abs(cut[i] - cut[j]) - d, 0)
@@ -283,9 +287,9 @@ def by_size(mixed: DataFrame, centred: DataFrame, additions: DataFrame) -> DataF
     centre is its own."""
     parts = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     told = [F.coalesce("centre", "node").alias("centre"), F.coalesce("added", F.lit(0)).alias("added"), F.coalesce("lacks", F.lit(0)).alias("lacks")]
-    fragments = mixed.join(centred, "node", "left").select("key", "node", "n", "component", *told, F.lit(0).alias("kind"))
-    nodes = mixed.select("node", "n", "component").distinct().join(centred, "node")
-    more = additions.join(nodes, ["node", "centre"]).select(F.xxhash64("centre", "gram").alias("key"), "node", "n", "component", "centre", "added", "lacks", F.lit(1).alias("kind"))
+    fragments = mixed.join(centred, "node", "left").select("key", "node", "n", "component", "shared", *told, F.lit(0).alias("kind"))
+    nodes = mixed.select("node", "n", "component", "shared").distinct().join(centred, "node")
+    more = additions.join(nodes, ["node", "centre"]).select(F.xxhash64("centre", "gram").alias("key"), "node", "n", "component", "shared", "centre", "added", "lacks", F.lit(1).alias("kind"))
     return fragments.unionByName(more).repartition(parts, "key").sortWithinPartitions("key", "kind", "n", "node")
 
 
@@ -309,7 +313,7 @@ def crossing_pairs(entries: DataFrame, least: int) -> DataFrame:
         for columns in lists(batches):
             if not len(columns[0]):
                 continue
-            node, n, kind = columns[1], columns[2], columns[7]
+            node, n, kind = columns[1], columns[2], columns[8]
             held, size = [], 0
             for i, j, need in crossing(columns, least):
                 held.append(np.stack([node[i], node[j], n[i], n[j], need, kind[i]]))
@@ -335,6 +339,55 @@ def crossing_pairs(entries: DataFrame, least: int) -> DataFrame:
     return met.filter("lists >= need").select("a", "b", "na", "nb").distinct()
 
 
+def holders_of(wanted: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, holder: of each node in the column "of" the smallest doc_id of a document that has its set."""
+    return sets.filter("node is not null").select("doc_id", "node").join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("holder"))
+
+
+def texts_of(cast: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text and the other columns of ``cast``. A holder's repeated rows all come, whatever their texts."""
+    likely = id_filter(cast.select(F.col("holder").alias("id")))
+    plain = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(likely("doc_id"))
+    return plain.join(cast.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text", *[c for c in cast.columns if c not in ("holder", "node")])
+
+
+def able(mixed: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: int) -> DataFrame:
+    """node, shared: how many of a node's n-grams occur in other components of the lists, if a link needs no more.
+
+    Components only grow together, so what is counted once stays an upper bound."""
+    nodes = mixed.select("node", "component").distinct()
+    cast = materialize(nodes.join(holders_of(nodes.select(F.col("node").alias("of")), sets), "node").select("holder", "node", "component"), "ngram-able")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches):
+        hashes = WordHashes()
+        for part in slices(batches, 1):
+            nodes, comps = part.column(0).to_numpy(), part.column(2).to_numpy()
+            found = list(sets_of(utf8(part.column(1)), n, hashes))
+            # a repeated doc_id can have another text
+            found = [s if len(s) and xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63 == nodes[i] else s[:0] for i, s in enumerate(found)]
+            size = [len(s) for s in found]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(nodes, size)), pa.array(np.repeat(comps, size))], ["gram", "node", "component"])
+
+    def count(batches):
+        for gram, node, comp in lists(batches):
+            if not len(gram):
+                continue
+            start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            far = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), np.diff(np.append(start, len(gram))))
+            once = np.concatenate([[True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])])
+            some, k = np.unique(node[far & once], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(k.astype(np.int64))], ["node", "shared"])
+
+    grams = texts_of(cast, docs).mapInArrow(frugal(cut), "gram long, node long, component long")
+    met = grams.repartition(parts, "gram").sortWithinPartitions("gram", "node").mapInArrow(frugal(count), "node long, shared long")
+    sizes = mixed.select("node", "n").distinct()
+    told = met.groupBy("node").agg(F.sum("shared").cast("int").alias("shared")).join(sizes, "node").filter(OF * F.col("shared") >= least * F.col("n"))
+    told = materialize(told.select("node", "shared"), "ngram-shared")
+    drop_tables(docs.sparkSession, cast)
+    return told
+
+
 def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: int) -> tuple[DataFrame, DataFrame]:
     """The pairs that link: fragment overlaps, counted apart and summed per pair. Also the overlaps, with what b has
     in the fragment and a has not."""
@@ -345,12 +398,9 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: in
     roles = spread.select(F.col("b").alias("of"), "a", "task", F.lit(1).alias("role"), F.col("b").alias("member")).unionByName(
         centres.select(F.col("a").alias("of"), "a", F.explode(F.sequence(F.lit(0), tasks - 1)).alias("task"), F.lit(0).alias("role"), F.col("a").alias("member"))
     )
-    wanted = roles.select("of").distinct()
-    holders = sets.filter("node is not null").select("doc_id", "node").join(wanted, F.col("node") == F.col("of"), "left_semi").groupBy("node").agg(F.min("doc_id").alias("holder"))
+    holders = holders_of(roles.select("of").distinct(), sets)
     # roles meet their documents' ids before any text moves
     cast = materialize(roles.join(holders, F.col("node") == F.col("of")).select("holder", "node", "a", "task", "role", "member"), "ngram-roles")
-    likely = id_filter(cast.select(F.col("holder").alias("id")))
-    texts = docs.selectExpr("cast(doc_id as long) doc_id", "text").filter(likely("doc_id")).join(cast.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("holder"))).select("node", "text", "a", "task", "role", "member")
 
     def cut(batches):
         hashes = WordHashes()
@@ -370,7 +420,7 @@ def linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, n: int, least: in
                 roles = part.select(["a", "task", "role", "member"]).take(pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*roles.columns, pa.array(f, pa.int32()), pa.array(p, pa.binary())], ["a", "task", "role", "member", "fragment", "grams"])
 
-    placed = texts.mapInArrow(frugal(cut), "a long, task int, role int, member long, fragment int, grams binary").select("a", "task", "fragment", "role", "member", "grams")
+    placed = texts_of(cast, docs).mapInArrow(frugal(cut), "a long, task int, role int, member long, fragment int, grams binary").select("a", "task", "fragment", "role", "member", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = placed.repartition(parts, "a", "task", "fragment").sortWithinPartitions("a", "task", "fragment", "role", "member")
 
@@ -458,11 +508,14 @@ def classes(docs: DataFrame, n: int = NGRAM, least: int = LEAST) -> DataFrame:
     step(nearest_centres(apart(stars, component).join(tried, ["a", "b"], "left_anti")))
     mixed, seed, more = materialize(mixed_lists(postings, component), "ngram-mixed"), 0, True
     drop_tables(spark, stars, postings)
+    told = able(mixed, docs, sets, n, least)
+    before, mixed = mixed, materialize(mixed_lists(mixed.join(told, "node"), component), "ngram-mixed")
+    drop_tables(spark, before, told)
     # while the pairs left are many for the entries they come from, each component tries its likeliest one
     while more and left_to_try(by_size(mixed, *around), least) > CROWDED * mixed.count():
         seed += 1
         more = step(likely_pairs(mixed, seed, tried, least))
-        before, mixed = mixed, materialize(mixed_lists(mixed.drop("component"), component), "ngram-mixed")
+        before, mixed = mixed, materialize(mixed_lists(mixed, component), "ngram-mixed")
         drop_tables(spark, before)
     step(crossing_pairs(by_size(mixed, *around), least).join(tried, ["a", "b"], "left_anti").select("a", "b", "na", "nb"))
     drop_tables(spark, mixed, *around)

@@ -487,6 +487,39 @@ class TestNgramJoin:
         df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
         assert keyed(ngram_join.join_components(df), "n_shingles", "component_id") == brute.near_components(docs)
 
+    @pytest.mark.parametrize("n, least", [(4, 85), (5, 80)])
+    def test_common_passage(self, spark, monkeypatch, n, least):
+        import random
+
+        rng = random.Random(n)
+        passage = " ".join(f"p{i}" for i in range(90))
+        docs = [(i, passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(36))) for i in range(300)]
+        docs += [(1000 + i, t + f" end{i}") for i, (_, t) in enumerate(docs[:20])]
+        asked, verify = [], ngram_join.linked
+        monkeypatch.setattr(ngram_join, "linked", lambda pairs, *more: asked.append(pairs.count()) or verify(pairs, *more))
+        rows = ngram_join.classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), n, least).collect()
+        least_id = {}
+        for r in rows:
+            least_id[r["class"]] = min(r.doc_id, least_id.get(r["class"], r.doc_id))
+        assert {r.doc_id: (r.n, least_id[r["class"]]) for r in rows} == brute.near_components(docs, n, least)
+        # texts that have a long passage in common, and no more, are not paired with each other
+        assert sum(asked) < 4 * len(docs)
+
+    def test_able(self, spark):
+        words = [f"w{i}" for i in range(30)]
+        texts = [" ".join(words), " ".join([*words[:25], "x", "y"]), " ".join([*words[:9], "z", *words[10:]]), "other words that no text has", " ".join([*words[:25], "x", "q"])]
+        docs = [(1, texts[0]), (1, texts[0]), (1, texts[3]), (2, texts[1]), (None, texts[2]), (None, texts[2]), (4, texts[3]), (5, texts[4])]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        sets = ngram_join.describe(df, 4, 85).select("doc_id", "n", "node").persist()
+        node = {r.doc_id: r.node for r in sets.collect() if (r.doc_id, r.n) != (1, 3)}
+        component = {**node, 5: node[2]}  # two of the texts are linked already
+        mixed = spark.createDataFrame([(key, node[d], component[d], r.n) for key in (7, 8) for d in node for r in sets.filter(sets.node == node[d]).take(1)], "key long, node long, component long, n int")
+        grams = {node[d]: {tuple(t.split()[i : i + 4]) for i in range(len(t.split()) - 3)} for d, t in zip((1, 2, None, 4, 5), texts, strict=True)}
+        of = {node[d]: component[d] for d in node}
+        want = {a: sum(any(g in grams[b] for b in grams if of[b] != of[a]) for g in grams[a]) for a in grams}
+        assert {r.node: r.shared for r in ngram_join.able(mixed, df, sets, 4, 1).collect()} == {a: k for a, k in want.items() if k}
+        assert {r.node for r in ngram_join.able(mixed, df, sets, 4, 80).collect()} == {a for a, k in want.items() if k >= 0.8 * len(grams[a])}
+
     def test_one_of_each(self, odd_docs):
         kept = ngram_join.one_of_each(odd_docs[0])
         assert kept.columns == odd_docs[0].columns
